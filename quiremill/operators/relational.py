@@ -175,7 +175,8 @@ def top_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, r
     Spark drops rows beyond ``n`` per key and task before the shuffle (window group
     limit), so hot keys stay small.
     """
-    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
+    numbered = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return numbered.where(F.col(rank) <= n).withColumn(rank, F.col(rank).cast("bigint"))
 
 
 def one_default_per_group(df: DataFrame, group: str, key: str, order: list[str], flag: str = "is_default") -> DataFrame:

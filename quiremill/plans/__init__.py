@@ -1,7 +1,7 @@
 """Registered queries."""
 from importlib import import_module
 
-MODULES = ["core"]
+MODULES = ["core", "tables"]
 
 
 def load() -> None:

@@ -110,9 +110,10 @@ def cast_col(t: Tables):
 
 
 @plan("calc_col", """SELECT l_orderkey, l_linenumber, l_partkey,
-  round(l_extendedprice * (1 - l_discount), 2) AS revenue FROM lineitem""")
+  CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DOUBLE) AS revenue FROM lineitem""")
 def calc_col(t: Tables):
-    return R.calc_col(t.lineitem, "revenue", "round(l_extendedprice * (1 - l_discount), 2)").select(
+    return R.calc_col(t.lineitem, "revenue",
+                      "cast(cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(4,2))) as double)").select(
         "l_orderkey", "l_linenumber", "l_partkey", "revenue")
 
 
@@ -140,13 +141,13 @@ def truncate_text(t: Tables):
     return t.documents.select("doc_id", F.substring("text", 1, 500).alias("head"))
 
 
-@plan("workflow", r"""SELECT o_orderkey, level, round(o_totalprice / 2, 2) AS half FROM (
+@plan("workflow", r"""SELECT o_orderkey, level, o_totalprice / 2 AS half FROM (
     SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS level, o_totalprice FROM orders WHERE o_totalprice > 100000)""")
 def workflow(t: Tables):
     return run_workflow(t.orders, [
         {"op": "filter", "rule": {"op": "gt", "col": "o_totalprice", "value": 100000}},
         {"op": "split_col", "col": "o_orderpriority", "sep": "-", "names": ["level", "label"]},
-        {"op": "calc", "name": "half", "expression": "round(o_totalprice / 2, 2)"},
+        {"op": "calc", "name": "half", "expression": "o_totalprice / 2"},
         {"op": "select", "cols": ["o_orderkey", "level", "half"]}])
 
 
@@ -361,7 +362,7 @@ def flags_by_group(t: Tables):
 
 
 @plan("profile_shape", """SELECT column_name AS column, CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
-    WHEN 'INTEGER' THEN 'int' ELSE lower(data_type) END AS dtype, (SELECT count(*) FROM orders) AS total_rows, 6 AS total_cols
+    WHEN 'INTEGER' THEN 'int' ELSE lower(data_type) END AS dtype, (SELECT count(*) FROM orders) AS total_rows, CAST(6 AS BIGINT) AS total_cols
   FROM (DESCRIBE SELECT * FROM orders) d(column_name, data_type, a, b, c, e)""")
 def profile_shape(t: Tables):
     return A.profile_shape(t.orders)
@@ -496,7 +497,7 @@ def natural_sort(t: Tables):
     names = t.part.select(F.concat(F.lit("Size "), F.col("p_size").cast("string"), F.lit(" of "), F.col("p_brand")).alias("name")).distinct()
     top = R.natural_sort(names, "name").limit(200)      # a top list: its 200 rows are numbered in one task
     from pyspark.sql import Window
-    return top.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(R.natural_key("name"))))
+    return top.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(R.natural_key("name"))).cast("bigint"))
 
 
 @plan("custom_sort", """SELECT o_orderkey, o_orderpriority,
