@@ -33,37 +33,38 @@ def rule_hit(text: Column, pattern: str) -> Column:
     return all_of([text.contains(n) for n in _needles(pattern)]) & text.rlike("(?idU)" + pattern)
 
 
-def classify(text: str | Column, filename: str | Column | None = None, head: int | None = V.CLASSIFY_HEAD) -> Column:
-    """STRUCT(doc_type, confidence, signals) of a document from keyword rules.
-
-    ``head`` is the number of leading characters the rules look at (the defined
-    behaviour is 3,000); None looks at the whole text.
-    """
-    text = F.coalesce(_col(text), F.lit(""))
-    name = F.lit("") if filename is None else F.coalesce(_col(filename), F.lit(""))
-    seen = text if head is None else text.substr(1, head)
-    seen = F.lower(F.concat(seen, F.lit(" "), name))
+def rule_masks(seen: Column) -> dict[str, Column]:
+    """One integer per document type whose bits tell which patterns occur in lower-case text."""
+    masks = {}
+    for kind, _, patterns in V.DOCUMENT_RULES:
+        mask = F.lit(0)
+        for bit, p in enumerate(patterns):
+            mask = mask + F.when(rule_hit(seen, p), F.lit(1 << bit)).otherwise(F.lit(0))
+        masks[kind] = mask
+    return masks
+
+
+def best_rule(masks: dict[str, Column], empty: Column) -> Column:
+    """STRUCT(confidence, rank, doc_type, mask) of the best type; ties go to the earlier rule."""
     scored = []
-    for number, (doc_type, base, patterns) in enumerate(V.DOCUMENT_RULES):
-        signals = F.filter(
-            F.array(*[F.when(rule_hit(seen, p), F.lit(p)) for p in patterns]), lambda s: s.isNotNull()
-        )
-        scored.append(F.struct(
-            F.size(signals).alias("hits"), F.lit(base).alias("base"), F.lit(-number).alias("rank"),
-            F.lit(doc_type).alias("doc_type"), signals.alias("signals"),
-        ))
-    hit = F.filter(F.array(*scored), lambda s: s["hits"] > 0)
-    ranked = F.transform(hit, lambda s: F.struct(
-        F.round(F.least(s["base"] + V.SCORE_PER_EXTRA_HIT * (s["hits"] - 1), F.lit(V.SCORE_LIMIT)), 4).alias("confidence"),
-        s["rank"].alias("rank"), s["doc_type"].alias("doc_type"), s["signals"].alias("signals"),
-    ))
-    best = F.array_max(ranked)
-    unknown = F.when((F.length(text) == 0) & (F.length(name) == 0), F.lit(0.0)).otherwise(F.lit(V.UNKNOWN_SCORE))
-    return F.struct(
-        F.coalesce(best["doc_type"], F.lit("unknown")).alias("doc_type"),
-        F.coalesce(best["confidence"], unknown).alias("confidence"),
-        F.coalesce(best["signals"], F.array().cast("array<string>")).alias("signals"),
-    )
+    for number, (kind, base, _) in enumerate(V.DOCUMENT_RULES):
+        hits = F.bit_count(masks[kind])
+        score = F.round(F.least(F.lit(base) + V.SCORE_PER_EXTRA_HIT * (hits - 1), F.lit(V.SCORE_LIMIT)), 4)
+        scored.append(F.when(hits > 0, F.struct(
+            score.alias("confidence"), F.lit(-number).alias("rank"), F.lit(kind).alias("doc_type"), masks[kind].alias("mask"))))
+    unknown = F.struct(
+        F.when(empty, F.lit(0.0)).otherwise(F.lit(V.UNKNOWN_SCORE)).alias("confidence"), F.lit(1).alias("rank"),
+        F.lit("unknown").alias("doc_type"), F.lit(0).alias("mask"))
+    return F.coalesce(F.greatest(*scored), unknown)
+
+
+def rule_signals(doc_type: Column, mask: Column) -> Column:
+    """The patterns of the chosen type that occur."""
+    signals = F.array().cast("array<string>")
+    for kind, _, patterns in V.DOCUMENT_RULES:
+        found = F.array_compact(F.array(*[F.when(mask.bitwiseAND(1 << i) > 0, F.lit(p)) for i, p in enumerate(patterns)]))
+        signals = F.when(doc_type == kind, found).otherwise(signals)
+    return signals
 
 
 _NONE = "array<string>"
@@ -154,12 +155,13 @@ def field_entities(text: str | Column, doc_type: str | Column) -> Column:
 
 def common_entities(text: str | Column, strict_reference: bool = False) -> Column:
     """ARRAY of emails, phones, dates, URLs and IBANs in that order, all matches."""
-    parts = []
-    for kind, extract in COMMON.items():
-        found = extract(text, strict_reference) if kind == "phone" else extract(text)
-        parts.append(F.transform(found, lambda v, k=kind: F.struct(
-            F.lit(k).alias("entity_type"), v.alias("value"), F.lit(V.COMMON_CONFIDENCE[k]).alias("confidence"))))
-    return F.concat(*parts)
+    def tagged(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(
+            F.lit(kind).alias("entity_type"), v.alias("value"), F.lit(V.COMMON_CONFIDENCE[kind]).alias("confidence")))
+
+    return F.concat(*[
+        tagged(kind, extract(text, strict_reference) if kind == "phone" else extract(text)) for kind, extract in COMMON.items()
+    ])
 
 
 def normalized_value(kind: Column, value: Column) -> Column:

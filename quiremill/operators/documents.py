@@ -14,11 +14,31 @@ def _optional(docs: DataFrame, name: str, default: Column) -> Column:
     return F.col(name) if name in docs.columns else default
 
 
+def with_type(docs: DataFrame, head: int | None = V.CLASSIFY_HEAD, signals: bool = False) -> DataFrame:
+    """Add doc_type, confidence and, if wanted, signals to documents.
+
+    ``head`` is the number of leading characters the keyword rules look at: the
+    defined behaviour is 3,000, None looks at the whole text. Masks and best type go
+    through one-element generators, which later filters cannot be pushed through: so
+    each pattern runs once per document, whatever is asked of the result.
+    """
+    text, name = F.coalesce("text", F.lit("")), F.coalesce(_optional(docs, "filename", F.lit("")), F.lit(""))
+    seen = F.lower(F.concat(text if head is None else text.substr(1, head), F.lit(" "), name))
+    kinds = [kind for kind, _, _ in V.DOCUMENT_RULES]
+    out = docs.withColumns({"_seen": seen, "_empty": (F.length(text) == 0) & (F.length(name) == 0)})
+    masks = F.struct(*[m.alias(f"_m_{k}") for k, m in X.rule_masks(F.col("_seen")).items()])
+    out = out.select(*docs.columns, "_empty", F.inline(F.array(masks)))
+    best = X.best_rule({k: F.col(f"_m_{k}") for k in kinds}, F.col("_empty"))
+    out = out.select(*docs.columns, F.inline(F.array(best)))
+    if signals:
+        out = out.withColumn("signals", X.rule_signals(F.col("doc_type"), F.col("mask")))
+    return out.drop("rank", "mask")
+
+
 def classify_documents(docs: DataFrame, head: int | None = V.CLASSIFY_HEAD) -> DataFrame:
     """doc_id with type, confidence, signals and language."""
-    name = _optional(docs, "filename", F.lit(""))
-    found = docs.select("doc_id", X.classify("text", name, head).alias("_c"), X.detect_language("text").alias("language"))
-    return found.select("doc_id", "_c.doc_type", "_c.confidence", "_c.signals", "language")
+    found = with_type(docs, head, signals=True)
+    return found.select("doc_id", "doc_type", "confidence", "signals", X.detect_language("text").alias("language"))
 
 
 def entities(docs: DataFrame, doc_type: str | Column | None = None, strict_reference: bool = False) -> DataFrame:
@@ -53,22 +73,20 @@ def analyze(docs: DataFrame, head: int | None = V.CLASSIFY_HEAD) -> DataFrame:
 
     All steps are column expressions of one select; nothing is shuffled.
     """
-    name = _optional(docs, "filename", F.lit(""))
     fmt = _optional(docs, "format", F.lit(""))
     tables = _optional(docs, "has_tables", F.lit(False))
-    typed = docs.select(
-        "doc_id", "text", fmt.alias("format"), tables.alias("has_tables"),
-        X.classify("text", name, head).alias("_c"), X.detect_language("text").alias("language"),
+    typed = with_type(docs.withColumns({"format": fmt, "has_tables": tables}), head).select(
+        "doc_id", "text", "format", "has_tables", "doc_type", "confidence", X.detect_language("text").alias("language"),
         distinct_entities(X.emails("text")).alias("n_emails"), distinct_entities(X.phones("text")).alias("n_phones"),
         distinct_entities(X.dates("text")).alias("n_dates"), distinct_entities(X.urls("text")).alias("n_urls"),
         distinct_entities(X.ibans("text")).alias("n_ibans"),
+        F.size(X.field_entities("text", "doc_type")).alias("n_fields"),
     )
-    handler = F.coalesce(*[F.when(F.col("_c.doc_type") == k, F.lit(v)) for k, v in V.PIPELINE_NAMES.items()], F.lit("generic"))
-    fields = X.field_entities("text", F.col("_c.doc_type"))
+    handler = F.coalesce(*[F.when(F.col("doc_type") == k, F.lit(v)) for k, v in V.PIPELINE_NAMES.items()], F.lit("generic"))
     return typed.select(
-        "doc_id", "_c.doc_type", "_c.confidence", "language", handler.alias("pipeline_used"), "has_tables",
-        "n_emails", "n_phones", "n_dates", "n_urls", "n_ibans", F.size(fields).alias("n_fields"),
-        X.suggestions(F.col("_c.doc_type"), F.col("has_tables"), F.col("format"), F.col("text"),
+        "doc_id", "doc_type", "confidence", "language", handler.alias("pipeline_used"), "has_tables",
+        "n_emails", "n_phones", "n_dates", "n_urls", "n_ibans", "n_fields",
+        X.suggestions(F.col("doc_type"), F.col("has_tables"), F.col("format"), F.col("text"),
                       F.col("n_emails"), F.col("n_phones")).alias("suggestions"),
     )
 

@@ -164,9 +164,13 @@ def words_to_table(words: DataFrame, page_keys: tuple[str, ...] = ("doc_id", "pa
         _greedy_marks(F.collect_set(F.col("top").cast("int")), V.ROW_REACH).alias("_tops"),
         _greedy_marks(F.collect_set(F.col("left").cast("int")), V.COLUMN_GAP).alias("_lefts"),
     )
+    # Marks ascend and each coordinate has one at or before it, so the nearest mark is
+    # that one or the next; the earlier one wins a tie.
     row = F.size(F.filter("_tops", lambda t: t <= F.col("top"))) - 1
-    nearest = F.array_min(F.transform("_lefts", lambda x, i: F.struct(F.abs(x - F.col("left")).alias("d"), i.alias("i"))))["i"]
-    placed = words.join(marks, keys).select(*keys, row.alias("row"), nearest.alias("col"), "left", "top", "text")
+    placed = words.join(marks, keys).withColumn("_at", F.size(F.filter("_lefts", lambda x: x <= F.col("left"))))
+    here, after = F.get("_lefts", F.col("_at") - 1), F.get("_lefts", F.col("_at"))
+    nearest = F.col("_at") - F.when(after - F.col("left") < F.col("left") - here, 0).otherwise(1)
+    placed = placed.select(*keys, row.alias("row"), nearest.alias("col"), "left", "top", "text")
     cell = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "top", "text"))), lambda w: w["text"]), " ")
     return placed.groupBy(*keys, "row", "col").agg(cell.alias("value"))
 

@@ -1,7 +1,7 @@
 """Registered queries."""
 from importlib import import_module
 
-MODULES = ["core", "tables"]
+MODULES = ["core", "tables", "text", "searching", "datasets", "streams"]
 
 
 def load() -> None:

@@ -321,22 +321,22 @@ def union_tables(t: Tables):
 # --- positioned words -------------------------------------------------------------------------
 
 _WORDS = r"""words AS (
-  SELECT doc_id, CAST(line_no // 40 + 1 AS INTEGER) AS page, word AS text, (line_no % 40) * 16 + w % 3 AS top, w * 45 + length(word) % 5 AS lft,
-    w * 45 + length(word) % 5 + 6 * length(word) AS rgt, (line_no % 40) * 16 + w % 3 + 10 + 4 * (line_no % 3) AS bottom
-  FROM (SELECT doc_id, line_no, unnest(string_split(line, ' ')) AS word, generate_subscripts(string_split(line, ' '), 1) - 1 AS w
-    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents))
+  SELECT doc_id, CAST(w // 400 + 1 AS INTEGER) AS page, word AS text, (w // 10 % 40) * 16 + w % 3 AS top, w % 10 * 45 + length(word) % 5 AS lft,
+    w % 10 * 45 + length(word) % 5 + 6 * length(word) AS rgt, (w // 10 % 40) * 16 + w % 3 + 10 + 4 * (w // 10 % 3) AS bottom
+  FROM (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS w
+    FROM (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS l FROM documents))
   WHERE word <> '')"""
 
 
 def words(t: Tables):
-    """Every word of every document at a page position that follows from its line and order."""
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    each = lines.select("doc_id", "n", F.posexplode(F.split("line", " ")).alias("w", "text")).where("text <> ''")
-    top = (F.col("n") % 40) * 16 + F.col("w") % 3
-    left = F.col("w") * 45 + F.length("text") % 5
+    """Every word of every document on pages of 40 lines with ten words each."""
+    each = t.documents.select("doc_id", F.posexplode(F.split("text", r"[\n ]")).alias("w", "text")).where("text <> ''")
+    line = F.floor(F.col("w") / 10).cast("int")
+    top = (line % 40) * 16 + F.col("w") % 3
+    left = (F.col("w") % 10) * 45 + F.length("text") % 5
     return each.select(
-        "doc_id", F.floor(F.col("n") / 40 + 1).cast("int").alias("page"), "text", top.alias("top"), left.alias("left"),
-        (left + 6 * F.length("text")).alias("right"), (top + 10 + 4 * (F.col("n") % 3)).alias("bottom"))
+        "doc_id", F.floor(F.col("w") / 400 + 1).cast("int").alias("page"), "text", top.alias("top"), left.alias("left"),
+        (left + 6 * F.length("text")).alias("right"), (top + 10 + 4 * (line % 3)).alias("bottom"))
 
 
 @plan("words_to_table", "WITH RECURSIVE " + _WORDS + r""",
