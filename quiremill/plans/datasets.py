@@ -9,7 +9,7 @@ from quiremill.plans import relations as rel
 from quiremill.plans.registry import Tables, plan
 from quiremill.plans.relations import FEEDBACK, with_
 
-# Every customer owns the dataset with the number of their nation.
+# Customers outside one segment own the dataset with their own number.
 _DATASETS = "datasets AS (SELECT c_custkey AS id, c_custkey AS created_by FROM customer WHERE c_mktsegment <> 'BUILDING')"
 
 
@@ -75,7 +75,7 @@ def _entities(t: Tables):
 
 
 @plan("samples_from_analysis", with_(_ENTITIES, body="""SELECT d.doc_id AS file_id, d.source AS doc_type, d.lang AS language, n_entities, concat('[', labels, ']') AS labels, 'train' AS split
-  FROM documents d JOIN (SELECT file_id, CAST(sum(n) AS BIGINT) AS n_entities, string_agg(concat('{"entity_type":"', entity_type, '","n":', n, ',"value":"', value, '"}'), ',' ORDER BY entity_type) AS labels
+  FROM documents d JOIN (SELECT file_id, CAST(sum(n) AS BIGINT) AS n_entities, string_agg(concat('{"entity_type":"', entity_type, '","value":"', value, '","n":', n, '}'), ',' ORDER BY entity_type) AS labels
     FROM (SELECT file_id, entity_type, count(*) AS n, min(value) AS value FROM ents WHERE verified GROUP BY file_id, entity_type) GROUP BY file_id) e ON e.file_id = d.doc_id"""))
 def samples_from_analysis(t: Tables):
     return DS.samples_from_analysis(_analyses(t), _entities(t))

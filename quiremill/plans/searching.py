@@ -254,8 +254,9 @@ _HYBRID = {"0": "the hand of", "1": "elle avec la", "2": "der und nicht"}
       _CENTROIDS, _bm25_sql("doc_id", "documents", "text"), _ranked_sql("doc_id", 20),
       """dense AS (SELECT CAST(c.label AS VARCHAR) AS query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY c.label ORDER BY round(list_cosine_similarity(v, c), 9) DESC, vec_id) AS rank
         FROM centers c, e WHERE c.label < 3 QUALIFY rank <= 20)"""]) + """
-SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0 / (60 + rank)), 12) DESC, doc_id) AS rank
-FROM (SELECT query_id, doc_id, rank FROM ranked UNION ALL SELECT query_id, doc_id, rank FROM dense) GROUP BY query_id, doc_id QUALIFY rank <= 10""")
+SELECT query_id, doc_id, round(s, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, doc_id) AS rank
+FROM (SELECT query_id, doc_id, CAST(sum(CAST(1 AS DOUBLE) / (60 + r)) AS DOUBLE) AS s FROM (SELECT query_id, doc_id, rank AS r FROM ranked UNION ALL SELECT query_id, doc_id, rank FROM dense) GROUP BY query_id, doc_id)
+QUALIFY rank <= 10""")
 def hybrid_topk(t: Tables):
     lexical = S.bm25(t.documents, S.questions(t.spark, _HYBRID), 20, ("doc_id",), "text", len(_HYBRID))
     centers = VE.centroids(_vectors(t)).where(F.col("query_id").isin(list(_HYBRID)))

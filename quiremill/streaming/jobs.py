@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -27,15 +27,24 @@ def run_available(stream: DataFrame, out: str, mode: str = "append", fmt: str =
     query.awaitTermination()
 
 
+def as_instant(ts: str) -> Column:
+    """A timestamp without zone read as UTC, which watermarks need, whatever the session zone is."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(ts)))
+
+
 def daily_counts(events: DataFrame, ts: str, delay: str = "10 minutes") -> DataFrame:
     """Rows per day; a day is emitted once the watermark has passed its end. Later rows are dropped."""
-    counts = events.withWatermark(ts, delay).groupBy(F.window(ts, "1 day")).agg(F.count(F.lit(1)).alias("count"))
-    return counts.select(F.to_date("window.start").alias("day"), "count")
+    timed = events.select(as_instant(ts).alias("at")).withWatermark("at", delay)
+    counts = timed.groupBy(F.window("at", "1 day")).agg(F.count(F.lit(1)).alias("count"))
+    day = F.date_from_unix_date((F.unix_seconds("window.start") / 86400).cast("int"))
+    return counts.select(day.alias("day"), "count")
 
 
 def first_per_key(requests: DataFrame, ts: str, key: str, delay: str) -> DataFrame:
     """At most one request per key within the delay."""
-    return requests.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    timed = requests.withColumn("_at", as_instant(ts)).withWatermark("_at", delay)
+    return timed.dropDuplicatesWithinWatermark([key]).drop("_at")
 
 
 def index_stream(docs: DataFrame, table: str, checkpoint: str) -> None:
