@@ -30,41 +30,28 @@ _NAMED_MONTH = r"^(\d{1,2})\s+([A-Za-z\x{0600}-\x{06FF}]+)\.?\s+(\d{2,4})$"
 
 def _month_number(word: Column) -> Column:
     """Month of a name; a word is first looked up by its first three letters."""
-    short = F.lower(word).substr(1, 3)
-    number = F.lit(None).cast("string")
-    for i, (en, ar) in enumerate(zip(V.MONTHS_EN, V.MONTHS_AR), start=1):
-        number = F.when((short == en) | (word == ar), F.lit(f"{i:02d}")).otherwise(number)
-    return number
-
-
-def _iso_date(year: Column, month: Column, day: Column) -> Column:
-    century = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(F.lpad(year, 4, "0"))
-    return F.concat_ws("-", century, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
+    pairs = [x for i, names in enumerate(zip(V.MONTHS_EN, V.MONTHS_AR), start=1) for n in names for x in (n, f"{i:02d}")]
+    months = F.create_map(*map(F.lit, pairs))
+    return F.coalesce(F.try_element_at(months, F.lower(word).substr(1, 3)), F.try_element_at(months, word))
 
 
 def normalize_date(c: str | Column) -> Column:
     """``YYYY-MM-DD`` text for the known date shapes (day first), else NULL.
 
-    No calendar check: ``31/13/2023`` becomes ``2023-13-31``.
+    No calendar check: ``31/13/2023`` becomes ``2023-13-31``. The parts are put in
+    order and padded by replacements, each of which leaves other text unchanged; only
+    text that ends up in ISO form is a date.
     """
     v = arabic_digits(strip(c))
-
-    def parts(pattern: str) -> list[Column]:
-        return [F.regexp_extract(v, pattern, i) for i in (1, 2, 3)]
-
-    d1, m1, y1 = parts(_DAY_FIRST)
-    y2, m2, d2 = parts(_YEAR_FIRST)
-    d3, w3, y3 = parts(_NAMED_MONTH)
-    month = _month_number(w3)
-    # One cheap test first: most cells do not start with a digit or are too short.
-    shaped = v.rlike(r"^\d") & F.length(v).between(6, 60)
-    return F.when(
-        shaped,
-        F.when(v.rlike(_ISO), v)
-        .when(v.rlike(_DAY_FIRST), _iso_date(y1, m1, d1))
-        .when(v.rlike(_YEAR_FIRST), _iso_date(y2, m2, d2))
-        .when(v.rlike(_NAMED_MONTH) & month.isNotNull(), _iso_date(y3, month, d3)),
-    )
+    numeric = F.regexp_replace(F.regexp_replace(v, _DAY_FIRST, "$3-$2-$1"), _YEAR_FIRST, "$1-$2-$3")
+    named = F.concat(
+        F.regexp_extract(v, _NAMED_MONTH, 3), F.lit("-"), _month_number(F.regexp_extract(v, _NAMED_MONTH, 2)),
+        F.lit("-"), F.regexp_extract(v, _NAMED_MONTH, 1))
+    ordered = F.when(v.rlike(r"[A-Za-z\x{0600}-\x{06FF}]"), named).otherwise(numeric)
+    padded = F.regexp_replace(ordered, r"-(\d)(?=-|$)", "-0$1")
+    padded = F.regexp_replace(F.regexp_replace(padded, r"^(\d{2})-", "20$1-"), r"^(\d{3})-", "0$1-")
+    # A cheap test first: most cells do not start with a digit.
+    return F.when(v.rlike(r"^\d") & padded.rlike(_ISO), padded)
 
 
 _NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
@@ -77,16 +64,13 @@ def parse_number(c: str | Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """Text of a double: whole numbers without a fraction, no exponent in the usual range."""
-    size = F.abs(x)
-    plain = x.cast("string")
-    wide = F.regexp_replace(plain.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
-    tiny = F.regexp_replace(F.regexp_replace(plain, r"\.0E", "E"), r"E-(\d)$", "e-0$1")
+    """Text of a double: whole numbers without a fraction, no exponent from 0.0001 up to 1e20."""
+    plain = F.regexp_replace(x.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+    tiny = F.regexp_replace(F.regexp_replace(x.cast("string"), r"\.0E", "E"), r"E(-?)(\d)$", "E$10$2")
     return (
-        F.when((x == F.floor(x)) & (size < 1e37), x.cast("decimal(38,0)").cast("string"))
-        .when((size >= 1e-3) & (size < 1e7), plain)
-        .when((size >= 1e-4) & (size < 1e18), wide)
-        .otherwise(F.regexp_replace(tiny, "E-", "e-"))
+        F.when((F.abs(x) >= 1e-4) & (F.abs(x) < 1e20) | (x == 0), plain)
+        .when((F.abs(x) >= 1e20) & (F.abs(x) < 1e37), x.cast("decimal(38,0)").cast("string"))
+        .otherwise(F.replace(tiny, F.lit("E"), F.lit("e")))
     )
 
 

@@ -164,7 +164,7 @@ _RTL_SCRIPTS = r"\p{IsArabic}\p{IsHebrew}\p{IsSyriac}\p{IsThaana}\p{IsNko}"
 def is_rtl(c: str | Column) -> Column:
     """True when right-to-left letters outnumber left-to-right letters."""
     text = _col(c)
-    kept = lambda drop: F.length(F.regexp_replace(text, drop, ""))
+    kept = lambda drop: F.length(F.regexp_replace(text, f"(?:{drop})+", ""))
     rtl = kept(f"[^{_RTL_SCRIPTS}]")
     rtl_letters = kept(f"[^{_RTL_SCRIPTS}]|[^\\p{{L}}]")
     return rtl > kept(r"[^\p{L}]") - rtl_letters

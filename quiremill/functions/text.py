@@ -12,11 +12,11 @@ from quiremill.functions.cleaning import _col, all_of, first_number, strip
 
 def detect_language(c: str | Column) -> Column:
     """``ar`` when more than 30 % of the Arabic and Latin letters are Arabic, else ``en``."""
-    text = F.coalesce(_col(c), F.lit(""))
-    arabic = F.length(F.regexp_replace(text, r"[^\x{0600}-\x{06FF}]", ""))
-    latin = F.length(F.regexp_replace(text, r"[^a-zA-Z]", ""))
-    # No Arabic letter at all is the common case and needs no second pass.
-    return F.when((arabic > 0) & (arabic / (arabic + latin) > V.ARABIC_SHARE), "ar").otherwise("en")
+    text = _col(c)
+    arabic = F.length(F.regexp_replace(text, r"[^\x{0600}-\x{06FF}]+", ""))
+    latin = F.length(F.regexp_replace(text, r"[^a-zA-Z]+", ""))
+    # Texts without an Arabic letter need no counting.
+    return F.when(text.rlike(r"[\x{0600}-\x{06FF}]") & (arabic / (arabic + latin) > V.ARABIC_SHARE), "ar").otherwise("en")
 
 
 def _needles(pattern: str) -> list[str]:
@@ -196,8 +196,8 @@ def suggestions(doc_type: Column, has_tables: Column, file_format: Column, text:
 
 def tokens(c: str | Column, min_length: int = 2) -> Column:
     """Lower-case words of Arabic and other letters, digits and underscores."""
-    words = F.regexp_extract_all(F.lower(_col(c)), F.lit(V.TOKEN), 0)
-    return words if min_length <= 1 else F.filter(words, lambda w: F.length(w) >= min_length)
+    run = V.TOKEN.removesuffix("+") + "{%d,}" % min_length
+    return F.regexp_extract_all(F.lower(_col(c)), F.lit(run), 0)
 
 
 _SPACE = "(?U)"

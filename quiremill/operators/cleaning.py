@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quiremill.functions import cleaning as C
 from quiremill.functions import values as V
 from quiremill.operators.relational import string_columns
+from quiremill.session import written
 
 
 # --- typed tables -------------------------------------------------------------------
@@ -120,8 +121,12 @@ def drop_blank_rows(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def _rewrite(df: DataFrame, cols: list[str], rule) -> DataFrame:
-    """Apply a rule to columns and count changed cells per row in ``_changed``."""
-    fresh = df.withColumns({f"_new_{c}": rule(F.col(c)) for c in cols})
+    """Apply a rule to columns and count changed cells per row in ``_changed``.
+
+    The new values pass a one-element generator, so the rule of a cell is not
+    repeated inside the expressions of later rules.
+    """
+    fresh = df.select("*", F.inline(F.array(F.struct(*[rule(F.col(c)).alias(f"_new_{c}") for c in cols]))))
     changed = F.lit(0)
     for c in cols:
         changed = changed + F.coalesce((F.col(f"_new_{c}") != F.col(c)).cast("int"), F.lit(0))
@@ -155,7 +160,8 @@ def clean_text_table(df: DataFrame, row_id: str, rules: list[str] | None = None)
         if name in rules:
             out = _rewrite(out, cols, rule).withColumnRenamed("_changed", counter)
     if "detect_anomalies" in rules:
-        out = flag_outliers(out, cols)
+        # The bounds need passes of their own: clean once, store, then look for outliers.
+        out = flag_outliers(written(out, "cleaned"), cols)
     return out
 
 
@@ -174,36 +180,39 @@ def positional_quantiles(df: DataFrame, exprs: dict[str, Column], quarters: tupl
     the driver ever holds a whole column.
     """
     named = df.select(*[e.alias(c) for c, e in exprs.items()])
-    first = named.agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(exprs)],
-                      *[F.min(c).alias(f"lo_{i}") for i, c in enumerate(exprs)],
-                      *[F.max(c).alias(f"hi_{i}") for i, c in enumerate(exprs)]).first()
+    spread = 3 / _ACCURACY
+    marks_of = lambda p: [max(0.0, p - spread), p, min(1.0, p + spread)]
+    first_marks = [m for q in quarters for m in marks_of(q / 4)]
+    first = named.agg(*[
+        e.alias(f"{what}_{i}") for i, c in enumerate(exprs) for what, e in [
+            ("n", F.count(c)), ("lo", F.min(c)), ("hi", F.max(c)), ("p", F.percentile_approx(c, first_marks, _ACCURACY))]
+    ]).first()
     open_: dict[tuple[str, int], dict] = {}
     found: dict[str, dict] = {}
     for i, c in enumerate(exprs):
         n = first[f"n_{i}"]
         found[c] = {"n": n}
-        if n:
-            for q in quarters:
-                open_[(c, q)] = {"k": q * n // 4, "below": 0, "size": n, "lo": first[f"lo_{i}"], "hi": first[f"hi_{i}"]}
+        for j, q in enumerate(quarters if n else ()):
+            open_[(c, q)] = {"k": q * n // 4, "below": 0, "size": n, "lo": first[f"lo_{i}"], "hi": first[f"hi_{i}"],
+                             "marks": first[f"p_{i}"][3 * j:3 * j + 3]}
     inside = lambda c, b: F.when(F.col(c).between(F.lit(b["lo"]), F.lit(b["hi"])), F.col(c))
-    while any(b["size"] > _EXACT_ROWS and b["lo"] < b["hi"] for b in open_.values()):
-        wide = {key: b for key, b in open_.items() if b["size"] > _EXACT_ROWS and b["lo"] < b["hi"]}
-        aggs = []
-        for j, ((c, q), b) in enumerate(wide.items()):
-            p = (b["k"] - b["below"] + 0.5) / b["size"]
-            ps = [max(0.0, p - 3 / _ACCURACY), p, min(1.0, p + 3 / _ACCURACY)]
-            aggs.append(F.percentile_approx(inside(c, b), ps, _ACCURACY).alias(f"p_{j}"))
-        marks = named.agg(*aggs).first()
+    while wide := {key: b for key, b in open_.items() if b["size"] > _EXACT_ROWS and b["lo"] < b["hi"]}:
+        stale = {key: b for key, b in wide.items() if not b["marks"]}
+        if stale:
+            marks = named.agg(*[
+                F.percentile_approx(inside(c, b), marks_of((b["k"] - b["below"] + 0.5) / b["size"]), _ACCURACY).alias(f"p_{j}")
+                for j, ((c, q), b) in enumerate(stale.items())]).first()
+            for j, b in enumerate(stale.values()):
+                b["marks"] = marks[f"p_{j}"]
         counts = []
         for j, ((c, q), b) in enumerate(wide.items()):
-            lo, mid, hi = marks[f"p_{j}"]
             # The middle of the bracket is a cut too, so every pass shrinks it.
-            cuts = sorted({lo, mid, hi, (b["lo"] + b["hi"]) / 2})
-            counts += [F.count_if(F.col(c) < F.lit(x)).alias(f"b_{j}_{m}") for m, x in enumerate(cuts)]
-            counts += [F.count_if(F.col(c) <= F.lit(x)).alias(f"t_{j}_{m}") for m, x in enumerate(cuts)]
-            b["cuts"] = cuts
+            b["cuts"] = sorted({*b["marks"], (b["lo"] + b["hi"]) / 2})
+            b["marks"] = None
+            counts += [F.count_if(F.col(c) < F.lit(x)).alias(f"b_{j}_{m}") for m, x in enumerate(b["cuts"])]
+            counts += [F.count_if(F.col(c) <= F.lit(x)).alias(f"t_{j}_{m}") for m, x in enumerate(b["cuts"])]
         row = named.agg(*counts).first()
-        for j, (key, b) in enumerate(wide.items()):
+        for j, b in enumerate(wide.values()):
             below = [row[f"b_{j}_{m}"] for m in range(len(b["cuts"]))]
             upto = [row[f"t_{j}_{m}"] for m in range(len(b["cuts"]))]
             for m, x in enumerate(b["cuts"]):

@@ -151,6 +151,28 @@ def _greedy_marks(values: Column, gap: int) -> Column:
     )
 
 
+DENSE = 100_000     # widest coordinate range with a lookup array, in pixels
+
+
+def _lookup(marks: Column, ends: Column) -> Column:
+    """Number of the mark whose stretch holds a coordinate; ``ends`` holds the last pixel of each stretch.
+
+    Pages have few thousand pixels, so a lookup array with one entry per pixel answers
+    at once; stray coordinates far apart fall back to counting ends.
+    """
+    start = F.element_at(marks, 1)
+    return F.struct(
+        start.alias("start"), ends.alias("ends"),
+        F.when(F.element_at(ends, -1) - start < DENSE, F.flatten(F.transform(
+            ends, lambda e, i: F.array_repeat(i, e - F.when(i == 0, start - 1).otherwise(F.get(ends, i - 1)))))).alias("dense"),
+    )
+
+
+def _place(lookup: str, value: str) -> Column:
+    far = F.size(F.filter(F.col(f"{lookup}.ends"), lambda e: e < F.col(value)))
+    return F.coalesce(F.get(F.col(f"{lookup}.dense"), F.col(value).cast("int") - F.col(f"{lookup}.start")), far)
+
+
 def words_to_table(words: DataFrame, page_keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
     """(…, row, col, value): words gathered into table cells by position.
 
@@ -161,16 +183,17 @@ def words_to_table(words: DataFrame, page_keys: tuple[str, ...] = ("doc_id", "pa
     """
     keys = list(page_keys)
     marks = words.groupBy(*keys).agg(
-        _greedy_marks(F.collect_set(F.col("top").cast("int")), V.ROW_REACH).alias("_tops"),
-        _greedy_marks(F.collect_set(F.col("left").cast("int")), V.COLUMN_GAP).alias("_lefts"),
-    )
-    # Marks ascend and each coordinate has one at or before it, so the nearest mark is
-    # that one or the next; the earlier one wins a tie.
-    row = F.size(F.filter("_tops", lambda t: t <= F.col("top"))) - 1
-    placed = words.join(marks, keys).withColumn("_at", F.size(F.filter("_lefts", lambda x: x <= F.col("left"))))
-    here, after = F.get("_lefts", F.col("_at") - 1), F.get("_lefts", F.col("_at"))
-    nearest = F.col("_at") - F.when(after - F.col("left") < F.col("left") - here, 0).otherwise(1)
-    placed = placed.select(*keys, row.alias("row"), nearest.alias("col"), "left", "top", "text")
+        F.collect_set(F.col("top").cast("int")).alias("_t"), F.collect_set(F.col("left").cast("int")).alias("_l"))
+    marks = marks.select(*keys, F.array_max("_t").alias("_tmax"), F.array_max("_l").alias("_lmax"), F.inline(F.array(F.struct(
+        _greedy_marks(F.col("_t"), V.ROW_REACH).alias("_tops"), _greedy_marks(F.col("_l"), V.COLUMN_GAP).alias("_lefts")))))
+    # A row reaches to the pixel before the next mark; columns meet half-way, the earlier one wins a tie.
+    row_ends = F.transform("_tops", lambda t, i: F.coalesce(F.get("_tops", i + 1) - 1, F.col("_tmax")))
+    col_ends = F.transform("_lefts", lambda x, i: F.coalesce(F.floor((x + F.get("_lefts", i + 1)) / 2).cast("int"), F.col("_lmax")))
+    marks = marks.select(*keys, "_tops", "_lefts", row_ends.alias("_te"), col_ends.alias("_le"))
+    marks = marks.select(*keys, _lookup(F.col("_tops"), F.col("_te")).alias("_rows"),
+                         _lookup(F.col("_lefts"), F.col("_le")).alias("_cols"))
+    placed = words.join(marks, keys).select(
+        *keys, _place("_rows", "top").alias("row"), _place("_cols", "left").alias("col"), "left", "top", "text")
     cell = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "top", "text"))), lambda w: w["text"]), " ")
     return placed.groupBy(*keys, "row", "col").agg(cell.alias("value"))
 

@@ -9,6 +9,7 @@ from quiremill.functions import text as X
 from quiremill.functions import values as V
 from quiremill.functions.cleaning import strip
 from quiremill.operators.relational import latest_per_key, top_n_per_key
+from quiremill.session import written
 
 BROADCAST_TERMS = 100_000   # query terms; beyond it the join is left to AQE
 
@@ -70,11 +71,29 @@ def vocabulary(chunks: DataFrame, text: str = "chunk_text") -> DataFrame:
     number, its total the number of all tokens. Chunks without tokens do not count.
     """
     toks = chunks.select(X.tokens(text).alias("_t")).where(F.size("_t") > 0)
-    marks = F.concat(
-        F.array(F.struct(F.lit("").alias("term"), F.size("_t").alias("n"))),
-        F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"))),
-    )
-    return toks.select(F.inline(marks)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total"))
+    terms = toks.select(F.size("_t").alias("n"), F.explode(F.concat(F.array_distinct("_t"), F.array(F.lit("")))).alias("term"))
+    counted = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("n"))
+    return counted.select("term", "df", F.when(F.col("term") == "", F.col("n")).otherwise(F.lit(0)).alias("total"))
+
+
+def index_terms(chunks: DataFrame, text: str = "chunk_text") -> tuple[DataFrame, dict[str, float]]:
+    """The vocabulary as a stored table, and its figures: chunks, mean length and idf floor.
+
+    The table is written once to the shared folder, so the text is tokenized once for
+    all statistics; one row of figures comes to the driver.
+    """
+    vocab = written(vocabulary(chunks, text), "vocabulary")
+    total = vocab.where("term = ''").agg(F.max("df").alias("n"), F.max("total").alias("tokens")).first()
+    n = total["n"] or 0
+    if not n:
+        return vocab, {"n": 0, "mean_length": 1.0, "floor": 0.0}
+    mean = vocab.where("term <> ''").agg(F.avg(_raw_idf(F.lit(n)))).first()[0]
+    return vocab, {"n": n, "mean_length": total["tokens"] / n, "floor": mean * V.BM25_EPSILON}
+
+
+def _idf(figures: dict[str, float]) -> Column:
+    raw = _raw_idf(F.lit(figures["n"]))
+    return F.when(raw < 0, F.lit(figures["floor"])).otherwise(raw)
 
 
 def _raw_idf(n: Column) -> Column:
@@ -83,11 +102,8 @@ def _raw_idf(n: Column) -> Column:
 
 def term_stats(chunks: DataFrame, text: str = "chunk_text") -> DataFrame:
     """(term, df, idf) with the floor for very common terms: a quarter of the mean idf."""
-    vocab = vocabulary(chunks, text)
-    n = vocab.where("term = ''").agg(F.max("df")).scalar()
-    raw = vocab.where("term <> ''").select("term", "df", _raw_idf(n).alias("raw"))
-    mean = raw.agg(F.avg("raw")).scalar()
-    return raw.select("term", "df", F.when(F.col("raw") < 0, mean * V.BM25_EPSILON).otherwise(F.col("raw")).alias("idf"))
+    vocab, figures = index_terms(chunks, text)
+    return vocab.where("term <> ''").select("term", "df", _idf(figures).alias("idf"))
 
 
 def questions(spark: SparkSession, texts: dict[str, str] | list[str]) -> DataFrame:
@@ -117,23 +133,18 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, keys: tuple[str, ...] = (
                 text: str = "chunk_text", n_queries: int | None = None) -> DataFrame:
     """(query_id, *keys, score) for every chunk that shares a term with a query.
 
-    One pass builds the vocabulary, a second one scores: chunk tokens meet the
+    One pass stores the vocabulary, a second one scores: chunk tokens meet the
     query terms in a hash join, hits are counted per chunk on the map side. The
     query side is broadcast when its number is known and small.
     """
     keys = list(keys)
-    vocab = vocabulary(chunks, text)
-    total = vocab.where("term = ''")
-    n = total.agg(F.max("df")).scalar()
-    mean_length = total.agg(F.max(F.col("total") / F.col("df"))).scalar()
-    raw = vocab.where("term <> ''").select("term", _raw_idf(n).alias("raw"))
-    floor = raw.agg(F.avg("raw")).scalar() * V.BM25_EPSILON
+    vocab, figures = index_terms(chunks, text)
     wanted = (
         queries.select("query_id", F.explode(X.tokens("question")).alias("term"))
         .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     )
-    terms = raw.join(_small(wanted, n_queries), "term").select(
-        "query_id", "term", (F.col("times") * F.when(F.col("raw") < 0, floor).otherwise(F.col("raw"))).alias("weight"))
+    terms = vocab.join(_small(wanted, n_queries), "term").select(
+        "query_id", "term", (F.col("times") * _idf(figures)).alias("weight"))
     toks = chunks.select(*keys, X.tokens(text).alias("_t")).where(F.size("_t") > 0)
     hits = (
         toks.select(*keys, F.size("_t").alias("_len"), F.explode("_t").alias("term"))
@@ -141,7 +152,7 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, keys: tuple[str, ...] = (
         .groupBy("query_id", *keys, "term", "weight", "_len").agg(F.count(F.lit(1)).alias("tf"))
     )
     k1, b = V.BM25_K1, V.BM25_B
-    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / mean_length))
+    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / figures["mean_length"]))
     return hits.groupBy("query_id", *keys).agg(F.sum(F.col("weight") * gain).alias("score"))
 
 

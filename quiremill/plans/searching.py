@@ -10,7 +10,7 @@ from quiremill.plans import relations as rel
 from quiremill.plans.registry import Tables, plan
 from quiremill.plans.relations import FILES
 from quiremill.plans.text import SENTENCES
-from quiremill.session import scratch_path
+from quiremill.session import scratch_path, written
 
 QUESTIONS = {
     "q1": "What is the hand of whst and the tion?", "q2": "elle avec la tion pour une lette",
@@ -69,20 +69,25 @@ def chunks(t: Tables):
     return S.chunk_documents(docs)
 
 
+def stored(t: Tables):
+    """The chunk table, stored once: every search reads it at least twice."""
+    return written(chunks(t), "chunks")
+
+
 def asked(t: Tables):
     return S.questions(t.spark, QUESTIONS)
 
 
 def _ranked(t: Tables, **scope):
-    return S.bm25(chunks(t), asked(t), n_queries=len(QUESTIONS), **scope)
+    return S.bm25(stored(t), asked(t), n_queries=len(QUESTIONS), **scope)
 
 
 def sources(t: Tables):
     """The best chunks of every question with text and file name."""
     names = rel.files(t).where("format IS NOT NULL").select(F.col("id").alias("file_id"), F.col("original_name").alias("filename"))
-    # The chunks are used for ranking and for their text: write the few best ones once.
-    best = _ranked(t)
-    texts = chunks(t).select("file_id", "chunk_index", "chunk_text")
+    table = stored(t)
+    best = S.bm25(table, asked(t), n_queries=len(QUESTIONS))
+    texts = table.select("file_id", "chunk_index", "chunk_text")
     found = texts.join(F.broadcast(best), ["file_id", "chunk_index"])     # at most five rows per question
     found = found.join(names, "file_id", "left")
     name = F.coalesce(F.nullif("filename", F.lit("")), F.concat(F.lit("file #"), F.col("file_id").cast("string")))
