@@ -35,14 +35,15 @@ def _month_number(word: Column) -> Column:
     return F.coalesce(F.try_element_at(months, F.lower(word).substr(1, 3)), F.try_element_at(months, word))
 
 
-def normalize_date(c: str | Column) -> Column:
-    """``YYYY-MM-DD`` text for the known date shapes (day first), else NULL.
+def _then(steps: list, c: str | Column) -> Column:
+    value = _col(c)
+    for step in steps:
+        value = step(value)
+    return value
 
-    No calendar check: ``31/13/2023`` becomes ``2023-13-31``. The parts are put in
-    order and padded by replacements, each of which leaves other text unchanged; only
-    text that ends up in ISO form is a date.
-    """
-    v = arabic_digits(strip(c))
+
+def _ordered_date(v: Column) -> Column:
+    """Year, month and day in order and padded; text of another shape stays as it is."""
     numeric = F.regexp_replace(F.regexp_replace(v, _DAY_FIRST, "$3-$2-$1"), _YEAR_FIRST, "$1-$2-$3")
     named = F.concat(
         F.regexp_extract(v, _NAMED_MONTH, 3), F.lit("-"), _month_number(F.regexp_extract(v, _NAMED_MONTH, 2)),
@@ -50,17 +51,42 @@ def normalize_date(c: str | Column) -> Column:
     ordered = F.when(v.rlike(r"[A-Za-z\x{0600}-\x{06FF}]"), named).otherwise(numeric)
     padded = F.regexp_replace(ordered, r"-(\d)(?=-|$)", "-0$1")
     padded = F.regexp_replace(F.regexp_replace(padded, r"^(\d{2})-", "20$1-"), r"^(\d{3})-", "0$1-")
-    # A cheap test first: most cells do not start with a digit.
-    return F.when(v.rlike(r"^\d") & padded.rlike(_ISO), padded)
+    return F.when(v.rlike(r"^\d.{5}"), padded)      # a cheap test: most cells do not start with a digit
+
+
+# The rules as steps. A table-wide rewrite gives each step a column of its own, so
+# that values used several times are computed once.
+DATE_STEPS = [
+    lambda c: arabic_digits(strip(c)),
+    _ordered_date,
+    lambda d: F.when(d.rlike(_ISO), d),
+]
+
+
+def normalize_date(c: str | Column) -> Column:
+    """``YYYY-MM-DD`` text for the known date shapes (day first), else NULL.
+
+    No calendar check: ``31/13/2023`` becomes ``2023-13-31``.
+    """
+    return _then(DATE_STEPS, c)
 
 
 _NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 
+def _plain_number(c: Column) -> Column:
+    v = arabic_digits(strip(c))
+    grouped = v.contains(",") | v.contains("،")
+    return F.when(grouped, F.regexp_replace(v, r"(?<=\d)[,،](?=\d{3})", "")).otherwise(v)
+
+
+def _to_double(v: Column) -> Column:
+    return F.when(v.rlike(_NUMBER), v.try_cast("double"))
+
+
 def parse_number(c: str | Column) -> Column:
     """DOUBLE of localized number text, NULL when it is not a number."""
-    v = F.regexp_replace(arabic_digits(strip(c)), r"(?<=\d)[,،](?=\d{3})", "")
-    return F.when(v.rlike(_NUMBER), v.try_cast("double"))
+    return _then([_plain_number, _to_double], c)
 
 
 def number_text(x: Column) -> Column:
@@ -74,25 +100,33 @@ def number_text(x: Column) -> Column:
     )
 
 
+NUMBER_STEPS = [_plain_number, _to_double, number_text]
+
+
 def normalize_number(c: str | Column) -> Column:
     """Plain number text, NULL for text that is no number (``inf`` and ``nan`` are none)."""
-    return number_text(parse_number(c))
+    return _then(NUMBER_STEPS, c)
 
 
 _SYMBOL_FIRST = r"^([\$€£])\s*([\d,.]+)$"
 _CODE_LAST = r"(?iu)^([\d,.]+)\s*(" + "|".join(V.CURRENCY_WORDS) + r")$"
 
 
-def normalize_currency(c: str | Column) -> Column:
-    """``1234.50 USD`` from ``$1,234.50`` or ``1,234.50 usd``, else NULL."""
-    v = strip(c)
+def _with_code(v: Column) -> Column:
     symbol = F.translate(v.substr(1, 1), "".join(V.CURRENCY_SYMBOLS), "UEG")
     code = F.when(symbol == "U", F.lit("USD")).when(symbol == "E", F.lit("EUR")).otherwise(F.lit("GBP"))
     amount_1 = F.replace(F.regexp_extract(v, _SYMBOL_FIRST, 2), F.lit(","), F.lit(""))
     amount_2 = F.replace(F.regexp_extract(v, _CODE_LAST, 1), F.lit(","), F.lit(""))
-    return F.when(v.rlike(_SYMBOL_FIRST), F.concat_ws(" ", amount_1, code)).when(
-        v.rlike(_CODE_LAST), F.concat_ws(" ", amount_2, F.upper(F.regexp_extract(v, _CODE_LAST, 2)))
-    )
+    last = F.when(v.rlike(_CODE_LAST), F.concat_ws(" ", amount_2, F.upper(F.regexp_extract(v, _CODE_LAST, 2))))
+    return F.when(v.rlike(_SYMBOL_FIRST), F.concat_ws(" ", amount_1, code)).when(v.rlike(r"^[\d,.]"), last)
+
+
+CURRENCY_STEPS = [strip, _with_code]
+
+
+def normalize_currency(c: str | Column) -> Column:
+    """``1234.50 USD`` from ``$1,234.50`` or ``1,234.50 usd``, else NULL."""
+    return _then(CURRENCY_STEPS, c)
 
 
 def currency_amount(c: str | Column) -> Column:

@@ -120,13 +120,17 @@ def drop_blank_rows(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.where(~C.all_of([C.is_blank(c) for c in (cols or df.columns)]))
 
 
-def _rewrite(df: DataFrame, cols: list[str], rule) -> DataFrame:
-    """Apply a rule to columns and count changed cells per row in ``_changed``.
+def _rewrite(df: DataFrame, cols: list[str], steps: list) -> DataFrame:
+    """Apply the steps of a rule to columns and count changed cells per row in ``_changed``.
 
-    The new values pass a one-element generator, so the rule of a cell is not
-    repeated inside the expressions of later rules.
+    Every step is a select of its own, and the new values pass a one-element
+    generator, so no later rule or filter repeats the work of this one.
     """
-    fresh = df.select("*", F.inline(F.array(F.struct(*[rule(F.col(c)).alias(f"_new_{c}") for c in cols]))))
+    out, names = df, {c: c for c in cols}
+    for i, step in enumerate(steps):
+        out = out.withColumns({f"_s{i}_{c}": step(F.col(names[c])) for c in cols})
+        names = {c: f"_s{i}_{c}" for c in cols}
+    fresh = out.select(*df.columns, F.inline(F.array(F.struct(*[F.col(names[c]).alias(f"_new_{c}") for c in cols]))))
     changed = F.lit(0)
     for c in cols:
         changed = changed + F.coalesce((F.col(f"_new_{c}") != F.col(c)).cast("int"), F.lit(0))
@@ -136,9 +140,9 @@ def _rewrite(df: DataFrame, cols: list[str], rule) -> DataFrame:
 
 
 RULES = {
-    "normalize_dates": ("normalized_dates", C.normalize_date),
-    "normalize_numbers": ("normalized_numbers", C.normalize_number),
-    "normalize_currencies": ("normalized_currencies", C.normalize_currency),
+    "normalize_dates": ("normalized_dates", C.DATE_STEPS),
+    "normalize_numbers": ("normalized_numbers", C.NUMBER_STEPS),
+    "normalize_currencies": ("normalized_currencies", C.CURRENCY_STEPS),
 }
 ALL_RULES = ["remove_empty", "remove_duplicates", *RULES, "detect_anomalies"]
 
@@ -156,9 +160,9 @@ def clean_text_table(df: DataFrame, row_id: str, rules: list[str] | None = None)
         out = drop_blank_rows(out, cols)
     if "remove_duplicates" in rules:
         out = dedup_keep_first(out, row_id)
-    for name, (counter, rule) in RULES.items():
+    for name, (counter, steps) in RULES.items():
         if name in rules:
-            out = _rewrite(out, cols, rule).withColumnRenamed("_changed", counter)
+            out = _rewrite(out, cols, steps).withColumnRenamed("_changed", counter)
     if "detect_anomalies" in rules:
         # The bounds need passes of their own: clean once, store, then look for outliers.
         out = flag_outliers(written(out, "cleaned"), cols)

@@ -64,7 +64,7 @@ _NAMES = f"""{FILES}, sources AS (SELECT r.query_id, r.rank, r.score, c.file_id,
 
 def chunks(t: Tables):
     """Chunks of all documents with the name of the file of the same id, where that has a format."""
-    docs = t.documents.select(F.col("doc_id").alias("file_id"), "text", F.col("lang").alias("language"),
+    docs = t.corpus.select(F.col("doc_id").alias("file_id"), "text", F.col("lang").alias("language"),
                               F.substring("source", 4, 10).cast("bigint").alias("user_id"))
     return S.chunk_documents(docs)
 
@@ -106,12 +106,12 @@ def index_stats(t: Tables):
 
 @plan("term_stats", "WITH " + ",\n".join([_ASKED, _bm25_sql("doc_id", "documents", "text")]) + "\nSELECT term, df, round(idf, 6) AS idf FROM idf")
 def term_stats(t: Tables):
-    return S.term_stats(t.documents, "text").withColumn("idf", F.round("idf", 6))
+    return S.term_stats(t.corpus, "text").withColumn("idf", F.round("idf", 6))
 
 
 @plan("bm25_scores", "WITH " + ",\n".join([_ASKED, _bm25_sql("doc_id", "documents", "text")]) + "\nSELECT query_id, doc_id, round(score, 6) AS score FROM scored")
 def bm25_scores(t: Tables):
-    found = S.bm25_scores(t.documents, asked(t), ("doc_id",), "text", len(QUESTIONS))
+    found = S.bm25_scores(t.corpus, asked(t), ("doc_id",), "text", len(QUESTIONS))
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -130,7 +130,7 @@ def bm25_scoped(t: Tables):
 @plan("bm25_filtered", "WITH " + ",\n".join([_ASKED, "fr AS (SELECT * FROM documents WHERE lang = 'fr')", _bm25_sql("doc_id", "fr", "text"), _ranked_sql("doc_id", 10)])
       + "\nSELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked")
 def bm25_filtered(t: Tables):
-    docs = t.documents.withColumnRenamed("lang", "language")
+    docs = t.corpus.withColumnRenamed("lang", "language")
     found = S.bm25(docs, asked(t), 10, ("doc_id",), "text", len(QUESTIONS), language="fr")
     return found.withColumn("score", F.round("score", 6))
 
@@ -142,7 +142,7 @@ _BATCH = {f"b{i}": q for i, q in enumerate([
 @plan("bm25_batch", "WITH " + ",\n".join(["asked AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _BATCH.items()) + ") v(query_id, question))",
       _bm25_sql("doc_id", "documents", "text"), _ranked_sql("doc_id", 5)]) + "\nSELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked")
 def bm25_batch(t: Tables):
-    found = S.bm25(t.documents, S.questions(t.spark, _BATCH), 5, ("doc_id",), "text", len(_BATCH))
+    found = S.bm25(t.corpus, S.questions(t.spark, _BATCH), 5, ("doc_id",), "text", len(_BATCH))
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -192,7 +192,7 @@ def _table(t: Tables) -> str:
 @plan("replace_chunks", _REC + CHUNKS + """ SELECT file_id, chunk_index, CASE WHEN file_id IN (SELECT doc_id FROM labels) THEN lower(chunk_text) ELSE chunk_text END AS chunk_text FROM chunks""")
 def replace_chunks(t: Tables):
     path = _table(t)
-    changed = t.documents.join(t.labels.select("doc_id"), "doc_id", "left_semi").select(
+    changed = t.corpus.join(t.labels.select("doc_id"), "doc_id", "left_semi").select(
         F.col("doc_id").alias("file_id"), F.lower("text").alias("text"))
     S.replace_chunks(t.spark, path, S.chunk_documents(changed), files=changed)
     return S.read_chunks(t.spark, path).drop("bucket")
@@ -263,7 +263,7 @@ SELECT query_id, doc_id, round(s, 9) AS score, row_number() OVER (PARTITION BY q
 FROM (SELECT query_id, doc_id, CAST(sum(CAST(1 AS DOUBLE) / (60 + r)) AS DOUBLE) AS s FROM (SELECT query_id, doc_id, rank AS r FROM ranked UNION ALL SELECT query_id, doc_id, rank FROM dense) GROUP BY query_id, doc_id)
 QUALIFY rank <= 10""")
 def hybrid_topk(t: Tables):
-    lexical = S.bm25(t.documents, S.questions(t.spark, _HYBRID), 20, ("doc_id",), "text", len(_HYBRID))
+    lexical = S.bm25(t.corpus, S.questions(t.spark, _HYBRID), 20, ("doc_id",), "text", len(_HYBRID))
     centers = VE.centroids(_vectors(t)).where(F.col("query_id").isin(list(_HYBRID)))
     dense = VE.vector_topk(centers, _vectors(t), 20).withColumnRenamed("vec_id", "doc_id")
     return VE.hybrid_topk(lexical, dense, 10).withColumn("score", F.round("score", 9))

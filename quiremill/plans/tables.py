@@ -330,7 +330,7 @@ _WORDS = r"""words AS (
 
 def words(t: Tables):
     """Every word of every document on pages of 40 lines with ten words each."""
-    each = t.documents.select("doc_id", F.posexplode(F.split("text", r"[\n ]")).alias("w", "text")).where("text <> ''")
+    each = t.corpus.select("doc_id", F.posexplode(F.split("text", r"[\n ]")).alias("w", "text")).where("text <> ''")
     line = F.floor(F.col("w") / 10).cast("int")
     top = (line % 40) * 16 + F.col("w") % 3
     left = (F.col("w") % 10) * 45 + F.length("text") % 5
@@ -570,7 +570,7 @@ def is_rtl(t: Tables):
 
 @plan("strip_junk_lines", r"""SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[\p{L}\p{N}]')), chr(10)) AS text FROM documents""")
 def strip_junk_lines(t: Tables):
-    return t.documents.select("doc_id", FC.strip_junk_lines("text").alias("text"))
+    return t.corpus.select("doc_id", FC.strip_junk_lines("text").alias("text"))
 
 
 @plan("human_size", """SELECT o_orderkey, CASE WHEN s < 1024 THEN printf('%.1f B', s) WHEN s < 1024^2 THEN printf('%.1f KB', s / 1024)

@@ -55,14 +55,14 @@ HEAD_SQL = _classify_sql("concat(substring(text, 1, 3000), ' ', source, '.txt')"
 def named(t: Tables):
     """The whole corpus under headings, with a file name made of the source."""
     heading = F.element_at(F.array(*map(F.lit, HEADINGS)), (F.col("doc_id") % len(HEADINGS) + 1).cast("int"))
-    return t.documents.select("doc_id", F.concat(heading, F.lit("\n"), "text").alias("text"), F.concat("source", F.lit(".txt")).alias("filename"))
+    return t.corpus.select("doc_id", F.concat(heading, F.lit("\n"), "text").alias("text"), F.concat("source", F.lit(".txt")).alias("filename"))
 
 
 @plan("detect_language", """SELECT doc_id, CASE WHEN a > 0 AND a / (a + l) > 0.3 THEN 'ar' ELSE 'en' END AS latin, CASE WHEN l > 0 THEN 'ar' ELSE 'en' END AS arabic FROM (
   SELECT doc_id, length(regexp_replace(text, '[^\\x{0600}-\\x{06FF}]', '', 'g')) AS a, length(regexp_replace(lower(text), '[^a-z]', '', 'g')) AS l FROM documents)""".replace("\\\\", "\\"))
 def detect_language(t: Tables):
     arabic = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "ابتثجحخدذرزسشصضطظعغفقكلمنه")
-    return t.documents.select("doc_id", X.detect_language("text").alias("latin"), X.detect_language(arabic).alias("arabic"))
+    return t.corpus.select("doc_id", X.detect_language("text").alias("latin"), X.detect_language(arabic).alias("arabic"))
 
 
 @plan("classify_documents", HEAD_SQL)
@@ -105,7 +105,7 @@ def contacts(t: Tables):
         F.lit(" and https://x.io/"), key, F.lit(" DE44500105175407324931 balance 12 account no: 99-"), key,
         F.lit("\neffective date: 2024-02-"), day,
         F.lit(" amount: 7\nPassport A1234567 nationality: Omani\nid number: 12345678\n"))
-    return t.documents.select("doc_id", F.concat("text", tail).alias("text"), F.concat("source", F.lit(".txt")).alias("filename"))
+    return t.corpus.select("doc_id", F.concat("text", tail).alias("text"), F.concat("source", F.lit(".txt")).alias("filename"))
 
 
 _CONTACTS = r"""contacts AS (SELECT doc_id, concat(text, chr(10), 'Invoice No: INV-', doc_id, chr(10), 'from Acme ', doc_id, chr(10), 'Total: 1,',
@@ -243,7 +243,7 @@ def analyze_documents(t: Tables):
 
 @plan("tokenize", r"""SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[\x{0600}-\x{06FF}\p{L}\p{N}_]+'), lambda x: length(x) > 1), ' ') AS tokens FROM documents""")
 def tokenize(t: Tables):
-    return t.documents.select("doc_id", F.array_join(X.tokens("text"), " ").alias("tokens"))
+    return t.corpus.select("doc_id", F.array_join(X.tokens("text"), " ").alias("tokens"))
 
 
 SENTENCES = r"""sents AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY p, k) AS i FROM (
@@ -256,5 +256,5 @@ SENTENCES = r"""sents AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_
 
 @plan("split_sentences", with_(SENTENCES, body="SELECT doc_id, i - 1 AS position, s AS sentence FROM sents"))
 def split_sentences(t: Tables):
-    return t.documents.select("doc_id", F.posexplode(X.sentences("text")).alias("position", "sentence")).withColumn(
+    return t.corpus.select("doc_id", F.posexplode(X.sentences("text")).alias("position", "sentence")).withColumn(
         "position", F.col("position").cast("bigint"))

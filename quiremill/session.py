@@ -52,3 +52,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+SPLIT_BYTES = 32 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly work on a small input, which often sits in one file.
+
+    An input with at least one 32 MB split per core is left as it is: it comes in
+    enough tasks, and moving it would cost more than it gives.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
