@@ -270,22 +270,23 @@ def replace_chunks(spark: SparkSession, path: str, chunks: DataFrame, files: Dat
     fresh = with_bucket(chunks, buckets)
     keys = with_bucket((chunks if files is None else files).select("file_id").distinct(), buckets)
     if _exists(spark, path):
-        old = spark.read.parquet(path).where(F.col("bucket").isin(_touched(keys)))
-        fresh = old.join(keys.select("file_id"), "file_id", "left_anti").unionByName(fresh, allowMissingColumns=True)
-    _overwrite_buckets(fresh, path)
+        touched = _touched(keys)
+        kept = _rows_of(spark, path, touched).join(keys.select("file_id"), "file_id", "left_anti")
+        _overwrite_buckets(kept.unionByName(fresh, allowMissingColumns=True), path, touched)
+    else:
+        _overwrite_buckets(fresh, path, [])
 
 
 def delete_chunks(spark: SparkSession, path: str, files: DataFrame, buckets: int = BUCKETS) -> None:
-    """Remove all chunks of the listed files. Emptied partitions are cleared with a marker row's absence."""
+    """Remove all chunks of the listed files."""
     keys = with_bucket(files.select("file_id").distinct(), buckets)
     touched = _touched(keys)
-    old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
-    kept = old.join(keys.select("file_id"), "file_id", "left_anti")
-    # A partition without rows would not be overwritten: give each touched one a tombstone.
-    graves = spark.createDataFrame([(b,) for b in touched], "bucket int")
-    empty = graves.select(*[(F.col("bucket") if f.name == "bucket" else F.lit(None).cast(f.dataType)).alias(f.name)
-                            for f in old.schema.fields])
-    _overwrite_buckets(kept.unionByName(empty), path)
+    kept = _rows_of(spark, path, touched).join(keys.select("file_id"), "file_id", "left_anti")
+    _overwrite_buckets(kept, path, touched)
+
+
+def _rows_of(spark: SparkSession, path: str, touched: list[int]) -> DataFrame:
+    return read_chunks(spark, path).where(F.col("bucket").isin(touched))
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -293,8 +294,14 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).where("file_id IS NOT NULL")
 
 
-def _overwrite_buckets(df: DataFrame, path: str) -> None:
-    (df.repartition("bucket", F.pmod(F.xxhash64("file_id", "chunk_index"), F.lit(8)))
+def _overwrite_buckets(df: DataFrame, path: str, touched: list[int]) -> None:
+    """Overwrite the partitions that occur. A touched one left without rows would stay as it
+    was, so each touched partition also gets a tombstone: a row without a file."""
+    spark = df.sparkSession
+    graves = spark.createDataFrame([(b,) for b in touched], "bucket int").select(*[
+        (F.col("bucket") if f.name == "bucket" else F.lit(None).cast(f.dataType)).alias(f.name) for f in df.schema.fields])
+    # A bucket is split by chunk, so one huge file does not become one task.
+    (df.unionByName(graves).repartition("bucket", F.pmod(F.xxhash64("file_id", "chunk_index"), F.lit(8)))
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
 
 

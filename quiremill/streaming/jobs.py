@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quiremill.functions.cleaning import is_blank
 from quiremill.operators import search as S
 
 HISTORY = 10    # rows of history kept per source
@@ -50,11 +51,12 @@ def first_per_key(requests: DataFrame, ts: str, key: str, delay: str) -> DataFra
 def index_stream(docs: DataFrame, table: str, checkpoint: str) -> None:
     """Cut arriving documents into chunks and replace the chunks of their files.
 
-    A repeated batch writes the same chunks again, so recovery does no harm.
+    A document without text leaves its file as it was. A repeated batch writes the
+    same chunks again, so recovery does no harm.
     """
     def apply(batch: DataFrame, _: int) -> None:
-        chunks = S.chunk_documents(batch.withColumnRenamed("doc_id", "file_id"))
-        S.replace_chunks(batch.sparkSession, table, chunks, files=batch.select(F.col("doc_id").alias("file_id")))
+        files = batch.withColumnRenamed("doc_id", "file_id").where(~is_blank("text"))
+        S.replace_chunks(batch.sparkSession, table, S.chunk_documents(files), files)
 
     query = (docs.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
