@@ -164,7 +164,21 @@ def answer_sentences(t: Tables):
     return found.select("query_id", "rank", "file_id", "position", "sentence", "overlap", F.round("score", 6).alias("score"))
 
 
-@plan("extractive_answer")
+_ANSWER = RANKED + ", " + _NAMES + _PIECES.split("\nSELECT query_id, rank, file_id, CAST")[0] + r""",
+pool AS (SELECT p.query_id, s.file_name, p.sentence,
+    round(len(list_intersect(q, list_distinct(regexp_extract_all(lower(p.sentence), '[\x{0600}-\x{06FF}\p{L}\p{N}_]+')))) / greatest(len(q), 1) - (p.rank - 1) * 0.1 - position0 * 0.01, 9) AS score
+  FROM pieces p JOIN qw USING (query_id) JOIN sources s ON s.query_id = p.query_id AND s.rank = p.rank),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_name DESC, sentence DESC) AS k FROM pool QUALIFY k <= 3),
+three AS (SELECT query_id, max(score) FILTER (WHERE k = 1) AS s1, max(sentence) FILTER (WHERE k = 1) AS a, max(sentence) FILTER (WHERE k = 2 AND score > 0) AS b,
+    max(sentence) FILTER (WHERE k = 3 AND score > 0) AS c, max(file_name) FILTER (WHERE k = 1) AS f1, max(file_name) FILTER (WHERE k = 2) AS f2, max(file_name) FILTER (WHERE k = 3) AS f3
+  FROM best GROUP BY query_id)
+SELECT src.query_id, CASE WHEN coalesce(s1, 0) <= 0 THEN trim(substring(chunk_text, 1, 600)) ELSE substring(concat(
+    concat_ws(' ', a, CASE WHEN b <> a THEN b END, CASE WHEN b <> a AND c <> a AND c <> b THEN c END),
+    CASE WHEN f2 <> f1 THEN concat(chr(10), chr(10), '(مصدر: ', f1, ' · ', f2, ')') WHEN f3 <> f1 THEN concat(chr(10), chr(10), '(مصدر: ', f1, ' · ', f3, ')') ELSE '' END), 1, 800) END AS answer
+FROM sources src LEFT JOIN three t ON t.query_id = src.query_id WHERE src.rank = 1"""
+
+
+@plan("extractive_answer", _ANSWER)
 def extractive_answer(t: Tables):
     return S.extractive_answers(sources(t), asked(t))
 

@@ -150,6 +150,30 @@ def ner_iban(t: Tables):
     return _of_type(t, "iban")
 
 
+def _field_pattern(pattern: str) -> str:
+    """A field pattern for an engine with ASCII classes only."""
+    lead = r"(?:^|[^\p{L}\p{N}_])" if pattern.startswith(r"\b(?:") else ""
+    pattern = pattern.removeprefix(r"\b") if lead else pattern
+    return lead + pattern.replace(r"[\w", r"[\p{L}\p{N}_").replace(r"\d\w", r"\d\p{L}\p{N}_").replace(r"\-\w]", r"\-\p{L}\p{N}_]")
+
+
+def _field_sql(*kinds: str) -> str:
+    """First match of each field's patterns in order."""
+    lines = []
+    for kind in kinds:
+        for name, confidence, patterns, limit in V.TYPE_FIELDS[kind]:
+            tried = [f"CASE WHEN regexp_matches(text, '(?i){q}') THEN trim(regexp_extract(text, '(?i){q}', 1), ' ' || chr(9) || chr(10)) END"
+                     for q in map(_field_pattern, patterns)]
+            value = f"coalesce({', '.join(tried)}, NULL)"
+            value = f"substring({value}, 1, {limit})" if limit else value
+            lines.append(f"SELECT doc_id, '{kind}' AS doc_type, '{name}' AS entity_type, {value} AS value, CAST({confidence} AS DOUBLE) AS confidence FROM contacts")
+    return " UNION ALL ".join(lines)
+
+
+def _fields_sql(*kinds: str, more: str = "") -> str:
+    return with_(_CONTACTS, body=f"SELECT * FROM ({_field_sql(*kinds)}{more}) WHERE value IS NOT NULL")
+
+
 def _fields(t: Tables, *kinds: str):
     """Fields of the given types, read from every document."""
     parts = None
@@ -160,7 +184,7 @@ def _fields(t: Tables, *kinds: str):
     return parts
 
 
-@plan("ner_invoice")
+@plan("ner_invoice", _fields_sql("invoice"))
 def ner_invoice(t: Tables):
     return _fields(t, "invoice")
 
@@ -173,17 +197,25 @@ def ner_bank(t: Tables):
     return _fields(t, "bank_statement")
 
 
-@plan("ner_resume")
+@plan("ner_resume", with_(_CONTACTS, body=r"""SELECT * FROM (
+  SELECT doc_id, 'resume' AS doc_type, 'full_name' AS entity_type, CASE WHEN length(line) < 60 THEN line END AS value, CAST(0.65 AS DOUBLE) AS confidence FROM (
+    SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, concat(' ', chr(9), chr(13)))), lambda x: x <> '')[1] AS line FROM contacts)
+  UNION ALL SELECT doc_id, 'resume', 'skills_section', CASE WHEN regexp_matches(text, '(?is)(?:skills|مهارات)[:\s\n]+(.*?)(?:\n\n|\z)')
+    THEN trim(substring(regexp_extract(text, '(?is)(?:skills|مهارات)[:\s\n]+(.*?)(?:\n\n|\z)', 1), 1, 300), concat(' ', chr(9), chr(10), chr(13))) END, 0.75 FROM contacts
+  UNION ALL SELECT doc_id, 'resume', 'linkedin', nullif(regexp_extract(text, '(?i)linkedin\.com/in/[\p{L}\p{N}_\-]+'), ''), 0.95 FROM contacts) WHERE value IS NOT NULL"""))
 def ner_resume(t: Tables):
     return _fields(t, "resume")
 
 
-@plan("ner_contract")
+@plan("ner_contract", _fields_sql("contract"))
 def ner_contract(t: Tables):
     return _fields(t, "contract")
 
 
-@plan("ner_identity")
+@plan("ner_identity", _fields_sql("id", more=r"""
+  UNION ALL SELECT doc_id, 'passport', 'passport_number', nullif(regexp_extract(text, '\b([A-Z]{1,2}\d{6,8})\b', 1), ''), 0.85 FROM contacts
+  UNION ALL SELECT doc_id, 'passport', 'nationality', CASE WHEN regexp_matches(text, '(?i)(?:nationality|الجنسية)\s*[:\-]?\s*([A-Za-z\x{0600}-\x{06FF} ]{3,30})')
+    THEN trim(regexp_extract(text, '(?i)(?:nationality|الجنسية)\s*[:\-]?\s*([A-Za-z\x{0600}-\x{06FF} ]{3,30})', 1)) END, 0.80 FROM contacts"""))
 def ner_identity(t: Tables):
     return _fields(t, "passport", "id")
 
