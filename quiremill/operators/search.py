@@ -300,8 +300,8 @@ def _overwrite_buckets(df: DataFrame, path: str, touched: list[int]) -> None:
     spark = df.sparkSession
     graves = spark.createDataFrame([(b,) for b in touched], "bucket int").select(*[
         (F.col("bucket") if f.name == "bucket" else F.lit(None).cast(f.dataType)).alias(f.name) for f in df.schema.fields])
-    # A bucket is split by chunk, so one huge file does not become one task.
-    (df.unionByName(graves).repartition("bucket", F.pmod(F.xxhash64("file_id", "chunk_index"), F.lit(8)))
+    # Rebalancing gathers buckets into files of even size and splits one that is too large.
+    (df.unionByName(graves).hint("rebalance", "bucket")
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
 
 

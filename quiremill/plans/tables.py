@@ -11,7 +11,7 @@ from quiremill.operators import grid as G
 from quiremill.plans import relations as rel
 from quiremill.plans.registry import Tables, plan
 from quiremill.plans.relations import FILES, with_
-from quiremill.session import scratch_path
+from quiremill.session import scratch_path, spread
 from quiremill.sources import readers, sinks
 
 # --- sources and sinks -----------------------------------------------------------------
@@ -448,7 +448,7 @@ def raw(t: Tables):
     amount = F.format_number("o_totalprice", 2)
     price = (F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("$"), amount))
              .when(F.col("o_orderstatus") == "O", F.concat(F.lit("€ "), amount)).otherwise(F.concat(amount, F.lit(" sar"))))
-    return t.orders.select(F.col("o_orderkey").alias("id"), day.alias("day"), amount.alias("amount"), price.alias("price"))
+    return spread(t.orders).select(F.col("o_orderkey").alias("id"), day.alias("day"), amount.alias("amount"), price.alias("price"))
 
 
 @plan("arabic_digits", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS digits FROM orders")
@@ -507,7 +507,7 @@ _POSITIONS = """SELECT column_name AS "column", n, max(v) FILTER (WHERE k = n //
 
 @plan("quartiles", _POSITIONS)
 def quartiles(t: Tables):
-    return C.quartiles(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return C.quartiles(spread(t.lineitem), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 
 @plan("iqr_outliers", """WITH q AS (SELECT value AS v, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM events),

@@ -67,6 +67,9 @@ def write_parts(df: DataFrame, path: str, ext: str, write_part) -> None:
     The name is fixed by the partition and the file appears by a rename, so a task
     that runs again replaces its own file and never leaves half of one.
     """
+    path = path.removeprefix("file://").removeprefix("file:")
+    if "://" in path:
+        raise ValueError("this format is written through a mounted folder, not an object store")
     os.makedirs(path, exist_ok=False)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
