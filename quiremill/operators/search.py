@@ -130,12 +130,12 @@ def scope_chunks(chunks: DataFrame, user_id: int | None = None, file_ids: list[i
 
 
 def bm25_scores(chunks: DataFrame, queries: DataFrame, keys: tuple[str, ...] = ("file_id", "chunk_index"),
-                text: str = "chunk_text", n_queries: int | None = None) -> DataFrame:
+                text: str = "chunk_text") -> DataFrame:
     """(query_id, *keys, score) for every chunk that shares a term with a query.
 
     One pass stores the vocabulary, a second one scores: chunk tokens meet the
     query terms in a hash join, hits are counted per chunk on the map side. The
-    query side is broadcast when its number is known and small.
+    query side is broadcast when its counted terms are few.
     """
     keys = list(keys)
     vocab, figures = index_terms(chunks, text)
@@ -143,12 +143,15 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, keys: tuple[str, ...] = (
         queries.select("query_id", F.explode(X.tokens("question")).alias("term"))
         .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     )
-    terms = vocab.join(_small(wanted, n_queries), "term").select(
+    # Query terms are counted, so a large set of questions is joined by shuffle instead.
+    few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    small = F.broadcast if few else lambda df: df
+    terms = vocab.join(small(wanted), "term").select(
         "query_id", "term", (F.col("times") * _idf(figures)).alias("weight"))
     toks = chunks.select(*keys, X.tokens(text).alias("_t")).where(F.size("_t") > 0)
     hits = (
         toks.select(*keys, F.size("_t").alias("_len"), F.explode("_t").alias("term"))
-        .join(_small(terms, n_queries), "term")
+        .join(small(terms), "term")
         .groupBy("query_id", *keys, "term", "weight", "_len").agg(F.count(F.lit(1)).alias("tf"))
     )
     k1, b = V.BM25_K1, V.BM25_B
@@ -156,15 +159,10 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, keys: tuple[str, ...] = (
     return hits.groupBy("query_id", *keys).agg(F.sum(F.col("weight") * gain).alias("score"))
 
 
-def _small(df: DataFrame, n_queries: int | None) -> DataFrame:
-    # A question is at most a few hundred words long.
-    return F.broadcast(df) if n_queries is not None and n_queries * 200 <= BROADCAST_TERMS else df
-
-
 def bm25(chunks: DataFrame, queries: DataFrame, top_k: int = 5, keys: tuple[str, ...] = ("file_id", "chunk_index"),
-         text: str = "chunk_text", n_queries: int | None = None, **scope) -> DataFrame:
+         text: str = "chunk_text", **scope) -> DataFrame:
     """The best chunks of every query with a positive score: (query_id, *keys, score, rank)."""
-    scored = bm25_scores(scope_chunks(chunks, **scope), queries, keys, text, n_queries)
+    scored = bm25_scores(scope_chunks(chunks, **scope), queries, keys, text)
     # Scores are compared at nine decimals, so the order does not depend on summation order.
     order = [F.desc(F.round("score", 9)), *[F.col(k) for k in keys]]
     return top_n_per_key(scored.where("score > 0"), ["query_id"], order, top_k)

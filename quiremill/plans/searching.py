@@ -79,14 +79,14 @@ def asked(t: Tables):
 
 
 def _ranked(t: Tables, **scope):
-    return S.bm25(stored(t), asked(t), n_queries=len(QUESTIONS), **scope)
+    return S.bm25(stored(t), asked(t), **scope)
 
 
 def sources(t: Tables):
     """The best chunks of every question with text and file name."""
     names = rel.files(t).where("format IS NOT NULL").select(F.col("id").alias("file_id"), F.col("original_name").alias("filename"))
     table = stored(t)
-    best = S.bm25(table, asked(t), n_queries=len(QUESTIONS))
+    best = S.bm25(table, asked(t))
     texts = table.select("file_id", "chunk_index", "chunk_text")
     found = texts.join(F.broadcast(best), ["file_id", "chunk_index"])     # at most five rows per question
     found = found.join(names, "file_id", "left")
@@ -111,7 +111,7 @@ def term_stats(t: Tables):
 
 @plan("bm25_scores", "WITH " + ",\n".join([_ASKED, _bm25_sql("doc_id", "documents", "text")]) + "\nSELECT query_id, doc_id, round(score, 6) AS score FROM scored")
 def bm25_scores(t: Tables):
-    found = S.bm25_scores(t.corpus, asked(t), ("doc_id",), "text", len(QUESTIONS))
+    found = S.bm25_scores(t.corpus, asked(t), ("doc_id",), "text")
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -131,7 +131,7 @@ def bm25_scoped(t: Tables):
       + "\nSELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked")
 def bm25_filtered(t: Tables):
     docs = t.corpus.withColumnRenamed("lang", "language")
-    found = S.bm25(docs, asked(t), 10, ("doc_id",), "text", len(QUESTIONS), language="fr")
+    found = S.bm25(docs, asked(t), 10, ("doc_id",), "text", language="fr")
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -142,7 +142,7 @@ _BATCH = {f"b{i}": q for i, q in enumerate([
 @plan("bm25_batch", "WITH " + ",\n".join(["asked AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _BATCH.items()) + ") v(query_id, question))",
       _bm25_sql("doc_id", "documents", "text"), _ranked_sql("doc_id", 5)]) + "\nSELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked")
 def bm25_batch(t: Tables):
-    found = S.bm25(t.corpus, S.questions(t.spark, _BATCH), 5, ("doc_id",), "text", len(_BATCH))
+    found = S.bm25(t.corpus, S.questions(t.spark, _BATCH), 5, ("doc_id",), "text")
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -277,7 +277,7 @@ SELECT query_id, doc_id, round(s, 9) AS score, row_number() OVER (PARTITION BY q
 FROM (SELECT query_id, doc_id, CAST(sum(CAST(1 AS DOUBLE) / (60 + r)) AS DOUBLE) AS s FROM (SELECT query_id, doc_id, rank AS r FROM ranked UNION ALL SELECT query_id, doc_id, rank FROM dense) GROUP BY query_id, doc_id)
 QUALIFY rank <= 10""")
 def hybrid_topk(t: Tables):
-    lexical = S.bm25(t.corpus, S.questions(t.spark, _HYBRID), 20, ("doc_id",), "text", len(_HYBRID))
+    lexical = S.bm25(t.corpus, S.questions(t.spark, _HYBRID), 20, ("doc_id",), "text")
     centers = VE.centroids(_vectors(t)).where(F.col("query_id").isin(list(_HYBRID)))
     dense = VE.vector_topk(centers, _vectors(t), 20).withColumnRenamed("vec_id", "doc_id")
     return VE.hybrid_topk(lexical, dense, 10).withColumn("score", F.round("score", 9))

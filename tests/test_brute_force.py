@@ -124,7 +124,7 @@ ASK = {"q1": "The hand of whst and the the tion", "q2": "elle avec la tion", "q3
 def test_search_and_answers(spark, chunks):
     corpus = {(r.file_id, r.chunk_index): r.chunk_text for r in chunks.collect()}
     queries = S.questions(spark, ASK)
-    best = S.bm25(chunks, queries, n_queries=3)
+    best = S.bm25(chunks, queries)
     rows = best.orderBy("query_id", "rank").collect()
     expected = {}
     for q, question in ASK.items():

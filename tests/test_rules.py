@@ -176,7 +176,7 @@ def test_chunks(spark):
 def test_bm25_fixture(spark):
     chunks = spark.createDataFrame([(1, 0, "apple pie here"), (2, 0, "banana split here"), (3, 0, "cherry tart here")],
                                    "file_id int, chunk_index int, chunk_text string")
-    ask = lambda q, c=chunks: S.bm25(c, S.questions(spark, [q]), n_queries=1).collect()
+    ask = lambda q, c=chunks: S.bm25(c, S.questions(spark, [q])).collect()
     assert [(r.file_id, round(r.score, 4)) for r in ask("apple")] == [(1, 0.5108)]
     assert ask("a") == []
     assert ask("apple", chunks.where("file_id < 3")) == []
