@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from quiremill.llm.common import arrow_map
 
 END = "\x00"               # stands for the end of a word inside entries
-CACHE_WORDS = 300_000      # words whose ids a task keeps; more start a new cache
+CACHE_WORDS = 400_000      # words whose ids a task keeps, and as many of the time before
 
 # White space as the vocabulary's normaliser knows it: U+001C to U+001F are none.
 _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -69,6 +70,7 @@ class WordBpe:
         split = data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.piece = regex.compile(split)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         by_id = {i: t for t, i in known.items()} | {i: t for t, i in self.special.items()}
         entries = [(by_id.get(i, "") + " ").encode() for i in range(max(by_id, default=-1) + 1)]
         self.offsets = np.concatenate([[0], np.cumsum([len(e) for e in entries])]).astype(np.int64)
@@ -128,11 +130,24 @@ class WordBpe:
                 entry = longest[at]
         return out
 
+    def _keep(self, word: str, found: bytes) -> bytes:
+        if len(self.cache) >= CACHE_WORDS:      # words that still occur move on from the older half
+            self.older, self.cache = self.cache, {}
+        self.cache[word] = found
+        return found
+
     def _word(self, word: str) -> bytes:
-        ids = [i for piece in self.piece.findall(word) for i in self.encode_piece(piece)]
-        if len(self.cache) >= CACHE_WORDS:
-            self.cache.clear()
-        self.cache[word] = found = np.array(ids, np.int32).tobytes()
+        found = self.older.get(word)
+        if found is None:
+            pieces = self.piece.findall(word)
+            found = self._piece(word) if pieces == [word] else b"".join(map(self._piece, pieces))
+        return self._keep(word, found)
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.cache.get(piece) or self.older.get(piece)
+        if found is None:
+            ids = self.encode_piece(piece)
+            found = self._keep(piece, pack(f"={len(ids)}i", *ids))
         return found
 
     def encode(self, text: str | None) -> bytes:
