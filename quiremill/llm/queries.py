@@ -7,7 +7,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiremill.llm import backtrack_bpe, simhash
+from quiremill.llm import backtrack_bpe, imatch, simhash
 from quiremill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,9 @@ def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"), size=3, distance=3)
     return found.select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query
+def op8_imatch_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """I-Match fingerprint of every document and of its edited text."""
+    return imatch.fingerprint_edits(table(spark, folder, "documents"))
