@@ -7,8 +7,8 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiremill.llm import backtrack_bpe, imatch, simhash
-from quiremill.llm.common import table
+from quiremill.llm import backtrack_bpe, imatch, language_id, simhash
+from quiremill.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,3 +41,12 @@ def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op8_imatch_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """I-Match fingerprint of every document and of its edited text."""
     return imatch.fingerprint_edits(table(spark, folder, "documents"))
+
+
+@query
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from three quarters of the labelled ones."""
+    docs = table(spark, folder, "documents")
+    model = language_id.train(docs.where(remainder("doc_id", 4) != 2))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
