@@ -7,7 +7,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiremill.llm import backtrack_bpe, imatch, language_id, simhash
+from quiremill.llm import backtrack_bpe, imatch, language_id, simhash, url_filter
 from quiremill.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,17 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     model = language_id.train(docs.where(remainder("doc_id", 4) != 2))
     found = language_id.identify(docs, model)
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
+             ("block", "com/de/")]
+
+
+@query
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's url; the trees learn from the urls that the rules label."""
+    pages = table(spark, folder, "pages")
+    host, path = url_filter.host_and_path(F.col("url"))
+    _, verdict = url_filter.rule_of(host, path, URL_RULES)
+    model = url_filter.train(pages.select("url", (verdict == "block").alias("block")))
+    return url_filter.judge(pages, URL_RULES, model)
