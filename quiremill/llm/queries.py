@@ -7,7 +7,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiremill.llm import backtrack_bpe, imatch, language_id, simhash, url_filter
+from quiremill.llm import backtrack_bpe, html_text, imatch, language_id, simhash, url_filter
 from quiremill.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,9 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     _, verdict = url_filter.rule_of(host, path, URL_RULES)
     model = url_filter.train(pages.select("url", (verdict == "block").alias("block")))
     return url_filter.judge(pages, URL_RULES, model)
+
+
+@query
+def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, folder, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
