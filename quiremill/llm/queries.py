@@ -7,7 +7,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiremill.llm import backtrack_bpe, html_text, imatch, language_id, simhash, url_filter
+from quiremill.llm import backtrack_bpe, html_text, imatch, language_id, secret_scan, simhash, url_filter
 from quiremill.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,10 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(table(spark, folder, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every candidate in the documents with the forest's decision; values are shown as digests only."""
+    found = secret_scan.scan(table(spark, folder, "documents"))
+    return found.select("doc_id", "start", "stop", F.sha2("value", 256).alias("value_sha256"), "label", "score", "secret")
