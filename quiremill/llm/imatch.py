@@ -12,7 +12,7 @@ from quiremill.session import written
 #: Terms with ln(documents / documents with the term) in this band make the lexicon.
 IDF_BAND = (1.0, 7.0)
 #: Randomised lexicon subsets: (bits, first bit, subsets); a subset holds about 1 / 2**bits of the lexicon.
-SUBSETS = [(1, 0, 2), (3, 1, 4), (5, 4, 4), (7, 9, 4), (9, 16, 4), (11, 25, 4)]
+SUBSETS = [(1, 0, 2), (3, 1, 4), (5, 4, 8), (7, 9, 16), (9, 16, 16), (11, 25, 16)]
 BROADCAST_TERMS = 2_000_000       # a larger lexicon is joined by a shuffle
 MARK = 0                          # stands in every document, so that none is lost in the lexicon join
 TERM_SPLIT = r"[^\p{L}\p{N}]+"
@@ -36,14 +36,19 @@ def lexicon(docs: DataFrame, column: str = "text", band: tuple[float, float] = I
     return written(found.where(F.col("count").between(least, most)).select("term"), "lexicon")
 
 
-def signatures(found: Column) -> Column:
-    """One hash for each lexicon subset over the sorted terms in it; NULL for none."""
-    def inside(bits: int, first: int, value: int):
-        return lambda t: F.shiftright(t, first).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) == value
+def signatures(rows: Column) -> Column:
+    """One hash for each lexicon subset over the sorted terms in it; NULL for none.
 
-    rows = F.sort_array(found)
-    kept = [F.filter(rows, inside(bits, first, value)) for bits, first, count in SUBSETS for value in range(count)]
-    return F.array(*[F.when(F.size(k) > 0, F.xxhash64(k)) for k in kept])
+    The terms of a level's subsets are picked once, then told apart.
+    """
+    def level(bits: int, first: int, count: int) -> Column:
+        part = lambda t: F.shiftright(t, first).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+        picked = F.array(F.filter(rows, lambda t: part(t) < count))
+        return F.flatten(F.transform(picked, lambda p: F.transform(
+            F.transform(F.array(*[F.lit(v) for v in range(count)]), lambda v: F.filter(p, lambda t: part(t) == v)),
+            lambda k: F.when(F.size(k) > 0, F.xxhash64(k)))))
+
+    return F.concat(*[level(*s) for s in SUBSETS])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -109,13 +114,15 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", column: str = "text"
     one = follow.withColumn("edited", edited).select(
         "block", "place", "ghost", "key", n.cast("long").alias("n_chars"),
         F.unhex(F.sha2("text", 256)).alias("own"), F.unhex(F.sha2("edited", 256)).alias("other"),
-        F.explode(F.concat(tag(terms(F.col("text")), 0), tag(terms(F.col("edited")), 1), marked)).alias("t"))
-    one = one.select("block", "place", "ghost", "key", "n_chars", "own", "other", "t.term", "t.kind")
+        F.concat(tag(terms(F.col("text")), 0), tag(terms(F.col("edited")), 1), marked).alias("all"))
+    # Digests are made before the terms are exploded: once for a document, and without its text in each row.
+    one = one.select("*", F.explode("all").alias("t")).select(
+        "block", "place", "ghost", "key", "n_chars", "own", "other", "t.term", "t.kind")
     kept = one.join(F.broadcast(words) if size <= BROADCAST_TERMS else words, "term")
     member = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("term")))
     whole = kept.groupBy("block", "place").agg(
         *[F.first(c).alias(c) for c in ("ghost", "key", "n_chars", "own", "other")],
-        member(0).alias("mine"), member(1).alias("theirs"))
+        F.sort_array(member(0)).alias("mine"), F.sort_array(member(1)).alias("theirs"))
     signed = whole.select("block", "place", "ghost", "key", "n_chars", "own", "other",
                           signatures(F.col("mine")).alias("a"), signatures(F.col("theirs")).alias("b"))
     order = W.partitionBy("block").orderBy("place")
