@@ -7,7 +7,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiremill.llm import backtrack_bpe, html_text, imatch, language_id, secret_scan, simhash, url_filter
+from quiremill.llm import backtrack_bpe, html_text, imatch, language_id, secret_scan, simhash, template_leaks, url_filter
 from quiremill.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,9 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Every candidate in the documents with the forest's decision; values are shown as digests only."""
     found = secret_scan.scan(table(spark, folder, "documents"))
     return found.select("doc_id", "start", "stop", F.sha2("value", 256).alias("value_sha256"), "label", "score", "secret")
+
+
+@query
+def op4_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items that documents hold, verbatim or with other numbers, units and names."""
+    return template_leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
