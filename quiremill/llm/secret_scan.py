@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quiremill.llm.common import arrow_map
 from quiremill.session import written
 
-DICTIONARY_WORDS = 20_000       # most frequent words of the corpus that count as known
+DICTIONARY_SHARE = 2e-5         # words that make up so much of the corpus are known: at most 50,000, by that share
 SAMPLE_ROWS = 10_000            # labelled findings that the forest is fitted on: those of smallest hash
 BROADCAST_ROWS = 100_000        # neighbour words or documents; more are joined by a shuffle
 PRIOR_ROWS = 5.0                # weight of the overall share in a neighbour word's share
@@ -96,8 +96,11 @@ def describe(text: str, start: int, stop: int, known: set[str]) -> dict:
     }
 
 
-def dictionary(docs: DataFrame, column: str = "text", size: int = DICTIONARY_WORDS) -> set[str]:
-    """The most frequent words of the whole corpus (letters only, lower case); ties by word."""
+def dictionary(docs: DataFrame, column: str = "text", share: float = DICTIONARY_SHARE) -> set[str]:
+    """Words (letters only, lower case) with at least ``share`` of all word occurrences of the corpus.
+
+    There can be no more than ``1 / share`` of them, however large the corpus is.
+    """
     def run(batches):
         held: Counter = Counter()
 
@@ -114,8 +117,9 @@ def dictionary(docs: DataFrame, column: str = "text", size: int = DICTIONARY_WOR
 
     counted = docs.select(docs[column].alias("text")).mapInArrow(run, "word string, n long")
     cleaned = counted.select(F.regexp_extract(F.lower("word"), r"^\P{L}*(\p{L}{3,12})\P{L}*$", 1).alias("word"), "n").where("word <> ''")
-    top = cleaned.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return {r.word for r in top.collect()}          # at most ``size`` words
+    counts = written(cleaned.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return {r.word for r in counts.where(F.col("n") >= total * share).collect()}
 
 
 def find(docs: DataFrame, known: set[str], key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -189,7 +193,10 @@ def scan(docs: DataFrame, key: str = "doc_id", column: str = "text", threshold:
 
 
 def redact(docs: DataFrame, findings: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """The documents with every secret replaced by ``[SECRET]``; all other text and columns stay as they are."""
+    """The documents with every secret replaced by ``[SECRET]``; all other text and columns stay as they are.
+
+    A column ``n_chars`` is set anew where the text changes.
+    """
     spans = written(findings.where("secret").groupBy(F.col(key).alias("_key"), F.col("text_hash").alias("_hash")).agg(
         F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("_spans")), "spans")
     spans = F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans
@@ -200,7 +207,12 @@ def redact(docs: DataFrame, findings: DataFrame, key: str = "doc_id", column: st
         lambda s, x: F.struct(
             F.concat(s["done"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(MASK)).alias("done"), x["stop"].alias("at")),
         lambda s: F.concat(s["done"], F.substring(text, s["at"] + 1, F.char_length(text))))
-    return joined.withColumn("_clean", F.when(F.col("_spans").isNull(), text).otherwise(cleaned)).select(
-        *[F.col("_clean").alias(c) if c == column else docs[c] for c in docs.columns])
+    same = F.col("_spans").isNull()
+    rows = joined.withColumn("_clean", F.when(same, text).otherwise(cleaned))
+    new = {column: F.col("_clean")}
+    if "n_chars" in docs.columns:
+        size = F.char_length("_clean").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(same, docs["n_chars"]).otherwise(size)
+    return rows.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
 
 

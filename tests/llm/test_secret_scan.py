@@ -59,4 +59,4 @@ def test_unlabelled_alike_and_empty(spark):
 
 def test_dictionary_counts_everything(spark):
     docs = spark.createDataFrame([(1, "river, River (river) x1 garden"), (2, None)], "doc_id long, text string")
-    assert S.dictionary(docs, size=1) == {"river"} and S.dictionary(docs) == {"river", "garden"}
+    assert S.dictionary(docs, share=0.5) == {"river"} and S.dictionary(docs) == {"river", "garden"}
