@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from quiremill.llm.common import arrow_map
 
@@ -181,13 +182,13 @@ class WordBpe:
 DECODE_IDS = 1 << 18       # ids decoded at a time
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """(key, ids array<int>, decoded string): the exact encoding of every whole text.
+def encode_documents(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",), column: str = "text") -> DataFrame:
+    """(the columns in ``keep``, ids array<int>, decoded string): the exact encoding of every whole text.
 
     ``vocabulary`` is the path of a JSON file of the tokenizers library: byte-level BPE with
     word ends, NFC and lower case. Special tokens in a text become their ids, none are added, and
     ``decoded`` is made from the ids. NULL and empty texts give no ids and an empty string;
-    rows with the same key are encoded one by one; other columns are not read.
+    repeated rows are encoded one by one; other columns are not read.
     """
     with open(vocabulary, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())     # one file of fixed size
@@ -196,7 +197,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", colu
         bpe = WordBpe(spec.value)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            packed = [bpe.encode(t) for t in batch.column(1).to_pylist()]
+            packed = [bpe.encode(t) for t in batch.column(len(keep)).to_pylist()]
             ids = np.frombuffer(b"".join(packed), np.int32)
             offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
             decoded = []
@@ -205,9 +206,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", colu
                 decoded.append(b" ".join(blocks))
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), lists, pa.array(decoded, pa.binary()).cast(pa.string())], ["key", "ids", "decoded"])
+                [*batch.columns[:-1], lists, pa.array(decoded, pa.binary()).cast(pa.string())], [*keep, "ids", "decoded"])
         return work
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(docs[key].alias("key"), docs[column].alias("text"))
-    return arrow_map(rows, make, f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)
+    rows = docs.select(*keep, docs[column].alias("_text"))
+    schema = StructType(rows.schema.fields[:-1]).add("ids", ArrayType(IntegerType())).add("decoded", "string")
+    return arrow_map(rows, make, schema)

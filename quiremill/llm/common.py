@@ -7,6 +7,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SLICE_ROWS = 1024      # rows of an Arrow batch that a worker handles at a time
 
@@ -18,7 +19,7 @@ def table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Any]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Any]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` over slices of at most ``SLICE_ROWS`` rows.
 
     ``make`` runs once in every task and returns the function from a slice to a table or

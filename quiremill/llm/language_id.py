@@ -187,3 +187,22 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", column:
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("key"), docs[column].alias("text"))
     return arrow_map(rows, make, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+
+
+def keep_known(docs: DataFrame, model: LanguageModel, least: float, column: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is found with a score of ``least`` or more.
+
+    Texts that are ``und`` go; the declared language plays no part.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)      # DIMS x languages numbers
+    at = docs.columns.index(column)
+
+    def make():
+        fitted = shared.value
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [fitted.predict(t.as_py()) for t in batch.column(at)]
+            return batch.filter(pa.array([k != UNKNOWN and p >= least for k, p in found], pa.bool_()))
+        return work
+
+    return arrow_map(docs, make, docs.schema)

@@ -47,16 +47,17 @@ def fingerprint(text: str | None, size: int) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """(key, fp long): the 64-bit SimHash of every whole text; NULL counts as empty."""
+    """(key, text_hash, fp long): the 64-bit SimHash of every whole text; NULL counts as empty."""
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [fingerprint(t.as_py(), size) for t in batch.column(1)]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["key", "fp"])
+            found = [fingerprint(t.as_py(), size) for t in batch.column(2)]
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["key", "text_hash", "fp"])
         return work
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(docs[key].alias("key"), docs[column].alias("text"))
-    return arrow_map(rows, make, f"key {kind}, fp long").withColumnRenamed("key", key)
+    rows = docs.select(docs[key].alias("key"), F.xxhash64(docs[column]).alias("text_hash"), docs[column].alias("text"))
+    return arrow_map(rows, make, f"key {kind}, text_hash long, fp long")
 
 
 def submasks(mask: int, blocks: int) -> list[int]:
@@ -164,6 +165,13 @@ def _deepen(blocks: int):
     return work
 
 
+def _rooted(rows: DataFrame, distance: int) -> DataFrame:
+    """(fp, root): every distinct fingerprint of the rows with the smallest one reachable over links."""
+    distinct = written(rows.select("fp").distinct(), "distinct_fingerprints")
+    roots = components(links(distinct, distance))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3, key: str = "doc_id",
                     column: str = "text") -> DataFrame:
     """(key, fp, component): every row with its fingerprint and the smallest key reachable over links.
@@ -174,10 +182,22 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3, key: str
     kept and never name a component unless all its keys are NULL. Repeated rows stay repeated.
     """
     rows = written(fingerprints(docs, size, key, column), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min(key).alias("first")), "distinct_fingerprints")
-    roots = components(links(distinct, distance))
-    labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    first = rows.groupBy("fp").agg(F.min("key").alias("first"))
+    labelled = written(first.join(_rooted(rows, distance), "fp"), "rooted")
     smallest = labelled.groupBy("root").agg(F.min("first").alias("component"))
     named = labelled.join(smallest, "root").select("fp", "component")
-    return rows.join(named, "fp").select(key, "fp", "component")
+    return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
+
+
+def keep_one(docs: DataFrame, size: int = 3, distance: int = 3, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """The documents, with all their columns, reduced to one of each group of near-duplicates.
+
+    The smallest key stays, NULL keys last, then the smaller hash of the text; of rows equal in both, one stays.
+    """
+    rows = written(fingerprints(docs, size, key, column), "fingerprints")
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "text_hash")
+    first = rows.groupBy("fp").agg(F.min(order).alias("first"))
+    winners = first.join(_rooted(rows, distance), "fp").groupBy("root").agg(F.min("first").alias("w")).select(
+        F.col("w.key").alias("_key"), F.col("w.text_hash").alias("_hash"))
+    kept = docs.join(winners, docs[key].eqNullSafe(winners["_key"]) & (F.xxhash64(docs[column]) == winners["_hash"]), "left_semi")
+    return kept.withColumn("_hash", F.xxhash64(column)).dropDuplicates([key, "_hash"]).drop("_hash")
