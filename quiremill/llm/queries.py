@@ -7,7 +7,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiremill.llm import backtrack_bpe, html_text, imatch, language_id, secret_scan, simhash, template_leaks, url_filter
+from quiremill.llm import backtrack_bpe, brown_lm, html_text, imatch, language_id, secret_scan, simhash, template_leaks, url_filter
 from quiremill.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,9 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op4_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items that documents hold, verbatim or with other numbers, units and names."""
     return template_leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
+
+
+@query
+def op3_brown_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Class-based bigram scores of every document, learned from six sevenths of them."""
+    return brown_lm.score_documents(table(spark, folder, "documents"), brown_lm.crc_held(7, 2))
