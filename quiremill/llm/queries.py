@@ -4,10 +4,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from public_tokenizers import path as tokenizer_path
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiremill.llm import backtrack_bpe, brown_lm, html_text, imatch, language_id, secret_scan, simhash, template_leaks, url_filter
+from quiremill.llm import backtrack_bpe, brown_lm, html_text, imatch, language_id, secret_scan, simhash, template_leaks, token_trees, url_filter
 from quiremill.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,21 @@ def op4_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op3_brown_lm(spark: SparkSession, folder: str) -> DataFrame:
     """Class-based bigram scores of every document, learned from six sevenths of them."""
     return brown_lm.score_documents(table(spark, folder, "documents"), brown_lm.crc_held(7, 2))
+
+
+def sample_edits(text: Column) -> Column:
+    """Three edits of a text: its start is inserted at a third, its middle is cut, and its last quarter gets a phrase."""
+    n = F.char_length(text)
+    edit = lambda start, length, new: F.struct(
+        start.cast("int").alias("start"), F.lit(length).alias("length"), new.alias("replacement"))
+    return F.array(edit(n / 3, 0, F.substring(text, 1, 40)), edit(n / 2, 25, F.lit("")), edit(n * 3 / 4, 10, F.lit(" in 2024, it's\n\n new")))
+
+
+@query
+def op2_edit_aware_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of every document before and after three edits, the latter from the updated tree."""
+    docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    trees = token_trees.build_trees(docs, path).withColumn("edits", sample_edits(F.col("text")))
+    done = token_trees.apply_edits(trees, path)
+    return done.select("doc_id", "n_tokens", "n_tokens_edited", "n_pieces", "n_reencoded", F.sha2("text", 256).alias("edited_sha256"))
