@@ -113,8 +113,9 @@ _CODE_LAST = r"(?iu)^([\d,.]+)\s*(" + "|".join(V.CURRENCY_WORDS) + r")$"
 
 
 def _with_code(v: Column) -> Column:
-    symbol = F.translate(v.substr(1, 1), "".join(V.CURRENCY_SYMBOLS), "UEG")
-    code = F.when(symbol == "U", F.lit("USD")).when(symbol == "E", F.lit("EUR")).otherwise(F.lit("GBP"))
+    code = F.lit(None).cast("string")
+    for symbol, name in V.CURRENCY_SYMBOLS.items():
+        code = F.when(v.startswith(symbol), F.lit(name)).otherwise(code)
     amount_1 = F.replace(F.regexp_extract(v, _SYMBOL_FIRST, 2), F.lit(","), F.lit(""))
     amount_2 = F.replace(F.regexp_extract(v, _CODE_LAST, 1), F.lit(","), F.lit(""))
     last = F.when(v.rlike(_CODE_LAST), F.concat_ws(" ", amount_2, F.upper(F.regexp_extract(v, _CODE_LAST, 2))))
@@ -155,7 +156,7 @@ _DIACRITICS = r"[\x{064B}-\x{065F}\x{0670}\x{0640}]"
 
 def normalize_arabic(c: str | Column) -> Column:
     """Fold Arabic spelling variants: alef, ya and ta-marbuta forms, marks and tatweel."""
-    return F.translate(F.regexp_replace(_col(c), _DIACRITICS, ""), "أإآٱىة", "ااااي" + "ه")
+    return F.translate(F.regexp_replace(_col(c), _DIACRITICS, ""), "أإآٱىة", "اااايه")
 
 
 def first_number(c: str | Column) -> Column:

@@ -98,7 +98,7 @@ def sniff_type(content: str | Column, declared: Column | None = None) -> Column:
     names = F.decode(F.substring(content, 1, 2000), "ISO-8859-1")
     starts = lambda *prefixes: any_of([first.startswith(p.encode("latin-1").hex().upper()) for p in prefixes])
     opening = F.decode(F.substring(content, 1, 1), "ISO-8859-1")
-    json_like = opening.isin("{", "[") & (F.length(content) <= 1000) & F.try_parse_json(
+    json_like = opening.isin("{", "[") & F.try_parse_json(
         F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
     ).isNotNull()
     lines = F.split(F.trim(head, F.lit(V.BLANKS)), "\n")

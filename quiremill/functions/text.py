@@ -123,8 +123,11 @@ def _entity(kind: str, value: Column, confidence: float, guard: Column) -> Colum
     )
 
 
-def field_entities(text: str | Column, doc_type: str | Column) -> Column:
-    """ARRAY of the fields that belong to the document type, in pattern order."""
+def field_entities(text: str | Column, doc_type: str | Column, strict_reference: bool = False) -> Column:
+    """ARRAY of the fields that belong to the document type, in pattern order.
+
+    A resume's skills are its whole section; ``strict_reference`` cuts them at 300 characters.
+    """
     text, doc_type = _col(text), _col(doc_type)
     fields = []
     kinds = {}
@@ -138,7 +141,8 @@ def field_entities(text: str | Column, doc_type: str | Column) -> Column:
     name = F.when(F.length(F.get(lines, F.lit(0))) < V.RESUME_NAME_CHARS, F.get(lines, F.lit(0)))
     skills_pattern, skills_confidence = V.RESUME_SKILLS
     skills_pattern = skills_pattern.replace(r"\Z", r"\z")  # Java's name for the very end
-    skills = F.regexp_extract(text, "(?isU)" + skills_pattern, 1).substr(1, V.RESUME_SKILLS_CHARS)
+    skills = F.regexp_extract(text, "(?isU)" + skills_pattern, 1)
+    skills = skills.substr(1, V.RESUME_SKILLS_CHARS) if strict_reference else skills
     linkedin_pattern, linkedin_confidence = V.RESUME_LINKEDIN
     linkedin = F.regexp_extract(text, "(?iU)" + linkedin_pattern, 0)
     fields += [
@@ -153,14 +157,15 @@ def field_entities(text: str | Column, doc_type: str | Column) -> Column:
     return F.filter(F.array(*fields), lambda e: e["value"].isNotNull())
 
 
-def common_entities(text: str | Column, strict_reference: bool = False) -> Column:
-    """ARRAY of emails, phones, dates, URLs and IBANs in that order, all matches."""
+def common_entities(text: str | Column, strict_reference: bool = False, kinds: list[str] | None = None) -> Column:
+    """ARRAY of emails, phones, dates, URLs and IBANs in that order, all matches; ``kinds`` names those wanted."""
     def tagged(kind: str, values: Column) -> Column:
         return F.transform(values, lambda v: F.struct(
             F.lit(kind).alias("entity_type"), v.alias("value"), F.lit(V.COMMON_CONFIDENCE[kind]).alias("confidence")))
 
     return F.concat(*[
         tagged(kind, extract(text, strict_reference) if kind == "phone" else extract(text)) for kind, extract in COMMON.items()
+        if kinds is None or kind in kinds
     ])
 
 

@@ -1,6 +1,8 @@
 """Table cleaning as DataFrame transforms, one select per step over all columns."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,23 +183,31 @@ def positional_quantiles(df: DataFrame, exprs: dict[str, Column], quarters: tupl
     A sketch brackets every wanted rank; rows below and inside the bracket are
     counted, and the bracket shrinks until it is small enough for an exact
     selection. Every pass is one scan that returns one row, so neither a task nor
-    the driver ever holds a whole column.
+    the driver ever holds a whole column. NaN sorts behind all numbers; it is counted apart,
+    so it never stands in the way of the brackets. The columns are stored once for all passes.
     """
-    named = df.select(*[e.alias(c) for c, e in exprs.items()])
+    number = lambda e: F.when(~F.isnan(e.cast("double")), e)
+    raw = df.select(*[e.alias(c) for c, e in exprs.items()])
+    named = written(raw.select(*[number(F.col(c)).alias(c) for c in exprs],
+                               *[F.isnan(F.col(c).cast("double")).alias(f"_nan_{c}") for c in exprs]), "numbers")
     spread = 3 / _ACCURACY
     marks_of = lambda p: [max(0.0, p - spread), p, min(1.0, p + spread)]
     first_marks = [m for q in quarters for m in marks_of(q / 4)]
     first = named.agg(*[
         e.alias(f"{what}_{i}") for i, c in enumerate(exprs) for what, e in [
-            ("n", F.count(c)), ("lo", F.min(c)), ("hi", F.max(c)), ("p", F.percentile_approx(c, first_marks, _ACCURACY))]
+            ("n", F.count(c)), ("nan", F.count_if(f"_nan_{c}")), ("lo", F.min(c)), ("hi", F.max(c)), ("p", F.percentile_approx(c, first_marks, _ACCURACY))]
     ]).first()
     open_: dict[tuple[str, int], dict] = {}
     found: dict[str, dict] = {}
     for i, c in enumerate(exprs):
-        n = first[f"n_{i}"]
+        size = first[f"n_{i}"]
+        n = size + first[f"nan_{i}"]
         found[c] = {"n": n}
         for j, q in enumerate(quarters if n else ()):
-            open_[(c, q)] = {"k": q * n // 4, "below": 0, "size": n, "lo": first[f"lo_{i}"], "hi": first[f"hi_{i}"],
+            if q * n // 4 >= size:
+                found[c][q] = math.nan
+                continue
+            open_[(c, q)] = {"k": q * n // 4, "below": 0, "size": size, "lo": first[f"lo_{i}"], "hi": first[f"hi_{i}"],
                              "marks": first[f"p_{i}"][3 * j:3 * j + 3]}
     inside = lambda c, b: F.when(F.col(c).between(F.lit(b["lo"]), F.lit(b["hi"])), F.col(c))
     while wide := {key: b for key, b in open_.items() if b["size"] > _EXACT_ROWS and b["lo"] < b["hi"]}:
@@ -211,7 +221,8 @@ def positional_quantiles(df: DataFrame, exprs: dict[str, Column], quarters: tupl
         counts = []
         for j, ((c, q), b) in enumerate(wide.items()):
             # The middle of the bracket is a cut too, so every pass shrinks it.
-            b["cuts"] = sorted({*b["marks"], (b["lo"] + b["hi"]) / 2})
+            middle = (b["lo"] + b["hi"]) / 2
+            b["cuts"] = sorted({*b["marks"], *([middle] if math.isfinite(middle) else [])})
             b["marks"] = None
             counts += [F.count_if(F.col(c) < F.lit(x)).alias(f"b_{j}_{m}") for m, x in enumerate(b["cuts"])]
             counts += [F.count_if(F.col(c) <= F.lit(x)).alias(f"t_{j}_{m}") for m, x in enumerate(b["cuts"])]
@@ -283,16 +294,17 @@ def invalid_values(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 
 def suggest_names(df: DataFrame, order: list[str], strict_reference: bool = False) -> DataFrame:
-    """(column, suggestion) from the first five non-empty values of the first 20 rows.
+    """(column, suggestion) from all non-empty values of a column.
 
-    Dates and amounts are tried before phones; ``strict_reference`` restores the
-    order email, phone, date, amount.
+    Dates and amounts are tried before phones. ``strict_reference`` looks at the first five non-empty values of
+    the first 20 rows only, in the order email, phone, date, amount.
     """
     cols = [c for c in df.columns if c not in order]
-    head = as_text(df.orderBy(*order).limit(20), keep=order)
-    long = head.unpivot(order, cols, "column", "value").where("value IS NOT NULL AND value <> ''")
-    nth = F.row_number().over(Window.partitionBy("column").orderBy(*order))
-    first = long.withColumn("_nth", nth).where("_nth <= 5")
+    rows = as_text(df.orderBy(*order).limit(20) if strict_reference else df, keep=order)
+    first = rows.unpivot(order, cols, "column", "value").where("value IS NOT NULL AND value <> ''")
+    if strict_reference:
+        nth = F.row_number().over(Window.partitionBy("column").orderBy(*order))
+        first = first.withColumn("_nth", nth).where("_nth <= 5")
     tests = {"email": V.SUGGEST_EMAIL, "phone": V.SUGGEST_PHONE, "date": V.SUGGEST_DATE, "amount": V.SUGGEST_AMOUNT}
     names = list(tests) if strict_reference else ["email", "date", "amount", "phone"]
     label = F.lit(None).cast("string")

@@ -4,17 +4,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quiremill.operators.relational import latest_per_key
+
 
 def samples_from_feedback(feedback: DataFrame, datasets: DataFrame, analyses: DataFrame | None = None) -> DataFrame:
     """One ``train`` sample per feedback row whose user owns the dataset it is added to.
 
-    Type and language missing in the feedback are taken from the analysis.
+    Type and language missing in the feedback are taken from the newest analysis of the file.
     """
     owned = feedback.join(datasets.select(F.col("id").alias("dataset_id"), "created_by"), "dataset_id").where(
         F.col("created_by") == F.col("user_id"))
     doc_type, language = F.col("doc_type"), F.col("language")
     if analyses is not None:
-        known = analyses.select("file_id", F.col("doc_type").alias("_type"), F.col("language").alias("_language"))
+        known = latest_per_key(analyses.select(
+            "file_id", "created_at", F.col("doc_type").alias("_type"), F.col("language").alias("_language")), ["file_id"], ["created_at"])
+        known = known.drop("created_at")
         owned = owned.join(known, "file_id", "left")
         doc_type, language = F.coalesce("doc_type", "_type"), F.coalesce("language", "_language")
     labels = F.to_json(F.struct(

@@ -14,11 +14,11 @@ def _optional(docs: DataFrame, name: str, default: Column) -> Column:
     return F.col(name) if name in docs.columns else default
 
 
-def with_type(docs: DataFrame, head: int | None = V.CLASSIFY_HEAD, signals: bool = False) -> DataFrame:
+def with_type(docs: DataFrame, head: int | None = None, signals: bool = False) -> DataFrame:
     """Add doc_type, confidence and, if wanted, signals to documents.
 
-    ``head`` is the number of leading characters the keyword rules look at: the
-    defined behaviour is 3,000, None looks at the whole text. Masks and best type go
+    The keyword rules look at the whole text, or with ``head`` at so many leading characters
+    (``values.CLASSIFY_HEAD`` is the strict rule). Masks and best type go
     through one-element generators, which later filters cannot be pushed through: so
     each pattern runs once per document, whatever is asked of the result.
     """
@@ -35,26 +35,28 @@ def with_type(docs: DataFrame, head: int | None = V.CLASSIFY_HEAD, signals: bool
     return out.drop("rank", "mask")
 
 
-def classify_documents(docs: DataFrame, head: int | None = V.CLASSIFY_HEAD) -> DataFrame:
+def classify_documents(docs: DataFrame, head: int | None = None) -> DataFrame:
     """doc_id with type, confidence, signals and language."""
     found = with_type(docs, head, signals=True)
     return found.select("doc_id", "doc_type", "confidence", "signals", X.detect_language("text").alias("language"))
 
 
-def entities(docs: DataFrame, doc_type: str | Column | None = None, strict_reference: bool = False) -> DataFrame:
+def entities(docs: DataFrame, doc_type: str | Column | None = None, strict_reference: bool = False,
+             kinds: list[str] | None = None) -> DataFrame:
     """Entities in long form (doc_id, position, entity_type, value, normalized_value, confidence).
 
-    Values of one type that agree in their first 50 characters count once per
-    document, the first one stays. Common entities come first, then the fields of
-    the document type.
+    Equal values of one type count once per document, the first one stays; ``strict_reference``
+    takes values for equal that agree in their first 50 characters. Common entities come first, then the
+    fields of the document type. ``kinds`` names the common entities wanted: only their patterns run.
     """
-    found = X.common_entities("text", strict_reference)
+    found = X.common_entities("text", strict_reference, kinds)
     if doc_type is not None:
-        found = F.concat(found, X.field_entities("text", doc_type))
+        found = F.concat(found, X.field_entities("text", doc_type, strict_reference))
     long = docs.select("doc_id", F.posexplode(found).alias("position", "e"))
     first = F.min(F.struct("position", "e.value", "e.confidence")).alias("_f")
     kept = long.groupBy(
-        "doc_id", F.col("e.entity_type").alias("entity_type"), F.col("e.value").substr(1, V.ENTITY_KEY_CHARS).alias("_key")
+        "doc_id", F.col("e.entity_type").alias("entity_type"),
+        (F.col("e.value").substr(1, V.ENTITY_KEY_CHARS) if strict_reference else F.col("e.value")).alias("_key")
     ).agg(first)
     value = F.col("_f.value")
     return kept.select(
@@ -64,11 +66,11 @@ def entities(docs: DataFrame, doc_type: str | Column | None = None, strict_refer
 
 
 def distinct_entities(values: Column) -> Column:
-    """Number of values that differ in their first 50 characters."""
-    return F.size(F.array_distinct(F.transform(values, lambda v: v.substr(1, V.ENTITY_KEY_CHARS))))
+    """Number of different values."""
+    return F.size(F.array_distinct(values))
 
 
-def analyze(docs: DataFrame, head: int | None = V.CLASSIFY_HEAD) -> DataFrame:
+def analyze(docs: DataFrame, head: int | None = None) -> DataFrame:
     """One analysis row per document: type, language, handler, entity counts and suggested actions.
 
     All steps are column expressions of one select; nothing is shuffled.

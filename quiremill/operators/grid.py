@@ -128,7 +128,7 @@ def chem_cells(cells: DataFrame) -> DataFrame:
 def union_tables(cells: DataFrame, doc: str = "doc_id", table: str = "table_no") -> DataFrame:
     """Rows of all tables of a document under the header of its first table.
 
-    Data cells keep (table, row) as their order; cells beyond the header width are dropped.
+    Data cells keep (table, row) as their order; cells beyond the header width go under ``col_<n>``.
     """
     first = cells.groupBy(doc).agg(F.min(table).alias("_first"))
     header = (
@@ -136,7 +136,8 @@ def union_tables(cells: DataFrame, doc: str = "doc_id", table: str = "table_no")
         .select(doc, "col", F.coalesce(F.nullif(F.col("value"), F.lit("")),
                                        F.concat(F.lit("col_"), F.col("col").cast("string"))).alias("header"))
     )
-    return cells.where("row > 0").join(header, [doc, "col"]).select(doc, table, "row", "col", "header", "value")
+    named = F.coalesce("header", F.concat(F.lit("col_"), F.col("col").cast("string")))
+    return cells.where("row > 0").join(header, [doc, "col"], "left").select(doc, table, "row", "col", named.alias("header"), "value")
 
 
 # --- positioned words: (doc_id, page, text, top, left, right, bottom) ------------------------
@@ -199,9 +200,11 @@ def words_to_table(words: DataFrame, page_keys: tuple[str, ...] = ("doc_id", "pa
 
 
 def words_to_blocks(words: DataFrame, page_keys: tuple[str, ...] = ("doc_id", "page"),
-                    width: float = 1.0, height: float = 1.0) -> DataFrame:
+                    width: float = 1.0, height: float = 1.0, content_chars: int | None = None) -> DataFrame:
     """Paragraph and header blocks of each page with boxes scaled by page size.
 
+    ``content_chars`` cuts the text of a block (``values.BLOCK_CHARS`` is the strict rule).
+
     Words of the same height are combined first, so the line and block windows run
     over the distinct heights of a page.
     """
@@ -227,4 +230,4 @@ def words_to_blocks(words: DataFrame, page_keys: tuple[str, ...] = ("doc_id", "p
     return blocks.select(
         *keys, "block", kind.alias("element_type"), (F.col("x1") / width).alias("x1"), (F.col("y1") / height).alias("y1"),
         (F.col("x2") / width).alias("x2"), (F.col("y2") / height).alias("y2"), "n_lines",
-        F.col("text").substr(1, V.BLOCK_CHARS).alias("content"))
+        (F.col("text") if content_chars is None else F.col("text").substr(1, content_chars)).alias("content"))

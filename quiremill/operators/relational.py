@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quiremill.functions.cleaning import all_of, any_of
+from quiremill.session import written
 
 
 # --- predicates ------------------------------------------------------------------
@@ -139,6 +140,23 @@ def natural_key(c: str) -> Column:
     return F.regexp_replace(padded, r"0*(\d{20})(?!\d)", "$1")
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Places 1, 2, … of all rows in a given order, without one task that sees them all.
+
+    Rows are dealt out by ranges of the order and stored; a place is the number of rows in
+    the ranges before (one count per range) and the place within its own range.
+    """
+    ranged = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).collect()          # one row a range
+    before, total = [], 0
+    for r in sorted(sizes, key=lambda r: r["_range"]):
+        before.append((r["_range"], total))
+        total += r["_n"]
+    starts = df.sparkSession.createDataFrame(before, "_range int, _before bigint")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
+    return ranged.join(F.broadcast(starts), "_range").withColumn(name, place).drop("_range", "_before")
+
+
 def natural_sort(df: DataFrame, col: str, asc: bool = True) -> DataFrame:
     key = natural_key(col)
     return df.orderBy(key.asc() if asc else key.desc(), F.col(col))
@@ -244,11 +262,11 @@ def compare(left: DataFrame, right: DataFrame, keys: list[str] | None = None,
             check_keys: bool = True) -> dict[str, DataFrame]:
     """Rows added and removed and cells changed from ``left`` to ``right``.
 
-    Without keys, or when a key repeats, rows are compared as a multiset and
-    ``changed`` is missing.
+    Without keys, rows are compared as a multiset and ``changed`` is missing. A key that
+    repeats raises; ``check_keys=False`` spares that pass where keys are known to be unique.
     """
     if keys and check_keys and not (keys_unique(left, keys) and keys_unique(right, keys)):
-        keys = None
+        raise ValueError(f"repeated key: {', '.join(keys)}")
     if not keys:
         return {"added": _surplus(right, left), "removed": _surplus(left, right)}
     l, r = left.alias("l"), right.alias("r")

@@ -41,11 +41,12 @@ def _spans(lengths, size: int, overlap: int, shortest: int) -> tuple[list[int],
 
 
 def chunk_documents(docs: DataFrame, size: int = V.CHUNK_CHARS, overlap: int = V.CHUNK_OVERLAP,
-                    shortest: int = V.CHUNK_MIN, text: str = "text") -> DataFrame:
+                    shortest: int = 1, text: str = "text") -> DataFrame:
     """Documents cut into overlapping runs of sentences: chunk_index and chunk_text.
 
     The cut points depend on sentence lengths only, so Python sees integers, not
-    text; splitting and joining stay in the JVM. Other columns are kept.
+    text; splitting and joining stay in the JVM. Other columns are kept. Every text with a
+    sentence has a chunk; ``shortest`` leaves out shorter chunks (``values.CHUNK_MIN`` is the strict rule).
     """
     @F.pandas_udf("starts array<int>, counts array<int>")
     def spans(lengths: pd.Series) -> pd.DataFrame:
@@ -64,13 +65,25 @@ def chunk_documents(docs: DataFrame, size: int = V.CHUNK_CHARS, overlap: int = V
 
 # --- term statistics ----------------------------------------------------------------
 
+TERMS = "terms"     # column of the tokens of a text, where an index holds them
+
+
+def index_chunks(chunks: DataFrame, text: str = "chunk_text") -> DataFrame:
+    """The chunks as a stored table with the tokens of every text, which searches then need not cut again."""
+    return written(chunks.withColumn(TERMS, X.tokens(text)), "index")
+
+
+def _tokens(chunks: DataFrame, text: str) -> Column:
+    return F.col(TERMS) if TERMS in chunks.columns else X.tokens(text)
+
+
 def vocabulary(chunks: DataFrame, text: str = "chunk_text") -> DataFrame:
     """(term, df, total): chunks that hold each term, from one pass.
 
     The row of the empty term stands for the chunks themselves: its df is their
     number, its total the number of all tokens. Chunks without tokens do not count.
     """
-    toks = chunks.select(X.tokens(text).alias("_t")).where(F.size("_t") > 0)
+    toks = chunks.select(_tokens(chunks, text).alias("_t")).where(F.size("_t") > 0)
     terms = toks.select(F.size("_t").alias("n"), F.explode(F.concat(F.array_distinct("_t"), F.array(F.lit("")))).alias("term"))
     counted = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("n"))
     return counted.select("term", "df", F.when(F.col("term") == "", F.col("n")).otherwise(F.lit(0)).alias("total"))
@@ -148,15 +161,16 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, keys: tuple[str, ...] = (
     small = F.broadcast if few else lambda df: df
     terms = vocab.join(small(wanted), "term").select(
         "query_id", "term", (F.col("times") * _idf(figures)).alias("weight"))
-    toks = chunks.select(*keys, X.tokens(text).alias("_t")).where(F.size("_t") > 0)
-    hits = (
-        toks.select(*keys, F.size("_t").alias("_len"), F.explode("_t").alias("term"))
-        .join(small(terms), "term")
-        .groupBy("query_id", *keys, "term", "weight", "_len").agg(F.count(F.lit(1)).alias("tf"))
-    )
+    toks = chunks.select(F.struct(*keys).alias("_key"), _tokens(chunks, text).alias("_t")).where(F.size("_t") > 0)
+    hits = toks.select("_key", F.size("_t").alias("_len"), F.explode("_t").alias("term")).join(small(terms), "term")
     k1, b = V.BM25_K1, V.BM25_B
-    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / figures["mean_length"]))
-    return hits.groupBy("query_id", *keys).agg(F.sum(F.col("weight") * gain).alias("score"))
+    # One grouping: the weight of a term stands beside it, so counts of a chunk's terms are gathered and summed in place.
+    counted = hits.groupBy("query_id", "_key", "_len").agg(F.collect_list(F.struct("term", "weight")).alias("_h"))
+    gain = lambda tf: tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_len") / figures["mean_length"]))
+    score = F.aggregate(
+        F.array_distinct("_h"), F.lit(0.0),
+        lambda s, h: s + h["weight"] * gain(F.size(F.filter("_h", lambda x: x["term"] == h["term"]))))
+    return counted.select("query_id", *[F.col(f"_key.{k}").alias(k) for k in keys], score.alias("score"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, top_k: int = 5, keys: tuple[str, ...] = ("file_id", "chunk_index"),
@@ -245,62 +259,50 @@ def index_stats(chunks: DataFrame, approximate: bool = False) -> DataFrame:
 
 # --- chunk tables -------------------------------------------------------------------------------
 
-BUCKETS = 64
-
-
-def with_bucket(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64("file_id"), F.lit(buckets)).cast("int"))
-
-
-def _touched(keys: DataFrame) -> list[int]:
-    """Bucket numbers of the changed files; at most the fixed number of buckets."""
-    return sorted(r["bucket"] for r in keys.select("bucket").distinct().collect())
-
-
-def replace_chunks(spark: SparkSession, path: str, chunks: DataFrame, files: DataFrame | None = None,
-                   buckets: int = BUCKETS) -> None:
+def replace_chunks(spark: SparkSession, path: str, chunks: DataFrame, files: DataFrame | None = None) -> None:
     """Replace all chunks of some files in a chunk table.
 
-    ``files`` lists the file ids to replace (default: those in ``chunks``), so a file
-    whose new text gives no chunk loses its old ones only when it is listed. Only
-    the partitions of those files are rewritten, atomically per partition.
-    """
-    fresh = with_bucket(chunks, buckets)
-    keys = with_bucket((chunks if files is None else files).select("file_id").distinct(), buckets)
-    if _exists(spark, path):
-        touched = _touched(keys)
-        kept = _rows_of(spark, path, touched).join(keys.select("file_id"), "file_id", "left_anti")
-        _overwrite_buckets(kept.unionByName(fresh, allowMissingColumns=True), path, touched)
-    else:
-        _overwrite_buckets(fresh, path, [])
-
+    ``files`` lists the file ids to replace (default: those in ``chunks``), so a file whose new
+    text gives no chunk loses its old ones only when it is listed.
 
-def delete_chunks(spark: SparkSession, path: str, files: DataFrame, buckets: int = BUCKETS) -> None:
-    """Remove all chunks of the listed files."""
-    keys = with_bucket(files.select("file_id").distinct(), buckets)
-    touched = _touched(keys)
-    kept = _rows_of(spark, path, touched).join(keys.select("file_id"), "file_id", "left_anti")
-    _overwrite_buckets(kept, path, touched)
+    A table is a series of versions that are only ever added to: chunks below ``chunks/version=<n>``, and below
+    ``files/version=<n>`` the files whose chunks that version holds. A reader takes each file's newest
+    version. The list of files is written last and so makes the version count; a write that breaks off
+    before leaves all files as they were, and costs only the size of what it writes.
+    """
+    version = _next_version(spark, path)
+    chunks.write.mode("overwrite").parquet(f"{path}/chunks/version={version}")
+    listed = (chunks if files is None else files).select("file_id").distinct()
+    listed.write.mode("overwrite").parquet(f"{path}/files/version={version}")
 
 
-def _rows_of(spark: SparkSession, path: str, touched: list[int]) -> DataFrame:
-    return read_chunks(spark, path).where(F.col("bucket").isin(touched))
+def delete_chunks(spark: SparkSession, path: str, files: DataFrame) -> None:
+    """Remove all chunks of the listed files: a version that lists them and holds no chunk of theirs."""
+    files.select("file_id").distinct().write.mode("overwrite").parquet(f"{path}/files/version={_next_version(spark, path)}")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The chunks of a table, without tombstones."""
-    return spark.read.parquet(path).where("file_id IS NOT NULL")
-
-
-def _overwrite_buckets(df: DataFrame, path: str, touched: list[int]) -> None:
-    """Overwrite the partitions that occur. A touched one left without rows would stay as it
-    was, so each touched partition also gets a tombstone: a row without a file."""
-    spark = df.sparkSession
-    graves = spark.createDataFrame([(b,) for b in touched], "bucket int").select(*[
-        (F.col("bucket") if f.name == "bucket" else F.lit(None).cast(f.dataType)).alias(f.name) for f in df.schema.fields])
-    # Rebalancing gathers buckets into files of even size and splits one that is too large.
-    (df.unionByName(graves).hint("rebalance", "bucket")
-       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+    """The newest chunks of every file."""
+    newest = spark.read.parquet(f"{path}/files").groupBy("file_id").agg(F.max("version").alias("version"))
+    every = spark.read.option("mergeSchema", True).parquet(f"{path}/chunks")
+    return every.join(newest, ["file_id", "version"]).select(*[c for c in every.columns if c != "version"])
+
+
+def compact_chunks(spark: SparkSession, path: str, target: str) -> None:
+    """Write the newest chunks of every file as the first version of a new table."""
+    replace_chunks(spark, target, read_chunks(spark, path))
+
+
+def _next_version(spark: SparkSession, path: str) -> int:
+    """One more than any version begun so far, whether it was finished or not."""
+    found = [0]
+    for part in ("chunks", "files"):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
+        if _exists(spark, f"{path}/{part}"):
+            listing = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+            names = [s.getPath().getName() for s in listing]
+            found += [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+    return max(found) + 1
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiremill.operators.relational import top_n_per_key
+from quiremill.session import scratch_path, written
 
 QUERY_BLOCK = 2048   # query vectors held by a task at a time
 
@@ -18,29 +19,31 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, metric: str
     """(query_id, vec_id, similarity, rank): the exact ``k`` nearest vectors of every query.
 
     ``queries`` holds (query_id, embedding), ``vectors`` (vec_id, embedding). Queries are
-    taken to the tasks in blocks of bounded size; each task multiplies its vectors
+    taken in blocks of bounded size, one after the other; each task multiplies its vectors
     with the block and keeps ``k`` rows per query and batch, so pairs are never
-    materialized. More queries mean more passes, not more memory.
+    materialized. A block's result is stored before the next block is read, so neither the driver
+    nor the plan grows with the number of queries. Every block is a pass over the vectors.
     """
     if metric not in ("cosine", "dot"):
         raise ValueError(f"unknown metric: {metric}")
+    queries = written(queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")), "queries")
     total = queries.count()
-    if total <= block:
-        parts = [queries]
-    else:
-        blocks = -(-total // (block // 2))      # half-filled on average, so hashing stays below the bound
-        number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-        parts = [queries.where(number == i) for i in range(blocks)]
-    found = None
-    for part in parts:
-        rows = part.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).toPandas()
+    blocks = 1 if total <= block else -(-total // (block // 2))      # half-filled on average, so hashing stays below the bound
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    id_type = queries.schema["query_id"].dataType.simpleString()
+    order = [F.desc(F.round("similarity", 9)), F.col("vec_id")]
+    path = scratch_path(vectors.sparkSession, "nearest")
+    schema = None
+    for i in range(blocks):
+        rows = queries.where(number == i).toPandas()                 # one block
         if len(rows):
-            near = _nearest(rows, vectors, k, metric, queries.schema["query_id"].dataType.simpleString())
-            found = near if found is None else found.unionByName(near)
-    if found is None:
+            near = top_n_per_key(_nearest(rows, vectors, k, metric, id_type), ["query_id"], order, k)
+            near.write.mode("append").parquet(path)
+            schema = near.schema
+    if schema is None:
         return vectors.select(F.lit(None).cast("string").alias("query_id"), "vec_id",
-                              F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).where("false")
-    return top_n_per_key(found, ["query_id"], [F.desc(F.round("similarity", 9)), F.col("vec_id")], k)
+                              F.lit(0.0).alias("similarity"), F.lit(0).cast("bigint").alias("rank")).where("false")
+    return vectors.sparkSession.read.schema(schema).parquet(path)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:

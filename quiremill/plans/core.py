@@ -492,12 +492,10 @@ def preview(t: Tables):
 
 @plan("natural_sort", r"""SELECT name, row_number() OVER (ORDER BY lvl, num) AS place FROM (
     SELECT DISTINCT concat('Size ', p_size, ' of ', p_brand) AS name, p_size AS lvl, CAST(regexp_extract(p_brand, '\d+') AS INTEGER) AS num FROM part)
-  ORDER BY place LIMIT 200""")
+""")
 def natural_sort(t: Tables):
     names = t.part.select(F.concat(F.lit("Size "), F.col("p_size").cast("string"), F.lit(" of "), F.col("p_brand")).alias("name")).distinct()
-    top = R.natural_sort(names, "name").limit(200)      # a top list: its 200 rows are numbered in one task
-    from pyspark.sql import Window
-    return top.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(R.natural_key("name"))).cast("bigint"))
+    return R.numbered(names, [R.natural_key("name"), F.col("name")])
 
 
 @plan("custom_sort", """SELECT o_orderkey, o_orderpriority,
@@ -569,4 +567,4 @@ def compare_rows(t: Tables):
     # The key repeats, so rows are compared as a multiset.
     keys = ["l_orderkey", "l_linenumber"]
     left, right = t.lineitem.where("l_quantity > 10").select(keys), t.lineitem.where("l_quantity < 40").select(keys)
-    return R.compare(left, right, keys=keys)["added"]
+    return R.compare(left, right)["added"]

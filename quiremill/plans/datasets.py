@@ -27,13 +27,20 @@ def _analyses(t: Tables):
     return t.documents.select(F.col("doc_id").alias("file_id"), F.col("source").alias("doc_type"), F.col("lang").alias("language"))
 
 
+def _versions(t: Tables):
+    """Every analysis, and a later one of each third file."""
+    first = _analyses(t).withColumn("created_at", F.lit(1))
+    again = first.where("file_id % 3 = 0").withColumns({"doc_type": F.concat(F.lit("re"), "doc_type"), "created_at": F.lit(2)})
+    return first.unionByName(again)
+
+
 _SAMPLES = _DATASETS + """, samples AS (SELECT d.id AS dataset_id, f.id AS feedback_id, f.file_id, concat('feedback/', f.id) AS input_path,
-  concat('{"correction":"', corrected_value, '","original":"', original_value, '","field":"', field_name, '"}') AS labels, a.source AS doc_type, a.lang AS language, 'train' AS split
+  concat('{"correction":"', corrected_value, '","original":"', original_value, '","field":"', field_name, '"}') AS labels, CASE WHEN f.file_id % 3 = 0 THEN concat('re', a.source) ELSE a.source END AS doc_type, a.lang AS language, 'train' AS split
   FROM feedback f JOIN datasets d ON d.created_by = f.user_id LEFT JOIN documents a ON a.doc_id = f.file_id)"""
 
 
 def samples(t: Tables):
-    return DS.samples_from_feedback(_feedback(t), _datasets(t), _analyses(t))
+    return DS.samples_from_feedback(_feedback(t), _datasets(t), _versions(t))
 
 
 @plan("samples_from_feedback", with_(FEEDBACK, _SAMPLES, body="SELECT * FROM samples"))

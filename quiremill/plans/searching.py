@@ -32,7 +32,7 @@ walk(doc_id, i, lo, base, c, cut) AS (
 spans AS (SELECT doc_id, cut AS lo, i - 1 AS hi FROM walk WHERE cut IS NOT NULL
   UNION ALL SELECT doc_id, lo, i FROM walk QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1),
 joined AS (SELECT p.doc_id, p.hi, string_agg(l.s, ' ' ORDER BY l.i) AS chunk_text FROM spans p JOIN lens l ON l.doc_id = p.doc_id AND l.i BETWEEN p.lo AND p.hi GROUP BY p.doc_id, p.lo, p.hi),
-chunks AS (SELECT doc_id AS file_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY hi) - 1 AS INTEGER) AS chunk_index, chunk_text FROM joined WHERE length(chunk_text) >= 50)"""
+chunks AS (SELECT doc_id AS file_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY hi) - 1 AS INTEGER) AS chunk_index, chunk_text FROM joined WHERE length(chunk_text) >= 1)"""
 _REC = "WITH RECURSIVE "
 
 
@@ -62,16 +62,21 @@ _NAMES = f"""{FILES}, sources AS (SELECT r.query_id, r.rank, r.score, c.file_id,
   FROM ranked r JOIN chunks c USING (file_id, chunk_index) LEFT JOIN (SELECT * FROM files WHERE format IS NOT NULL) f ON f.id = c.file_id)"""
 
 
-def chunks(t: Tables):
-    """Chunks of all documents with the name of the file of the same id, where that has a format."""
-    docs = t.corpus.select(F.col("doc_id").alias("file_id"), "text", F.col("lang").alias("language"),
-                              F.substring("source", 4, 10).cast("bigint").alias("user_id"))
+def chunks(t: Tables, **scope):
+    """Chunks of the documents a scope leaves."""
+    docs = S.scope_chunks(t.corpus.select(F.col("doc_id").alias("file_id"), "text", F.col("lang").alias("language"),
+                              F.substring("source", 4, 10).cast("bigint").alias("user_id")), **scope)
     return S.chunk_documents(docs)
 
 
-def stored(t: Tables):
-    """The chunk table, stored once: every search reads it at least twice."""
-    return written(chunks(t), "chunks")
+def stored(t: Tables, **scope):
+    """The index of the chunks in scope, stored once: every search reads it twice."""
+    return S.index_chunks(chunks(t, **scope))
+
+
+def whole(t: Tables):
+    """The index of whole documents."""
+    return S.index_chunks(t.corpus.select("doc_id", "text", F.col("lang").alias("language")), "text").drop("text")
 
 
 def asked(t: Tables):
@@ -79,7 +84,7 @@ def asked(t: Tables):
 
 
 def _ranked(t: Tables, **scope):
-    return S.bm25(stored(t), asked(t), **scope)
+    return S.bm25(stored(t, **scope), asked(t))
 
 
 def sources(t: Tables):
@@ -106,12 +111,12 @@ def index_stats(t: Tables):
 
 @plan("term_stats", "WITH " + ",\n".join([_ASKED, _bm25_sql("doc_id", "documents", "text")]) + "\nSELECT term, df, round(idf, 6) AS idf FROM idf")
 def term_stats(t: Tables):
-    return S.term_stats(t.corpus, "text").withColumn("idf", F.round("idf", 6))
+    return S.term_stats(whole(t)).withColumn("idf", F.round("idf", 6))
 
 
 @plan("bm25_scores", "WITH " + ",\n".join([_ASKED, _bm25_sql("doc_id", "documents", "text")]) + "\nSELECT query_id, doc_id, round(score, 6) AS score FROM scored")
 def bm25_scores(t: Tables):
-    found = S.bm25_scores(t.corpus, asked(t), ("doc_id",), "text")
+    found = S.bm25_scores(whole(t), asked(t), ("doc_id",))
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -123,15 +128,14 @@ def bm25_topk(t: Tables):
 @plan("bm25_scoped", _REC + ",\n".join([_ASKED, CHUNKS, "mine AS (SELECT c.* FROM chunks c JOIN documents d ON d.doc_id = c.file_id WHERE d.source = 'src3')",
       _bm25_sql(_CHUNK_KEYS, "mine", "chunk_text"), _ranked_sql(_CHUNK_KEYS, 5)]) + "\nSELECT query_id, file_id, chunk_index, round(score, 6) AS score, rank FROM ranked")
 def bm25_scoped(t: Tables):
-    # The scope is applied before chunking here; statistics see the user's chunks only.
+    # The scope is applied before chunking; statistics see the user's chunks only.
     return _ranked(t, user_id=3).withColumn("score", F.round("score", 6))
 
 
 @plan("bm25_filtered", "WITH " + ",\n".join([_ASKED, "fr AS (SELECT * FROM documents WHERE lang = 'fr')", _bm25_sql("doc_id", "fr", "text"), _ranked_sql("doc_id", 10)])
       + "\nSELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked")
 def bm25_filtered(t: Tables):
-    docs = t.corpus.withColumnRenamed("lang", "language")
-    found = S.bm25(docs, asked(t), 10, ("doc_id",), "text", language="fr")
+    found = S.bm25(whole(t), asked(t), 10, ("doc_id",), language="fr")
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -142,7 +146,7 @@ _BATCH = {f"b{i}": q for i, q in enumerate([
 @plan("bm25_batch", "WITH " + ",\n".join(["asked AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _BATCH.items()) + ") v(query_id, question))",
       _bm25_sql("doc_id", "documents", "text"), _ranked_sql("doc_id", 5)]) + "\nSELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked")
 def bm25_batch(t: Tables):
-    found = S.bm25(t.corpus, S.questions(t.spark, _BATCH), 5, ("doc_id",), "text")
+    found = S.bm25(whole(t), S.questions(t.spark, _BATCH), 5, ("doc_id",))
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -209,7 +213,7 @@ def replace_chunks(t: Tables):
     changed = t.corpus.join(t.labels.select("doc_id"), "doc_id", "left_semi").select(
         F.col("doc_id").alias("file_id"), F.lower("text").alias("text"))
     S.replace_chunks(t.spark, path, S.chunk_documents(changed), files=changed)
-    return S.read_chunks(t.spark, path).drop("bucket")
+    return S.read_chunks(t.spark, path)
 
 
 @plan("delete_chunks", _REC + CHUNKS + " SELECT file_id, count(*) AS n FROM chunks WHERE file_id NOT IN (SELECT doc_id FROM labels) GROUP BY file_id")
@@ -277,7 +281,7 @@ SELECT query_id, doc_id, round(s, 9) AS score, row_number() OVER (PARTITION BY q
 FROM (SELECT query_id, doc_id, CAST(sum(CAST(1 AS DOUBLE) / (60 + r)) AS DOUBLE) AS s FROM (SELECT query_id, doc_id, rank AS r FROM ranked UNION ALL SELECT query_id, doc_id, rank FROM dense) GROUP BY query_id, doc_id)
 QUALIFY rank <= 10""")
 def hybrid_topk(t: Tables):
-    lexical = S.bm25(t.corpus, S.questions(t.spark, _HYBRID), 20, ("doc_id",), "text")
+    lexical = S.bm25(whole(t), S.questions(t.spark, _HYBRID), 20, ("doc_id",))
     centers = VE.centroids(_vectors(t)).where(F.col("query_id").isin(list(_HYBRID)))
     dense = VE.vector_topk(centers, _vectors(t), 20).withColumnRenamed("vec_id", "doc_id")
     return VE.hybrid_topk(lexical, dense, 10).withColumn("score", F.round("score", 9))

@@ -16,12 +16,11 @@ def _stream(t: Tables, name: str):
     return jobs.stream_folder(t.spark, t.folder, getattr(t, name).schema, f"{name}.parquet")
 
 
-@plan("stream_daily", """SELECT CAST(ts AS DATE) AS day, count(*) AS count FROM events GROUP BY 1
-  HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""")
+@plan("stream_daily", "SELECT CAST(ts AS DATE) AS day, count(*) AS count FROM events GROUP BY 1")
 def stream_daily(t: Tables):
     out = scratch_path(t.spark, "daily")
-    jobs.run_available(jobs.daily_counts(_stream(t, "events"), "ts"), out)
-    return t.spark.read.schema("day date, count bigint").parquet(f"{out}/data")
+    jobs.run_updates(jobs.daily_counts(_stream(t, "events"), "ts"), out)
+    return jobs.newest(t.spark, out, ["day"])
 
 
 @plan("stream_dedup", "SELECT DISTINCT user_id FROM events")
@@ -36,7 +35,7 @@ def stream_dedup(t: Tables):
 def stream_index(t: Tables):
     out = scratch_path(t.spark, "index")
     jobs.index_stream(_stream(t, "documents").select("doc_id", "text"), f"{out}/table", f"{out}/checkpoint")
-    return S.read_chunks(t.spark, f"{out}/table").drop("bucket")
+    return S.read_chunks(t.spark, f"{out}/table")
 
 
 @plan("stream_ping_state", with_(PINGS, body="""SELECT source, count(*) AS total, count(*) FILTER (WHERE NOT ok) AS fails, max(last_ids) AS last_ids FROM pings
@@ -50,6 +49,4 @@ def stream_ping_state(t: Tables):
         F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("source"),
         (F.col("event_type") != "error").alias("ok"), F.col("value").alias("latency"), F.col("ts").alias("pinged_at"))
     jobs.run_ping_state(pings, out)
-    updates = t.spark.read.parquet(f"{out}/data")
-    newest = updates.groupBy("source").agg(F.max_by(F.struct("total", "fails", "last_ids"), "batch").alias("s"))
-    return newest.select("source", "s.total", "s.fails", "s.last_ids")
+    return jobs.newest(t.spark, out, ["source"])

@@ -279,13 +279,13 @@ def null_sentinels(t: Tables):
 
 
 _FORMULAS = r"""f AS (SELECT CAST(p_size AS BIGINT) AS table_id, CAST(p_partkey AS INTEGER) AS row, 1 AS col,
-  CASE WHEN p_retailprice > 1000 THEN concat('=A', p_size, '*2') WHEN p_retailprice > 950 THEN concat('area $x^2$ and \frac{', p_size, '}{2}')
+  CASE WHEN p_partkey % 9 = 4 THEN concat('=A', p_size, '*2') WHEN p_retailprice > 950 THEN concat('area $x^2$ and \frac{', p_size, '}{2}')
     WHEN p_retailprice > 930 THEN concat('H2O ', p_brand) ELSE p_name END AS value FROM part)"""
 
 
 def _formulas(t: Tables):
     size = F.col("p_size").cast("string")
-    value = (F.when(F.col("p_retailprice") > 1000, F.concat(F.lit("=A"), size, F.lit("*2")))
+    value = (F.when(F.col("p_partkey") % 9 == 4, F.concat(F.lit("=A"), size, F.lit("*2")))
              .when(F.col("p_retailprice") > 950, F.concat(F.lit("area $x^2$ and \\frac{"), size, F.lit("}{2}")))
              .when(F.col("p_retailprice") > 930, F.concat(F.lit("H2O "), F.col("p_brand"))).otherwise(F.col("p_name")))
     return t.part.select(F.col("p_size").cast("bigint").alias("table_id"), F.col("p_partkey").cast("int").alias("row"),
@@ -307,13 +307,18 @@ def chem_cells(t: Tables):
     return G.chem_cells(_formulas(t))
 
 
-@plan("union_tables", with_(_TURNS, body="""SELECT doc_id, table_no, row, t.col, h.value AS header, t.value
-  FROM (SELECT length(role) + CAST(floor(table_id / 10) AS BIGINT) * 100 AS doc_id, table_id AS table_no, row, col, turns.value FROM turns JOIN (SELECT conv_id, min(role) AS role FROM conversations GROUP BY 1) ON conv_id = table_id) t
-  JOIN (SELECT doc_id, col, value FROM (SELECT length(role) + CAST(floor(table_id / 10) AS BIGINT) * 100 AS doc_id, table_id, row, col, turns.value, min(table_id) OVER (PARTITION BY length(role) + CAST(floor(table_id / 10) AS BIGINT) * 100) AS first FROM turns JOIN (SELECT conv_id, min(role) AS role FROM conversations GROUP BY 1) ON conv_id = table_id) WHERE table_id = first AND row = 0) h USING (doc_id, col)
+@plan("union_tables", with_(_TURNS, body="""SELECT doc_id, table_no, row, t.col, coalesce(nullif(h.value, ''), concat('col_', t.col)) AS header, t.value
+  FROM (SELECT length(role) + CAST(floor(table_id / 10) AS BIGINT) * 100 AS doc_id, table_id AS table_no, row, col, turns.value FROM turns JOIN (SELECT conv_id, min(role) AS role FROM conversations GROUP BY 1) ON conv_id = table_id
+    UNION ALL SELECT length(role) + CAST(floor(conv_id / 10) AS BIGINT) * 100, conv_id, 1, 7, role FROM (SELECT conv_id, min(role) AS role FROM conversations GROUP BY 1)) t
+  LEFT JOIN (SELECT doc_id, col, value FROM (SELECT length(role) + CAST(floor(table_id / 10) AS BIGINT) * 100 AS doc_id, table_id, row, col, turns.value, min(table_id) OVER (PARTITION BY length(role) + CAST(floor(table_id / 10) AS BIGINT) * 100) AS first FROM turns JOIN (SELECT conv_id, min(role) AS role FROM conversations GROUP BY 1) ON conv_id = table_id) WHERE table_id = first AND row = 0) h USING (doc_id, col)
   WHERE row > 0"""))
 def union_tables(t: Tables):
-    roles = t.conversations.groupBy(F.col("conv_id").alias("table_id")).agg(F.length(F.min("role")).cast("bigint").alias("n"))
-    cells = _turns(t).join(roles, "table_id").select(
+    roles = t.conversations.groupBy(F.col("conv_id").alias("table_id")).agg(F.min("role").alias("role"))
+    roles = roles.withColumn("n", F.length("role").cast("bigint"))
+    # A cell beyond the width of every header belongs to each table.
+    beyond = roles.select("table_id", F.lit(1).alias("row"), F.lit(7).alias("col"), F.col("role").alias("value"))
+    every = _turns(t).select("table_id", "row", "col", "value").unionByName(beyond)
+    cells = every.join(roles, "table_id").select(
         (F.col("n") + F.floor(F.col("table_id") / 10) * 100).alias("doc_id"), F.col("table_id").alias("table_no"), "row", "col", "value")
     return G.union_tables(cells)
 
@@ -364,7 +369,7 @@ b AS (SELECT *, sum(CASE WHEN top - prev >= 15 THEN 1 ELSE 0 END) OVER (PARTITIO
   FROM (SELECT *, lag(bottom) OVER (PARTITION BY doc_id, page ORDER BY line) AS prev FROM l2)),
 g AS (SELECT doc_id, page, block, string_agg(text, ' ' ORDER BY line) AS text, count(*) AS n_lines, min(x1) AS x1, min(top) AS y1, max(x2) AS x2, max(bottom) AS y2 FROM b GROUP BY ALL)
 SELECT doc_id, page, CAST(block AS BIGINT) AS block, CASE WHEN length(text) < 80 AND (y2 - y1) / n_lines > 14 THEN 'header' ELSE 'paragraph' END AS element_type,
-  x1 / 600 AS x1, y1 / 800 AS y1, x2 / 600 AS x2, y2 / 800 AS y2, n_lines, substring(text, 1, 500) AS content FROM g""").replace(")\n,\nlv", "),\nlv"))
+  x1 / 600 AS x1, y1 / 800 AS y1, x2 / 600 AS x2, y2 / 800 AS y2, n_lines, text AS content FROM g""").replace(")\n,\nlv", "),\nlv"))
 def words_to_blocks(t: Tables):
     return G.words_to_blocks(words(t), width=600.0, height=800.0)
 
@@ -439,8 +444,8 @@ _AMOUNT = "CASE WHEN o_totalprice = floor(o_totalprice) THEN CAST(CAST(o_totalpr
 _PRICE = "concat(format('{:.2f}', o_totalprice), CASE o_orderstatus WHEN 'F' THEN ' USD' WHEN 'O' THEN ' EUR' ELSE ' SAR' END)"
 
 
-def raw(t: Tables):
-    """Orders as untyped text: mixed date shapes, grouped numbers, prices with symbols or codes."""
+def raw(t: Tables, *more: str):
+    """Orders as untyped text: mixed date shapes, grouped numbers, prices with symbols or codes. ``more`` names columns to keep."""
     shapes = {"1-URGENT": "d/M/yyyy", "2-HIGH": "yyyy.MM.dd", "3-MEDIUM": "d MMMM yyyy", "4-NOT SPECIFIED": "dd-MM-yy"}
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     for priority, shape in shapes.items():
@@ -448,7 +453,7 @@ def raw(t: Tables):
     amount = F.format_number("o_totalprice", 2)
     price = (F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("$"), amount))
              .when(F.col("o_orderstatus") == "O", F.concat(F.lit("€ "), amount)).otherwise(F.concat(amount, F.lit(" sar"))))
-    return spread(t.orders).select(F.col("o_orderkey").alias("id"), day.alias("day"), amount.alias("amount"), price.alias("price"))
+    return spread(t.orders).select(F.col("o_orderkey").alias("id"), day.alias("day"), amount.alias("amount"), price.alias("price"), *more)
 
 
 @plan("arabic_digits", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS digits FROM orders")
@@ -475,28 +480,26 @@ def normalize_currency(t: Tables):
 @plan("drop_blank_rows", with_(_RAW, body="SELECT r.id, day, amount FROM raw r JOIN orders ON o_orderkey = r.id WHERE o_orderstatus <> 'P'"))
 def drop_blank_rows(t: Tables):
     keep = F.col("o_orderstatus") != "P"
-    blanked = raw(t).join(t.orders.select(F.col("o_orderkey").alias("id"), "o_orderstatus"), "id").select(
+    blanked = raw(t, "o_orderstatus").select(
         "id", F.when(keep, F.col("day")).otherwise("  ").alias("day"), F.when(keep, F.col("amount")).alias("amount"))
     return C.drop_blank_rows(blanked, ["day", "amount"])
 
 
 @plan("clean_all", f"""WITH q AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) - 1 AS k, count(*) OVER () AS n FROM orders WHERE o_orderstatus <> 'P'),
 b AS (SELECT max(v) FILTER (WHERE k = n // 4) AS q1, max(v) FILTER (WHERE k = 3 * n // 4) AS q3 FROM q)
-SELECT o_orderkey AS id, {_DAY} AS day, {_AMOUNT} AS amount, {_PRICE} AS price, CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE 1 END AS normalized_dates, 1 AS normalized_numbers,
+SELECT o_orderkey AS id, concat('order ', o_orderkey) AS name, false AS __anomaly_name__, {_DAY} AS day, {_AMOUNT} AS amount, {_PRICE} AS price, CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE 1 END AS normalized_dates, 1 AS normalized_numbers,
   1 AS normalized_currencies, false AS __anomaly_day__,
   o_totalprice < q1 - 1.5 * (q3 - q1) OR o_totalprice > q3 + 1.5 * (q3 - q1) AS __anomaly_amount__, false AS __anomaly_price__
 FROM orders, b WHERE o_orderstatus <> 'P'""")
 def clean_all(t: Tables):
-    # Rows of one status are blanked, and every row gets a later copy.
+    # Rows of one status are blanked, and every row gets a later copy. The name keeps equal texts of different orders apart.
     keep = F.col("o_orderstatus") != "P"
-    status = t.orders.select(F.col("o_orderkey").alias("id"), "o_orderstatus")
-    blanked = raw(t).join(status, "id").select(
-        "id", *[F.when(keep, F.col(c)).otherwise("").alias(c) for c in ["day", "amount", "price"]])
-    # The order number keeps equal texts of different orders apart.
-    tagged = blanked.withColumn("tag", F.col("id").cast("string"))
-    doubled = tagged.unionByName(tagged.withColumn("id", F.col("id") + 10_000_000_000))
-    first = C.dedup_keep_first(C.drop_blank_rows(doubled, ["day", "amount", "price"]), "id").drop("tag")
-    return C.clean_text_table(first, "id", ["normalize_dates", "normalize_numbers", "normalize_currencies", "detect_anomalies"])
+    name = F.concat(F.lit("order "), F.col("id").cast("string"))
+    blanked = raw(t, "o_orderstatus").select(
+        "id", *[F.when(keep, c).otherwise("").alias(n) for n, c in [
+            ("name", name), ("day", F.col("day")), ("amount", F.col("amount")), ("price", F.col("price"))]])
+    doubled = blanked.unionByName(blanked.withColumn("id", F.col("id") + 10_000_000_000))
+    return C.clean_text_table(doubled, "id")
 
 
 _POSITIONS = """SELECT column_name AS "column", n, max(v) FILTER (WHERE k = n // 4) AS q1, max(v) FILTER (WHERE k = 3 * n // 4) AS q3 FROM (
@@ -507,7 +510,7 @@ _POSITIONS = """SELECT column_name AS "column", n, max(v) FILTER (WHERE k = n //
 
 @plan("quartiles", _POSITIONS)
 def quartiles(t: Tables):
-    return C.quartiles(spread(t.lineitem), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return C.quartiles(spread(t.lineitem.select("l_quantity", "l_extendedprice", "l_discount", "l_tax")), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 
 @plan("iqr_outliers", """WITH q AS (SELECT value AS v, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM events),
@@ -528,7 +531,7 @@ def _contacts(t: Tables):
         F.abs("c_acctbal").cast("string").alias("d"), F.col("c_mktsegment").alias("e"))
 
 
-@plan("suggest_names", with_(_CONTACTS, body=r""", h AS (SELECT * FROM contacts ORDER BY c_custkey LIMIT 5)
+@plan("suggest_names", with_(_CONTACTS, body=r""", h AS (SELECT * FROM contacts)
 SELECT 'a' AS "column", 'email' AS suggestion FROM h HAVING bool_and(regexp_matches(a, '^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$'))
 UNION ALL SELECT 'b', 'phone' FROM h HAVING bool_and(regexp_matches(b, '^\+?[\d\s\-]{7,16}$'))
 UNION ALL SELECT 'c', 'date' FROM h HAVING bool_and(regexp_matches(c, '^\d{4}-\d{2}-\d{2}$'))
@@ -562,10 +565,11 @@ def normalize_arabic(t: Tables):
     return t.part.select("p_partkey", FC.normalize_arabic(arabic).alias("folded"))
 
 
-@plan("is_rtl", "SELECT p_partkey, true AS arabic_rtl, false AS latin_rtl FROM part")
+# As many Arabic letters as the part's size behind its Latin brand and name.
+@plan("is_rtl", r"""SELECT p_partkey, p_size // 2 > length(regexp_replace(concat(p_brand, ' ', p_name), '[^a-zA-Z]', '', 'g')) AS rtl FROM part""")
 def is_rtl(t: Tables):
-    arabic = F.translate(F.lower("p_name"), "abcdefghijklmnopqrstuvwxyz", "ابتثجحخدذرزسشصضطظعغفقكلمنه")
-    return t.part.select("p_partkey", L.is_rtl(arabic).alias("arabic_rtl"), L.is_rtl("p_name").alias("latin_rtl"))
+    mixed = F.concat("p_brand", F.lit(" "), "p_name", F.lit(" 12 "), F.repeat(F.lit("م"), F.floor(F.col("p_size") / 2).cast("int")))
+    return t.part.select("p_partkey", L.is_rtl(mixed).alias("rtl"))
 
 
 @plan("strip_junk_lines", r"""SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[\p{L}\p{N}]')), chr(10)) AS text FROM documents""")

@@ -49,7 +49,7 @@ SELECT doc_id, coalesce(doc_type, 'unknown') AS doc_type, CAST(coalesce(confiden
 FROM lang LEFT JOIN best USING (doc_id)"""
 
 
-HEAD_SQL = _classify_sql("concat(substring(text, 1, 3000), ' ', source, '.txt')")
+WHOLE_SQL = _classify_sql("concat(text, ' ', source, '.txt')")
 
 
 def named(t: Tables):
@@ -65,12 +65,12 @@ def detect_language(t: Tables):
     return t.corpus.select("doc_id", X.detect_language("text").alias("latin"), X.detect_language(arabic).alias("arabic"))
 
 
-@plan("classify_documents", HEAD_SQL)
+@plan("classify_documents", WHOLE_SQL)
 def classify_documents(t: Tables):
     return D.classify_documents(named(t)).drop("signals")
 
 
-@plan("classify_whole_documents", _classify_sql("concat(text, ' ', source, '.txt')"))
+@plan("classify_whole_documents", WHOLE_SQL)
 def classify_whole_documents(t: Tables):
     return D.classify_documents(named(t), head=None).drop("signals")
 
@@ -80,13 +80,13 @@ _SIGNALS = "\nUNION ALL ".join(
     for kind, _, patterns in V.DOCUMENT_RULES for p in patterns)
 
 
-@plan("classify_signals", f"""WITH {LETTERS}, typed AS ({HEAD_SQL}), seen AS (SELECT doc_id, lower(concat(substring(text, 1, 3000), ' ', source, '.txt')) AS t FROM letters)
+@plan("classify_signals", f"""WITH {LETTERS}, typed AS ({WHOLE_SQL}), seen AS (SELECT doc_id, lower(concat(text, ' ', source, '.txt')) AS t FROM letters)
 SELECT doc_id, doc_type, signal FROM ({_SIGNALS}) JOIN typed USING (doc_id, doc_type)""")
 def classify_signals(t: Tables):
     return D.classify_documents(named(t)).select("doc_id", "doc_type", F.explode("signals").alias("signal"))
 
 
-@plan("document_report", f"WITH typed AS ({HEAD_SQL}) SELECT doc_type, language, count(*) AS n, round(avg(confidence), 4) AS confidence FROM typed GROUP BY ALL")
+@plan("document_report", f"WITH typed AS ({WHOLE_SQL}) SELECT doc_type, language, count(*) AS n, round(avg(confidence), 4) AS confidence FROM typed GROUP BY ALL")
 def document_report(t: Tables):
     found = D.classify_documents(named(t))
     return found.groupBy("doc_type", "language").agg(
@@ -117,11 +117,11 @@ _CONTACTS = r"""contacts AS (SELECT doc_id, concat(text, chr(10), 'Invoice No: I
 def _distinct_sql(pattern: str) -> str:
     return with_(_CONTACTS, body=f"""SELECT doc_id, arg_min(value, position) AS value FROM (
   SELECT doc_id, unnest(v) AS value, generate_subscripts(v, 1) AS position FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS v FROM contacts))
-  GROUP BY doc_id, substring(value, 1, 50)""")
+  GROUP BY doc_id, value""")
 
 
 def _of_type(t: Tables, kind: str):
-    return D.entities(contacts(t)).where(F.col("entity_type") == kind).select("doc_id", "value")
+    return D.entities(contacts(t), kinds=[kind]).select("doc_id", "value")
 
 
 @plan("ner_emails", _distinct_sql(r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"))
@@ -201,7 +201,7 @@ def ner_bank(t: Tables):
   SELECT doc_id, 'resume' AS doc_type, 'full_name' AS entity_type, CASE WHEN length(line) < 60 THEN line END AS value, CAST(0.65 AS DOUBLE) AS confidence FROM (
     SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, concat(' ', chr(9), chr(13)))), lambda x: x <> '')[1] AS line FROM contacts)
   UNION ALL SELECT doc_id, 'resume', 'skills_section', CASE WHEN regexp_matches(text, '(?is)(?:skills|مهارات)[:\s\n]+(.*?)(?:\n\n|\z)')
-    THEN trim(substring(regexp_extract(text, '(?is)(?:skills|مهارات)[:\s\n]+(.*?)(?:\n\n|\z)', 1), 1, 300), concat(' ', chr(9), chr(10), chr(13))) END, 0.75 FROM contacts
+    THEN trim(regexp_extract(text, '(?is)(?:skills|مهارات)[:\s\n]+(.*?)(?:\n\n|\z)', 1), concat(' ', chr(9), chr(10), chr(13))) END, 0.75 FROM contacts
   UNION ALL SELECT doc_id, 'resume', 'linkedin', nullif(regexp_extract(text, '(?i)linkedin\.com/in/[\p{L}\p{N}_\-]+'), ''), 0.95 FROM contacts) WHERE value IS NOT NULL"""))
 def ner_resume(t: Tables):
     return _fields(t, "resume")
@@ -225,26 +225,26 @@ def entities_dedup(t: Tables):
     return D.entities(contacts(t))
 
 
-@plan("entities_grouped", with_(_CONTACTS, body=r"""SELECT doc_id, kind AS entity_type, count(DISTINCT substring(value, 1, 50)) AS n FROM (
+@plan("entities_grouped", with_(_CONTACTS, body=r"""SELECT doc_id, kind AS entity_type, count(DISTINCT value) AS n FROM (
   SELECT doc_id, 'url' AS kind, unnest(regexp_extract_all(text, 'https?://[^\s<>"]+|www\.[^\s<>"]+')) AS value FROM contacts
   UNION ALL SELECT doc_id, 'iban', unnest(regexp_extract_all(text, '\b[A-Z]{2}\d{2}[A-Z0-9]{4,30}\b')) FROM contacts
   UNION ALL SELECT doc_id, 'email', unnest(regexp_extract_all(text, '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b')) FROM contacts) GROUP BY ALL"""))
 def entities_grouped(t: Tables):
-    found = D.entities(contacts(t)).where(F.col("entity_type").isin("url", "iban", "email"))
+    found = D.entities(contacts(t), kinds=["url", "iban", "email"])
     return D.entity_counts(found).select("doc_id", "entity_type", "n")
 
 
 @plan("export_entities", _distinct_sql(r'https?://[^\s<>"]+|www\.[^\s<>"]+'))
 def export_entities(t: Tables):
     path = scratch_path(t.spark, "entities")
-    found = D.entities(contacts(t))
+    found = D.entities(contacts(t), kinds=["url"])
     sinks.export_entities(found.select("doc_id", "entity_type", "value"), path, "url")
     return readers.read_delimited(t.spark, path, schema="doc_id bigint, entity_type string, value string").select("doc_id", "value")
 
 
-@plan("suggestions", f"""WITH {LETTERS}, typed AS ({HEAD_SQL}), {FILES},
+@plan("suggestions", f"""WITH {LETTERS}, typed AS ({WHOLE_SQL}), {FILES},
 d AS (SELECT d.doc_id, d.text, t.doc_type, coalesce(f.format, '') AS format, coalesce(f.is_favorite, false) AS has_tables,
-    len(list_distinct(list_transform(regexp_extract_all(d.text, '\\b[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{{2,}}\\b'), lambda v: v[1:50]))) AS n_emails
+    len(list_distinct(regexp_extract_all(d.text, '\\b[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{{2,}}\\b'))) AS n_emails
   FROM letters d JOIN typed t USING (doc_id) LEFT JOIN files f ON f.id = d.doc_id)
 SELECT doc_id, suggestion_type, title, priority, row_number() OVER (PARTITION BY doc_id ORDER BY priority, rule) AS rank FROM (
   SELECT doc_id, 'extract_tables' AS suggestion_type, 'Extract tables to Excel' AS title, 1 AS priority, 0 AS rule FROM d WHERE has_tables

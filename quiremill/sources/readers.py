@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-INFER_ROWS = 5000
-
 
 def _fmt(fmt: str) -> str:
     return fmt.lower().lstrip(".")
@@ -34,31 +32,50 @@ def read_table(spark: SparkSession, path: str, fmt: str, schema: str | T.StructT
     if fmt in ("feather", "arrow"):
         return read_feather(spark, path, schema)
     if fmt in ("html", "htm"):
-        return read_html_files(spark, path)
+        return read_html_files(spark, path, **options)
     if fmt == "jdbc":
         return read_jdbc(spark, path, **options)
     raise ValueError(f"unsupported format: {fmt}")
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", schema: str | T.StructType | None = None,
-                   multi_line: bool = False) -> DataFrame:
-    """Delimited text with a header; values that do not fit the type become NULL.
+                   multi_line: bool = False, infer_rows: int | None = None) -> DataFrame:
+    """Delimited text with a header; values that do not fit a declared type become NULL.
 
-    Without a schema, types are inferred from the first 5,000 lines instead of a
-    second scan. Quoted line breaks need ``multi_line``, which makes a file one task.
+    Without a schema, types are inferred from all lines, so every value fits its column.
+    ``infer_rows`` looks at the first lines only, which spares a scan; later values that do not fit
+    are then NULL. Quoted line breaks need ``multi_line``, which makes a file one task.
     """
     options = {"header": True, "sep": sep, "mode": "PERMISSIVE", "multiLine": multi_line, "escape": '"'}
     if schema is None:
-        head = [r["value"] for r in spark.read.text(path).take(INFER_ROWS)]
+        if infer_rows is None:
+            return spark.read.options(**options, inferSchema=True).csv(path)
+        head = [r["value"] for r in spark.read.text(path).take(infer_rows)]
         schema = spark.read.options(**options, inferSchema=True).csv(spark.sparkContext.parallelize(head, 1)).schema
     return spark.read.options(**options).schema(schema).csv(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """A JSON array or one object per line, told apart by the first character."""
-    first = spark.read.text(path).where(F.trim("value") != "").select(F.substring(F.trim("value"), 1, 1)).first()
-    reader = spark.read.option("multiLine", bool(first) and first[0] == "[")
-    return (reader.schema(schema) if schema is not None else reader).json(path)
+    """JSON arrays and files with one object per line, told apart by each file's first character.
+
+    A folder may hold both. Names of array files come to the driver, as the listing of any table does.
+    """
+    # Lines of a file's first block are walked in order by one task, so the smallest row number is the first line.
+    lines = spark.read.text(path).where(F.trim("value") != "").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.substring(F.trim("value"), 1, 1).alias("first"), F.monotonically_increasing_id().alias("row"))
+    opening = lines.groupBy("file").agg(F.min_by("first", F.struct("at", "row")).alias("first"))
+    files = {True: [], False: []}
+    for r in opening.collect():
+        files[r["first"] == "["].append(r["file"])
+    reader = lambda array: (spark.read.option("multiLine", array) if schema is None
+                            else spark.read.option("multiLine", array).schema(schema))
+    if not (files[True] and files[False]):
+        return reader(bool(files[True])).json(path)
+    if schema is None:        # one schema for both, from all values of both
+        both = reader(True).json(files[True]).limit(0).unionByName(reader(False).json(files[False]).limit(0), allowMissingColumns=True)
+        schema = both.schema
+    return reader(True).json(files[True]).unionByName(reader(False).json(files[False]))
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str = "row", schema: str | T.StructType | None = None) -> DataFrame:
@@ -125,7 +142,7 @@ def read_yaml(spark: SparkSession, path: str, schema: str | T.StructType | None)
 
 def read_feather(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
     """Arrow IPC files, one task per file, batch by batch. Without a schema it comes from the first file."""
-    files = _files(spark, path, "*.feather")
+    files = _files(spark, path, "*.{feather,arrow}")
     if schema is None:
         from pyspark.sql.pandas.types import from_arrow_schema
         first = files.select("content").first()
@@ -213,10 +230,10 @@ def html_cells(pages: DataFrame, key: str = "page_id", html: str = "html", first
     return tabular.mapInPandas(parse, f"{key} {kind}, table_no int, row int, col int, value string")
 
 
-def read_html_files(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of the first table of every HTML file, keyed by path."""
+def read_html_files(spark: SparkSession, path: str, first_only: bool = False) -> DataFrame:
+    """Cells of all tables of every HTML file, or of its first one, keyed by path."""
     pages = _files(spark, path).select(F.col("path").alias("page_id"), F.col("content").cast("string").alias("html"))
-    return html_cells(pages, first_only=True)
+    return html_cells(pages, first_only=first_only)
 
 
 # --- sheets and folders ------------------------------------------------------------------

@@ -34,14 +34,36 @@ def as_instant(ts: str) -> Column:
     return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(ts)))
 
 
-def daily_counts(events: DataFrame, ts: str, delay: str = "10 minutes") -> DataFrame:
-    """Rows per day; a day is emitted once the watermark has passed its end. Later rows are dropped."""
-    timed = events.select(as_instant(ts).alias("at")).withWatermark("at", delay)
+def daily_counts(events: DataFrame, ts: str, delay: str | None = None) -> DataFrame:
+    """Rows per day. Without ``delay`` every row counts, however late, and the state is one number per day.
+
+    With a delay a day is closed, and may be emitted in append mode, once the watermark has passed its end; later
+    rows are then dropped.
+    """
+    timed = events.select(as_instant(ts).alias("at"))
+    timed = timed if delay is None else timed.withWatermark("at", delay)
     counts = timed.groupBy(F.window("at", "1 day")).agg(F.count(F.lit(1)).alias("count"))
     day = F.date_from_unix_date((F.unix_seconds("window.start") / 86400).cast("int"))
     return counts.select(day.alias("day"), "count")
 
 
+def run_updates(stream: DataFrame, out: str) -> None:
+    """Write the changed rows of every batch below its number; a repeated batch replaces its own."""
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/data/batch={number}")
+
+    query = (stream.writeStream.outputMode("update").foreachBatch(save)
+             .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
+def newest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The current row of every key among the updates that ``run_updates`` wrote."""
+    rows = spark.read.parquet(f"{out}/data")
+    rest = [c for c in rows.columns if c not in keys and c != "batch"]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_s")).select(*keys, *[F.col(f"_s.{c}").alias(c) for c in rest])
+
+
 def first_per_key(requests: DataFrame, ts: str, key: str, delay: str) -> DataFrame:
     """At most one request per key within the delay."""
     timed = requests.withColumn("_at", as_instant(ts)).withWatermark("_at", delay)
@@ -118,9 +140,4 @@ def ping_state(pings: DataFrame) -> DataFrame:
 
 def run_ping_state(pings: DataFrame, out: str) -> None:
     """Write every update of ``ping_state`` with its batch number; the newest batch per source is current."""
-    def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/data/batch={number}")
-
-    query = (ping_state(pings).writeStream.outputMode("update").foreachBatch(save)
-             .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
-    query.awaitTermination()
+    run_updates(ping_state(pings), out)

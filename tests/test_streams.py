@@ -29,7 +29,7 @@ def test_days_close_with_the_watermark(spark, tmp_path):
     inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = spark.createDataFrame([], EVENTS).schema
     write(spark, inbox, [(1, "a", True, 1.0, "2024-01-01 10:00:00"), (2, "a", True, 1.0, "2024-01-02 10:00:00")])
-    run = lambda: jobs.run_available(jobs.daily_counts(jobs.stream_folder(spark, inbox, schema), "pinged_at"), out)
+    run = lambda: jobs.run_available(jobs.daily_counts(jobs.stream_folder(spark, inbox, schema), "pinged_at", "10 minutes"), out)
     run()
     write(spark, inbox, [(3, "a", True, 1.0, "2024-01-01 11:00:00"), (4, "a", True, 1.0, "2024-01-04 10:00:00")])   # one row is late
     run()
@@ -37,6 +37,16 @@ def test_days_close_with_the_watermark(spark, tmp_path):
     assert got == {"2024-01-01": 1, "2024-01-02": 1}
 
 
+def test_open_days_and_late_rows_count(spark, tmp_path):
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = spark.createDataFrame([], EVENTS).schema
+    for rows in ([(1, "a", True, 1.0, "2024-01-01 10:00:00"), (2, "a", True, 1.0, "2024-01-04 10:00:00")],
+                 [(3, "a", True, 1.0, "2024-01-01 11:00:00")]):
+        write(spark, inbox, rows)
+        jobs.run_updates(jobs.daily_counts(jobs.stream_folder(spark, inbox, schema), "pinged_at"), out)
+    assert {str(r.day): r["count"] for r in jobs.newest(spark, out, ["day"]).collect()} == {"2024-01-01": 2, "2024-01-04": 1}
+
+
 def test_index_replaces_files(spark, tmp_path):
     inbox, table = str(tmp_path / "in"), str(tmp_path / "table")
     docs = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -44,9 +54,28 @@ def test_index_replaces_files(spark, tmp_path):
     run = lambda: jobs.index_stream(jobs.stream_folder(spark, inbox, schema), table, str(tmp_path / "check"))
     docs([(1, "x" * 60 + "."), (2, "y" * 60 + "."), (3, "z" * 60 + ".")]).write.parquet(inbox)
     run()
-    docs([(1, "w" * 70 + "."), (3, "too short")]).write.mode("append").parquet(inbox)
+    docs([(1, "w" * 70 + "."), (3, "now short")]).write.mode("append").parquet(inbox)
     run()
     got = {r.file_id: r.chunk_text[0] for r in S.read_chunks(spark, table).collect()}
-    assert got == {1: "w", 2: "y"}
+    assert got == {1: "w", 2: "y", 3: "n"}
     S.delete_chunks(spark, table, spark.createDataFrame([(1,)], "file_id bigint"))
-    assert [r.file_id for r in S.read_chunks(spark, table).collect()] == [2]
+    assert sorted(r.file_id for r in S.read_chunks(spark, table).collect()) == [2, 3]
+
+
+def test_broken_write_leaves_chunks_intact(spark, tmp_path):
+    table, small = str(tmp_path / "table"), str(tmp_path / "small")
+    chunks = lambda rows: spark.createDataFrame(rows, "file_id bigint, chunk_index int, chunk_text string")
+    ids = lambda *i: spark.createDataFrame([(x,) for x in i], "file_id bigint")
+    read = lambda path: sorted((r.file_id, r.chunk_text) for r in S.read_chunks(spark, path).collect())
+    S.replace_chunks(spark, table, chunks([(1, 0, "a"), (2, 0, "b"), (3, 0, "c")]))
+    # A write that ends between the chunks and the list of files, and one whose job fails.
+    chunks([(1, 0, "lost"), (2, 0, "lost")]).write.parquet(f"{table}/chunks/version=2")
+    with pytest.raises(Exception, match="broken"):
+        S.replace_chunks(spark, table, chunks([(1, 0, "lost")]).withColumn("chunk_text", F.raise_error(F.lit("broken"))))
+    assert read(table) == [(1, "a"), (2, "b"), (3, "c")]
+    S.replace_chunks(spark, table, chunks([(1, 0, "new")]), ids(1, 2))
+    assert read(table) == [(1, "new"), (3, "c")]
+    S.delete_chunks(spark, table, ids(3, 9))
+    S.replace_chunks(spark, table, chunks([(2, 0, "again")]))
+    S.compact_chunks(spark, table, small)
+    assert read(table) == read(small) == [(1, "new"), (2, "again")]
