@@ -149,3 +149,12 @@ def rollup_table(df: DataFrame, cols: list[str], aggs: dict[str, Column]) -> Dat
 
 def cube_table(df: DataFrame, cols: list[str], aggs: dict[str, Column]) -> DataFrame:
     return df.cube(*cols).agg(F.grouping_id().cast("bigint").alias("grouping_id"), *[a.alias(n) for n, a in aggs.items()])
+
+
+def extraction_accuracy(found: DataFrame, key: str = "entity_type") -> DataFrame:
+    """(type, n, corrected, accuracy): share of the extracted values of each type that no correction changed.
+
+    ``found`` holds one row per extracted value with the flag ``corrected``.
+    """
+    n, wrong = F.count(F.lit(1)), F.count_if("corrected")
+    return found.groupBy(key).agg(n.alias("n"), wrong.alias("corrected"), F.round((n - wrong) / n, 6).alias("accuracy"))

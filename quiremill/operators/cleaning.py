@@ -171,6 +171,35 @@ def clean_text_table(df: DataFrame, row_id: str, rules: list[str] | None = None)
     return out
 
 
+def cleaning_changes(df: DataFrame, row_id: str, rules: list[str] | None = None) -> DataFrame:
+    """(row_id, rule, column, old, new) of every cell that a rewriting rule changes.
+
+    Rules run in their fixed order, each on what the one before left.
+    """
+    cols = [c for c in df.columns if c != row_id]
+    kind = "array<struct<rule:string,column:string,old:string,new:string>>"
+    out = as_text(df, keep=[row_id]).withColumn("_changes", F.array().cast(kind))
+    for name, (_, steps) in RULES.items():
+        if rules is None or name in rules:
+            out = out.withColumns({f"_old_{c}": F.col(c) for c in cols})
+            out = _rewrite(out, cols, steps)
+            cells = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(c).alias("column"), F.col(f"_old_{c}").alias("old"),
+                                       F.col(c).alias("new")) for c in cols])
+            changed = F.filter(cells, lambda x: ~x["old"].eqNullSafe(x["new"]))
+            out = out.withColumn("_changes", F.concat("_changes", changed)).drop("_changed", *[f"_old_{c}" for c in cols])
+    return out.select(row_id, F.inline("_changes"))
+
+
+def cleaning_totals(df: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """One row: rows before and after, and the sum of every counter and flag that ``clean_text_table`` added."""
+    counters = [F.sum(counter).alias(counter) for counter, _ in RULES.values() if counter in cleaned.columns]
+    flags = [c for c in cleaned.columns if c.startswith("__anomaly_")]
+    anomalies = [sum((F.count_if(c) for c in flags), F.lit(0)).alias("anomalies")] if flags else []
+    after = cleaned.agg(F.count(F.lit(1)).alias("rows_after"), *counters, *anomalies).withColumn("_one", F.lit(1))
+    before = df.agg(F.count(F.lit(1)).alias("rows_before")).withColumn("_one", F.lit(1))
+    return before.join(after, "_one").drop("_one")
+
+
 # --- quartiles and outliers ----------------------------------------------------------------------
 
 _ACCURACY = 10000

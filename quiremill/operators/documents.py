@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quiremill.functions import text as X
 from quiremill.functions import values as V
+from quiremill.functions.cleaning import strip
 
 # Corpus columns: doc_id, text and, where known, filename, format, has_tables.
 
@@ -71,9 +72,9 @@ def distinct_entities(values: Column) -> Column:
 
 
 def analyze(docs: DataFrame, head: int | None = None) -> DataFrame:
-    """One analysis row per document: type, language, handler, entity counts and suggested actions.
+    """One analysis row per document: type, language, handler, entity counts, suggested actions and errors.
 
-    All steps are column expressions of one select; nothing is shuffled.
+    ``errors`` names the steps that had nothing to work on. All steps are column expressions of one select; nothing is shuffled.
     """
     fmt = _optional(docs, "format", F.lit(""))
     tables = _optional(docs, "has_tables", F.lit(False))
@@ -90,6 +91,9 @@ def analyze(docs: DataFrame, head: int | None = None) -> DataFrame:
         "n_emails", "n_phones", "n_dates", "n_urls", "n_ibans", "n_fields",
         X.suggestions(F.col("doc_type"), F.col("has_tables"), F.col("format"), F.col("text"),
                       F.col("n_emails"), F.col("n_phones")).alias("suggestions"),
+        F.filter(F.array(
+            F.when(F.col("text").isNull(), "extract_text: missing").when(strip("text") == "", "extract_text: empty"),
+            F.when(F.col("doc_type") == "unknown", "classify: no rule fits")), lambda e: e.isNotNull()).alias("errors"),
     )
 
 

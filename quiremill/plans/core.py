@@ -151,6 +151,12 @@ def workflow(t: Tables):
         {"op": "select", "cols": ["o_orderkey", "level", "half"]}])
 
 
+@plan("workflow_columns", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderstatus AS status_before FROM orders")
+def workflow_columns(t: Tables):
+    return run_workflow(t.orders, [
+        {"op": "duplicate", "col": "o_orderstatus", "name": "status_before"}, {"op": "delete", "cols": ["o_orderpriority", "o_orderdate"]}])
+
+
 # --- joins ---------------------------------------------------------------------------------
 
 @plan("join_inner", with_(FILES, ANALYSES, body="""SELECT f.owner_id, count(*) AS analyses, CAST(sum(a.processing_ms) AS BIGINT) AS total_ms

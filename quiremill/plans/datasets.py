@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quiremill.operators import analytics as A
 from quiremill.operators import datasets as DS
 from quiremill.operators import documents as D
 from quiremill.plans import relations as rel
@@ -98,3 +99,14 @@ def apply_corrections(t: Tables):
         F.col("l_orderkey").alias("file_id"), F.col("l_returnflag").alias("entity_type"), F.col("l_shipdate").alias("created_at"),
         F.col("l_suppkey").alias("id"), F.concat(F.lit("c"), F.col("l_suppkey").cast("string")).alias("corrected_value"))
     return D.apply_corrections(found, fixes, ["file_id", "entity_type"], ["created_at", "id"])
+
+
+@plan("accuracy_by_type", with_(_ENTITIES, body="""SELECT entity_type, count(*) AS n, count(c.file_id) AS corrected, round((count(*) - count(c.file_id)) / count(*), 6) AS accuracy
+  FROM (SELECT DISTINCT file_id, entity_type FROM ents) e
+  LEFT JOIN (SELECT DISTINCT l_orderkey AS file_id, l_returnflag AS entity_type FROM lineitem WHERE l_quantity > 40) c USING (file_id, entity_type) GROUP BY entity_type"""))
+def accuracy_by_type(t: Tables):
+    found = _entities(t).select("file_id", "entity_type").distinct()
+    fixed = t.lineitem.where("l_quantity > 40").select(
+        F.col("l_orderkey").alias("file_id"), F.col("l_returnflag").alias("entity_type")).distinct().withColumn("_c", F.lit(True))
+    judged = found.join(fixed, ["file_id", "entity_type"], "left").withColumn("corrected", F.coalesce("_c", F.lit(False)))
+    return A.extraction_accuracy(judged)

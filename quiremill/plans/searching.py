@@ -139,6 +139,18 @@ def bm25_filtered(t: Tables):
     return found.withColumn("score", F.round("score", 6))
 
 
+@plan("bm25_by_type_and_date", "WITH " + ",\n".join([_ASKED, """picked AS (SELECT * FROM documents WHERE source IN ('src1', 'src2')
+    AND TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 60 AS INTEGER)) BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-02-05')""",
+      _bm25_sql("doc_id", "picked", "text"), _ranked_sql("doc_id", 10)]) + "\nSELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked")
+def bm25_by_type_and_date(t: Tables):
+    docs = t.corpus.select("doc_id", "text", F.when(F.col("source").isin("src1", "src2"), "report").otherwise("other").alias("doc_type"),
+                           F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(cast(doc_id % 60 as int))").alias("created_at"))
+    # The scope is applied before the texts are cut into tokens.
+    scoped = S.scope_chunks(docs, doc_type="report", date_range=("2024-01-10", "2024-02-05"))
+    found = S.bm25(S.index_chunks(scoped, "text"), asked(t), 10, ("doc_id",))
+    return found.withColumn("score", F.round("score", 6))
+
+
 _BATCH = {f"b{i}": q for i, q in enumerate([
     "and the of", "that hand", "ein der die", "la le les", "nicht und", "question tion", "thing", "pour avec", "a", "zzzz qqqq"], 1)}
 

@@ -166,7 +166,30 @@ def table_metadata(t: Tables):
     return out
 
 
-@plan("sniff_type")
+@plan("file_metadata", r"""WITH l AS (SELECT concat_ws(',', n_nationkey, n_name, n_regionkey) AS csv,
+    concat('{"n_nationkey":', n_nationkey, ',"n_name":"', n_name, '","n_regionkey":', n_regionkey, '}') AS json FROM nation)
+SELECT 'csv' AS format, CAST(1 AS BIGINT) AS files, CAST(sum(strlen(csv) + 1) + strlen('n_nationkey,n_name,n_regionkey') + 1 AS BIGINT) AS bytes FROM l
+UNION ALL SELECT 'json', 1, CAST(sum(strlen(json) + 1) AS BIGINT) FROM l""")
+def file_metadata(t: Tables):
+    path = scratch_path(t.spark, "listed")
+    nation = t.nation.coalesce(1)
+    nation.write.option("header", True).csv(f"{path}/a")
+    nation.write.json(f"{path}/b")
+    return readers.file_metadata(t.spark, path).select("format", "files", "bytes")
+
+
+# Bytes in hexadecimal: blanks, all but blanks, all but a line feed.
+_BLANK = "(?:09|0A|0B|0C|0D|1C|1D|1E|1F|20|85|A0)"
+_SOLID = "(?:0[0-8EF]|1[0-9AB]|2[1-9A-F]|[3-79BC-F][0-9A-F]|8[0-46-9A-F]|A[1-9A-F])"
+_NOT_LF = "(?:0[0-9B-F]|[1-9A-F][0-9A-F])"
+
+
+@plan("sniff_type", rf"""WITH c AS (SELECT concat('page ', page_id) AS name, html AS s FROM pages UNION ALL SELECT concat('doc ', doc_id), text FROM documents
+    UNION ALL SELECT concat('event ', event_id), props FROM events),
+  h AS (SELECT name, s, hex(encode(s)) AS x FROM c)
+SELECT name, CASE WHEN starts_with(s, 'BM') THEN 'bmp' WHEN (starts_with(s, '{{') OR starts_with(s, '[')) AND json_valid(s) THEN 'json' WHEN starts_with(s, '<') THEN 'xml'
+    WHEN regexp_matches(substr(x, 1, 1000), '^{_BLANK}*{_NOT_LF}*2C{_NOT_LF}*0A(?:..)*?{_SOLID}') AND regexp_matches(substr(x, 1, 1000), '^{_BLANK}*{_SOLID}{_NOT_LF}*0A') THEN 'csv'
+    WHEN regexp_matches(substr(x, 1001, 2), '^[89AB]') THEN 'bin' ELSE 'txt' END AS ext FROM h""")
 def sniff_type(t: Tables):
     contents = (
         t.pages.select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("name"), F.col("html").cast("binary").alias("content"))
@@ -502,6 +525,24 @@ def clean_all(t: Tables):
     return C.clean_text_table(doubled, "id")
 
 
+@plan("cleaning_changes", f"""WITH {_RAW}, o AS (SELECT id, raw.day AS d, raw.amount AS a, raw.price AS p, {_DAY} AS day, {_AMOUNT} AS amount, {_PRICE} AS price FROM raw JOIN orders ON o_orderkey = id)
+SELECT id, 'normalize_dates' AS rule, 'day' AS "column", d AS old, day AS new FROM o WHERE d <> day
+UNION ALL SELECT id, 'normalize_numbers', 'amount', a, amount FROM o WHERE a <> amount
+UNION ALL SELECT id, 'normalize_currencies', 'price', p, price FROM o WHERE p <> price""")
+def cleaning_changes(t: Tables):
+    return C.cleaning_changes(raw(t), "id")
+
+
+@plan("cleaning_totals", f"""WITH {_RAW}, o AS (SELECT id, raw.day AS d, raw.amount AS a, raw.price AS p, {_DAY} AS day, {_AMOUNT} AS amount, {_PRICE} AS price FROM raw JOIN orders ON o_orderkey = id)
+SELECT 2 * count(*) AS rows_before, count(*) AS rows_after, CAST(count(*) FILTER (WHERE d <> day) AS BIGINT) AS normalized_dates,
+  CAST(count(*) FILTER (WHERE a <> amount) AS BIGINT) AS normalized_numbers, CAST(count(*) FILTER (WHERE p <> price) AS BIGINT) AS normalized_currencies FROM o""")
+def cleaning_totals(t: Tables):
+    named = raw(t).withColumn("name", F.concat(F.lit("order "), F.col("id").cast("string")))
+    doubled = named.unionByName(named.withColumn("id", F.col("id") + 10_000_000_000))
+    rules = [r for r in C.ALL_RULES if r != "detect_anomalies"]
+    return C.cleaning_totals(doubled, C.clean_text_table(doubled, "id", rules))
+
+
 _POSITIONS = """SELECT column_name AS "column", n, max(v) FILTER (WHERE k = n // 4) AS q1, max(v) FILTER (WHERE k = 3 * n // 4) AS q3 FROM (
   SELECT column_name, v, row_number() OVER (PARTITION BY column_name ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY column_name) AS n FROM (
     UNPIVOT (SELECT l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME column_name VALUE v))

@@ -129,13 +129,28 @@ def ner_emails(t: Tables):
     return _of_type(t, "email")
 
 
-@plan("ner_phones")
+# A phone is a stretch of 7 to 16 digits, blanks and signs with no digit on either side. RE2 has no look-around, so
+# runs of such characters are cut first; then every possible start with its longest good end is listed,
+# and each run is walked from one match to the first start behind it.
+_PHONES = r"""runs AS (SELECT doc_id, k, r FROM (SELECT doc_id, unnest(l) AS r, generate_subscripts(l, 1) AS k FROM (
+    SELECT doc_id, regexp_extract_all(text, '[\d\s\-().+]+') AS l FROM contacts)) WHERE length(regexp_replace(r, '\D', '', 'g')) >= 7),
+spots AS (SELECT doc_id, k, r, s, CASE WHEN r[s] = '+' THEN 1 ELSE 0 END AS p FROM (SELECT doc_id, k, r, unnest(range(1, length(r) + 1)) AS s FROM runs)
+  WHERE s = 1 OR NOT regexp_matches(r[s - 1], '\d')),
+cand AS (SELECT doc_id, k, s, max(s + p + n) AS e FROM (SELECT *, unnest(range(7, 17)) AS n FROM spots)
+  WHERE s + p + n - 1 <= length(r) AND NOT contains(substr(r, s + p, n), '+') AND NOT regexp_matches(substr(r, s + p + n, 1), '\d') GROUP BY ALL),
+nxt AS (SELECT a.doc_id, a.k, a.s, a.e, min(b.s) AS t FROM cand a LEFT JOIN cand b ON b.doc_id = a.doc_id AND b.k = a.k AND b.s >= a.e GROUP BY ALL),
+walk(doc_id, k, s, e, t) AS (SELECT n.doc_id, n.k, n.s, n.e, n.t FROM nxt n JOIN (SELECT doc_id, k, min(s) AS s FROM cand GROUP BY ALL) f ON f.doc_id = n.doc_id AND f.k = n.k AND f.s = n.s
+  UNION ALL SELECT n.doc_id, n.k, n.s, n.e, n.t FROM walk w JOIN nxt n ON n.doc_id = w.doc_id AND n.k = w.k AND n.s = w.t),
+phones AS (SELECT * FROM (SELECT w.doc_id, w.k, w.s, regexp_replace(substr(r, w.s, w.e - w.s), '\s+', '', 'g') AS value FROM walk w JOIN runs ON runs.doc_id = w.doc_id AND runs.k = w.k)
+  WHERE length(regexp_replace(value, '\D', '', 'g')) >= 7)"""
+
+
+@plan("ner_phones", f"WITH RECURSIVE {_CONTACTS}, {_PHONES} SELECT DISTINCT doc_id, value FROM phones")
 def ner_phones(t: Tables):
     return _of_type(t, "phone")
 
 
-@plan("ner_dates", _distinct_sql(
-    r"(?i)\b(?:\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}|\d{4}[/\-.]\d{1,2}[/\-.]\d{1,2}|\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{2,4})\b"))
+@plan("ner_dates", _distinct_sql("(?i)" + V.DATE))
 def ner_dates(t: Tables):
     return _of_type(t, "date")
 
@@ -220,7 +235,21 @@ def ner_identity(t: Tables):
     return _fields(t, "passport", "id")
 
 
-@plan("entities_dedup")
+def _listed(kind: str, pattern: str) -> str:
+    return f"""SELECT doc_id, '{kind}' AS entity_type, {list(X.COMMON).index(kind)} AS o, unnest(l) AS value, generate_subscripts(l, 1) AS i FROM (
+    SELECT doc_id, regexp_extract_all(text, '{pattern}') AS l FROM contacts)"""
+
+
+_ENTITIES = f"""found AS ({_listed("email", V.EMAIL)}
+  UNION ALL SELECT doc_id, 'phone', 1, value, row_number() OVER (PARTITION BY doc_id ORDER BY k, s) FROM phones
+  UNION ALL {_listed("date", "(?i)" + V.DATE)} UNION ALL {_listed("url", V.URL)} UNION ALL {_listed("iban", V.IBAN)}),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o, i) - 1 AS position FROM found),
+kept AS (SELECT doc_id, CAST(min(position) AS INTEGER) AS position, entity_type, value FROM placed GROUP BY doc_id, entity_type, value)"""
+_SCORES = "CASE entity_type " + " ".join(f"WHEN '{k}' THEN {c}" for k, c in V.COMMON_CONFIDENCE.items()) + " END"
+
+
+@plan("entities_dedup", f"""WITH RECURSIVE {_CONTACTS}, {_PHONES}, {_ENTITIES}
+SELECT doc_id, position, entity_type, value, CASE WHEN entity_type = 'date' THEN value END AS normalized_value, CAST({_SCORES} AS DOUBLE) AS confidence FROM kept""")
 def entities_dedup(t: Tables):
     return D.entities(contacts(t))
 

@@ -12,6 +12,8 @@ from quiremill.operators import relational as R
 STEPS = {
     "filter": lambda df, rule: df.where(R.filter_builder(rule)),
     "select": lambda df, cols: df.select(*cols),
+    "delete": lambda df, cols: df.drop(*cols),
+    "duplicate": lambda df, col, name: df.withColumn(name, F.col(col)),
     "rename": lambda df, names: df.withColumnsRenamed(names),
     "replace_regex": R.replace_regex,
     "replace_text": R.replace_text,
