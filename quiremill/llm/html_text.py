@@ -34,10 +34,15 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}
 #: Parts of class, id and role names that mark what is no article text.
 MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo",
          "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal",
-         "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "paywall", "comment", "comments",
+         "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "paywall", "comment", "comments", "commentlist",
          "replies", "respond", "disqus", "sidebar", "sidebars", "aside", "widget", "widgets", "menu", "menus", "nav",
          "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "footer", "masthead", "share",
          "sharing", "social", "related", "recommended", "toolbar", "contentinfo", "complementary", "search", "hidden"}
+#: Parts that mark a page's header, unless it is the header of the article.
+HEADERS = {"header", "topbar", "top"}
+OWN_HEADERS = {"entry", "article", "post", "story", "title"}
+#: An article element with these is no article of its own.
+MINOR_ARTICLES = {"comment", "comments", "reply", "replies", "teaser", "related", "recommended", "promo", "ad", "sponsored"}
 ROOTS = {"html", "body", "article", "main"}
 
 _TOKEN = re.compile(
@@ -50,14 +55,17 @@ _HIDDEN = re.compile(r"""\shidden(?=[\s=/>])|aria-hidden\s*=\s*["']?true|display
 _CUT = re.compile(r"[^a-z0-9]+")
 
 
-def marked(name: str, rest: str) -> bool:
-    """Whether an opening tag says that its element is no article text."""
-    if len(rest) < 5 or name in ROOTS:
+def marked(name: str, rest: str, inside: bool) -> bool:
+    """Whether an opening tag says that its element is no article text; ``inside`` an article or main part or not."""
+    if len(rest) < 5 or name in ROOTS and name != "article":
         return False
     if _HIDDEN.search(rest):
         return True
     for values in _NAMES.findall(rest):
-        if not MARKS.isdisjoint(_CUT.split(max(values, key=len).lower())):
+        parts = set(_CUT.split(max(values, key=len).lower()))
+        if parts & (MINOR_ARTICLES if name == "article" else MARKS):
+            return True
+        if not inside and name not in FORMAT and parts & HEADERS and not parts & OWN_HEADERS:
             return True
     return False
 
@@ -124,7 +132,7 @@ class Page:
                 continue
             if m["rest"].endswith("/>") and name in DROPPED:
                 continue
-            drop = name in DROPPED or marked(name, m["rest"])
+            drop = name in DROPPED or marked(name, m["rest"], stack[-1][2] > 0)
             if name in FORMAT and not drop:
                 continue
             if block or drop:

@@ -25,6 +25,14 @@ def test_without_article_and_broken_markup():
     assert Page("<div>" * 3000 + "deep").text() == "deep"
 
 
+def test_headers_and_minor_articles():
+    page = """<body><div class="site-header">Logo</div><div class="entry-header"><h1>Title</h1></div><div>Text</div></body>"""
+    assert Page(page).text() == "Title\nText"
+    page = """<article><div class="header">Head</div><p>Text</p></article><article class="comment"><p>c</p></article>
+      <section id="comments"><article><p>d</p></article></section>"""
+    assert Page(page).text() == "Head\nText"
+
+
 def brute_templates(pages):
     """Counts of subtrees over different pages, in plain Python."""
     hosts = {}
