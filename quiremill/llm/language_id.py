@@ -1,6 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams."""
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -120,14 +121,15 @@ def train(docs: DataFrame, label: str = "lang", column: str = "text", rows_per_l
     """
     rows = docs.select(docs[label].alias("lang"), docs[column].alias("text")).where("lang is not null and text is not null")
 
-    def count_documents(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.zeros(DIMS, np.int64)
-        for text in batch.column(0):
-            found += ngram_counts(text.as_py()) > 0
+    def count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(DIMS, np.int64)                  # one vector a task
+        for batch in batches:
+            for text in batch.column(0):
+                found += ngram_counts(text.as_py()) > 0
         where = np.flatnonzero(found)
-        return pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(found[where])], ["at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(found[where])], ["at", "n"])
 
-    frequent = (arrow_map(rows.select("text"), lambda: count_documents, "at int, n long")
+    frequent = (rows.select("text").mapInArrow(count_documents, "at int, n long")
                 .groupBy("at").agg(F.sum("n").alias("n")).toPandas())          # at most DIMS rows
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)
