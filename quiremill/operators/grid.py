@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quiremill.functions import labels as L
 from quiremill.functions import values as V
 from quiremill.functions.cleaning import strip
+from quiremill.session import written
 
 # Cells: (table_id, row, col, value); headers: (table_id, col, name).
 
@@ -183,8 +184,9 @@ def words_to_table(words: DataFrame, page_keys: tuple[str, ...] = ("doc_id", "pa
     its size in pixels bounds, so only those are gathered.
     """
     keys = list(page_keys)
+    words = written(words.select(*keys, "text", F.col("top").cast("int").alias("top"), F.col("left").cast("int").alias("left")), "words")
     marks = words.groupBy(*keys).agg(
-        F.collect_set(F.col("top").cast("int")).alias("_t"), F.collect_set(F.col("left").cast("int")).alias("_l"))
+        F.collect_set("top").alias("_t"), F.collect_set("left").alias("_l"))
     marks = marks.select(*keys, F.array_max("_t").alias("_tmax"), F.array_max("_l").alias("_lmax"), F.inline(F.array(F.struct(
         _greedy_marks(F.col("_t"), V.ROW_REACH).alias("_tops"), _greedy_marks(F.col("_l"), V.COLUMN_GAP).alias("_lefts")))))
     # A row reaches to the pixel before the next mark; columns meet half-way, the earlier one wins a tie.

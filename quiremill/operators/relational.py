@@ -129,6 +129,19 @@ def page_of(df: DataFrame, order: list[Column], page: int = 1, per_page: int = 2
     return df.orderBy(*order).offset((page - 1) * per_page).limit(per_page)
 
 
+def page_after(df: DataFrame, order: dict[str, str], last: list[Any], per_page: int = 20) -> DataFrame:
+    """The page that follows a row, named by its values in the order: deep pages cost no more than the first.
+
+    ``order`` maps columns to ``asc`` or ``desc``; ``last`` holds the last row's values.
+    """
+    behind, equal = F.lit(False), F.lit(True)
+    for (c, way), value in zip(order.items(), last):
+        bound = F.lit(value).cast(df.schema[c].dataType)
+        behind = behind | (equal & (F.col(c) > bound if way == "asc" else F.col(c) < bound))
+        equal = equal & (F.col(c) == bound)
+    return df.where(behind).orderBy(*[F.col(c).asc() if way == "asc" else F.col(c).desc() for c, way in order.items()]).limit(per_page)
+
+
 def page_totals(df: DataFrame, per_page: int = 20) -> DataFrame:
     total = F.count(F.lit(1))
     return df.agg(total.alias("total"), F.greatest(F.ceil(total / per_page), F.lit(1)).cast("bigint").alias("pages"))

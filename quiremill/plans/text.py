@@ -7,7 +7,7 @@ from quiremill.functions import text as X
 from quiremill.functions import values as V
 from quiremill.operators import documents as D
 from quiremill.plans import relations as rel
-from quiremill.plans.registry import Tables, plan
+from quiremill.plans.registry import SQL, Tables, plan
 from quiremill.plans.relations import FILES, with_
 from quiremill.session import scratch_path
 from quiremill.sources import readers, sinks
@@ -35,11 +35,11 @@ _HEADING = "[" + ", ".join(f"'{h}'" for h in HEADINGS) + f"][doc_id % {len(HEADI
 LETTERS = f"letters AS (SELECT doc_id, source, concat({_HEADING}, chr(10), text) AS text FROM documents)"
 
 
-def _classify_sql(seen: str) -> str:
+def _classify_sql(seen: str, letters: str = LETTERS) -> str:
     scores = ",\n".join(
         f"SELECT doc_id, {i} AS rule, '{kind}' AS doc_type, {base} AS base, {_hits(patterns)} AS hits FROM seen"
         for i, (kind, base, patterns) in enumerate(V.DOCUMENT_RULES)).replace(",\nSELECT", "\nUNION ALL SELECT")
-    return f"""WITH {LETTERS}, seen AS (SELECT doc_id, lower({seen}) AS t FROM letters),
+    return f"""WITH {letters}, seen AS (SELECT doc_id, lower({seen}) AS t FROM letters),
 scores AS ({scores}),
 best AS (SELECT doc_id, doc_type, round(least(base + 0.02 * (hits - 1), 0.97), 4) AS confidence FROM scores WHERE hits > 0
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(least(base + 0.02 * (hits - 1), 0.97), 4) DESC, rule) = 1),
@@ -295,9 +295,27 @@ def suggestions(t: Tables):
     return ranked.select("doc_id", "s.suggestion_type", "s.title", "s.priority", (F.col("i") + 1).cast("bigint").alias("rank"))
 
 
-@plan("analyze_documents")
+_FOUND_FIELDS = " UNION ALL ".join(
+    f"SELECT doc_id, doc_type FROM ({SQL[name]})" for name in ("ner_invoice", "ner_bank", "ner_contract", "ner_identity", "ner_resume"))
+_TYPED_CONTACTS = _classify_sql(
+    "concat(text, ' ', source, '.txt')", _CONTACTS + ", letters AS (SELECT doc_id, d.source, c.text FROM contacts c JOIN documents d USING (doc_id))")
+_HANDLERS = "CASE doc_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.PIPELINE_NAMES.items()) + " ELSE 'generic' END"
+
+
+@plan("analyze_documents", f"""WITH RECURSIVE {_CONTACTS}, {_PHONES}, {_ENTITIES}, typed AS ({_TYPED_CONTACTS}),
+fields AS (SELECT doc_id, doc_type FROM ({_FOUND_FIELDS}) UNION ALL SELECT doc_id, 'receipt' FROM ({SQL["ner_invoice"]})),
+n AS (SELECT doc_id, {", ".join(f"CAST(count(*) FILTER (WHERE entity_type = '{k}') AS INTEGER) AS n_{k}s" for k in X.COMMON)} FROM kept GROUP BY doc_id),
+f AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n_fields FROM fields JOIN typed USING (doc_id, doc_type) GROUP BY doc_id),
+d AS (SELECT * FROM typed JOIN contacts USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id)),
+s AS (SELECT doc_id, string_agg(kind, ',' ORDER BY priority, rule) AS suggestions FROM (
+  SELECT doc_id, 'extract_emails' AS kind, 4 AS priority, 3 AS rule FROM d WHERE n_emails > 0 UNION ALL SELECT doc_id, 'extract_phones', 5, 4 FROM d WHERE n_phones > 0
+  UNION ALL SELECT doc_id, 'export_invoice_json', 1, 5 FROM d WHERE doc_type = 'invoice' UNION ALL SELECT doc_id, 'export_cv_json', 1, 6 FROM d WHERE doc_type = 'resume'
+  UNION ALL SELECT doc_id, 'clean_data', 6, 7 FROM d WHERE doc_type IN ('spreadsheet', 'bank_statement') UNION ALL SELECT doc_id, 'search_document', 7, 8 FROM d WHERE length(text) > 200) GROUP BY doc_id)
+SELECT doc_id, doc_type, confidence, language, {_HANDLERS} AS pipeline_used, false AS has_tables, {", ".join(f"coalesce(n_{k}s, 0) AS n_{k}s" for k in X.COMMON)},
+  coalesce(n_fields, 0) AS n_fields, coalesce(suggestions, '') AS suggestions, CASE WHEN doc_type = 'unknown' THEN 'classify: no rule fits' ELSE '' END AS errors FROM d LEFT JOIN s USING (doc_id)""")
 def analyze_documents(t: Tables):
-    return D.analyze(contacts(t)).withColumn("suggestions", F.array_join(F.transform("suggestions", lambda s: s["suggestion_type"]), ","))
+    return D.analyze(contacts(t)).withColumns({
+        "suggestions": F.array_join(F.transform("suggestions", lambda s: s["suggestion_type"]), ","), "errors": F.array_join("errors", ";")})
 
 
 # --- tokens and sentences ----------------------------------------------------------------------------

@@ -12,7 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quiremill.functions.cleaning import is_blank
 from quiremill.operators import search as S
 
-HISTORY = 10    # rows of history kept per source
+HISTORY = 10          # rows of history kept per source
+HELD_SOURCES = 20_000  # sources that a task gathers before it passes them on
 
 
 def stream_folder(spark: SparkSession, path: str, schema: T.StructType, pattern: str | None = None) -> DataFrame:
@@ -100,17 +101,24 @@ def reduce_pings(pings: DataFrame) -> DataFrame:
     """
     def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list] = {}
+
+        def flush() -> Iterator[pd.DataFrame]:
+            for source, (total, fails, rows) in held.items():
+                out = rows.assign(source=source, total=0, fails=0)
+                out.iloc[0, out.columns.get_loc("total")] = total
+                out.iloc[0, out.columns.get_loc("fails")] = fails
+                yield out[["source", "total", "fails", "id", "pinged_at", "ok", "latency"]]
+            held.clear()
+
         for batch in batches:
             for source, part in batch.groupby("source"):
                 entry = held.setdefault(source, [0, 0, None])
                 entry[0] += len(part)
                 entry[1] += int((~part["ok"].astype(bool)).sum())
                 entry[2] = _newest(part if entry[2] is None else pd.concat([entry[2], part]))
-        for source, (total, fails, rows) in held.items():
-            out = rows.assign(source=source, total=0, fails=0)
-            out.iloc[0, out.columns.get_loc("total")] = total
-            out.iloc[0, out.columns.get_loc("fails")] = fails
-            yield out[["source", "total", "fails", "id", "pinged_at", "ok", "latency"]]
+            if len(held) > HELD_SOURCES:
+                yield from flush()
+        yield from flush()
 
     return pings.select("source", "id", "pinged_at", "ok", "latency").mapInPandas(shrink, _PING)
 
