@@ -1,6 +1,7 @@
 """SimHash near-duplicates: fingerprints, blocks by the pigeonhole principle, exact distances."""
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -189,15 +190,137 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3, key: str
     return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
-def keep_one(docs: DataFrame, size: int = 3, distance: int = 3, key: str = "doc_id", column: str = "text") -> DataFrame:
+# --- wider similarity --------------------------------------------------------------------
+
+PARTS = 8                    # 64-bit parts of a long fingerprint
+#: Odd multipliers that make the parts out of one hash of a shingle.
+_MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) | 1) & (1 << 64) - 1 for i in range(PARTS)], np.uint64)
+
+
+def long_fingerprint(words: list[bytes], size: int) -> np.ndarray:
+    """A SimHash of ``PARTS`` times 64 bits over word shingles; no word gives zeros."""
+    total, ones = 0, np.zeros((PARTS, 64), np.int64)
+    for hashes in shingle_hashes(words, size):
+        total += len(hashes)
+        for i, m in enumerate(_MULTIPLIERS):
+            x = hashes * m
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(29)
+            ones[i] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    if not total:
+        return np.zeros(PARTS, np.int64)
+    return np.packbits(ones * 2 > total, axis=1).view(np.int64).ravel()
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits of two long fingerprints whose shingle sets have this Jaccard similarity, and one deviation more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * PARTS
+    return int(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def _long_fingerprints(docs: DataFrame, size: int, key: str, column: str) -> DataFrame:
+    """(key, text_hash, blocks, check): block keys of three-word shingles, and the fingerprint of ``size`` words."""
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            blocks, checks = [], []
+            for text in batch.column(2):
+                words = ascii_words(text.as_py())
+                parts = long_fingerprint(words, 3).view(np.uint16)
+                blocks.append(np.arange(len(parts), dtype=np.int64) << 16 | parts)
+                checks.append(long_fingerprint(words, size))
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(blocks, pa.list_(pa.int64())), pa.array(checks, pa.list_(pa.int64()))],
+                ["key", "text_hash", "blocks", "check"])
+        return work
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(docs[key].alias("key"), F.xxhash64(docs[column]).alias("text_hash"), docs[column].alias("text"))
+    return arrow_map(rows, make, f"key {kind}, text_hash long, blocks array<long>, check array<long>")
+
+
+def _compare_long(distance: int):
+    """Links within groups of rows (key, node, check) sorted by key; groups are bounded."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = PARTS + 2
+        rest = np.empty((0, width), np.int64)
+        for batch in _with_end(batches):
+            if batch is None:
+                rows, ready = rest, len(rest)
+            else:
+                checks = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, PARTS)
+                ends = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], axis=1)
+                rows = np.concatenate([rest, np.concatenate([ends, checks], axis=1)])
+                last = np.flatnonzero(rows[1:, 0] != rows[:-1, 0])
+                ready = int(last[-1]) + 1 if len(last) else 0
+            if not ready:
+                rest = rows
+                continue
+            now, rest = rows[:ready], rows[ready:]
+            starts = np.flatnonzero(np.concatenate([[True], now[1:, 0] != now[:-1, 0]]))
+            sizes = np.diff(np.append(starts, ready))
+            left, right = [], []
+            for at, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+                bits = now[at:at + size, 2:].view(np.uint64)
+                open_ = np.arange(size)
+                while len(open_) > 1:                 # one component after the other, over its links
+                    reached, open_ = [open_[0]], open_[1:]
+                    while reached and len(open_):
+                        i = reached.pop()
+                        near = np.bitwise_count(bits[open_] ^ bits[i]).sum(axis=1, dtype=np.int64) <= distance
+                        left += [now[at + i, 1]] * int(near.sum())
+                        right += now[at + open_[near], 1].tolist()
+                        reached += open_[near].tolist()
+                        open_ = open_[~near]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (left, right)], ["a", "b"])
+    return run
+
+
+def _similar_links(nodes: DataFrame, distance: int) -> DataFrame:
+    """(a, b): links that connect the nodes (node, blocks, check) which share a block and differ in few bits.
+
+    Nodes meet on each of their 16-bit blocks. In a crowded block all members are first held against one of
+    them, in place; those near it are linked to it and settled. The rest meet on pairs of blocks, and so on.
+    """
+    rows = nodes.select("node", "blocks", "check", F.explode("blocks").alias("last"))
+    rows = rows.select("node", "blocks", "check", "last", F.col("last").alias("key"))
+    found = None
+    while True:
+        crowded = written(rows.groupBy("key").agg(
+            F.count("*").alias("n"), F.min_by("check", "node").alias("lead_check"), F.min("node").alias("lead"))
+            .where(F.col("n") > GROUP_ROWS), "crowded")
+        some = not crowded.isEmpty()
+        ready = rows.join(crowded.select("key"), "key", "left_anti") if some else rows
+        near = ready.select("key", "node", "check").repartition("key").sortWithinPartitions("key").mapInArrow(
+            _compare_long(distance), "a long, b long")
+        found = near if found is None else found.union(near)
+        if not some:
+            return found
+        differ = F.aggregate(F.zip_with("check", "lead_check", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        held = written(rows.join(crowded, "key").where("node <> lead").withColumn("near", differ <= distance), "held")
+        found = found.union(held.where("near").select(F.col("node").alias("a"), F.col("lead").alias("b")))
+        deeper = held.where("not near").select("node", "blocks", "check", "last", "key", F.explode("blocks").alias("next")).where("next > last")
+        rows = deeper.select("node", "blocks", "check", F.col("next").alias("last"), F.xxhash64("key", "next").alias("key"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, key: str = "doc_id", column: str = "text") -> DataFrame:
     """The documents, with all their columns, reduced to one of each group of near-duplicates.
 
-    The smallest key stays, NULL keys last, then the smaller hash of the text; of rows equal in both, one stays.
+    Texts are near-duplicates if their shingles of ``size`` words have a Jaccard similarity of ``similarity`` or more, read
+    off the differing bits of fingerprints of 512 bits. Such pairs differ in too many of 64 bits for
+    exact pigeonhole blocks, so there are 32 blocks of 16 bits, of which a pair at 0.8 shares about four. The
+    smallest key stays, NULL keys last, then the smaller hash of the text; of rows equal in both, one stays. NULL and
+    empty texts are copies of each other.
     """
-    rows = written(fingerprints(docs, size, key, column), "fingerprints")
+    rows = written(_long_fingerprints(docs, size, key, column).withColumn("node", F.xxhash64("blocks", "check")), "fingerprints")
     order = F.struct(F.col("key").isNull().alias("none"), "key", "text_hash")
-    first = rows.groupBy("fp").agg(F.min(order).alias("first"))
-    winners = first.join(_rooted(rows, distance), "fp").groupBy("root").agg(F.min("first").alias("w")).select(
+    nodes = written(rows.groupBy("node").agg(F.first("blocks").alias("blocks"), F.first("check").alias("check"),
+                                             F.min(order).alias("first")), "nodes")
+    roots = components(_similar_links(nodes, most_bits(similarity)))
+    rooted = nodes.select("node", "first").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+    winners = rooted.groupBy("root").agg(F.min("first").alias("w")).select(
         F.col("w.key").alias("_key"), F.col("w.text_hash").alias("_hash"))
-    kept = docs.join(winners, docs[key].eqNullSafe(winners["_key"]) & (F.xxhash64(docs[column]) == winners["_hash"]), "left_semi")
-    return kept.withColumn("_hash", F.xxhash64(column)).dropDuplicates([key, "_hash"]).drop("_hash")
+    hashed = docs.withColumn("_hash", F.xxhash64(F.col(column)))
+    kept = hashed.join(winners, hashed[key].eqNullSafe(winners["_key"]) & (hashed["_hash"] == winners["_hash"]), "left_semi")
+    return kept.dropDuplicates([key, "_hash"]).drop("_hash")

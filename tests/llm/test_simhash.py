@@ -33,6 +33,46 @@ def brute_components(items, near):
     return {i: find(i) for i in items}
 
 
+def five_words(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_keep_one_of_similar_texts(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(4000)]
+    rows, groups = [], {}
+    for g in range(40):
+        base = rng.choices(words, k=rng.randint(100, 400))
+        for c in range(rng.choice([1, 2, 5])):
+            text = list(base)
+            for _ in range(len(base) // 100 if c else 0):
+                text[rng.randrange(len(base))] = rng.choice(words)
+            rows.append((len(rows), " ".join(text), "x", 1))
+            groups.setdefault(g, []).append(len(rows) - 1)
+    rows += [(900, None, "x", 1), (901, "", "x", 1), (None, rows[0][1], "x", 1), rows[0]]
+    half = rows[3][1].split()
+    rows.append((902, " ".join(half[:len(half) // 2] + rng.choices(words, k=len(half) // 2)), "x", 1))      # half the text is another
+    want = sorted(g[0] for g in groups.values()) + [900, 902]
+    for limit in (simhash.GROUP_ROWS, 3):
+        monkeypatch.setattr(simhash, "GROUP_ROWS", limit)
+        kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA))
+        assert kept.columns == ["doc_id", "text", "fp", "mask"] and sorted(r.doc_id for r in kept.collect()) == want
+    assert simhash.keep_one(spark.createDataFrame(rows, SCHEMA).limit(0)).count() == 0
+
+
+def test_long_fingerprints_measure_similarity():
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}".encode() for _ in range(3000)]
+    for share in (0.005, 0.01, 0.02):
+        other = [w if rng.random() > share else b"new%d" % rng.randrange(10**6) for w in base]
+        a, b = five_words(b" ".join(base).decode()), five_words(b" ".join(other).decode())
+        bits = sum(((int(x) ^ int(y)) & (1 << 64) - 1).bit_count()
+                   for x, y in zip(simhash.long_fingerprint(base, 5), simhash.long_fingerprint(other, 5)))
+        jaccard = len(a & b) / len(a | b)
+        assert simhash.most_bits(min(1, jaccard + 0.06)) - 25 <= bits <= simhash.most_bits(jaccard - 0.06) + 10
+
+
 def check(spark, rows):
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
     got = simhash.near_duplicates(df).collect()
