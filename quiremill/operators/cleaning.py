@@ -195,9 +195,10 @@ def cleaning_totals(df: DataFrame, cleaned: DataFrame) -> DataFrame:
     counters = [F.sum(counter).alias(counter) for counter, _ in RULES.values() if counter in cleaned.columns]
     flags = [c for c in cleaned.columns if c.startswith("__anomaly_")]
     anomalies = [sum((F.count_if(c) for c in flags), F.lit(0)).alias("anomalies")] if flags else []
-    after = cleaned.agg(F.count(F.lit(1)).alias("rows_after"), *counters, *anomalies).withColumn("_one", F.lit(1))
-    before = df.agg(F.count(F.lit(1)).alias("rows_before")).withColumn("_one", F.lit(1))
-    return before.join(after, "_one").drop("_one")
+    after = cleaned.agg(F.count(F.lit(1)).alias("rows_after"), *counters, *anomalies)
+    before = df.agg(F.count(F.lit(1)).alias("rows_before"))
+    both = before.unionByName(after, allowMissingColumns=True)            # one row each
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 # --- quartiles and outliers ----------------------------------------------------------------------
