@@ -34,6 +34,9 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Any]]
                     yield from out.to_batches()
                 else:
                     yield out
+                out = None
+            batch = None
+            pa.default_memory_pool().release_unused()      # a worker is reused; it need not hold what it has read
     return df.mapInArrow(run, schema)
 
 

@@ -19,7 +19,7 @@ DICTIONARY_SHARE = 2e-5         # words that make up so much of the corpus are k
 SAMPLE_ROWS = 10_000            # labelled findings that the forest is fitted on: those of smallest hash
 BROADCAST_ROWS = 100_000        # neighbour words or documents; more are joined by a shuffle
 PRIOR_ROWS = 5.0                # weight of the overall share in a neighbour word's share
-FLUSH_WORDS = 400_000           # distinct words that a task holds before it passes counts on
+FLUSH_WORDS = 150_000           # distinct words that a task holds before it passes counts on
 MASK = "[SECRET]"
 
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}")

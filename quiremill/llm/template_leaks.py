@@ -17,7 +17,7 @@ WINDOW = 8                     # tokens of a window; an item with fewer is one w
 COVERAGE = 0.5                 # share of an item's windows that a document must hold
 BLOOM_BITS = 22                # the filter that spares the join most windows has a fixed size
 BROADCAST_WINDOWS = 200_000    # more benchmark windows are joined by a shuffle
-CACHE_TOKENS = 300_000         # distinct tokens whose templates a task keeps
+CACHE_TOKENS = 120_000         # distinct tokens whose templates a task keeps
 
 #: Words that are units after a number.
 UNITS = frozenset("""
