@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quiremill.session import scratch_path
+
 SLICE_ROWS = 1024      # rows of an Arrow batch that a worker handles at a time
 
 #: A word is a run of characters other than ASCII white space.
@@ -40,6 +42,13 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Any]]
     return df.mapInArrow(run, schema)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table in the shared folder, written with strong compression and read back: for large packed columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """Words of a text with A-Z in lower case, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
