@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -193,14 +193,17 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3, key: str
 # --- wider similarity --------------------------------------------------------------------
 
 PARTS = 8                    # 64-bit parts of a long fingerprint
+DEVIATIONS = 5               # pairs whose bits differ by more deviations than this are not verified
+SMALL_SET = 64               # sets with fewer shingles are verified whatever their bits
+SKETCH_BITS = 20             # shingles are counted in so many cells, as a power of two
+BROADCAST_NODES = 500_000    # more candidates meet their texts by a shuffle
 #: Odd multipliers that make the parts out of one hash of a shingle.
 _MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) | 1) & (1 << 64) - 1 for i in range(PARTS)], np.uint64)
 
 
-def long_fingerprint(words: list[bytes], size: int) -> np.ndarray:
-    """A SimHash of ``PARTS`` times 64 bits over word shingles; no word gives zeros."""
+def _long_bits(blocks: Iterable[np.ndarray]) -> np.ndarray:
     total, ones = 0, np.zeros((PARTS, 64), np.int64)
-    for hashes in shingle_hashes(words, size):
+    for hashes in blocks:
         total += len(hashes)
         for i, m in enumerate(_MULTIPLIERS):
             x = hashes * m
@@ -213,111 +216,213 @@ def long_fingerprint(words: list[bytes], size: int) -> np.ndarray:
     return np.packbits(ones * 2 > total, axis=1).view(np.int64).ravel()
 
 
-def most_bits(similarity: float) -> int:
-    """Differing bits of two long fingerprints whose shingle sets have this Jaccard similarity, and one deviation more."""
+def long_fingerprint(words: list[bytes], size: int) -> np.ndarray:
+    """A SimHash of ``PARTS`` times 64 bits over word shingles; no word gives zeros."""
+    return _long_bits(shingle_hashes(words, size))
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The different shingle hashes of a whole text, sorted; no word gives none."""
+    found = list(shingle_hashes(ascii_words(text), size))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def most_bits(similarity: float, deviations: float = 1) -> int:
+    """Differing bits of two long fingerprints whose shingle sets have this Jaccard similarity, and some deviations more."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * PARTS
-    return int(bits * share + math.sqrt(bits * share * (1 - share)))
+    return int(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
+
 
+def least_shared(size, similarity: float):
+    """Shingles that a set of ``size`` shares at least with any set of this Jaccard similarity to it."""
+    return np.ceil(size * similarity - 1e-9).astype(np.int64)
+
+
+def _frequencies(texts: DataFrame, size: int) -> np.ndarray:
+    """Texts that hold a shingle, at the low bits of its hash: never too few, and of a fixed size."""
+    cells = 1 << SKETCH_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(cells, np.int64)                  # one vector a task
+        for batch in batches:
+            for text in batch.column(0):
+                np.add.at(held, (shingle_set(text.as_py(), size) & np.uint64(cells - 1)).astype(np.int64), 1)
+        where = np.flatnonzero(held)
+        for at in range(0, len(where), BLOCK_SHINGLES):
+            part = where[at:at + BLOCK_SHINGLES]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(held[part])], ["at", "n"])
+
+    found = texts.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()     # at most 2**SKETCH_BITS rows
+    counts = np.zeros(cells, np.int64)
+    counts[found["at"].to_numpy(int)] = found["n"].to_numpy()
+    return counts
+
+
+def _signatures(docs: DataFrame, size: int, similarity: float, key: str, column: str) -> DataFrame:
+    """(key, text_hash, node, size, check, keys) of every text, all but the first two of its set of shingles.
+
+    ``node`` is a hash of the set, ``check`` its long fingerprint. ``keys`` are so many of its rarest shingles that any two
+    sets of ``similarity`` or more have one in common, whatever the corpus: fewer than ``least_shared`` are left out.
+    """
+    counts = docs.sparkSession.sparkContext.broadcast(_frequencies(docs.select(column), size))      # a fixed size
 
-def _long_fingerprints(docs: DataFrame, size: int, key: str, column: str) -> DataFrame:
-    """(key, text_hash, blocks, check): block keys of three-word shingles, and the fingerprint of ``size`` words."""
     def make():
+        often = counts.value
+
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            blocks, checks = [], []
+            nodes, sizes, checks, keys = [], [], [], []
             for text in batch.column(2):
-                words = ascii_words(text.as_py())
-                parts = long_fingerprint(words, 3).view(np.uint16)
-                blocks.append(np.arange(len(parts), dtype=np.int64) << 16 | parts)
-                checks.append(long_fingerprint(words, size))
+                grams = shingle_set(text.as_py(), size)
+                n = len(grams)
+                nodes.append(xxhash.xxh64_intdigest(grams.tobytes()))
+                sizes.append(n)
+                checks.append(_long_bits(grams[at:at + BLOCK_SHINGLES] for at in range(0, n, BLOCK_SHINGLES)))
+                order = np.lexsort((grams, often[(grams & np.uint64(len(often) - 1)).astype(np.int64)]))
+                keys.append(grams[order[:n - int(least_shared(n, similarity)) + 1]].view(np.int64))
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(blocks, pa.list_(pa.int64())), pa.array(checks, pa.list_(pa.int64()))],
-                ["key", "text_hash", "blocks", "check"])
+                [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()),
+                 pa.array(checks, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
+                ["key", "text_hash", "node", "size", "check", "keys"])
         return work
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("key"), F.xxhash64(docs[column]).alias("text_hash"), docs[column].alias("text"))
-    return arrow_map(rows, make, f"key {kind}, text_hash long, blocks array<long>, check array<long>")
+    return arrow_map(rows, make, f"key {kind}, text_hash long, node long, size int, check array<long>, keys array<long>")
+
+
+def _with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, lead) of rows (key, node) sorted by both: every node of a key but its first, beside the first; no group is held."""
+    held: tuple[int, int, int] | None = None              # key, node and lead of the last row
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        new = np.concatenate([[held is None or held[0] != key[0]], key[1:] != key[:-1]])
+        again = ~new & np.concatenate([[held is not None and held[1] == node[0]], node[1:] == node[:-1]])
+        run = np.cumsum(new)
+        leads = np.concatenate([[held[2] if held else 0], node[new]])[run]
+        held = (key[-1], node[-1], leads[-1])
+        pick = ~new & ~again
+        yield pa.RecordBatch.from_arrays([pa.array(x[pick]) for x in (key, node, leads)], ["key", "node", "lead"])
 
 
-def _compare_long(distance: int):
-    """Links within groups of rows (key, node, check) sorted by key; groups are bounded."""
+def _compare_parts(similarity: float):
+    """Candidates (a, b) of other labels within groups of rows (key, low, high, part, node, label, size, check) sorted by the first three."""
+    bound = most_bits(similarity, DEVIATIONS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = PARTS + 2
+        width = 7 + PARTS
         rest = np.empty((0, width), np.int64)
         for batch in _with_end(batches):
             if batch is None:
                 rows, ready = rest, len(rest)
             else:
-                checks = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, PARTS)
-                ends = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], axis=1)
-                rows = np.concatenate([rest, np.concatenate([ends, checks], axis=1)])
-                last = np.flatnonzero(rows[1:, 0] != rows[:-1, 0])
+                checks = batch.column(7).flatten().to_numpy(zero_copy_only=False).reshape(-1, PARTS)
+                front = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7)], axis=1)
+                rows = np.concatenate([rest, np.concatenate([front, checks], axis=1)])
+                last = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1))
                 ready = int(last[-1]) + 1 if len(last) else 0
             if not ready:
                 rest = rows
                 continue
             now, rest = rows[:ready], rows[ready:]
-            starts = np.flatnonzero(np.concatenate([[True], now[1:, 0] != now[:-1, 0]]))
-            sizes = np.diff(np.append(starts, ready))
-            left, right = [], []
-            for at, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-                bits = now[at:at + size, 2:].view(np.uint64)
-                open_ = np.arange(size)
-                while len(open_) > 1:                 # one component after the other, over its links
-                    reached, open_ = [open_[0]], open_[1:]
-                    while reached and len(open_):
-                        i = reached.pop()
-                        near = np.bitwise_count(bits[open_] ^ bits[i]).sum(axis=1, dtype=np.int64) <= distance
-                        left += [now[at + i, 1]] * int(near.sum())
-                        right += now[at + open_[near], 1].tolist()
-                        reached += open_[near].tolist()
-                        open_ = open_[~near]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (left, right)], ["a", "b"])
+            starts = np.flatnonzero(np.concatenate([[True], (now[1:, :3] != now[:-1, :3]).any(axis=1)]))
+            for at, stop in zip(starts.tolist(), [*starts[1:].tolist(), ready]):
+                group = now[at:stop]
+                one = group[group[:, 3] == group[:, 1]]
+                other = one if group[0, 1] == group[0, 2] else group[group[:, 3] == group[:, 2]]
+                node, label, size, bits = other[:, 4], other[:, 5], other[:, 6], other[:, 7:].view(np.uint64)
+                for i, row in enumerate(one):
+                    pick = label != row[5]
+                    if other is one:
+                        pick[:i + 1] = False
+                    pick &= np.minimum(size, row[6]) >= least_shared(np.maximum(size, row[6]), similarity)
+                    where = np.flatnonzero(pick)
+                    if not len(where):
+                        continue
+                    differ = np.bitwise_count(bits[where] ^ row[7:].view(np.uint64)).sum(axis=1, dtype=np.int64)
+                    where = where[(differ <= bound) | (np.minimum(size[where], row[6]) < SMALL_SET)]
+                    if len(where):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.maximum(node[where], row[4])), pa.array(np.minimum(node[where], row[4]))], ["a", "b"])
     return run
 
 
-def _similar_links(nodes: DataFrame, distance: int) -> DataFrame:
-    """(a, b): links that connect the nodes (node, blocks, check) which share a block and differ in few bits.
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float, column: str) -> DataFrame:
+    """(a, b): the pairs of nodes whose sets of shingles, read again from their texts, have the Jaccard similarity."""
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+                     .select("node", F.col("text_hash").alias("_text_hash")), "candidate_nodes")
+    texts = docs.select(F.xxhash64(docs[column]).alias("_text_hash"), docs[column].alias("text"))
+    texts = texts.join(F.broadcast(needed) if needed.count() <= BROADCAST_NODES else needed, "_text_hash").select("node", "text")
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_set(t.as_py(), size).view(np.int64) for t in batch.column(1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "grams"])
+
+    grams = written(arrow_map(texts, lambda: sets, "node long, grams array<long>").dropDuplicates(["node"]), "candidate_sets")
+    both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(
+        grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
+
+    def exact(batch: pa.RecordBatch) -> pa.RecordBatch:
+        good = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            x, y = (v.values.to_numpy(zero_copy_only=False) for v in (x, y))
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            good.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+        return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return written(arrow_map(both, lambda: exact, "a long, b long"), "links")
 
-    Nodes meet on each of their 16-bit blocks. In a crowded block all members are first held against one of
-    them, in place; those near it are linked to it and settled. The rest meet on pairs of blocks, and so on.
+
+def _similar_links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float, column: str) -> DataFrame:
+    """(a, b): links that connect the nodes of exact Jaccard similarity ``similarity`` or more.
+
+    Such nodes share a key. First the nodes of each key are held against its first one. Nodes that these links connect
+    need no further link; all other pairs of a key are compared after that, the connected ones as partners of the rest.
+    A key of more than ``GROUP_ROWS`` nodes is split into parts, and every two parts meet in a task of their own.
+    Fingerprints only spare pairs ``DEVIATIONS`` deviations beyond the similarity; each link is verified on the shingles.
     """
-    rows = nodes.select("node", "blocks", "check", F.explode("blocks").alias("last"))
-    rows = rows.select("node", "blocks", "check", "last", F.col("last").alias("key"))
-    found = None
-    while True:
-        crowded = written(rows.groupBy("key").agg(
-            F.count("*").alias("n"), F.min_by("check", "node").alias("lead_check"), F.min("node").alias("lead"))
-            .where(F.col("n") > GROUP_ROWS), "crowded")
-        some = not crowded.isEmpty()
-        ready = rows.join(crowded.select("key"), "key", "left_anti") if some else rows
-        near = ready.select("key", "node", "check").repartition("key").sortWithinPartitions("key").mapInArrow(
-            _compare_long(distance), "a long, b long")
-        found = near if found is None else found.union(near)
-        if not some:
-            return found
-        differ = F.aggregate(F.zip_with("check", "lead_check", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        held = written(rows.join(crowded, "key").where("node <> lead").withColumn("near", differ <= distance), "held")
-        found = found.union(held.where("near").select(F.col("node").alias("a"), F.col("lead").alias("b")))
-        deeper = held.where("not near").select("node", "blocks", "check", "last", "key", F.explode("blocks").alias("next")).where("next > last")
-        rows = deeper.select("node", "blocks", "check", F.col("next").alias("last"), F.xxhash64("key", "next").alias("key"))
+    keys = rows.select(F.explode("keys").alias("key"), "node")
+    stars = written(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(
+        _with_first, "key long, node long, lead long"), "stars")
+    facts = nodes.select("node", "size", "check")
+    pairs = stars.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(facts.select(F.col("node").alias(end), F.col("size").alias(f"{end}_size"), F.col("check").alias(f"{end}_check")), end)
+    differ = F.aggregate(F.zip_with("a_check", "b_check", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    small = F.least("a_size", "b_size")
+    pairs = written(pairs.where(small >= F.greatest("a_size", "b_size") * similarity - 1e-9).where(
+        (small < SMALL_SET) | (differ <= most_bits(similarity, DEVIATIONS))).select("a", "b"), "candidates")
+    found = _verified(pairs, nodes, docs, size, similarity, column)
+
+    labels = written(components(found).withColumnRenamed("root", "label"), "labels")
+    members = stars.select("key", "node").union(stars.select("key", "lead").distinct())
+    members = written(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "members")
+    open_ = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    open_ = open_.where("low <> high").select("key", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("parts"))
+    split = members.join(open_, "key").join(facts, "node").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    split = split.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "label", "size", "check")
+    split = split.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    pairs = written(split.mapInArrow(_compare_parts(similarity), "a long, b long").distinct(), "candidates")
+    return found.union(_verified(pairs, nodes, docs, size, similarity, column))
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, key: str = "doc_id", column: str = "text") -> DataFrame:
     """The documents, with all their columns, reduced to one of each group of near-duplicates.
 
-    Texts are near-duplicates if their shingles of ``size`` words have a Jaccard similarity of ``similarity`` or more, read
-    off the differing bits of fingerprints of 512 bits. Such pairs differ in too many of 64 bits for
-    exact pigeonhole blocks, so there are 32 blocks of 16 bits, of which a pair at 0.8 shares about four. The
+    Texts are near-duplicates if their sets of shingles of ``size`` words have a Jaccard similarity of ``similarity`` or more, or
+    if such pairs connect them. Texts meet on their rarest shingles, as many as such a pair cannot miss; long fingerprints
+    spare far pairs, and every link is verified on the sets. The
     smallest key stays, NULL keys last, then the smaller hash of the text; of rows equal in both, one stays. NULL and
     empty texts are copies of each other.
     """
-    rows = written(_long_fingerprints(docs, size, key, column).withColumn("node", F.xxhash64("blocks", "check")), "fingerprints")
+    rows = written(_signatures(docs, size, similarity, key, column), "signatures")
     order = F.struct(F.col("key").isNull().alias("none"), "key", "text_hash")
-    nodes = written(rows.groupBy("node").agg(F.first("blocks").alias("blocks"), F.first("check").alias("check"),
-                                             F.min(order).alias("first")), "nodes")
-    roots = components(_similar_links(nodes, most_bits(similarity)))
+    nodes = written(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("check").alias("check"),
+                                             F.min("text_hash").alias("text_hash"), F.min(order).alias("first")), "nodes")
+    roots = components(_similar_links(rows, nodes, docs, size, similarity, column))
     rooted = nodes.select("node", "first").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     winners = rooted.groupBy("root").agg(F.min("first").alias("w")).select(
         F.col("w.key").alias("_key"), F.col("w.text_hash").alias("_hash"))

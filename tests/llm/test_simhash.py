@@ -61,6 +61,37 @@ def test_keep_one_of_similar_texts(spark, monkeypatch):
     assert simhash.keep_one(spark.createDataFrame(rows, SCHEMA).limit(0)).count() == 0
 
 
+def test_keep_one_at_the_border_and_in_crowded_keys(spark, monkeypatch):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(50000)]
+    texts = []
+    for k in range(300):                  # appended, cut off or replaced in one run: similarities from 0.78 to 0.85
+        base = rng.choices(words, k=rng.randint(150, 500))
+        new = rng.choices(words, k=round(len(base) * (1 / rng.uniform(0.78, 0.85) - 1)))
+        at = rng.randrange(len(base) - len(new))
+        other = [base + new, base[len(new):], base[:at] + new[:len(new) // 2] + base[at + len(new) // 2:]][k % 3]
+        texts += [" ".join(base), " ".join(other)]
+    passage = rng.choices(words, k=60)
+    for _ in range(40):                   # one passage in all; chains in which only neighbours are similar
+        text = passage + rng.choices(words, k=40)
+        for _ in range(3):
+            texts.append(" ".join(text))
+            text = text[:60] + text[68:] + rng.choices(words, k=8)
+    texts += [" ".join(passage[:k]) for k in range(5, 60)]
+    shingles = [five_words(t) for t in texts]
+    holders = {}
+    for i, s in enumerate(shingles):
+        for x in s:
+            holders.setdefault(x, set()).add(i)
+    met = {i: set().union(*(holders[x] for x in s)) for i, s in enumerate(shingles)}
+    near = lambda i, j: j in met[i] and 5 * len(shingles[i] & shingles[j]) >= 4 * len(shingles[i] | shingles[j])
+    want = sorted(set(brute_components(range(len(texts)), near).values()))
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], SCHEMA)
+    for limit in (simhash.GROUP_ROWS, 4):
+        monkeypatch.setattr(simhash, "GROUP_ROWS", limit)
+        assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == want
+
+
 def test_long_fingerprints_measure_similarity():
     rng = random.Random(5)
     base = [f"w{rng.randrange(10**6)}".encode() for _ in range(3000)]
