@@ -15,7 +15,7 @@ from quiremill.llm.common import arrow_map
 DIMS = 1 << 15                 # hashed n-gram features
 BLOCK_CHARS = 1 << 20          # characters whose n-grams are counted at a time
 UNKNOWN = "und"
-#: Rows of each language that the model is fitted on.
+#: Different texts of each language that the model is fitted on.
 SAMPLE_ROWS = 500
 
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
@@ -116,8 +116,8 @@ def train(docs: DataFrame, label: str = "lang", column: str = "text", rows_per_l
     """Fit on labelled rows; rows with a NULL label or without a letter are left out.
 
     Document frequencies of n-grams are counted over all labelled rows. The weights are fitted on at most
-    ``rows_per_language`` whole texts of each language, those with the smallest hash of
-    the text; one in five of them only sets the temperature.
+    ``rows_per_language`` different whole texts of each language, those with the smallest hash of
+    the text; one in five of them only sets the temperature, unless its language has no other.
     """
     rows = docs.select(docs[label].alias("lang"), docs[column].alias("text")).where("lang is not null and text is not null")
 
@@ -139,15 +139,12 @@ def train(docs: DataFrame, label: str = "lang", column: str = "text", rows_per_l
     model = LanguageModel(languages, idf, np.zeros((DIMS, len(languages))), np.zeros(len(languages)))
     if not languages:
         return model
-    # About twice the rows needed pass by their hash, whatever the size of the corpus; then the smallest are taken.
-    spark = docs.sparkSession
-    share = spark.createDataFrame(
-        [(k, min(1.0, 2 * rows_per_language / n)) for k, n in sizes.items()], "lang string, share double")
+    # Copies count once; the smallest hashes are kept in every task before they meet, and only their texts are read.
     hashed = rows.withColumn("h", F.xxhash64("text"))
-    near = hashed.join(F.broadcast(share), "lang").where(
-        F.pmod("h", F.lit(1_000_003)) < F.col("share") * 1_000_003)
-    order = W.partitionBy("lang").orderBy("h", "text")
-    sample = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows_per_language)
+    order = W.partitionBy("lang").orderBy("h")
+    chosen = hashed.select("lang", "h").distinct().withColumn("place", F.row_number().over(order)).where(
+        F.col("place") <= rows_per_language).select("lang", "h")
+    sample = hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def sparse(batch: pa.RecordBatch) -> pa.RecordBatch:
         pairs = [tf_idf(ngram_counts(t.as_py()), idf) if has_letter(t.as_py()) else ([], []) for t in batch.column(1)]
@@ -161,6 +158,9 @@ def train(docs: DataFrame, label: str = "lang", column: str = "text", rows_per_l
     for r in sorted(taken.toPandas().itertuples(), key=lambda r: (r.h, r.lang)):
         if len(r.at):
             (held if r.h % 5 == 0 else fit).append((np.asarray(r.at), np.asarray(r.x, float), number[r.lang]))
+    fitted = {y for _, _, y in fit}
+    fit += [r for r in held if r[2] not in fitted]
+    held = [r for r in held if r[2] in fitted]
     model.weights, model.bias = fit_ftrl(fit, len(languages))
     model.temperature = fit_temperature([model.logits(at, x) for at, x, _ in held], [y for _, _, y in held])
     return model

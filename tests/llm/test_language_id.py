@@ -60,6 +60,21 @@ def test_document_frequencies_cover_all_rows(spark):
     assert np.allclose(model.idf, want)
 
 
+def test_language_of_few_texts_and_many_copies(spark):
+    rng = random.Random(8)
+    many = {" ".join(rng.choices(["der", "und", "schön", "nicht"], k=12)) for _ in range(300)}
+    few = [" ".join(rng.choices(["the", "of", "and", "thing"], k=9)) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in few], "text string")
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) h").collect()}
+    few = [t for t in few if hashes[t] % 1_000_003 > 200_000][:6]       # none of them passed when rows were drawn
+    hot = min(many, key=lambda t: spark.sql("select xxhash64(:t)", args={"t": t}).first()[0])
+    rows = [(t, "aa") for t in few * 100] + [(t, "bb") for t in [*many, *[hot] * 300]] + [("él que año ción", "cc")] * 200
+    docs = spark.createDataFrame([(i, t, lang, 0.0, "") for i, (t, lang) in enumerate(rows)], SCHEMA)
+    model = L.train(docs, rows_per_language=20)
+    got = {r.doc_id: r.lang_pred for r in L.identify(docs, model).collect()}
+    assert [got[i] for i in range(len(rows))] == [lang for _, lang in rows]
+
+
 def test_temperature_calibrates():
     rng = np.random.default_rng(0)
     labels = rng.integers(0, 2, 4000)
