@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3, key: str
 PARTS = 8                    # 64-bit parts of a long fingerprint
 DEVIATIONS = 5               # pairs whose bits differ by more deviations than this are not verified
 SMALL_SET = 64               # sets with fewer shingles are verified whatever their bits
-SKETCH_BITS = 20             # shingles are counted in so many cells, as a power of two
+SKETCH_BITS = 19             # shingles are counted in so many cells, as a power of two
 BROADCAST_NODES = 500_000    # more candidates meet their texts by a shuffle
 #: Odd multipliers that make the parts out of one hash of a shingle.
 _MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) | 1) & (1 << 64) - 1 for i in range(PARTS)], np.uint64)
@@ -253,9 +253,9 @@ def _frequencies(texts: DataFrame, size: int) -> np.ndarray:
             part = where[at:at + BLOCK_SHINGLES]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(held[part])], ["at", "n"])
 
-    found = texts.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()     # at most 2**SKETCH_BITS rows
+    found = texts.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()     # at most 2**SKETCH_BITS rows
     counts = np.zeros(cells, np.int64)
-    counts[found["at"].to_numpy(int)] = found["n"].to_numpy()
+    counts[found["at"].to_numpy()] = found["n"].to_numpy()
     return counts
 
 
