@@ -7,7 +7,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiremill.llm import backtrack_bpe, brown_lm, html_text, imatch, language_id, secret_scan, simhash, template_leaks, token_trees, url_filter
+from quiremill.llm import backtrack_bpe, brown_lm, collocations, html_text, imatch, language_id, secret_scan, simhash, template_leaks, token_trees, url_filter
 from quiremill.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,40 @@ def op2_edit_aware_counts(spark: SparkSession, folder: str) -> DataFrame:
     trees = token_trees.build_trees(docs, path).withColumn("edits", sample_edits(F.col("text")))
     done = token_trees.apply_edits(trees, path)
     return done.select("doc_id", "n_tokens", "n_tokens_edited", "n_pieces", "n_reencoded", F.sha2("text", 256).alias("edited_sha256"))
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """Phrases of two and three words that belong together, by language."""
+    return collocations.collocations(table(spark, folder, "documents"), least=10, longest=3, inside=50, top=2000)
+
+
+#: Lower case of A-Z only.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op13_phrase_collocations"] = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS g
+  FROM words, (VALUES (1), (2), (3)) AS sizes(k)),
+f AS MATERIALIZED (SELECT lang, k, g, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+candidates AS MATERIALIZED (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM f WHERE k > 1),
+parts AS MATERIALIZED (
+  SELECT *, array_to_string(w[1:cut], ' ') AS first, array_to_string(w[cut + 1:k], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates)),
+cuts AS (
+  SELECT p.*, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM parts p JOIN f x ON x.lang = p.lang AND x.g = p.first JOIN f y ON y.lang = p.lang AND y.g = p.rest),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+inner_pairs AS (
+  SELECT lang, pair, max(a) AS within
+  FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS pair FROM candidates WHERE k = 3) GROUP BY ALL),
+kept AS (
+  SELECT m.* FROM lowest m LEFT JOIN inner_pairs i ON i.lang = m.lang AND i.pair = m.g
+  WHERE within IS NULL OR 100 * within < 50 * m.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept)
+SELECT r.lang, rank, g AS phrase, a, l, r.r, n, score::BIGINT AS score
+FROM ranked r JOIN totals USING (lang) WHERE rank <= 2000"""
