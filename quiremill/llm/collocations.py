@@ -18,8 +18,8 @@ NO_LANG = "und"
 MAP_BITS = 26                # bits of a filter of words or phrases, as a power of two: 8 MB
 POOL = 1 << 20               # text positions that are numbered or reduced together
 HELD_WORDS = 400_000         # different words whose counts a task holds
-TRIE_PHRASES = 1 << 19       # candidates of one trie
-TRIES_AT_ONCE = 4            # tries that are broadcast for one pass over the text
+TRIE_PHRASES = 1 << 18       # candidates of one trie
+TRIES_AT_ONCE = 8            # tries that are broadcast for one pass over the text
 UNIT = 1024                  # a word's number is read by a trie as two units below this
 SPLIT = 64                   # first ranks are taken in so many parts of a language
 
@@ -199,60 +199,79 @@ def _candidates(size: int, maps):
 
 # --- tries --------------------------------------------------------------------------------
 
+def _bases_wide(nodes: list[np.ndarray], free: np.ndarray, first: int, rng: np.random.Generator) -> list[int]:
+    """A base for every node, one after the other: of many next to a random one, the first at which all its units fall on free places."""
+    span, out = np.arange(512), []
+    for units in nodes:
+        while True:
+            at = int(rng.integers(first, len(free) - UNIT - len(span)))
+            fits = free[at + units[0] + span]
+            for u in units[1:].tolist():
+                fits &= free[at + u + span]
+            if fits.any():
+                break
+        at += int(fits.argmax())
+        free[at + units] = False
+        out.append(at)
+    return out
+
+
+def _bases_narrow(units: np.ndarray, free: np.ndarray, first: int, rng: np.random.Generator) -> np.ndarray:
+    """A base for every node of the same few units: all try a random one at once, those that meet no other keep it."""
+    out, left = np.zeros(len(units), np.int64), np.arange(len(units))
+    owner = np.full(len(free), -1, np.int64)
+    while len(left):
+        base = rng.integers(first, len(free) - UNIT, len(left))
+        places = base[:, None] + units[left]
+        fits = np.flatnonzero(free[places].all(axis=1))
+        owner[places[fits]] = fits[:, None]
+        fits = fits[(owner[places[fits]] == fits[:, None]).all(axis=1)]
+        free[places[fits]] = False
+        out[left[fits]] = base[fits]
+        left = np.delete(left, fits)
+    return out
+
+
 def build_trie(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(base, check, ends) of a double-array trie over distinct rows of units below ``UNIT``.
 
     From state s, unit u leads to t = base[s] + u if check[t] = s. State 0 is the root; ``ends`` has each row's last state.
+    Nodes with several children are placed in a region of their level that stays mostly free, the widest first; a lone child then
+    takes any free place.
     """
-    rows, depth = units.shape
-    room = 2 * rows * depth + 64 * UNIT
-    free, base, check = np.ones(room, bool), np.zeros(room, np.int32), np.full(room, -1, np.int32)
-    free[0] = False
-    state = np.zeros(rows, np.int64)
-    head, misses, span = 1, 0, np.arange(512)
-    for level in range(depth):
+    rng = np.random.default_rng(0)
+    state, free = np.zeros(len(units), np.int64), np.zeros(1, bool)
+    edges_of = []
+    for level in range(units.shape[1]):
         edges, back = np.unique(state * UNIT + units[:, level], return_inverse=True)
         parent, unit = edges // UNIT, edges % UNIT
-        starts = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]])) if len(edges) else np.zeros(0, np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
         sizes = np.diff(np.append(starts, len(edges)))
-        target = np.zeros(len(edges), np.int64)
-        for i in np.argsort(-sizes, kind="stable")[:int((sizes > 1).sum())].tolist():       # the widest nodes first
-            mine = unit[starts[i]:starts[i] + sizes[i]]
-            at = head
-            while True:
-                if at + UNIT + len(span) >= len(free):
-                    more = len(free)
-                    free = np.concatenate([free, np.ones(more, bool)])
-                    base = np.concatenate([base, np.zeros(more, np.int32)])
-                    check = np.concatenate([check, np.full(more, -1, np.int32)])
-                fits = free[at + mine[0] + span]
-                for u in mine[1:].tolist():
-                    fits &= free[at + u + span]
-                if fits.any():
-                    break
-                misses += at == head
-                at += len(span)
-            if misses > 64:
-                head, misses = head + len(span), 0
-            at += int(fits.argmax())
-            base[parent[starts[i]]] = at
-            target[starts[i]:starts[i] + sizes[i]] = at + mine
-            free[at + mine] = False
-        single = starts[sizes == 1]                       # a lone child takes any free place
-        spare = np.flatnonzero(free[UNIT:])[:len(single)] + UNIT
-        if len(spare) < len(single):
-            more = 2 * len(single) + UNIT
-            spare = np.concatenate([spare, np.arange(len(free), len(free) + len(single) - len(spare))])
+        base = np.zeros(len(starts), np.int64)
+        first = len(free)
+        free = np.concatenate([free, np.ones(4 * int(sizes[sizes > 1].sum()) + 4 * UNIT, bool)])
+        wide = np.flatnonzero(sizes > 16)
+        wide = wide[np.argsort(-sizes[wide], kind="stable")]
+        base[wide] = _bases_wide([unit[starts[i]:starts[i] + sizes[i]] for i in wide.tolist()], free, first, rng)
+        for size in range(16, 1, -1):
+            some = np.flatnonzero(sizes == size)
+            base[some] = _bases_narrow(unit[starts[some][:, None] + np.arange(size)], free, first, rng)
+        lone = np.flatnonzero(sizes == 1)
+        spare = np.flatnonzero(free[UNIT:])[:len(lone)] + UNIT
+        if len(spare) < len(lone):
+            more = len(lone) - len(spare)
+            spare = np.concatenate([spare, np.arange(len(free), len(free) + more)])
             free = np.concatenate([free, np.ones(more, bool)])
-            base = np.concatenate([base, np.zeros(more, np.int32)])
-            check = np.concatenate([check, np.full(more, -1, np.int32)])
-        base[parent[single]] = spare - unit[single]
-        target[single] = spare
+        base[lone] = spare - unit[starts[lone]]
         free[spare] = False
-        check[target] = parent
+        target = np.repeat(base, sizes) + unit
+        edges_of.append((parent[starts], base, target, parent))
         state = target[back.ravel()]
     used = int(np.flatnonzero(~free)[-1]) + 1
-    return base[:used], np.concatenate([check[:used], np.full(UNIT, -1, np.int32)]), state
+    bases, check = np.zeros(used, np.int32), np.full(used + UNIT, -1, np.int32)
+    for nodes, base, target, parent in edges_of:
+        bases[nodes], check[target] = base, parent
+    return bases, check, state
 
 
 def _tries(size: int):
