@@ -7,7 +7,8 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiremill.llm import backtrack_bpe, brown_lm, collocations, html_text, imatch, language_id, secret_scan, simhash, template_leaks, token_trees, url_filter
+from quiremill.llm import (backtrack_bpe, brown_lm, collocations, html_text, imatch, language_id, ranked_search, secret_scan, simhash, template_leaks,
+                           token_trees, url_filter, vector_packing)
 from quiremill.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +145,41 @@ kept AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept)
 SELECT r.lang, rank, g AS phrase, a, l, r.r, n, score::BIGINT AS score
 FROM ranked r JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
+@query
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
+
+
+_TERMS = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+SQL["op11_ranked_search"] = f"""
+WITH asked AS (
+  SELECT item_id, term, count(*) AS repeats
+  FROM (SELECT item_id, unnest({_TERMS.format("text")}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+cut AS (SELECT doc_id, {_TERMS.format("text")} AS words FROM documents WHERE text IS NOT NULL),
+lengths AS (SELECT doc_id, len(words)::BIGINT AS n, words FROM cut WHERE len(words) > 0),
+corpus AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM lengths),
+held AS (
+  SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(words) AS term FROM lengths)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM held, corpus GROUP BY term, docs),
+impacts AS (
+  SELECT doc_id, h.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // length))) AS impact
+  FROM held h JOIN weights USING (term), corpus),
+scores AS (
+  SELECT item_id, doc_id, sum(repeats * impact)::BIGINT AS score FROM asked JOIN impacts USING (term) GROUP BY ALL HAVING sum(repeats * impact) > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores QUALIFY rank <= 10"""
+
+
+@query
+def op12_vector_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sixteen shards of near equal bytes, tokens and rows."""
+    found = vector_packing.pack(table(spark, folder, "documents"), shards=16)
+    return found.select(
+        "doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
