@@ -16,10 +16,11 @@ from quiremill.session import written
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"      # end a piece
 NO_LANG = "und"
 MAP_BITS = 26                # bits of a filter of words or phrases, as a power of two: 8 MB
-POOL = 1 << 20               # text positions that are numbered or reduced together
+POOL = 1 << 19               # text positions that are numbered together
+CELLS = 1 << 21              # phrases that a task counts by hash before it passes them on
 HELD_WORDS = 400_000         # different words whose counts a task holds
 TRIE_PHRASES = 1 << 18       # candidates of one trie
-TRIES_AT_ONCE = 8            # tries that are broadcast for one pass over the text
+TRIES_AT_ONCE = 3            # tries that are broadcast for one pass over the text
 UNIT = 1024                  # a word's number is read by a trie as two units below this
 SPLIT = 64                   # first ranks are taken in so many parts of a language
 
@@ -118,6 +119,8 @@ def _each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         words, codes = batch.column(0), batch.column(1)
         for i in range(batch.num_rows):
             yield words[i].values.to_numpy().view(np.uint64), codes[i].values.to_numpy()
+        batch = words = codes = None
+        pa.default_memory_pool().release_unused()
 
 
 # --- the filter ---------------------------------------------------------------------------
@@ -173,7 +176,7 @@ def _cells(size: int, maps):
         for words, codes in _each_chunk(batches):
             parts.append(_windows(words, codes, size, maps.value)[1])
             held += len(parts[-1])
-            if held >= 2 * POOL:
+            if held >= CELLS:
                 yield flush()
                 parts, held = [], 0
         if parts:
@@ -295,9 +298,9 @@ def _walk(trie: tuple[np.ndarray, np.ndarray, np.ndarray], words: np.ndarray, co
     number[number == len(known)] = 0
     number[known[number] != words.view(np.int64)] = -1
     number[0] = -1                                        # a break
-    symbol = number[codes]
-    at = np.arange(len(symbol) - size + 1)
-    state = np.zeros(len(at), np.int64)
+    symbol = number.astype(np.int32)[codes]
+    at = np.arange(len(symbol) - size + 1, dtype=np.int32)
+    state = np.zeros(len(at), np.int32)
     for k in range(size):
         now = symbol[at + k]
         live = now >= 0
