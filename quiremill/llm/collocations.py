@@ -164,13 +164,13 @@ def _windows(words: np.ndarray, codes: np.ndarray, size: int, maps: list[np.ndar
     raise ValueError("a phrase has two words at least")
 
 
-def _cells(size: int, maps):
-    """(cell, n): phrases that may be frequent, counted by their hash."""
+def _cells(size: int, maps, bits: int):
+    """(cell, n): phrases that may be frequent, counted by some bits of their hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
 
         def flush() -> pa.RecordBatch:
-            cells, n = np.unique(np.concatenate(parts), return_counts=True)
+            cells, n = np.unique(np.concatenate(parts) & np.uint64((1 << bits) - 1), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(cells.view(np.int64)), pa.array(n, pa.int64())], ["cell", "n"])
 
         for words, codes in _each_chunk(batches):
@@ -378,10 +378,12 @@ def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3, text: s
     counts = rows.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = written(counts.where((F.col("n") >= least) | (F.col("word") == "")).select("lang", "word", F.xxhash64("lang", "word").alias("h"), "n"), "words")
     chunks = stored(rows.mapInArrow(_chunks(bit_map(words.where("word <> ''"), "h"), spark), "words array<long>, codes array<int>"), "chunks")
+    total = words.where("word = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = max(MAP_BITS, min(64, int(total).bit_length() + 6))           # far more cells than phrases, at any size
     maps, phrases = [], {}
     for size in range(2, longest + 1):
         names = _names(size)
-        cells = chunks.mapInArrow(_cells(size, spark.sparkContext.broadcast(list(maps))), "cell long, n long")
+        cells = chunks.mapInArrow(_cells(size, spark.sparkContext.broadcast(list(maps)), bits), "cell long, n long")
         cells = cells.groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         maps.append(bit_map(cells, "cell"))
         found = chunks.mapInArrow(_candidates(size, spark.sparkContext.broadcast(list(maps))), ", ".join(f"{n} long" for n in names))
