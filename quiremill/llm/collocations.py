@@ -414,26 +414,30 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, inside: int
     found, covered = None, None
     for size in range(longest, 1, -1):
         names = _names(size)
-        rows = phrases[size]
+        rows = phrases[size].join(known.select("lang", F.col("h").alias("w1"), F.col("n").alias("l1")), "w1")
         for k in range(1, size):                          # the counts of the parts of every cut
             left, right = names[:k], names[k:]
-            rows = rows.join(parts[k].withColumnRenamed("a", f"l{k}"), left)
+            if k > 1:
+                rows = rows.join(parts[k].withColumnRenamed("a", f"l{k}"), left)
             rows = rows.join(parts[size - k].select(*(F.col(a).alias(b) for a, b in zip(_names(size - k), right)), F.col("a").alias(f"r{k}")), right)
         cuts = [F.struct(_score("a", f"l{k}", f"r{k}").alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r"))
                 for k in range(1, size)]
         rows = rows.withColumn("cut", F.least(*cuts) if len(cuts) > 1 else cuts[0])
-        if covered is not None:                           # phrases inside others of one word more, with the largest count there
-            rows = rows.join(covered, names, "left").where(F.col("within").isNull() | (F.col("within") * 100 < F.col("a") * inside)).drop("within")
+        if covered is not None:                           # phrases of this size inside others of one word more, with the largest count there
+            rows = rows.join(covered, names, "left").where(F.col("within").isNull() | (F.col("within") * 100 < F.col("a") * inside))
         if size > 2:                                      # what is still longer is no more frequent
             ends = [phrases[size].select(*(F.col(a).alias(b) for a, b in zip(part, _names(size - 1))), "a") for part in (names[:-1], names[1:])]
             covered = ends[0].union(ends[1]).groupBy(*_names(size - 1)).agg(F.max("a").alias("within"))
-        for i, name in enumerate(names):
-            word = known.select(F.col("h").alias(name), F.col("word").alias(f"t{i}"), *([F.col("lang")] if not i else []))
-            rows = rows.join(word, name)
-        rows = rows.select("lang", F.concat_ws(" ", *(f"t{i}" for i in range(size))).alias("phrase"), "a", "cut.l", "cut.r", "cut.score")
+        rows = rows.select("lang", F.array(*names).alias("words"), "a", "cut.l", "cut.r", "cut.score")
         found = rows if found is None else found.union(rows)
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SPLIT))).orderBy(*order)
-    found = found.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top)
+    # Only phrases that the ties at the end of the ranks leave open need their words to be told apart.
+    best = [F.desc("score"), F.desc("a")]
+    found = found.withColumn("rank", F.rank().over(Window.partitionBy("lang", F.pmod(F.xxhash64("words"), F.lit(SPLIT))).orderBy(*best))).where(F.col("rank") <= top)
+    found = found.withColumn("rank", F.rank().over(Window.partitionBy("lang").orderBy(*best))).where(F.col("rank") <= top)
+    found = written(found.drop("rank"), "ranked")
+    for i in range(longest):
+        found = found.withColumn("h", F.get("words", F.lit(i))).join(known.select("h", F.col("word").alias(f"t{i}")), "h", "left").drop("h")
+    found = found.withColumn("phrase", F.concat_ws(" ", *(f"t{i}" for i in range(longest))))
+    order = [*best, F.asc("phrase")]
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return found.join(F.broadcast(totals), "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("all").alias("n"), "score")
