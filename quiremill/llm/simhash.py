@@ -7,10 +7,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiremill.llm.common import arrow_map, ascii_words
+from quiremill.llm.common import arrow_map, ascii_words, stored
 from quiremill.llm.components import components
 from quiremill.session import written
 
@@ -195,8 +195,10 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3, key: str
 PARTS = 8                    # 64-bit parts of a long fingerprint
 DEVIATIONS = 5               # pairs whose bits differ by more deviations than this are not verified
 SMALL_SET = 64               # sets with fewer shingles are verified whatever their bits
-SKETCH_BITS = 19             # shingles are counted in so many cells, as a power of two
 BROADCAST_NODES = 500_000    # more candidates meet their texts by a shuffle
+PACK = 1 << 20               # shingles that a task packs together
+BUCKET = 1 << 22             # shingles of a bucket, about: those are counted together
+TURNS = (1, 4, None)         # partners that a node is held against in a round, before all others
 #: Odd multipliers that make the parts out of one hash of a shingle.
 _MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) | 1) & (1 << 64) - 1 for i in range(PARTS)], np.uint64)
 
@@ -239,56 +241,115 @@ def least_shared(size, similarity: float):
     return np.ceil(size * similarity - 1e-9).astype(np.int64)
 
 
-def _frequencies(texts: DataFrame, size: int) -> np.ndarray:
-    """Texts that hold a shingle, at the low bits of its hash: never too few, and of a fixed size."""
-    cells = 1 << SKETCH_BITS
+def _signatures(docs: DataFrame, size: int, key: str, column: str) -> DataFrame:
+    """(key, text_hash, node, size, twins) of every text: ``node`` is a hash of its set of shingles, ``size`` their number.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(cells, np.int64)                  # one vector a task
-        for batch in batches:
-            for text in batch.column(0):
-                np.add.at(held, (shingle_set(text.as_py(), size) & np.uint64(cells - 1)).astype(np.int64), 1)
-        where = np.flatnonzero(held)
-        for at in range(0, len(where), BLOCK_SHINGLES):
-            part = where[at:at + BLOCK_SHINGLES]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(held[part])], ["at", "n"])
-
-    found = texts.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()     # at most 2**SKETCH_BITS rows
-    counts = np.zeros(cells, np.int64)
-    counts[found["at"].to_numpy()] = found["n"].to_numpy()
-    return counts
-
-
-def _signatures(docs: DataFrame, size: int, similarity: float, key: str, column: str) -> DataFrame:
-    """(key, text_hash, node, size, check, keys) of every text, all but the first two of its set of shingles.
-
-    ``node`` is a hash of the set, ``check`` its long fingerprint. ``keys`` are so many of its rarest shingles that any two
-    sets of ``similarity`` or more have one in common, whatever the corpus: fewer than ``least_shared`` are left out.
+    ``twins`` are so many of them that others of the text might be taken for them by 32 bits.
     """
-    counts = docs.sparkSession.sparkContext.broadcast(_frequencies(docs.select(column), size))      # a fixed size
-
     def make():
-        often = counts.value
-
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nodes, sizes, checks, keys = [], [], [], []
-            for text in batch.column(2):
-                grams = shingle_set(text.as_py(), size)
-                n = len(grams)
-                nodes.append(xxhash.xxh64_intdigest(grams.tobytes()))
-                sizes.append(n)
-                checks.append(_long_bits(grams[at:at + BLOCK_SHINGLES] for at in range(0, n, BLOCK_SHINGLES)))
-                order = np.lexsort((grams, often[(grams & np.uint64(len(often) - 1)).astype(np.int64)]))
-                keys.append(grams[order[:n - int(least_shared(n, similarity)) + 1]].view(np.int64))
+            sets = [shingle_set(text.as_py(), size) for text in batch.column(2)]
+            nodes = np.array([xxhash.xxh64_intdigest(grams.tobytes()) for grams in sets], np.uint64).view(np.int64)
+            twins = [len(g) - len(np.unique(g.astype(np.uint32))) for g in sets]
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()),
-                 pa.array(checks, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
-                ["key", "text_hash", "node", "size", "check", "keys"])
+                [batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(g) for g in sets], pa.int32()), pa.array(twins, pa.int32())],
+                ["key", "text_hash", "node", "size", "twins"])
         return work
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("key"), F.xxhash64(docs[column]).alias("text_hash"), docs[column].alias("text"))
-    return arrow_map(rows, make, f"key {kind}, text_hash long, node long, size int, check array<long>, keys array<long>")
+    return arrow_map(rows, make, f"key {kind}, text_hash long, node long, size int, twins int")
+
+
+def _packed(size: int, buckets: int):
+    """(bucket, grams, lengths, nodes): the shingles of many texts by bucket, 32 bits of each, text after text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = {}, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nodes = np.array(list(held), np.uint64).view(np.int64)
+            owner = np.repeat(np.arange(len(held)), [len(g) for g in held.values()])
+            grams = np.concatenate(list(held.values()))
+            bucket = (grams >> np.uint64(32)) % np.uint64(buckets)
+            order = np.lexsort((owner, bucket))
+            bucket, owner, grams = bucket[order], owner[order], grams[order].astype(np.uint32)
+            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            for at, stop in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
+                who, lengths = np.unique(owner[at:stop], return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(bucket[at])], pa.int64()), pa.array([grams[at:stop].tobytes()], pa.binary()),
+                     pa.array([lengths.astype(np.uint32).tobytes()], pa.binary()), pa.array([nodes[who].tobytes()], pa.binary())],
+                    ["bucket", "grams", "lengths", "nodes"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                grams = shingle_set(text.as_py(), size)
+                if len(grams):
+                    node = xxhash.xxh64_intdigest(grams.tobytes())
+                    total += len(grams) if node not in held else 0
+                    held[node] = grams
+                if total >= PACK:
+                    yield from flush()
+                    held, total = {}, 0
+        if held:
+            yield from flush()
+    return run
+
+
+def _shared_of(bucket: int, packs: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+    """(node, grams, counts): for every node the shingles of a bucket that other nodes hold as well, with the number of holders."""
+    grams = np.concatenate([np.frombuffer(g, np.uint32) for g, _, _ in packs])
+    names, owner = np.unique(np.concatenate([np.frombuffer(n, np.int64) for _, _, n in packs]), return_inverse=True)
+    owner = np.repeat(owner, np.concatenate([np.frombuffer(x, np.uint32) for _, x, _ in packs]))
+    both = np.unique(grams.astype(np.uint64) << np.uint64(32) | owner.astype(np.uint64))       # a text's copies count once
+    grams, owner = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
+    starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    holders = np.repeat(np.diff(np.append(starts, len(grams))), np.diff(np.append(starts, len(grams))))
+    more = holders > 1
+    grams, owner, holders = grams[more], owner[more], holders[more]
+    order = np.argsort(owner, kind="stable")
+    grams, owner, holders = grams[order] | np.uint64(bucket << 32), owner[order], holders[order]
+    cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+    ends = pa.array(np.append(cuts, len(owner)).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(names[owner[cuts]]), pa.ListArray.from_arrays(ends, pa.array(grams.view(np.int64))),
+         pa.ListArray.from_arrays(ends, pa.array(holders.astype(np.int32)))], ["node", "grams", "counts"])
+
+
+def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, grams, lengths, nodes) sorted by bucket; one bucket is held at a time."""
+    now, packs = None, []
+    for batch in batches:
+        for bucket, *pack in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if bucket != now and packs:
+                yield _shared_of(now, packs)
+                packs = []
+            now = bucket
+            packs.append(tuple(pack))
+    if packs:
+        yield _shared_of(now, packs)
+
+
+def _keys(docs: DataFrame, nodes: DataFrame, size: int, similarity: float, column: str) -> DataFrame:
+    """(node, size, keys): nodes that may be similar to others, with so many of their rarest shingles that similar ones have one in common.
+
+    Shingles are put in order by the number of nodes that hold them, counted over all texts. Those of one node only come
+    first and need no key. A node of which less than ``least_shared`` are held by others is similar to none. A shingle is known by
+    its bucket and 32 bits: a few seem to be shared that are not, which costs time only, since links are verified; a few of one
+    text seem to be the same, which lowers what it must share.
+    """
+    total = nodes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    buckets = total // BUCKET + 1
+    packed = docs.select(column).mapInArrow(_packed(size, buckets), "bucket long, grams binary, lengths binary, nodes binary")
+    packed = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    shared = stored(packed.mapInArrow(_count_buckets, "node long, grams array<long>, counts array<int>"), "shared")
+    least = F.ceil(F.col("size") * similarity - 1e-9).cast("int") - F.col("twins")
+    known = shared.groupBy("node").agg(F.sum(F.size("grams")).alias("m")).join(nodes.select("node", "size", "twins"), "node")
+    known = known.where(F.col("m") >= least).select("node", "size", (F.col("m") - least + 1).cast("int").alias("n_keys"))
+    entries = F.flatten(F.collect_list(F.arrays_zip("counts", "grams"))).alias("entries")          # one text's shingles
+    held = shared.join(known, "node").groupBy("node", "size", "n_keys").agg(entries)
+    rarest = F.transform(F.slice(F.array_sort("entries"), F.lit(1), F.col("n_keys")), lambda e: e["grams"])
+    return stored(held.select("node", "size", rarest.alias("keys")), "keys")
 
 
 def _with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,20 +410,34 @@ def _compare_parts(similarity: float):
     return run
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float, column: str) -> DataFrame:
-    """(a, b): the pairs of nodes whose sets of shingles, read again from their texts, have the Jaccard similarity."""
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
-                     .select("node", F.col("text_hash").alias("_text_hash")), "candidate_nodes")
+def _sets(keys: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, column: str) -> DataFrame:
+    """(node, size, grams, check): the sets of the nodes that have keys, read again from their texts, with long fingerprints."""
+    needed = written(nodes.join(keys.select("node"), "node").select("node", F.col("text_hash").alias("_text_hash")), "candidate_nodes")
     texts = docs.select(F.xxhash64(docs[column]).alias("_text_hash"), docs[column].alias("text"))
     texts = texts.join(F.broadcast(needed) if needed.count() <= BROADCAST_NODES else needed, "_text_hash").select("node", "text")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingle_set(t.as_py(), size).view(np.int64) for t in batch.column(1)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "grams"])
+        found = [shingle_set(t.as_py(), size) for t in batch.column(1)]
+        checks = [_long_bits(g[at:at + BLOCK_SHINGLES] for at in range(0, len(g), BLOCK_SHINGLES)) for g in found]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([len(g) for g in found], pa.int32()), pa.array([g.view(np.int64) for g in found], pa.list_(pa.int64())),
+             pa.array(checks, pa.list_(pa.int64()))], ["node", "size", "grams", "check"])
+
+    once = texts.groupBy("node").agg(F.min("text").alias("text"))         # copies of a text
+    return stored(arrow_map(once, lambda: sets, "node long, size int, grams array<long>, check array<long>"), "candidate_sets")
 
-    grams = written(arrow_map(texts, lambda: sets, "node long, grams array<long>").dropDuplicates(["node"]), "candidate_sets")
-    both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(
-        grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs of nodes whose sets have the Jaccard similarity; sizes and long fingerprints spare most of the others."""
+    facts = sets.select("node", "size", "check")
+    for end in ("a", "b"):
+        pairs = pairs.join(facts.select(F.col("node").alias(end), F.col("size").alias(f"{end}_size"), F.col("check").alias(f"{end}_check")), end)
+    differ = F.aggregate(F.zip_with("a_check", "b_check", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    small = F.least("a_size", "b_size")
+    pairs = written(pairs.where(small >= F.greatest("a_size", "b_size") * similarity - 1e-9).where(
+        (small < SMALL_SET) | (differ <= most_bits(similarity, DEVIATIONS))).select("a", "b"), "candidates")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
 
     def exact(batch: pa.RecordBatch) -> pa.RecordBatch:
         good = []
@@ -375,55 +450,76 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, si
     return written(arrow_map(both, lambda: exact, "a long, b long"), "links")
 
 
-def _similar_links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float, column: str) -> DataFrame:
+def _labelled(rows: DataFrame, labels: DataFrame | None, node: str, label: str) -> DataFrame:
+    """The rows with the label of a node: the smallest node that links connect it to, itself without links."""
+    if labels is None:
+        return rows.withColumn(label, F.col(node))
+    named = labels.select(F.col("node").alias(node), F.col("root").alias(label))
+    return rows.join(named, node, "left").withColumn(label, F.coalesce(label, node))
+
+
+def _similar_links(keys: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
     """(a, b): links that connect the nodes of exact Jaccard similarity ``similarity`` or more.
 
-    Such nodes share a key. First the nodes of each key are held against its first one. Nodes that these links connect
-    need no further link; all other pairs of a key are compared after that, the connected ones as partners of the rest.
+    Such nodes share a key. First every node is held against the first nodes of its keys, in rounds: the one with which it
+    shares most keys, then a few more, then all others, each time only those to which no links connect it yet. So a
+    group of near copies gives little more than a forest. All other pairs of a key that links do not connect are compared after that.
     A key of more than ``GROUP_ROWS`` nodes is split into parts, and every two parts meet in a task of their own.
     Fingerprints only spare pairs ``DEVIATIONS`` deviations beyond the similarity; each link is verified on the shingles.
     """
-    keys = rows.select(F.explode("keys").alias("key"), "node")
-    stars = written(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(
+    one = keys.select(F.explode("keys").alias("key"), "node")
+    stars = written(one.repartition("key").sortWithinPartitions("key", "node").mapInArrow(
         _with_first, "key long, node long, lead long"), "stars")
-    facts = nodes.select("node", "size", "check")
-    pairs = stars.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    for end in ("a", "b"):
-        pairs = pairs.join(facts.select(F.col("node").alias(end), F.col("size").alias(f"{end}_size"), F.col("check").alias(f"{end}_check")), end)
-    differ = F.aggregate(F.zip_with("a_check", "b_check", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    small = F.least("a_size", "b_size")
-    pairs = written(pairs.where(small >= F.greatest("a_size", "b_size") * similarity - 1e-9).where(
-        (small < SMALL_SET) | (differ <= most_bits(similarity, DEVIATIONS))).select("a", "b"), "candidates")
-    found = _verified(pairs, nodes, docs, size, similarity, column)
+    turn = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "lead"))       # as many as a node has keys
+    partners = written(stars.groupBy("node", "lead").agg(F.count("*").alias("n")).withColumn("turn", turn), "partners")
+    most = partners.agg(F.max("turn")).first()[0]
+    if most is None:
+        return None
+    found, labels, done = None, None, 0
+    for turns in TURNS:
+        if done >= most:
+            break
+        now = partners.where((F.col("turn") > done) & (F.col("turn") <= (done + turns if turns else most)))
+        done = done + turns if turns else most
+        open_ = _labelled(_labelled(now, labels, "node", "x"), labels, "lead", "y").where("x <> y")
+        links = _verified(open_.select(F.col("node").alias("a"), F.col("lead").alias("b")), sets, similarity)
+        found = links if found is None else found.union(links)
+        labels = written(components(found), "labels")
 
-    labels = written(components(found).withColumnRenamed("root", "label"), "labels")
     members = stars.select("key", "node").union(stars.select("key", "lead").distinct())
-    members = written(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "members")
+    members = written(_labelled(members, labels, "node", "label"), "members")
     open_ = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
     open_ = open_.where("low <> high").select("key", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("parts"))
+    facts = sets.select("node", "size", "check")
     split = members.join(open_, "key").join(facts, "node").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     split = split.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "label", "size", "check")
     split = split.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    pairs = written(split.mapInArrow(_compare_parts(similarity), "a long, b long").distinct(), "candidates")
-    return found.union(_verified(pairs, nodes, docs, size, similarity, column))
+    pairs = split.mapInArrow(_compare_parts(similarity), "a long, b long").distinct()
+    tested = partners.select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b"))
+    return found.union(_verified(pairs.join(tested, ["a", "b"], "left_anti"), sets, similarity))
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, key: str = "doc_id", column: str = "text") -> DataFrame:
     """The documents, with all their columns, reduced to one of each group of near-duplicates.
 
     Texts are near-duplicates if their sets of shingles of ``size`` words have a Jaccard similarity of ``similarity`` or more, or
-    if such pairs connect them. Texts meet on their rarest shingles, as many as such a pair cannot miss; long fingerprints
-    spare far pairs, and every link is verified on the sets. The
+    if such pairs connect them. Texts meet on their rarest shingles, as many as such a pair cannot miss; which are rare is
+    counted over all texts. Long fingerprints spare far pairs, and every link is verified on the sets. The
     smallest key stays, NULL keys last, then the smaller hash of the text; of rows equal in both, one stays. NULL and
     empty texts are copies of each other.
     """
-    rows = written(_signatures(docs, size, similarity, key, column), "signatures")
+    rows = written(_signatures(docs, size, key, column), "signatures")
     order = F.struct(F.col("key").isNull().alias("none"), "key", "text_hash")
-    nodes = written(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("check").alias("check"),
-                                             F.min("text_hash").alias("text_hash"), F.min(order).alias("first")), "nodes")
-    roots = components(_similar_links(rows, nodes, docs, size, similarity, column))
-    rooted = nodes.select("node", "first").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+    nodes = written(rows.groupBy("node").agg(
+        F.first("size").alias("size"), F.first("twins").alias("twins"), F.min("text_hash").alias("text_hash"), F.min(order).alias("first")), "nodes")
+    keys = _keys(docs, nodes, size, similarity, column)
+    links = _similar_links(keys, _sets(keys, nodes, docs, size, column), similarity)
+    rooted = nodes.select("node", "first")
+    if links is None:
+        rooted = rooted.withColumn("root", F.col("node"))
+    else:
+        rooted = rooted.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     winners = rooted.groupBy("root").agg(F.min("first").alias("w")).select(
         F.col("w.key").alias("_key"), F.col("w.text_hash").alias("_hash"))
     hashed = docs.withColumn("_hash", F.xxhash64(F.col(column)))
