@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quiremill.functions import text as X
 from quiremill.functions import values as V
 from quiremill.functions.cleaning import strip
+from quiremill.operators import versions
 from quiremill.operators.relational import latest_per_key, top_n_per_key
 from quiremill.session import written
 
@@ -54,7 +55,7 @@ def chunk_documents(docs: DataFrame, size: int = V.CHUNK_CHARS, overlap: int = V
         return pd.DataFrame(pairs, columns=["starts", "counts"])
 
     rest = [c for c in docs.columns if c != text]
-    cut = docs.select(*rest, X.sentences(text).alias("_s")).withColumn(
+    cut = docs.select(*rest, F.coalesce(X.sentences(text), F.array().cast("array<string>")).alias("_s")).withColumn(
         "_spans", spans(F.transform("_s", lambda s: F.length(s))))
     texts = F.transform(
         F.arrays_zip("_spans.starts", "_spans.counts"),
@@ -100,16 +101,16 @@ def index_terms(chunks: DataFrame, text: str = "chunk_text") -> tuple[DataFrame,
     n = total["n"] or 0
     if not n:
         return vocab, {"n": 0, "mean_length": 1.0, "floor": 0.0}
-    mean = vocab.where("term <> ''").agg(F.avg(_raw_idf(F.lit(n)))).first()[0]
+    mean = vocab.where("term <> ''").agg(F.avg(raw_idf(F.lit(n)))).first()[0]
     return vocab, {"n": n, "mean_length": total["tokens"] / n, "floor": mean * V.BM25_EPSILON}
 
 
 def _idf(figures: dict[str, float]) -> Column:
-    raw = _raw_idf(F.lit(figures["n"]))
+    raw = raw_idf(F.lit(figures["n"]))
     return F.when(raw < 0, F.lit(figures["floor"])).otherwise(raw)
 
 
-def _raw_idf(n: Column) -> Column:
+def raw_idf(n: Column) -> Column:
     return F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
 
@@ -182,10 +183,16 @@ def bm25(chunks: DataFrame, queries: DataFrame, top_k: int = 5, keys: tuple[str,
     return top_n_per_key(scored.where("score > 0"), ["query_id"], order, top_k)
 
 
-def with_sources(ranked: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("file_id", "chunk_index")) -> DataFrame:
-    """Ranked chunks with text and file name; a missing name becomes ``file #<id>``."""
+def with_sources(ranked: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("file_id", "chunk_index"),
+                 names: DataFrame | None = None) -> DataFrame:
+    """Ranked chunks with text and file name, taken from the chunks or from ``names`` (file_id, filename).
+
+    A missing name becomes ``file #<id>``.
+    """
+    found = chunks.join(ranked, list(keys))
+    found = found if names is None else found.join(names, "file_id", "left")
     name = F.coalesce(F.nullif(F.col("filename"), F.lit("")), F.concat(F.lit("file #"), F.col("file_id").cast("string")))
-    return chunks.join(ranked, list(keys)).withColumn("file_name", name)
+    return found.withColumn("file_name", name)
 
 
 # --- answers -------------------------------------------------------------------------------
@@ -259,55 +266,32 @@ def index_stats(chunks: DataFrame, approximate: bool = False) -> DataFrame:
 
 # --- chunk tables -------------------------------------------------------------------------------
 
-def replace_chunks(spark: SparkSession, path: str, chunks: DataFrame, files: DataFrame | None = None) -> None:
+def replace_chunks(spark: SparkSession, path: str, chunks: DataFrame, files: DataFrame | None = None, tag: str | None = None) -> None:
     """Replace all chunks of some files in a chunk table.
 
     ``files`` lists the file ids to replace (default: those in ``chunks``), so a file whose new
-    text gives no chunk loses its old ones only when it is listed.
-
-    A table is a series of versions that are only ever added to: chunks below ``chunks/version=<n>``, and below
-    ``files/version=<n>`` the files whose chunks that version holds. A reader takes each file's newest
-    version. The list of files is written last and so makes the version count; a write that breaks off
-    before leaves all files as they were, and costs only the size of what it writes.
+    text gives no chunk loses its old ones only when it is listed. A table is a series of versions, see ``versions``:
+    a write that breaks off changes nothing, several writers may work at once, and small versions are put together by themselves.
     """
-    version = _next_version(spark, path)
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks/version={version}")
-    listed = (chunks if files is None else files).select("file_id").distinct()
-    listed.write.mode("overwrite").parquet(f"{path}/files/version={version}")
+    versions.replace(spark, path, {"chunks": chunks}, chunks if files is None else files, tag)
 
 
 def delete_chunks(spark: SparkSession, path: str, files: DataFrame) -> None:
     """Remove all chunks of the listed files: a version that lists them and holds no chunk of theirs."""
-    files.select("file_id").distinct().write.mode("overwrite").parquet(f"{path}/files/version={_next_version(spark, path)}")
+    versions.replace(spark, path, {}, files)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """The newest chunks of every file."""
-    newest = spark.read.parquet(f"{path}/files").groupBy("file_id").agg(F.max("version").alias("version"))
-    every = spark.read.option("mergeSchema", True).parquet(f"{path}/chunks")
-    return every.join(newest, ["file_id", "version"]).select(*[c for c in every.columns if c != "version"])
-
-
-def compact_chunks(spark: SparkSession, path: str, target: str) -> None:
-    """Write the newest chunks of every file as the first version of a new table."""
-    replace_chunks(spark, target, read_chunks(spark, path))
-
-
-def _next_version(spark: SparkSession, path: str) -> int:
-    """One more than any version begun so far, whether it was finished or not."""
-    found = [0]
-    for part in ("chunks", "files"):
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
-        if _exists(spark, f"{path}/{part}"):
-            listing = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
-            names = [s.getPath().getName() for s in listing]
-            found += [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
-    return max(found) + 1
+    return versions.read(spark, path, "chunks")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def compact_chunks(spark: SparkSession, path: str, target: str | None = None) -> None:
+    """Put all versions of a chunk table together, in place or as the first version of a new table."""
+    if target is None:
+        versions.compact(spark, path)
+    else:
+        replace_chunks(spark, target, read_chunks(spark, path))
 
 
 def reindex_texts(files: DataFrame, analyses: DataFrame, quick: DataFrame) -> DataFrame:

@@ -95,8 +95,8 @@ def document_report(t: Tables):
 
 # --- entities ----------------------------------------------------------------------------------
 
-def contacts(t: Tables):
-    """The corpus, each text followed by contact lines made from its own numbers."""
+def contact_lines(docs):
+    """Documents, each text followed by contact lines made from its own numbers."""
     key = F.col("doc_id").cast("string")
     day = F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")
     tail = F.concat(
@@ -105,17 +105,21 @@ def contacts(t: Tables):
         F.lit(" and https://x.io/"), key, F.lit(" DE44500105175407324931 balance 12 account no: 99-"), key,
         F.lit("\neffective date: 2024-02-"), day,
         F.lit(" amount: 7\nPassport A1234567 nationality: Omani\nid number: 12345678\n"))
-    return t.corpus.select("doc_id", F.concat("text", tail).alias("text"), F.concat("source", F.lit(".txt")).alias("filename"))
+    return docs.select("doc_id", F.concat("text", tail).alias("text"), F.concat("source", F.lit(".txt")).alias("filename"))
+
+
+def contacts(t: Tables):
+    return contact_lines(t.corpus)
 
 
-_CONTACTS = r"""contacts AS (SELECT doc_id, concat(text, chr(10), 'Invoice No: INV-', doc_id, chr(10), 'from Acme ', doc_id, chr(10), 'Total: 1,',
+CONTACTS = r"""contacts AS (SELECT doc_id, concat(text, chr(10), 'Invoice No: INV-', doc_id, chr(10), 'from Acme ', doc_id, chr(10), 'Total: 1,',
   left(lpad(CAST(doc_id AS VARCHAR), 3, '0'), 3), '.50', chr(10), 'see https://x.io/', doc_id, ' on 2024-01-', lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0'),
   ' and https://x.io/', doc_id, ' DE44500105175407324931 balance 12 account no: 99-', doc_id, chr(10), 'effective date: 2024-02-',
   lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0'), ' amount: 7', chr(10), 'Passport A1234567 nationality: Omani', chr(10), 'id number: 12345678', chr(10)) AS text FROM documents)"""
 
 
 def _distinct_sql(pattern: str) -> str:
-    return with_(_CONTACTS, body=f"""SELECT doc_id, arg_min(value, position) AS value FROM (
+    return with_(CONTACTS, body=f"""SELECT doc_id, arg_min(value, position) AS value FROM (
   SELECT doc_id, unnest(v) AS value, generate_subscripts(v, 1) AS position FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS v FROM contacts))
   GROUP BY doc_id, value""")
 
@@ -145,7 +149,7 @@ phones AS (SELECT * FROM (SELECT w.doc_id, w.k, w.s, regexp_replace(substr(r, w.
   WHERE length(regexp_replace(value, '\D', '', 'g')) >= 7)"""
 
 
-@plan("ner_phones", f"WITH RECURSIVE {_CONTACTS}, {_PHONES} SELECT DISTINCT doc_id, value FROM phones")
+@plan("ner_phones", f"WITH RECURSIVE {CONTACTS}, {_PHONES} SELECT DISTINCT doc_id, value FROM phones")
 def ner_phones(t: Tables):
     return _of_type(t, "phone")
 
@@ -186,7 +190,7 @@ def _field_sql(*kinds: str) -> str:
 
 
 def _fields_sql(*kinds: str, more: str = "") -> str:
-    return with_(_CONTACTS, body=f"SELECT * FROM ({_field_sql(*kinds)}{more}) WHERE value IS NOT NULL")
+    return with_(CONTACTS, body=f"SELECT * FROM ({_field_sql(*kinds)}{more}) WHERE value IS NOT NULL")
 
 
 def _fields(t: Tables, *kinds: str):
@@ -204,7 +208,7 @@ def ner_invoice(t: Tables):
     return _fields(t, "invoice")
 
 
-@plan("ner_bank", with_(_CONTACTS, body=r"""
+@plan("ner_bank", with_(CONTACTS, body=r"""
 SELECT doc_id, 'bank_statement' AS doc_type, 'account_number' AS entity_type, regexp_extract(text, '(?i)(?:account|حساب)\s*(?:no\.?|number|رقم)?\s*[:\-]?\s*([\d\-]+)', 1) AS value, CAST(0.85 AS DOUBLE) AS confidence
   FROM contacts
 UNION ALL SELECT doc_id, 'bank_statement', 'balance', regexp_extract(text, '(?i)(?:balance|رصيد)\s*[:\-]?\s*([\d,\.]+)', 1), 0.80 FROM contacts"""))
@@ -212,7 +216,7 @@ def ner_bank(t: Tables):
     return _fields(t, "bank_statement")
 
 
-@plan("ner_resume", with_(_CONTACTS, body=r"""SELECT * FROM (
+@plan("ner_resume", with_(CONTACTS, body=r"""SELECT * FROM (
   SELECT doc_id, 'resume' AS doc_type, 'full_name' AS entity_type, CASE WHEN length(line) < 60 THEN line END AS value, CAST(0.65 AS DOUBLE) AS confidence FROM (
     SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, concat(' ', chr(9), chr(13)))), lambda x: x <> '')[1] AS line FROM contacts)
   UNION ALL SELECT doc_id, 'resume', 'skills_section', CASE WHEN regexp_matches(text, '(?is)(?:skills|مهارات)[:\s\n]+(.*?)(?:\n\n|\z)')
@@ -248,13 +252,13 @@ kept AS (SELECT doc_id, CAST(min(position) AS INTEGER) AS position, entity_type,
 _SCORES = "CASE entity_type " + " ".join(f"WHEN '{k}' THEN {c}" for k, c in V.COMMON_CONFIDENCE.items()) + " END"
 
 
-@plan("entities_dedup", f"""WITH RECURSIVE {_CONTACTS}, {_PHONES}, {_ENTITIES}
+@plan("entities_dedup", f"""WITH RECURSIVE {CONTACTS}, {_PHONES}, {_ENTITIES}
 SELECT doc_id, position, entity_type, value, CASE WHEN entity_type = 'date' THEN value END AS normalized_value, CAST({_SCORES} AS DOUBLE) AS confidence FROM kept""")
 def entities_dedup(t: Tables):
     return D.entities(contacts(t))
 
 
-@plan("entities_grouped", with_(_CONTACTS, body=r"""SELECT doc_id, kind AS entity_type, count(DISTINCT value) AS n FROM (
+@plan("entities_grouped", with_(CONTACTS, body=r"""SELECT doc_id, kind AS entity_type, count(DISTINCT value) AS n FROM (
   SELECT doc_id, 'url' AS kind, unnest(regexp_extract_all(text, 'https?://[^\s<>"]+|www\.[^\s<>"]+')) AS value FROM contacts
   UNION ALL SELECT doc_id, 'iban', unnest(regexp_extract_all(text, '\b[A-Z]{2}\d{2}[A-Z0-9]{4,30}\b')) FROM contacts
   UNION ALL SELECT doc_id, 'email', unnest(regexp_extract_all(text, '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b')) FROM contacts) GROUP BY ALL"""))
@@ -271,26 +275,28 @@ def export_entities(t: Tables):
     return readers.read_delimited(t.spark, path, schema="doc_id bigint, entity_type string, value string").select("doc_id", "value")
 
 
-@plan("suggestions", f"""WITH {LETTERS}, typed AS ({WHOLE_SQL}), {FILES},
+@plan("suggestions", f"""WITH RECURSIVE {LETTERS}, typed AS ({WHOLE_SQL}), {FILES}, {_PHONES.replace("FROM contacts", "FROM letters")},
+p AS (SELECT doc_id, count(DISTINCT value) AS n_phones FROM phones GROUP BY doc_id),
 d AS (SELECT d.doc_id, d.text, t.doc_type, coalesce(f.format, '') AS format, coalesce(f.is_favorite, false) AS has_tables,
-    len(list_distinct(regexp_extract_all(d.text, '\\b[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{{2,}}\\b'))) AS n_emails
-  FROM letters d JOIN typed t USING (doc_id) LEFT JOIN files f ON f.id = d.doc_id)
+    len(list_distinct(regexp_extract_all(d.text, '\\b[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{{2,}}\\b'))) AS n_emails, coalesce(n_phones, 0) AS n_phones
+  FROM letters d JOIN typed t USING (doc_id) LEFT JOIN files f ON f.id = d.doc_id LEFT JOIN p USING (doc_id))
 SELECT doc_id, suggestion_type, title, priority, row_number() OVER (PARTITION BY doc_id ORDER BY priority, rule) AS rank FROM (
   SELECT doc_id, 'extract_tables' AS suggestion_type, 'Extract tables to Excel' AS title, 1 AS priority, 0 AS rule FROM d WHERE has_tables
   UNION ALL SELECT doc_id, 'convert_excel', 'Convert to Excel', 2, 1 FROM d WHERE format = 'pdf'
   UNION ALL SELECT doc_id, 'convert_word', 'Convert to Word', 3, 2 FROM d WHERE format = 'pdf'
   UNION ALL SELECT doc_id, 'extract_emails', concat('Export ', n_emails, ' email address(es)'), 4, 3 FROM d WHERE n_emails > 0
+  UNION ALL SELECT doc_id, 'extract_phones', concat('Export ', n_phones, ' phone number(s)'), 5, 4 FROM d WHERE n_phones > 0
   UNION ALL SELECT doc_id, 'export_invoice_json', 'Export invoice data as JSON', 1, 5 FROM d WHERE doc_type = 'invoice'
   UNION ALL SELECT doc_id, 'export_cv_json', 'Export CV data as JSON', 1, 6 FROM d WHERE doc_type = 'resume'
   UNION ALL SELECT doc_id, 'clean_data', 'Clean and normalize data', 6, 7 FROM d WHERE has_tables OR doc_type IN ('spreadsheet', 'bank_statement')
   UNION ALL SELECT doc_id, 'search_document', 'Search within this document', 7, 8 FROM d WHERE length(text) > 200)""")
 def suggestions(t: Tables):
-    # Phone suggestions depend on a pattern SQL cannot express; they are left out here and covered by tests.
     files = rel.files(t).select(F.col("id").alias("doc_id"), "format", "is_favorite")
     docs = named(t).join(files, "doc_id", "left").withColumns(
         {"format": F.coalesce("format", F.lit("")), "has_tables": F.coalesce("is_favorite", F.lit(False))})
-    typed = D.with_type(docs).withColumn("n_emails", D.distinct_entities(X.emails("text")))
-    items = X.suggestions(F.col("doc_type"), F.col("has_tables"), F.col("format"), F.col("text"), F.col("n_emails"), F.lit(0))
+    typed = D.with_type(docs).withColumns(
+        {"n_emails": D.distinct_entities(X.emails("text")), "n_phones": D.distinct_entities(X.phones("text"))})
+    items = X.suggestions(F.col("doc_type"), F.col("has_tables"), F.col("format"), F.col("text"), F.col("n_emails"), F.col("n_phones"))
     ranked = typed.select("doc_id", F.posexplode(items).alias("i", "s"))
     return ranked.select("doc_id", "s.suggestion_type", "s.title", "s.priority", (F.col("i") + 1).cast("bigint").alias("rank"))
 
@@ -298,11 +304,11 @@ def suggestions(t: Tables):
 _FOUND_FIELDS = " UNION ALL ".join(
     f"SELECT doc_id, doc_type FROM ({SQL[name]})" for name in ("ner_invoice", "ner_bank", "ner_contract", "ner_identity", "ner_resume"))
 _TYPED_CONTACTS = _classify_sql(
-    "concat(text, ' ', source, '.txt')", _CONTACTS + ", letters AS (SELECT doc_id, d.source, c.text FROM contacts c JOIN documents d USING (doc_id))")
+    "concat(text, ' ', source, '.txt')", CONTACTS + ", letters AS (SELECT doc_id, d.source, c.text FROM contacts c JOIN documents d USING (doc_id))")
 _HANDLERS = "CASE doc_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.PIPELINE_NAMES.items()) + " ELSE 'generic' END"
 
 
-@plan("analyze_documents", f"""WITH RECURSIVE {_CONTACTS}, {_PHONES}, {_ENTITIES}, typed AS ({_TYPED_CONTACTS}),
+@plan("analyze_documents", f"""WITH RECURSIVE {CONTACTS}, {_PHONES}, {_ENTITIES}, typed AS ({_TYPED_CONTACTS}),
 fields AS (SELECT doc_id, doc_type FROM ({_FOUND_FIELDS}) UNION ALL SELECT doc_id, 'receipt' FROM ({SQL["ner_invoice"]})),
 n AS (SELECT doc_id, {", ".join(f"CAST(count(*) FILTER (WHERE entity_type = '{k}') AS INTEGER) AS n_{k}s" for k in X.COMMON)} FROM kept GROUP BY doc_id),
 f AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n_fields FROM fields JOIN typed USING (doc_id, doc_type) GROUP BY doc_id),

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quiremill.operators import search as S
+from quiremill.operators import versions as VS
 from quiremill.streaming import jobs
 
 EVENTS = "id bigint, source string, ok boolean, latency double, pinged_at timestamp_ntz"
@@ -79,3 +80,63 @@ def test_broken_write_leaves_chunks_intact(spark, tmp_path):
     S.replace_chunks(spark, table, chunks([(2, 0, "again")]))
     S.compact_chunks(spark, table, small)
     assert read(table) == read(small) == [(1, "new"), (2, "again")]
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    """Three batches: of rows behind the watermark none counts, and each is in the figure of its batch."""
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = spark.createDataFrame([], EVENTS).schema
+    at = lambda i, day, hour=10: (i, "a", True, 1.0, f"2024-01-{day:02d} {hour}:00:00")
+    for rows in ([at(1, 1), at(2, 5)], [at(3, 1), at(4, 1, 11), at(5, 2), at(6, 5), at(7, 9)], [at(8, 5), at(9, 9), at(10, 9)]):
+        write(spark, inbox, rows)
+        jobs.run_updates(jobs.daily_counts(jobs.stream_folder(spark, inbox, schema), "pinged_at", "1 hour"), out, ["day"])
+    late = jobs.late_rows(spark, out, ["day"]).where("input_rows > 0").orderBy("batch").collect()
+    assert [(r.input_rows, r.counted, r.dropped) for r in late] == [(2, 2, 0), (5, 2, 3), (3, 2, 1)]
+    assert [r.dropped_groups > 0 for r in late] == [False, True, True]
+    assert {str(r.day): r["count"] for r in jobs.newest(spark, out, ["day"]).collect()} == {"2024-01-01": 1, "2024-01-05": 2, "2024-01-09": 3}
+
+
+def test_newest_reads_a_base_and_what_follows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "BASE_EVERY", 2)
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = spark.createDataFrame([], EVENTS).schema
+    for n in range(5):
+        write(spark, inbox, [(n, "a", True, 1.0, f"2024-01-0{n % 2 + 1} 10:00:00")])
+        jobs.run_updates(jobs.daily_counts(jobs.stream_folder(spark, inbox, schema), "pinged_at"), out, ["day"])
+    found = jobs.newest(spark, out, ["day"])
+    assert {str(r.day): r["count"] for r in found.collect()} == {"2024-01-01": 3, "2024-01-02": 2}
+    assert {f.split("/batch=")[0].rsplit("/", 1)[1] for f in found.inputFiles()} == {"base", "data"}
+    assert len({f.split("/batch=")[1].split("/")[0] for f in found.inputFiles() if "/data/" in f}) == 1
+
+
+def test_analyses_entities_and_chunks_together_or_not(spark, tmp_path):
+    """A batch breaks off between its writes: all parts stay, and the repeated batch replaces all three."""
+    inbox, table, check = str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "check")
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    schema = docs([]).schema
+    state = {"broken": None}
+
+    def parts(batch):
+        found = jobs.analysis_parts(batch)
+        if state["broken"]:
+            first = found[state["broken"]]
+            found[state["broken"]] = first.withColumn(first.columns[-1], F.raise_error(F.lit("broken")))
+        return found
+
+    run = lambda: jobs.analyze_stream(jobs.stream_folder(spark, inbox, schema), table, check, parts)
+    look = lambda: {p: sorted(map(str, VS.read(spark, table, p).collect())) for p in ("analyses", "entities", "chunks")}
+    docs([(1, "Invoice No: 77. Mail a@b.com."), (2, "Plain words."), (3, None)]).write.parquet(inbox)
+    run()
+    before = look()
+    assert len(before["analyses"]) == 3 and len(before["chunks"]) == 2 and any("a@b.com" in r for r in before["entities"])
+    docs([(1, "Nothing of that kind, mail x@y.org."), (2, "")]).write.mode("append").parquet(inbox)
+    for part in ("analyses", "entities", "chunks"):
+        state["broken"] = part
+        with pytest.raises(Exception, match="broken"):
+            run()
+        assert look() == before
+    state["broken"] = None
+    run()
+    after = look()
+    assert len(after["analyses"]) == 3 and len(after["chunks"]) == 1 and [("a@b.com" in r, "x@y.org" in r) for r in after["entities"]] == [(False, True)]
+    assert len(VS.committed(spark, table)) == 2
