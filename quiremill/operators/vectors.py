@@ -1,4 +1,4 @@
-"""Exact nearest vectors and rank fusion."""
+"""Nearest vectors and rank fusion."""
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -8,54 +8,48 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quiremill.operators.cells import CellIndex, build_cells, nearest_in_parts, recall, search_cells, unit
 from quiremill.operators.relational import top_n_per_key
-from quiremill.session import scratch_path, written
 
-QUERY_BLOCK = 2048   # query vectors held by a task at a time
+QUERY_BLOCK = 2048   # query vectors that go to every task; more meet the vectors in parts
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, metric: str = "cosine",
-                block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, vec_id, similarity, rank): the exact ``k`` nearest vectors of every query.
-
-    ``queries`` holds (query_id, embedding), ``vectors`` (vec_id, embedding). Queries are
-    taken in blocks of bounded size, one after the other; each task multiplies its vectors
-    with the block and keeps ``k`` rows per query and batch, so pairs are never
-    materialized. A block's result is stored before the next block is read, so neither the driver
-    nor the plan grows with the number of queries. Every block is a pass over the vectors.
+                block: int = QUERY_BLOCK, exact: bool = True, index: CellIndex | None = None,
+                probes: int | None = None) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): the ``k`` nearest vectors of every query.
+
+    ``queries`` holds (query_id, embedding), ``vectors`` (vec_id, embedding). Queries up to a ``block``
+    go to every task, which multiplies its vectors with them and keeps ``k`` rows per query and batch, so pairs are never
+    materialized. More queries meet the vectors in parts of bounded size on both sides, in one job and without the driver.
+
+    Without ``exact`` only the ``probes`` nearest cells of ``index`` (built here if there is none) are searched, by default as many as
+    reach a recall of 0.95.
     """
     if metric not in ("cosine", "dot"):
         raise ValueError(f"unknown metric: {metric}")
-    queries = written(queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")), "queries")
-    total = queries.count()
-    blocks = 1 if total <= block else -(-total // (block // 2))      # half-filled on average, so hashing stays below the bound
-    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    if not exact:
+        if metric != "cosine":
+            raise ValueError("cells are searched by cosine")
+        return search_cells(index or build_cells(vectors), queries, k, probes)
+    queries = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding IS NOT NULL")
     id_type = queries.schema["query_id"].dataType.simpleString()
-    order = [F.desc(F.round("similarity", 9)), F.col("vec_id")]
-    path = scratch_path(vectors.sparkSession, "nearest")
-    schema = None
-    for i in range(blocks):
-        rows = queries.where(number == i).toPandas()                 # one block
-        if len(rows):
-            near = top_n_per_key(_nearest(rows, vectors, k, metric, id_type), ["query_id"], order, k)
-            near.write.mode("append").parquet(path)
-            schema = near.schema
-    if schema is None:
-        return vectors.select(F.lit(None).cast("string").alias("query_id"), "vec_id",
+    rows = queries.limit(block + 1).toPandas()            # one block
+    if len(rows) > block:
+        whole = vectors.select("vec_id", "embedding", F.lit(0).alias("cell")).where("embedding IS NOT NULL")
+        return nearest_in_parts(whole, queries.withColumn("cell", F.lit(0)), k, metric)
+    if not len(rows):
+        return vectors.select(F.lit(None).cast(id_type).alias("query_id"), "vec_id",
                               F.lit(0.0).alias("similarity"), F.lit(0).cast("bigint").alias("rank")).where("false")
-    return vectors.sparkSession.read.schema(schema).parquet(path)
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    order = [F.desc(F.round("similarity", 9)), F.col("vec_id")]
+    return top_n_per_key(_nearest(rows, vectors, k, metric, id_type), ["query_id"], order, k)
 
 
 def _nearest(rows: pd.DataFrame, vectors: DataFrame, k: int, metric: str, id_type: str) -> DataFrame:
     ids = rows["query_id"].to_numpy()
     matrix = np.stack(rows["embedding"].to_numpy()).astype("float64")
     if metric == "cosine":
-        matrix = _unit(matrix)
+        matrix = unit(matrix)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -63,7 +57,7 @@ def _nearest(rows: pd.DataFrame, vectors: DataFrame, k: int, metric: str, id_typ
                 continue
             theirs = np.stack(batch["embedding"].to_numpy()).astype("float64")
             if metric == "cosine":
-                theirs = _unit(theirs)
+                theirs = unit(theirs)
             similar = matrix @ theirs.T
             keep = min(k, similar.shape[1])
             # Ties at the cut stay: everything at least as good as the k-th best is passed on.

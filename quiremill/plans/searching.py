@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quiremill.operators import relational as R
+from quiremill.operators import postings as P
 from quiremill.operators import search as S
 from quiremill.operators import vectors as VE
 from quiremill.plans import relations as rel
@@ -70,33 +71,26 @@ def chunks(t: Tables, **scope):
 
 
 def stored(t: Tables, **scope):
-    """The index of the chunks in scope, stored once: every search reads it twice."""
-    return S.index_chunks(chunks(t, **scope))
+    """The stored postings of the chunks in scope, built by the first search that needs them."""
+    return P.stored_index(chunks(t, **scope), f"chunks of documents {sorted(scope.items())}")
 
 
 def whole(t: Tables):
-    """The index of whole documents."""
-    return S.index_chunks(t.corpus.select("doc_id", "text", F.col("lang").alias("language")), "text").drop("text")
+    """The stored postings of whole documents."""
+    return P.stored_index(t.corpus.select("doc_id", "text"), "documents", ("doc_id",), "text")
 
 
 def asked(t: Tables):
     return S.questions(t.spark, QUESTIONS)
 
 
-def _ranked(t: Tables, **scope):
-    return S.bm25(stored(t, **scope), asked(t))
-
-
 def sources(t: Tables):
     """The best chunks of every question with text and file name."""
     names = rel.files(t).where("format IS NOT NULL").select(F.col("id").alias("file_id"), F.col("original_name").alias("filename"))
-    table = stored(t)
-    best = S.bm25(table, asked(t))
-    texts = table.select("file_id", "chunk_index", "chunk_text")
-    found = texts.join(F.broadcast(best), ["file_id", "chunk_index"])     # at most five rows per question
-    found = found.join(names, "file_id", "left")
-    name = F.coalesce(F.nullif("filename", F.lit("")), F.concat(F.lit("file #"), F.col("file_id").cast("string")))
-    return found.withColumn("file_name", name)
+    index = stored(t)
+    best = P.search(index, asked(t))
+    texts = index.rows.select("file_id", "chunk_index", "chunk_text")
+    return S.with_sources(F.broadcast(best), texts, names=names)          # at most five rows per question
 
 
 @plan("chunk_documents", _REC + CHUNKS + "\nSELECT * FROM chunks")
@@ -111,31 +105,32 @@ def index_stats(t: Tables):
 
 @plan("term_stats", "WITH " + ",\n".join([_ASKED, _bm25_sql("doc_id", "documents", "text")]) + "\nSELECT term, df, round(idf, 6) AS idf FROM idf")
 def term_stats(t: Tables):
-    return S.term_stats(whole(t)).withColumn("idf", F.round("idf", 6))
+    return whole(t).vocabulary().withColumn("idf", F.round("idf", 6))
 
 
 @plan("bm25_scores", "WITH " + ",\n".join([_ASKED, _bm25_sql("doc_id", "documents", "text")]) + "\nSELECT query_id, doc_id, round(score, 6) AS score FROM scored")
 def bm25_scores(t: Tables):
-    found = S.bm25_scores(whole(t), asked(t), ("doc_id",))
+    found = P.scores(whole(t), asked(t))
     return found.withColumn("score", F.round("score", 6))
 
 
 @plan("bm25_topk", RANKED + "SELECT query_id, file_id, chunk_index, round(score, 6) AS score, rank FROM ranked")
 def bm25_topk(t: Tables):
-    return _ranked(t).withColumn("score", F.round("score", 6))
+    return P.search(stored(t), asked(t)).withColumn("score", F.round("score", 6))
 
 
 @plan("bm25_scoped", _REC + ",\n".join([_ASKED, CHUNKS, "mine AS (SELECT c.* FROM chunks c JOIN documents d ON d.doc_id = c.file_id WHERE d.source = 'src3')",
       _bm25_sql(_CHUNK_KEYS, "mine", "chunk_text"), _ranked_sql(_CHUNK_KEYS, 5)]) + "\nSELECT query_id, file_id, chunk_index, round(score, 6) AS score, rank FROM ranked")
 def bm25_scoped(t: Tables):
     # The scope is applied before chunking; statistics see the user's chunks only.
-    return _ranked(t, user_id=3).withColumn("score", F.round("score", 6))
+    return P.search(stored(t, user_id=3), asked(t)).withColumn("score", F.round("score", 6))
 
 
 @plan("bm25_filtered", "WITH " + ",\n".join([_ASKED, "fr AS (SELECT * FROM documents WHERE lang = 'fr')", _bm25_sql("doc_id", "fr", "text"), _ranked_sql("doc_id", 10)])
       + "\nSELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked")
 def bm25_filtered(t: Tables):
-    found = S.bm25(whole(t), asked(t), 10, ("doc_id",), language="fr")
+    docs = S.scope_chunks(t.corpus.select("doc_id", "text", F.col("lang").alias("language")), language="fr")
+    found = P.search(P.stored_index(docs, "documents in French", ("doc_id",), "text"), asked(t), 10)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -147,7 +142,7 @@ def bm25_by_type_and_date(t: Tables):
                            F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(cast(doc_id % 60 as int))").alias("created_at"))
     # The scope is applied before the texts are cut into tokens.
     scoped = S.scope_chunks(docs, doc_type="report", date_range=("2024-01-10", "2024-02-05"))
-    found = S.bm25(S.index_chunks(scoped, "text"), asked(t), 10, ("doc_id",))
+    found = P.search(P.stored_index(scoped, "reports of some days", ("doc_id",), "text"), asked(t), 10)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -158,7 +153,7 @@ _BATCH = {f"b{i}": q for i, q in enumerate([
 @plan("bm25_batch", "WITH " + ",\n".join(["asked AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _BATCH.items()) + ") v(query_id, question))",
       _bm25_sql("doc_id", "documents", "text"), _ranked_sql("doc_id", 5)]) + "\nSELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked")
 def bm25_batch(t: Tables):
-    found = S.bm25(whole(t), S.questions(t.spark, _BATCH), 5, ("doc_id",))
+    found = P.search(whole(t), S.questions(t.spark, _BATCH), 5)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -282,6 +277,37 @@ def similar_vectors(t: Tables):
     return top.withColumn("similarity", F.round("similarity", 6))
 
 
+def _every_fiftieth(t: Tables):
+    return _vectors(t).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@plan("vector_probes")
+def vector_probes(t: Tables):
+    """The ten nearest vectors of every fiftieth one, from the cells next to it."""
+    found = VE.vector_topk(_every_fiftieth(t), _vectors(t), 10, exact=False)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@plan("vector_recall", "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def vector_recall(t: Tables):
+    """Whether the cells find nine tenths of the ten nearest vectors."""
+    found = VE.vector_topk(_every_fiftieth(t), _vectors(t), 10, exact=False)
+    measured = VE.recall(found, VE.vector_topk(_every_fiftieth(t), _vectors(t), 10))
+    return measured.select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
+_ALL_PAIRS = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
+SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity,
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.vec_id) AS rank FROM e a, e b QUALIFY rank <= 3"""
+
+
+@plan("vector_neighbours", _ALL_PAIRS)
+def vector_neighbours(t: Tables):
+    """The three nearest vectors of every vector: as many queries as vectors, none of them in the driver."""
+    found = VE.vector_topk(_vectors(t).select(F.col("vec_id").alias("query_id"), "embedding"), _vectors(t), 3, block=0)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 _HYBRID = {"0": "the hand of", "1": "elle avec la", "2": "der und nicht"}
 
 
@@ -293,7 +319,7 @@ SELECT query_id, doc_id, round(s, 9) AS score, row_number() OVER (PARTITION BY q
 FROM (SELECT query_id, doc_id, CAST(sum(CAST(1 AS DOUBLE) / (60 + r)) AS DOUBLE) AS s FROM (SELECT query_id, doc_id, rank AS r FROM ranked UNION ALL SELECT query_id, doc_id, rank FROM dense) GROUP BY query_id, doc_id)
 QUALIFY rank <= 10""")
 def hybrid_topk(t: Tables):
-    lexical = S.bm25(whole(t), S.questions(t.spark, _HYBRID), 20, ("doc_id",))
+    lexical = P.search(whole(t), S.questions(t.spark, _HYBRID), 20)
     centers = VE.centroids(_vectors(t)).where(F.col("query_id").isin(list(_HYBRID)))
     dense = VE.vector_topk(centers, _vectors(t), 20).withColumnRenamed("vec_id", "doc_id")
     return VE.hybrid_topk(lexical, dense, 10).withColumn("score", F.round("score", 9))
