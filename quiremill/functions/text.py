@@ -25,21 +25,42 @@ def _needles(pattern: str) -> list[str]:
     return [part for part in re.split(r"\[.*?\][?*+]?|\\d\+|\.\*", core) if part]
 
 
-def rule_hit(text: Column, pattern: str) -> Column:
-    """Whether a keyword pattern occurs in lower-case text.
+def _words_of(pattern: str) -> list[str] | None:
+    """The words of a pattern that is nothing but whole words, one blank between them."""
+    words = pattern.removeprefix(r"\b").removesuffix(r"\b").split(" ")
+    plain = pattern.startswith(r"\b") and pattern.endswith(r"\b") and all(re.fullmatch(r"\w+", w) for w in words)
+    return words if plain else None
 
-    A plain substring test runs first, so the regex only sees texts that can match.
+
+_WHOLE_WORDS = {p: words for _, _, patterns in V.DOCUMENT_RULES for p in patterns if (words := _words_of(p))}
+
+
+def rule_words(seen: Column) -> Column:
+    """The different words of a lower-case text that stand in any type pattern: one pass over the text, whatever the number of rules."""
+    known = sorted({w for words in _WHOLE_WORDS.values() for w in words})
+    return F.array_intersect(F.split(seen, r"(?U)\W+"), F.array(*map(F.lit, known)))
+
+
+def rule_hit(seen: Column, words: Column, pattern: str) -> Column:
+    """Whether a keyword pattern occurs in lower-case text, of which ``words`` are those of ``rule_words``.
+
+    A single word needs no further look. Several words must all be there before the regex
+    sees the text; other patterns first have a plain substring test.
     """
-    return all_of([text.contains(n) for n in _needles(pattern)]) & text.rlike("(?idU)" + pattern)
+    whole = _WHOLE_WORDS.get(pattern)
+    if whole and len(whole) == 1:
+        return F.array_contains(words, whole[0])
+    needles = [F.array_contains(words, w) for w in whole] if whole else [seen.contains(n) for n in _needles(pattern)]
+    return all_of(needles) & seen.rlike("(?idU)" + pattern)
 
 
-def rule_masks(seen: Column) -> dict[str, Column]:
+def rule_masks(seen: Column, words: Column) -> dict[str, Column]:
     """One integer per document type whose bits tell which patterns occur in lower-case text."""
     masks = {}
     for kind, _, patterns in V.DOCUMENT_RULES:
         mask = F.lit(0)
         for bit, p in enumerate(patterns):
-            mask = mask + F.when(rule_hit(seen, p), F.lit(1 << bit)).otherwise(F.lit(0))
+            mask = mask + F.when(rule_hit(seen, words, p), F.lit(1 << bit)).otherwise(F.lit(0))
         masks[kind] = mask
     return masks
 

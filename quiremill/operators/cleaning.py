@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quiremill.functions import cleaning as C
@@ -82,6 +82,28 @@ def null_sentinels(df: DataFrame) -> DataFrame:
     return df.withColumns({c: C.null_if_sentinel(c) for c in string_columns(df)})
 
 
+def clean_to(df: DataFrame, path: str, fill: str | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """(cleaned, report): write the cleaned table below ``path`` and count what it took on the way, in one pass over the input.
+
+    The report has the fields of ``cleaning_report``; its counters are observed by the plan that writes. Which columns are
+    empty is known only then, so they are written and left out when the table is read.
+    """
+    cols = df.columns
+    empty = C.all_of([F.col(c).isNull() for c in cols])
+    before, after = Observation(), Observation()
+    rows = df.observe(before, F.count(F.lit(1)).alias("rows"), F.count_if(empty).alias("empty"), *[F.count(c).alias(f"n_{c}") for c in cols])
+    rows = dedup_rows(drop_empty_rows(rows)).observe(after, F.count(F.lit(1)).alias("rows"))
+    rows = trim_strings(rows)
+    (rows if fill is None else fill_nulls(rows, fill)).write.mode("overwrite").parquet(path)
+    seen, left = before.get, after.get
+    gone = [c for c in cols if not seen[f"n_{c}"]] if seen["rows"] else []
+    report = {
+        "original_rows": seen["rows"], "result_rows": left["rows"], "empty_rows": seen["empty"],
+        "duplicate_rows": seen["rows"] - seen["empty"] - left["rows"], "original_cols": len(cols), "result_cols": len(cols) - len(gone),
+        "trimmed_cols": len(string_columns(df))}
+    return df.sparkSession.read.schema(rows.schema).parquet(path).drop(*gone), report
+
+
 def cleaning_report(df: DataFrame) -> DataFrame:
     """One row: rows before and after the row steps, and columns without values."""
     cols = df.columns

@@ -1,6 +1,11 @@
 """Document analysis over a corpus: one row per document in, relations out."""
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +24,7 @@ def with_type(docs: DataFrame, head: int | None = None, signals: bool = False) -
     """Add doc_type, confidence and, if wanted, signals to documents.
 
     The keyword rules look at the whole text, or with ``head`` at so many leading characters
-    (``values.CLASSIFY_HEAD`` is the strict rule). Masks and best type go
+    (``values.CLASSIFY_HEAD`` is the strict rule). Its words are looked up once for all rules. Words, masks and best type go
     through one-element generators, which later filters cannot be pushed through: so
     each pattern runs once per document, whatever is asked of the result.
     """
@@ -27,7 +32,8 @@ def with_type(docs: DataFrame, head: int | None = None, signals: bool = False) -
     seen = F.lower(F.concat(text if head is None else text.substr(1, head), F.lit(" "), name))
     kinds = [kind for kind, _, _ in V.DOCUMENT_RULES]
     out = docs.withColumns({"_seen": seen, "_empty": (F.length(text) == 0) & (F.length(name) == 0)})
-    masks = F.struct(*[m.alias(f"_m_{k}") for k, m in X.rule_masks(F.col("_seen")).items()])
+    out = out.select("*", F.inline(F.array(F.struct(X.rule_words(F.col("_seen")).alias("_words")))))
+    masks = F.struct(*[m.alias(f"_m_{k}") for k, m in X.rule_masks(F.col("_seen"), F.col("_words")).items()])
     out = out.select(*docs.columns, "_empty", F.inline(F.array(masks)))
     best = X.best_rule({k: F.col(f"_m_{k}") for k in kinds}, F.col("_empty"))
     out = out.select(*docs.columns, F.inline(F.array(best)))
@@ -71,10 +77,45 @@ def distinct_entities(values: Column) -> Column:
     return F.size(F.array_distinct(values))
 
 
-def analyze(docs: DataFrame, head: int | None = None) -> DataFrame:
+ERROR_CHARS = 300
+
+
+@dataclass(frozen=True)
+class Step:
+    """A step of one's own in an analysis: a Python function of a text, and the type of its result."""
+    name: str
+    run: Callable[[str], Any]
+    kind: str = "string"
+
+
+def isolated(text: str | Column, step: Step) -> Column:
+    """STRUCT(value, error): the step's result, or NULL and what went wrong. A text on which it fails fails alone."""
+    name, run = step.name, step.run
+
+    @F.pandas_udf(f"value {step.kind}, error string")
+    def attempt(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            try:
+                rows.append((None if text is None else run(text), None))
+            except Exception as e:  # noqa: BLE001  whatever a step raises is its result
+                rows.append((None, f"{name}: {type(e).__name__}: {e}"[:ERROR_CHARS]))
+        return pd.DataFrame(rows, columns=["value", "error"])
+
+    return attempt(text)
+
+
+def _said(step: str, *cases: tuple[Column, str]) -> Column:
+    """The first case that holds, as an error of the step; NULL if none does."""
+    return F.coalesce(*[F.when(case, F.lit(f"{step}: {what}")) for case, what in cases])
+
+
+def analyze(docs: DataFrame, head: int | None = None, steps: Sequence[Step] = ()) -> DataFrame:
     """One analysis row per document: type, language, handler, entity counts, suggested actions and errors.
 
-    ``errors`` names the steps that had nothing to work on. All steps are column expressions of one select; nothing is shuffled.
+    Every step gives a value and an error, and ``errors`` gathers the latter: texts that are missing or empty, no rule that fits, amounts
+    in which there is no number, and whatever a step of one's own raises. No step's failure touches another's
+    value. ``steps`` add a column each, named as the step. All other steps are column expressions of one select; nothing is shuffled.
     """
     fmt = _optional(docs, "format", F.lit(""))
     tables = _optional(docs, "has_tables", F.lit(False))
@@ -83,17 +124,23 @@ def analyze(docs: DataFrame, head: int | None = None) -> DataFrame:
         distinct_entities(X.emails("text")).alias("n_emails"), distinct_entities(X.phones("text")).alias("n_phones"),
         distinct_entities(X.dates("text")).alias("n_dates"), distinct_entities(X.urls("text")).alias("n_urls"),
         distinct_entities(X.ibans("text")).alias("n_ibans"),
-        F.size(X.field_entities("text", "doc_type")).alias("n_fields"),
+        F.inline(F.array(F.struct(X.field_entities("text", "doc_type").alias("_fields")))),
     )
+    typed = typed.withColumns({f"_own_{s.name}": isolated("text", s) for s in steps})
     handler = F.coalesce(*[F.when(F.col("doc_type") == k, F.lit(v)) for k, v in V.PIPELINE_NAMES.items()], F.lit("generic"))
+    amounts = F.filter("_fields", lambda e: e["entity_type"].isin(V.AMOUNT_ENTITIES) & X.normalized_value(e["entity_type"], e["value"]).isNull())
+    errors = F.concat(
+        F.array(_said("extract_text", (F.col("text").isNull(), "missing"), (strip("text") == "", "empty")),
+                _said("classify", (F.col("doc_type") == "unknown", "no rule fits"))),
+        F.transform(amounts, lambda e: F.concat(F.lit("normalize: no number in "), e["entity_type"])),
+        F.array(*[F.col(f"_own_{s.name}.error") for s in steps]).cast("array<string>"))
     return typed.select(
         "doc_id", "doc_type", "confidence", "language", handler.alias("pipeline_used"), "has_tables",
-        "n_emails", "n_phones", "n_dates", "n_urls", "n_ibans", "n_fields",
+        "n_emails", "n_phones", "n_dates", "n_urls", "n_ibans", F.size("_fields").alias("n_fields"),
         X.suggestions(F.col("doc_type"), F.col("has_tables"), F.col("format"), F.col("text"),
                       F.col("n_emails"), F.col("n_phones")).alias("suggestions"),
-        F.filter(F.array(
-            F.when(F.col("text").isNull(), "extract_text: missing").when(strip("text") == "", "extract_text: empty"),
-            F.when(F.col("doc_type") == "unknown", "classify: no rule fits")), lambda e: e.isNotNull()).alias("errors"),
+        *[F.col(f"_own_{s.name}.value").alias(s.name) for s in steps],
+        F.filter(errors, lambda e: e.isNotNull()).alias("errors"),
     )
 
 

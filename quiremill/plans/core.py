@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quiremill.operators import analytics as A
 from quiremill.operators import cleaning as C
+from quiremill.operators import keys as K
 from quiremill.operators import relational as R
 from quiremill.plans import relations as rel
 from quiremill.plans.registry import Tables, plan
@@ -247,6 +248,25 @@ def merge_horizontal(t: Tables):
     return R.merge_horizontal([left, right], ["key"])
 
 
+@plan("common_key", """SELECT 'orders' AS "left", 'lineitem' AS "right", 'o_orderkey' AS left_column, 'l_orderkey' AS right_column,
+    (SELECT count(DISTINCT o_orderkey) FROM orders) AS left_distinct, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS right_distinct,
+    (SELECT count(DISTINCT o_orderkey) FROM orders SEMI JOIN lineitem ON l_orderkey = o_orderkey) AS shared
+  UNION ALL SELECT 'customer', 'orders', 'c_custkey', 'o_custkey', (SELECT count(DISTINCT c_custkey) FROM customer),
+    (SELECT count(DISTINCT o_custkey) FROM orders), (SELECT count(DISTINCT c_custkey) FROM customer SEMI JOIN orders ON o_custkey = c_custkey)""")
+def common_key(t: Tables):
+    """By which columns orders belong to their lines, and customers to their orders."""
+    found = None
+    for left, right in (("orders", "lineitem"), ("customer", "orders")):
+        part = K.common_key(getattr(t, left), getattr(t, right)).select(F.lit(left).alias("left"), F.lit(right).alias("right"), "*")
+        found = part if found is None else found.union(part)
+    return found
+
+
+@plan("join_found", "SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer JOIN orders ON o_custkey = c_custkey")
+def join_found(t: Tables):
+    return K.join_on_common_key(t.customer, t.orders).select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
+
+
 # --- aggregates ------------------------------------------------------------------------------
 
 @plan("count_all", "SELECT count(*) AS n FROM lineitem")

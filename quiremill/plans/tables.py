@@ -9,7 +9,7 @@ from quiremill.functions import values as V
 from quiremill.operators import cleaning as C
 from quiremill.operators import grid as G
 from quiremill.plans import relations as rel
-from quiremill.plans.registry import Tables, plan
+from quiremill.plans.registry import SQL, Tables, plan
 from quiremill.plans.relations import FILES, with_
 from quiremill.session import scratch_path, spread
 from quiremill.sources import readers, sinks
@@ -109,6 +109,27 @@ def html_tables(t: Tables):
     return readers.html_cells(t.customer.select(F.col("c_custkey").alias("page_id"), html.alias("html")))
 
 
+@plan("scan_rejects", """SELECT 'csv' AS kind, count(*) FILTER (WHERE o_orderkey % 97 <> 0) AS rows, count(*) FILTER (WHERE o_orderkey % 97 = 0) AS rejected,
+    CAST(sum(o_orderkey) FILTER (WHERE o_orderkey % 97 = 0) AS BIGINT) AS rejected_keys FROM orders
+  UNION ALL SELECT 'json', count(*) FILTER (WHERE o_orderkey % 89 <> 0), count(*) FILTER (WHERE o_orderkey % 89 = 0),
+    CAST(sum(o_orderkey) FILTER (WHERE o_orderkey % 89 = 0) AS BIGINT) FROM orders""")
+def scan_rejects(t: Tables):
+    """Orders as delimited text and as JSON lines, some of them broken: good rows, rejects and the keys that rejected records still show."""
+    kinds, found = "o_orderkey bigint, o_custkey bigint, o_totalprice double", None
+    line = F.concat_ws(",", "o_orderkey", F.when(F.col("o_orderkey") % 97 == 0, "?").otherwise(F.col("o_custkey").cast("string")), "o_totalprice")
+    record = F.to_json(F.struct("o_orderkey", "o_custkey", "o_totalprice"))
+    record = F.when(F.col("o_orderkey") % 89 == 0, F.regexp_replace(record, "}$", "")).otherwise(record)
+    for fmt, text in (("csv", line), ("json", record)):
+        path = scratch_path(t.spark, f"broken_{fmt}")
+        spread(t.orders).select(text.alias("value")).write.text(path)
+        rows, rejects, totals = readers.read_with_rejects(t.spark, path, fmt, kinds)
+        key = F.regexp_extract("record", r"\d+", 0).cast("bigint")
+        part = totals.agg(F.lit(fmt).alias("kind"), F.sum("rows").alias("rows"), F.sum("rejected").alias("rejected"))
+        part = part.join(rejects.agg(F.lit(fmt).alias("kind"), F.sum(key).alias("rejected_keys")), "kind")
+        found = part if found is None else found.union(part)
+    return found
+
+
 @plan("select_sheets", "SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src3', 'missing')")
 def select_sheets(t: Tables):
     return readers.select_sheets(t.documents, ["src1", "src3", "missing"], "source").select("doc_id", "source")
@@ -449,6 +470,18 @@ def cleaning_report(t: Tables):
     return C.cleaning_report(_dirty(t))
 
 
+@plan("clean_observed", SQL["cleaning_report"])
+def clean_observed(t: Tables):
+    """The report that the plan which writes the cleaned table has counted."""
+    cleaned, report = C.clean_to(_dirty(t), scratch_path(t.spark, "cleaned"), fill="n/a")
+    return t.spark.createDataFrame([tuple(report.values())], ", ".join(f"{k} bigint" for k in report))
+
+
+@plan("clean_written", SQL["clean_table"])
+def clean_written(t: Tables):
+    return C.clean_to(_dirty(t), scratch_path(t.spark, "cleaned"), fill="n/a")[0]
+
+
 @plan("dedup_keep_first", "SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY l_orderkey, l_linenumber")
 def dedup_keep_first(t: Tables):
     return C.dedup_keep_first(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), "l_partkey")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quiremill.session import written
+
 
 def _fmt(fmt: str) -> str:
     return fmt.lower().lstrip(".")
@@ -83,6 +85,33 @@ def read_xml(spark: SparkSession, path: str, row_tag: str = "row", schema: str |
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
+REJECTED = "_rejected"
+
+
+def read_with_rejects(spark: SparkSession, path: str, fmt: str, schema: str | T.StructType, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, rejects, totals) of delimited text, JSON lines or XML with a declared schema.
+
+    A record that does not fit the schema is none of the rows: it stands in the rejects as (file, block_start, record), with the start
+    of the block of the file that its task read. Totals are (file, rows, rejected). The files are parsed
+    once, into a table that all three read.
+    """
+    kinds = {"csv": ("csv", {"sep": ",", "escape": '"'}), "tsv": ("csv", {"sep": "\t", "escape": '"'}), "json": ("json", {}), "xml": ("xml", {"rowTag": "row"})}
+    fmt = {"txt": "csv", "ndjson": "json"}.get(_fmt(fmt), _fmt(fmt))
+    if fmt not in kinds:
+        raise ValueError(f"no rejects are kept for {fmt}")
+    name, own = kinds[fmt]
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    wide = T.StructType([*schema.fields, T.StructField(REJECTED, T.StringType())])
+    reader = spark.read.format(name).schema(wide).options(**{"mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECTED, **own, **options})
+    parsed = written(reader.load(path).select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block_start")), "parsed")
+    bad = F.col(REJECTED).isNotNull()
+    rows = parsed.where(~bad).select(*schema.fieldNames())
+    rejects = parsed.where(bad).select(F.col("_file").alias("file"), F.col("_block_start").alias("block_start"), F.col(REJECTED).alias("record"))
+    totals = parsed.groupBy(F.col("_file").alias("file")).agg(F.count_if(~bad).alias("rows"), F.count_if(bad).alias("rejected"))
+    return rows, rejects, totals
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str | None = None, partition_column: str | None = None,
               lower: int | None = None, upper: int | None = None, partitions: int = 32,
               properties: dict[str, str] | None = None, catalog_query: str | None = None) -> DataFrame:
