@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -74,14 +75,16 @@ class Page:
     """Blocks of a page's article with the hashes of the subtrees they stand in."""
 
     def __init__(self, source: str | None) -> None:
-        self.blocks: list[tuple[int, str, tuple[int, ...]]] = []   # container, text, element numbers
+        self.blocks: list[tuple[int, str, int]] = []               # container, text, number of the innermost element
         self.hashes: list[int] = []                                # by element number
+        self.parents: list[int] = []                               # by element number, -1 at the outermost; always a smaller one
         self._read(source or "")
 
     def _read(self, source: str) -> None:
         # An element on the stack: name, dropped, container, number, what its subtree holds.
         stack: list[tuple[str, bool, int, int, list[str]]] = [("", False, 0, -1, [])]
         words: list[str] = []
+        opened: Counter[str] = Counter()                           # names on the stack
 
         def flush() -> None:
             if words:
@@ -90,10 +93,11 @@ class Page:
                 top = stack[-1]
                 if text and not top[1]:
                     top[4].append(text)
-                    self.blocks.append((top[2], text, tuple(e[3] for e in stack[1:])))
+                    self.blocks.append((top[2], text, top[3]))
 
         def pop() -> None:
             name, dropped, _, number, held = stack.pop()
+            opened[name] -= 1
             if not dropped:
                 h = xxhash.xxh64_intdigest("\x1f".join([name, *held])) if held else 0
                 self.hashes[number] = h
@@ -114,7 +118,7 @@ class Page:
             if m["close"]:
                 if block:
                     flush()
-                if name in FORMAT and not any(e[0] == name for e in stack):
+                if not opened[name]:
                     continue
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == name:
@@ -146,6 +150,8 @@ class Page:
             dropped = parent[1] or drop or (name == "header" and not container)
             if not dropped:
                 self.hashes.append(0)
+                self.parents.append(parent[3])
+            opened[name] += 1
             stack.append((name, dropped, container, -1 if dropped else len(self.hashes) - 1, []))
         if not stack[-1][1]:
             words.append(html.unescape(source[at:]))
@@ -157,13 +163,21 @@ class Page:
 
     def subtrees(self) -> set[int]:
         """Hashes of the elements that hold a block of the article, without the outermost ones."""
-        return {self.hashes[n] for _, _, inside in self.blocks for n in inside[1:]} if self.blocks else set()
+        seen: set[int] = set()
+        for _, _, n in self.blocks:
+            while n >= 0 and n not in seen:
+                seen.add(n)
+                n = self.parents[n]
+        return {self.hashes[n] for n in seen if self.parents[n] >= 0}
 
     def text(self, templates: set[int] | None = None) -> str:
         """The blocks outside all template subtrees, one a line."""
-        if templates:
-            return "\n".join(t for _, t, inside in self.blocks if not any(self.hashes[n] in templates for n in inside))
-        return "\n".join(t for _, t, _ in self.blocks)
+        if not templates:
+            return "\n".join(t for _, t, _ in self.blocks)
+        gone: list[bool] = []
+        for h, parent in zip(self.hashes, self.parents):
+            gone.append(h in templates or parent >= 0 and gone[parent])
+        return "\n".join(t for _, t, n in self.blocks if n < 0 or not gone[n])
 
 
 def _signed(h: int) -> int:
@@ -202,7 +216,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", column: st
 
     Menus, headers, footers, sidebars, notices, adverts, forms, comments and the like go by their tags, classes, ids and roles;
     of what is left the ``article`` counts, else ``main``, else the body; then subtrees that the site
-    repeats go. Character references are decoded, white space in a block becomes one space, blocks
+    repeats go. Long and deeply nested pages take room and time in proportion. Character references are decoded, white space in a block becomes one space, blocks
     are joined by line feeds. NULL and empty pages give an empty text; NULL urls share one empty
     host; repeated rows are handled one by one; other columns are not read.
     """

@@ -26,7 +26,7 @@ _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}")
 _ASSIGNED = re.compile(
     r"(?i)\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|key|auth|bearer)\b"
     r"[\"']?\s*[:=]\s*[\"']?([^\s\"'<>]{6,})")
-_MIXED = re.compile(r"(?=.*[a-z].*[A-Z].*[a-z].*[A-Z])")
+_MIXED = re.compile(r"[^a-z]*+[a-z][^A-Z]*+[A-Z][^a-z]*+[a-z][^A-Z]*+[A-Z]")       # never goes back
 _WORD = re.compile(r"[^\W\d_]{3,}")
 #: Formats that label a finding as a secret without the forest.
 KEY_FORMAT = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}")
@@ -184,7 +184,8 @@ def scan(docs: DataFrame, key: str = "doc_id", column: str = "text", threshold:
     What has the plain format of a key is always a secret; the forest sorts out the rest.
     Positions count code points; ``label`` is 1 where a key format or an assigned hexadecimal string is plain,
     NULL where an assigned value is neither, else 0. NULL and empty texts have no candidates; repeated
-    rows give repeated findings; other columns are not read.
+    rows give repeated findings; other columns are not read. Long texts and runs take time in proportion. Of findings with equal
+    hashes the labelled sample takes any.
     """
     rows = docs.select(docs[key].alias("key"), docs[column].alias("text"))
     found = written(find(rows, dictionary(rows), "key"), "findings")

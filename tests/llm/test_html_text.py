@@ -1,4 +1,6 @@
 import re
+import time
+import tracemalloc
 
 from quiremill.llm import html_text
 from quiremill.llm.html_text import Page
@@ -25,6 +27,19 @@ def test_without_article_and_broken_markup():
     assert Page("<div>" * 3000 + "deep").text() == "deep"
 
 
+def test_deep_pages_take_room_in_proportion():
+    source = "<div>x <i>y</i> " * 20_000 + "</span></section>" * 20_000
+    tracemalloc.start()
+    began = time.perf_counter()
+    page = Page(source)
+    took, (_, peak) = time.perf_counter() - began, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert took < 5 and peak < 50e6                       # traced memory makes it several times slower
+    assert page.text() == "\n".join(["x y"] * 20_000) and len(page.subtrees()) == 19_999
+    inner = page.hashes[10_000]
+    assert page.text({inner}) == "\n".join(["x y"] * 10_000)
+
+
 def test_headers_and_minor_articles():
     page = """<body><div class="site-header">Logo</div><div class="entry-header"><h1>Title</h1></div><div>Text</div></body>"""
     assert Page(page).text() == "Title\nText"

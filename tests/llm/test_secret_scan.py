@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 from quiremill.llm import secret_scan as S
 
@@ -60,3 +62,15 @@ def test_unlabelled_alike_and_empty(spark):
 def test_dictionary_counts_everything(spark):
     docs = spark.createDataFrame([(1, "river, River (river) x1 garden"), (2, None)], "doc_id long, text string")
     assert S.dictionary(docs, share=0.5) == {"river"} and S.dictionary(docs) == {"river", "garden"}
+
+
+def test_long_runs_take_time_in_proportion():
+    began = time.perf_counter()
+    for run in ("a" * 100_000, "B" * 100_000 + "c", "aB" * 50_000, "aB" + "c" * 100_000, "x" * 50_000 + "9" * 50_000, "a=" + "b" * 100_000, "key: " * 20_000):
+        S.candidates(run)
+    assert time.perf_counter() - began < 1
+    old = re.compile(r"(?=.*[a-z].*[A-Z].*[a-z].*[A-Z])")
+    rng = random.Random(4)
+    for _ in range(3000):
+        value = "".join(rng.choice("abAB/_") for _ in range(rng.randrange(12)))
+        assert bool(S._MIXED.match(value)) == bool(old.match(value))
