@@ -82,4 +82,4 @@ def stream_ping_state(t: Tables):
         F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("source"),
         (F.col("event_type") != "error").alias("ok"), F.col("value").alias("latency"), F.col("ts").alias("pinged_at"))
     jobs.run_ping_state(pings, out)
-    return jobs.newest(t.spark, out, ["source"])
+    return jobs.ping_table(t.spark, out)

@@ -6,12 +6,12 @@ import threading
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from quiremill.functions.cleaning import is_blank
 from quiremill.operators import documents as D
@@ -20,7 +20,6 @@ from quiremill.operators import versions
 from quiremill.sources import folders
 
 HISTORY = 10          # rows of history kept per source
-HELD_SOURCES = 20_000  # sources that a task gathers before it passes them on
 
 
 def stream_folder(spark: SparkSession, path: str, schema: T.StructType, pattern: str | None = None) -> DataFrame:
@@ -200,66 +199,91 @@ def analyze_stream(docs: DataFrame, table: str, checkpoint: str,
     query.awaitTermination()
 
 
-_PING = "source string, total bigint, fails bigint, id bigint, pinged_at timestamp_ntz, ok boolean, latency double"
-
-
-def _newest(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values(["pinged_at", "id"], ascending=False).head(HISTORY)
+_PING = "source string, total bigint, fails bigint, id bigint, at bigint, ok boolean, latency double"
 
 
 def reduce_pings(pings: DataFrame) -> DataFrame:
-    """Per task and source: counters and the newest ten rows.
+    """Per batch of rows and source: counters and the newest ten rows, for all sources of the batch at once.
 
-    This is the map-side half of ``ping_state``: a source with very many rows
-    sends at most ten per task to its state. Counters ride on the first row.
+    This is the map-side half of ``ping_state``: a source with very many rows sends ten of a batch to its
+    state at most. Counters ride on the first of them. ``at`` is in microseconds.
     """
-    def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, list] = {}
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            source = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            number, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            failed = ~batch.column(3).fill_null(False).to_numpy(zero_copy_only=False)
+            order = np.lexsort((-number, -at, source))
+            first = np.concatenate([[True], source[order][1:] != source[order][:-1]])
+            place = np.arange(len(order)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+            kept = order[place < HISTORY]
+            leads = first[place < HISTORY]
+            counters = [np.where(leads, np.bincount(source, weights=w)[source[kept]], 0).astype(np.int64) for w in (None, failed)]
+            rows = batch.take(pa.array(kept))
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0), *map(pa.array, counters), *(rows.column(i) for i in range(1, 5))],
+                ["source", "total", "fails", "id", "at", "ok", "latency"])
+
+    rows = pings.select("source", "id", F.unix_micros(as_instant("pinged_at")).alias("at"), "ok", F.col("latency").cast("double").alias("latency"))
+    return rows.mapInArrow(shrink, _PING)
+
+
+class PingState(StatefulProcessor):
+    """Counters of a source as a value, its newest rows as a list."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counters = handle.getValueState("counters", "total bigint, fails bigint")
+        self.history = handle.getListState("history", "id bigint, at bigint, ok boolean, latency double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        total, fails = self.counters.get() if self.counters.exists() else (0, 0)
+        held = [tuple(h) for h in self.history.get()] if self.history.exists() else []
+        for r in rows:
+            total, fails = total + r.total, fails + r.fails
+            held.append((r.id, r.at, r.ok, r.latency))
+        held = sorted(held, key=lambda h: (h[1], h[0]), reverse=True)[:HISTORY]
+        self.counters.update((total, fails))
+        self.history.put(held)
+        yield Row(source=key[0], total=total, fails=fails, last_ids=",".join(str(h[0]) for h in held))
+
+    def close(self) -> None:
+        pass
 
-        def flush() -> Iterator[pd.DataFrame]:
-            for source, (total, fails, rows) in held.items():
-                out = rows.assign(source=source, total=0, fails=0)
-                out.iloc[0, out.columns.get_loc("total")] = total
-                out.iloc[0, out.columns.get_loc("fails")] = fails
-                yield out[["source", "total", "fails", "id", "pinged_at", "ok", "latency"]]
-            held.clear()
 
-        for batch in batches:
-            for source, part in batch.groupby("source"):
-                entry = held.setdefault(source, [0, 0, None])
-                entry[0] += len(part)
-                entry[1] += int((~part["ok"].astype(bool)).sum())
-                entry[2] = _newest(part if entry[2] is None else pd.concat([entry[2], part]))
-            if len(held) > HELD_SOURCES:
-                yield from flush()
-        yield from flush()
+def ping_state(pings: DataFrame) -> DataFrame:
+    """Running totals and the last ten rows per source, updated with every batch; needs the state store that ``run_ping_state`` sets.
 
-    return pings.select("source", "id", "pinged_at", "ok", "latency").mapInPandas(shrink, _PING)
+    The state has no time to live: with one, Spark runs batches without data for ever, and a run over what is there does not end.
+    """
+    return reduce_pings(pings).groupBy("source").transformWithState(
+        PingState(), "source string, total bigint, fails bigint, last_ids string", "Update", "None")
 
 
-def ping_state(pings: DataFrame) -> DataFrame:
-    """Running totals and the last ten rows per source, updated with every batch."""
-    state_type = "total bigint, fails bigint, history array<struct<id:bigint,at:string,ok:boolean,latency:double>>"
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, fails, history = state.get if state.exists else (0, 0, [])
-        rows = [tuple(h) for h in history]
-        for pdf in batches:
-            total += int(pdf["total"].sum())
-            fails += int(pdf["fails"].sum())
-            rows += [(int(i), str(at), bool(ok), float(lat)) for i, at, ok, lat in
-                     zip(pdf["id"], pdf["pinged_at"], pdf["ok"], pdf["latency"])]
-            rows = sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)[:HISTORY]
-        state.update((total, fails, rows))
-        yield pd.DataFrame({
-            "source": [key[0]], "total": [total], "fails": [fails],
-            "last_ids": [",".join(str(r[0]) for r in rows)]})
-
-    return reduce_pings(pings).groupBy("source").applyInPandasWithState(
-        update, "source string, total bigint, fails bigint, last_ids string", state_type,
-        "update", GroupStateTimeout.NoTimeout)
+_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def run_ping_state(pings: DataFrame, out: str) -> None:
-    """Write every update of ``ping_state`` with its batch number; the newest batch per source is current."""
-    run_updates(ping_state(pings), out, ["source"])
+    """Write every update of ``ping_state`` with its batch number; the state itself is the current table, see ``ping_table``."""
+    spark = pings.sparkSession
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        run_updates(ping_state(pings), out, ["source"])
+    finally:
+        if before is None:
+            spark.conf.unset(_STORE)
+        else:
+            spark.conf.set(_STORE, before)
+
+
+def ping_table(spark: SparkSession, out: str) -> DataFrame:
+    """(source, total, fails, last_ids) as the state holds them now: no update that was ever written is read."""
+    part = lambda name: spark.read.format("statestore").option("path", f"{out}/checkpoint").option("stateVarName", name).load()
+    counters = part("counters").select("key.source", "value.total", "value.fails")
+    newest_first = F.sort_array(F.collect_list(F.struct("list_element.at", "list_element.id")), asc=False)        # ten rows of a source
+    history = part("history").groupBy("key.source").agg(newest_first.alias("h"))
+    ids = F.array_join(F.transform("h", lambda h: h["id"].cast("string")), ",")
+    return counters.join(history.select("source", ids.alias("last_ids")), counters["source"].eqNullSafe(history["source"]), "left").select(
+        counters["source"], "total", "fails", "last_ids")

@@ -24,6 +24,18 @@ def test_ping_state_over_batches(spark, tmp_path):
     got = {r.source: tuple(r.s) for r in rows}
     assert got["a"] == (12, 0, "22,20,18,16,14,12,10,8,6,4")
     assert got["b"] == (12, 3, "23,21,19,17,15,13,11,9,7,5")
+    assert {r.source: tuple(r)[1:] for r in jobs.ping_table(spark, out).collect()} == got       # read back from the state
+
+
+def test_pings_reduced_at_once(spark):
+    rows = [(i, [None, "a", "b", "hot"][min(i % 7, 3)], None if i % 11 == 0 else i % 5 > 0, 1.0, f"2024-01-01 00:00:{i % 60:02d}") for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, source string, ok boolean, latency double, at string").coalesce(1)
+    got = jobs.reduce_pings(df.select("id", "source", "ok", "latency", F.to_timestamp_ntz("at").alias("pinged_at"))).collect()
+    for source in (None, "a", "b", "hot"):
+        mine = [r for r in rows if r[1] == source]
+        part = [r for r in got if r.source == source]
+        assert sum(r.total for r in part) == len(mine) and sum(r.fails for r in part) == sum(not r[2] for r in mine)
+        assert [r.id for r in part] == [r[0] for r in sorted(mine, key=lambda r: (r[4], r[0]), reverse=True)[:10]]
 
 
 def test_days_close_with_the_watermark(spark, tmp_path):
