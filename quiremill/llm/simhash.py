@@ -198,7 +198,7 @@ SMALL_SET = 64               # sets with fewer shingles are verified whatever th
 BROADCAST_NODES = 500_000    # more candidates meet their texts by a shuffle
 PACK = 1 << 20               # shingles that a task packs together
 BUCKET = 1 << 22             # shingles of a bucket, about: those are counted together
-TURNS = (1, 4, None)         # partners that a node is held against in a round, before all others
+TURNS = (1, None)            # partners that a node is held against in a round: the nearest one, then all others
 #: Odd multipliers that make the parts out of one hash of a shingle.
 _MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) | 1) & (1 << 64) - 1 for i in range(PARTS)], np.uint64)
 
@@ -297,7 +297,7 @@ def _packed(size: int, buckets: int):
 
 
 def _shared_of(bucket: int, packs: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-    """(node, grams, counts): for every node the shingles of a bucket that other nodes hold as well, with the number of holders."""
+    """(node, gram, n): the shingles of a bucket that several nodes hold, beside each of them, with the number of holders."""
     grams = np.concatenate([np.frombuffer(g, np.uint32) for g, _, _ in packs])
     names, owner = np.unique(np.concatenate([np.frombuffer(n, np.int64) for _, _, n in packs]), return_inverse=True)
     owner = np.repeat(owner, np.concatenate([np.frombuffer(x, np.uint32) for _, x, _ in packs]))
@@ -307,13 +307,8 @@ def _shared_of(bucket: int, packs: list[tuple[bytes, bytes, bytes]]) -> pa.Recor
     holders = np.repeat(np.diff(np.append(starts, len(grams))), np.diff(np.append(starts, len(grams))))
     more = holders > 1
     grams, owner, holders = grams[more], owner[more], holders[more]
-    order = np.argsort(owner, kind="stable")
-    grams, owner, holders = grams[order] | np.uint64(bucket << 32), owner[order], holders[order]
-    cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-    ends = pa.array(np.append(cuts, len(owner)).astype(np.int32))
     return pa.RecordBatch.from_arrays(
-        [pa.array(names[owner[cuts]]), pa.ListArray.from_arrays(ends, pa.array(grams.view(np.int64))),
-         pa.ListArray.from_arrays(ends, pa.array(holders.astype(np.int32)))], ["node", "grams", "counts"])
+        [pa.array(names[owner]), pa.array((grams | np.uint64(bucket << 32)).view(np.int64)), pa.array(holders.astype(np.int32))], ["node", "gram", "n"])
 
 
 def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +329,9 @@ def _keys(docs: DataFrame, nodes: DataFrame, size: int, similarity: float, colum
     """(node, size, keys): nodes that may be similar to others, with so many of their rarest shingles that similar ones have one in common.
 
     Shingles are put in order by the number of nodes that hold them, counted over all texts. Those of one node only come
-    first and need no key. A node of which less than ``least_shared`` are held by others is similar to none. A shingle is known by
+    first and need no key. A node of which less than ``least_shared`` are held by others is similar to none. ``keys`` are structs (key, most):
+    if the first shingle that two nodes have in common is this one, the other node has at most ``most`` shingles, for only what
+    comes after it can be shared as well. A shingle is known by
     its bucket and 32 bits: a few seem to be shared that are not, which costs time only, since links are verified; a few of one
     text seem to be the same, which lowers what it must share.
     """
@@ -342,45 +339,45 @@ def _keys(docs: DataFrame, nodes: DataFrame, size: int, similarity: float, colum
     buckets = total // BUCKET + 1
     packed = docs.select(column).mapInArrow(_packed(size, buckets), "bucket long, grams binary, lengths binary, nodes binary")
     packed = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    shared = stored(packed.mapInArrow(_count_buckets, "node long, grams array<long>, counts array<int>"), "shared")
+    shared = stored(packed.mapInArrow(_count_buckets, "node long, gram long, n int"), "shared")
     least = F.ceil(F.col("size") * similarity - 1e-9).cast("int") - F.col("twins")
-    known = shared.groupBy("node").agg(F.sum(F.size("grams")).alias("m")).join(nodes.select("node", "size", "twins"), "node")
-    known = known.where(F.col("m") >= least).select("node", "size", (F.col("m") - least + 1).cast("int").alias("n_keys"))
-    entries = F.flatten(F.collect_list(F.arrays_zip("counts", "grams"))).alias("entries")          # one text's shingles
-    held = shared.join(known, "node").groupBy("node", "size", "n_keys").agg(entries)
-    rarest = F.transform(F.slice(F.array_sort("entries"), F.lit(1), F.col("n_keys")), lambda e: e["grams"])
+    known = shared.groupBy("node").agg(F.count("*").cast("int").alias("m")).join(nodes.select("node", "size", "twins"), "node")
+    known = known.where(F.col("m") >= least).select("node", "size", (F.col("m") + F.col("twins")).alias("room"), (F.col("m") - least + 1).alias("n_keys"))
+    known = written(known, "known")
+    entries = F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("entries")          # one text's shingles
+    held = shared.join(known.select("node"), "node").groupBy("node").agg(entries).join(known, "node")
+    most = lambda i: F.floor((F.col("room") - i) * ((1 + similarity) / similarity) - F.col("size") + 1e-6).cast("int")
+    rarest = F.transform(F.slice("entries", F.lit(1), F.col("n_keys")), lambda e, i: F.struct(e["gram"].alias("key"), most(i).alias("most")))
     return stored(held.select("node", "size", rarest.alias("keys")), "keys")
 
 
 def _with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, lead) of rows (key, node) sorted by both: every node of a key but its first, beside the first; no group is held."""
-    held: tuple[int, int, int] | None = None              # key, node and lead of the last row
+    """(node, lead) of rows (key, node, size, most) sorted by the first two: nodes of a key beside the first, if sizes allow; no group is held."""
+    held: np.ndarray | None = None                        # key, node, size, most of the first row of the last key
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        new = np.concatenate([[held is None or held[0] != key[0]], key[1:] != key[:-1]])
-        again = ~new & np.concatenate([[held is not None and held[1] == node[0]], node[1:] == node[:-1]])
-        run = np.cumsum(new)
-        leads = np.concatenate([[held[2] if held else 0], node[new]])[run]
-        held = (key[-1], node[-1], leads[-1])
-        pick = ~new & ~again
-        yield pa.RecordBatch.from_arrays([pa.array(x[pick]) for x in (key, node, leads)], ["key", "node", "lead"])
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+        new = np.concatenate([[held is None or held[0] != rows[0, 0]], rows[0, 1:] != rows[0, :-1]])
+        leads = np.concatenate([rows[:, :1] if held is None else held[:, None], rows[:, new]], axis=1)[:, np.cumsum(new)]
+        held = leads[:, -1].copy()
+        pick = ~new & (rows[1] != leads[1]) & (rows[2] <= leads[3]) & (leads[2] <= rows[3])
+        yield pa.RecordBatch.from_arrays([pa.array(rows[1, pick]), pa.array(leads[1, pick])], ["node", "lead"])
 
 
 def _compare_parts(similarity: float):
-    """Candidates (a, b) of other labels within groups of rows (key, low, high, part, node, label, size, check) sorted by the first three."""
+    """Candidates (a, b) of other labels within groups of rows (key, low, high, part, node, label, size, most, check) sorted by the first three."""
     bound = most_bits(similarity, DEVIATIONS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = 7 + PARTS
+        width = 8 + PARTS
         rest = np.empty((0, width), np.int64)
         for batch in _with_end(batches):
             if batch is None:
                 rows, ready = rest, len(rest)
             else:
-                checks = batch.column(7).flatten().to_numpy(zero_copy_only=False).reshape(-1, PARTS)
-                front = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7)], axis=1)
+                checks = batch.column(8).flatten().to_numpy(zero_copy_only=False).reshape(-1, PARTS)
+                front = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(8)], axis=1)
                 rows = np.concatenate([rest, np.concatenate([front, checks], axis=1)])
                 last = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1))
                 ready = int(last[-1]) + 1 if len(last) else 0
@@ -393,16 +390,16 @@ def _compare_parts(similarity: float):
                 group = now[at:stop]
                 one = group[group[:, 3] == group[:, 1]]
                 other = one if group[0, 1] == group[0, 2] else group[group[:, 3] == group[:, 2]]
-                node, label, size, bits = other[:, 4], other[:, 5], other[:, 6], other[:, 7:].view(np.uint64)
+                node, label, size, most, bits = other[:, 4], other[:, 5], other[:, 6], other[:, 7], other[:, 8:].view(np.uint64)
                 for i, row in enumerate(one):
                     pick = label != row[5]
                     if other is one:
                         pick[:i + 1] = False
-                    pick &= np.minimum(size, row[6]) >= least_shared(np.maximum(size, row[6]), similarity)
+                    pick &= (size <= row[7]) & (row[6] <= most) & (np.minimum(size, row[6]) >= least_shared(np.maximum(size, row[6]), similarity))
                     where = np.flatnonzero(pick)
                     if not len(where):
                         continue
-                    differ = np.bitwise_count(bits[where] ^ row[7:].view(np.uint64)).sum(axis=1, dtype=np.int64)
+                    differ = np.bitwise_count(bits[where] ^ row[8:].view(np.uint64)).sum(axis=1, dtype=np.int64)
                     where = where[(differ <= bound) | (np.minimum(size[where], row[6]) < SMALL_SET)]
                     if len(where):
                         yield pa.RecordBatch.from_arrays(
@@ -458,23 +455,20 @@ def _labelled(rows: DataFrame, labels: DataFrame | None, node: str, label: str)
     return rows.join(named, node, "left").withColumn(label, F.coalesce(label, node))
 
 
-def _similar_links(keys: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+def _similar_links(keys: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): links that connect the nodes of exact Jaccard similarity ``similarity`` or more.
 
     Such nodes share a key. First every node is held against the first nodes of its keys, in rounds: the one with which it
-    shares most keys, then a few more, then all others, each time only those to which no links connect it yet. So a
+    shares most keys, then all others, each time only those to which no links connect it yet. So a
     group of near copies gives little more than a forest. All other pairs of a key that links do not connect are compared after that.
     A key of more than ``GROUP_ROWS`` nodes is split into parts, and every two parts meet in a task of their own.
     Fingerprints only spare pairs ``DEVIATIONS`` deviations beyond the similarity; each link is verified on the shingles.
     """
-    one = keys.select(F.explode("keys").alias("key"), "node")
-    stars = written(one.repartition("key").sortWithinPartitions("key", "node").mapInArrow(
-        _with_first, "key long, node long, lead long"), "stars")
+    one = keys.select("node", "size", F.inline("keys")).select("key", "node", "size", "most")
+    stars = one.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_with_first, "node long, lead long")
     turn = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "lead"))       # as many as a node has keys
     partners = written(stars.groupBy("node", "lead").agg(F.count("*").alias("n")).withColumn("turn", turn), "partners")
-    most = partners.agg(F.max("turn")).first()[0]
-    if most is None:
-        return None
+    most = partners.agg(F.coalesce(F.max("turn"), F.lit(0))).first()[0]
     found, labels, done = None, None, 0
     for turns in TURNS:
         if done >= most:
@@ -486,18 +480,18 @@ def _similar_links(keys: DataFrame, sets: DataFrame, similarity: float) -> DataF
         found = links if found is None else found.union(links)
         labels = written(components(found), "labels")
 
-    members = stars.select("key", "node").union(stars.select("key", "lead").distinct())
-    members = written(_labelled(members, labels, "node", "label"), "members")
+    members = written(_labelled(one, labels, "node", "label"), "members")
     open_ = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
     open_ = open_.where("low <> high").select("key", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("parts"))
-    facts = sets.select("node", "size", "check")
+    facts = sets.select("node", "check")
     split = members.join(open_, "key").join(facts, "node").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    split = split.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "label", "size", "check")
+    split = split.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "label", "size", "most", "check")
     split = split.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     pairs = split.mapInArrow(_compare_parts(similarity), "a long, b long").distinct()
     tested = partners.select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b"))
-    return found.union(_verified(pairs.join(tested, ["a", "b"], "left_anti"), sets, similarity))
+    rest = _verified(pairs.join(tested, ["a", "b"], "left_anti"), sets, similarity)
+    return rest if found is None else found.union(rest)
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -515,11 +509,7 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, key: str =
         F.first("size").alias("size"), F.first("twins").alias("twins"), F.min("text_hash").alias("text_hash"), F.min(order).alias("first")), "nodes")
     keys = _keys(docs, nodes, size, similarity, column)
     links = _similar_links(keys, _sets(keys, nodes, docs, size, column), similarity)
-    rooted = nodes.select("node", "first")
-    if links is None:
-        rooted = rooted.withColumn("root", F.col("node"))
-    else:
-        rooted = rooted.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = nodes.select("node", "first").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     winners = rooted.groupBy("root").agg(F.min("first").alias("w")).select(
         F.col("w.key").alias("_key"), F.col("w.text_hash").alias("_hash"))
     hashed = docs.withColumn("_hash", F.xxhash64(F.col(column)))
