@@ -20,6 +20,7 @@ from quiremill.operators import versions
 from quiremill.sources import folders
 
 HISTORY = 10          # rows of history kept per source
+HELD_SOURCES = 20_000  # rows, and so sources, that a task reduces at once
 
 
 def stream_folder(spark: SparkSession, path: str, schema: T.StructType, pattern: str | None = None) -> DataFrame:
@@ -210,21 +211,23 @@ def reduce_pings(pings: DataFrame) -> DataFrame:
     """
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            source = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
-            number, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            failed = ~batch.column(3).fill_null(False).to_numpy(zero_copy_only=False)
-            order = np.lexsort((-number, -at, source))
-            first = np.concatenate([[True], source[order][1:] != source[order][:-1]])
-            place = np.arange(len(order)) - np.flatnonzero(first)[np.cumsum(first) - 1]
-            kept = order[place < HISTORY]
-            leads = first[place < HISTORY]
-            counters = [np.where(leads, np.bincount(source, weights=w)[source[kept]], 0).astype(np.int64) for w in (None, failed)]
-            rows = batch.take(pa.array(kept))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), *map(pa.array, counters), *(rows.column(i) for i in range(1, 5))],
-                ["source", "total", "fails", "id", "at", "ok", "latency"])
+            for start in range(0, batch.num_rows, HELD_SOURCES):
+                yield reduced(batch.slice(start, HELD_SOURCES))
+
+    def reduced(batch: pa.RecordBatch) -> pa.RecordBatch:
+        source = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        number, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+        failed = ~batch.column(3).fill_null(False).to_numpy(zero_copy_only=False)
+        order = np.lexsort((-number, -at, source))
+        first = np.concatenate([[True], source[order][1:] != source[order][:-1]])
+        place = np.arange(len(order)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+        kept = order[place < HISTORY]
+        leads = first[place < HISTORY]
+        counters = [np.where(leads, np.bincount(source, weights=w)[source[kept]], 0).astype(np.int64) for w in (None, failed)]
+        rows = batch.take(pa.array(kept))
+        return pa.RecordBatch.from_arrays(
+            [rows.column(0), *map(pa.array, counters), *(rows.column(i) for i in range(1, 5))],
+            ["source", "total", "fails", "id", "at", "ok", "latency"])
 
     rows = pings.select("source", "id", F.unix_micros(as_instant("pinged_at")).alias("at"), "ok", F.col("latency").cast("double").alias("latency"))
     return rows.mapInArrow(shrink, _PING)
