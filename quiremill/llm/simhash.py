@@ -352,7 +352,7 @@ def _keys(docs: DataFrame, nodes: DataFrame, size: int, similarity: float, colum
 
 
 def _with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, lead) of rows (key, node, size, most) sorted by the first two: nodes of a key beside the first, if sizes allow; no group is held."""
+    """(node, lead) of rows (key, node, size, most) sorted by key: nodes of a key beside its first, if sizes allow; no group is held."""
     held: np.ndarray | None = None                        # key, node, size, most of the first row of the last key
     for batch in batches:
         if not batch.num_rows:
@@ -458,14 +458,15 @@ def _labelled(rows: DataFrame, labels: DataFrame | None, node: str, label: str)
 def _similar_links(keys: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): links that connect the nodes of exact Jaccard similarity ``similarity`` or more.
 
-    Such nodes share a key. First every node is held against the first nodes of its keys, in rounds: the one with which it
+    Such nodes share a key. First every node is held against the first nodes of its keys, those for which the key leaves most room (a text
+    of which others are edited copies is such a node), in rounds: the one with which it
     shares most keys, then all others, each time only those to which no links connect it yet. So a
     group of near copies gives little more than a forest. All other pairs of a key that links do not connect are compared after that.
     A key of more than ``GROUP_ROWS`` nodes is split into parts, and every two parts meet in a task of their own.
     Fingerprints only spare pairs ``DEVIATIONS`` deviations beyond the similarity; each link is verified on the shingles.
     """
     one = keys.select("node", "size", F.inline("keys")).select("key", "node", "size", "most")
-    stars = one.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_with_first, "node long, lead long")
+    stars = one.repartition("key").sortWithinPartitions("key", F.desc("most"), "node").mapInArrow(_with_first, "node long, lead long")
     turn = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "lead"))       # as many as a node has keys
     partners = written(stars.groupBy("node", "lead").agg(F.count("*").alias("n")).withColumn("turn", turn), "partners")
     most = partners.agg(F.coalesce(F.max("turn"), F.lit(0))).first()[0]
