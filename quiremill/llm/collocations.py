@@ -18,7 +18,7 @@ NO_LANG = "und"
 MAP_BITS = 26                # bits of a filter of words or phrases, as a power of two: 8 MB
 POOL = 1 << 19               # text positions that are numbered together
 CELLS = 1 << 21              # phrases that a task counts by hash before it passes them on
-HELD_WORDS = 400_000         # different words whose counts a task holds
+HELD_WORDS = 500_000         # different words whose counts a task holds
 TRIE_PHRASES = 1 << 18       # candidates of one trie
 TRIES_AT_ONCE = 3            # tries that are broadcast for one pass over the text
 UNIT = 1024                  # a word's number is read by a trie as two units below this
@@ -379,7 +379,7 @@ def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3, text: s
     words = written(counts.where((F.col("n") >= least) | (F.col("word") == "")).select("lang", "word", F.xxhash64("lang", "word").alias("h"), "n"), "words")
     chunks = stored(rows.mapInArrow(_chunks(bit_map(words.where("word <> ''"), "h"), spark), "words array<long>, codes array<int>"), "chunks")
     total = words.where("word = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = max(MAP_BITS, min(64, int(total).bit_length() + 6))           # far more cells than phrases, at any size
+    bits = max(MAP_BITS, min(64, int(total).bit_length() + 4))           # far more cells than phrases, at any size
     maps, phrases = [], {}
     for size in range(2, longest + 1):
         names = _names(size)
