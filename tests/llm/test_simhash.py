@@ -92,6 +92,21 @@ def test_keep_one_at_the_border_and_in_crowded_keys(spark, monkeypatch):
         assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == want
 
 
+def test_keep_one_on_all_given_documents(spark, folder):
+    docs = spark.read.parquet(f"{folder.replace('0.001', '0.01')}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    shingles = {r.doc_id: five_words(r.text) for r in rows}
+    holders = {}
+    for i, s in shingles.items():
+        for x in s:
+            holders.setdefault(x, set()).add(i)
+    met = {i: set().union(*(holders[x] for x in s)) if s else {j for j, o in shingles.items() if not o} for i, s in shingles.items()}
+    near = lambda i, j: j in met[i] and 5 * len(shingles[i] & shingles[j]) >= 4 * len(shingles[i] | shingles[j])
+    want = sorted(set(brute_components(sorted(shingles), near).values()))
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want
+    assert len(want) < len(rows)
+
+
 def test_long_fingerprints_measure_similarity():
     rng = random.Random(5)
     base = [f"w{rng.randrange(10**6)}".encode() for _ in range(3000)]
