@@ -106,7 +106,7 @@ def html_tables(t: Tables):
     html = F.concat(
         F.lit("<html><body><p>x</p><table><tr><th>Name</th><th>Segment</th></tr><tr><td> "), F.col("c_name"),
         F.lit("</td><td><b>"), F.col("c_mktsegment"), F.lit("</b></td></tr></table></body></html>"))
-    return readers.html_cells(t.customer.select(F.col("c_custkey").alias("page_id"), html.alias("html")))
+    return readers.html_cells(spread(t.customer).select(F.col("c_custkey").alias("page_id"), html.alias("html")))
 
 
 @plan("scan_rejects", """SELECT 'csv' AS kind, count(*) FILTER (WHERE o_orderkey % 97 <> 0) AS rows, count(*) FILTER (WHERE o_orderkey % 97 = 0) AS rejected,

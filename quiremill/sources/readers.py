@@ -5,7 +5,6 @@ import io
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -237,26 +236,42 @@ class _TableParser(HTMLParser):
         table["col"] += max(spans.get("colspan", 1), 1)
 
 
-def html_cells(pages: DataFrame, key: str = "page_id", html: str = "html", first_only: bool = False) -> DataFrame:
-    """Cells (key, table_no, row, col, value) of the tables in HTML pages.
+CELLS_HELD = 50_000          # cells of many small pages that leave a task together
 
-    Pages without a table never leave the JVM.
-    """
-    kind = dict(pages.dtypes)[key]
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _cells_of(key: str, first_only: bool):
+    """Batches (key, html) to batches of cells: one page is parsed at a time, the cells of many leave together."""
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page, text in zip(batch[key], batch[html]):
+            keys, cells = [], []
+
+            def rows() -> pa.RecordBatch:
+                kinds = (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.string())
+                columns = [keys, *(zip(*cells) if cells else ([],) * 4)]
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [key, "table_no", "row", "col", "value"])
+
+            for page, text in zip(batch.column(0), batch.column(1)):
                 parser = _TableParser()
-                parser.feed(text)
+                parser.feed(text.as_py())
                 parser.close()
-                if parser.cells:
-                    cells = pd.DataFrame(parser.cells, columns=["table_no", "row", "col", "value"])
-                    cells.insert(0, key, page)
-                    yield cells[cells["table_no"] == 0] if first_only else cells
+                found = [c for c in parser.cells if c[0] == 0] if first_only else parser.cells
+                keys += [page.as_py()] * len(found)
+                cells += found
+                if len(cells) >= CELLS_HELD:
+                    yield rows()
+                    keys, cells = [], []
+            yield rows()
+    return parse
 
+
+def html_cells(pages: DataFrame, key: str = "page_id", html: str = "html", first_only: bool = False) -> DataFrame:
+    """Cells (key, table_no, row, col, value) of the tables in HTML pages.
+
+    Pages without a table never leave the JVM.
+    """
+    kind = dict(pages.dtypes)[key]
     tabular = pages.where(F.lower(html).contains("<table")).select(key, html)
-    return tabular.mapInPandas(parse, f"{key} {kind}, table_no int, row int, col int, value string")
+    return tabular.mapInArrow(_cells_of(key, first_only), f"{key} {kind}, table_no int, row int, col int, value string")
 
 
 def read_html_files(spark: SparkSession, path: str, first_only: bool = False) -> DataFrame:

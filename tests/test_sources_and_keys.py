@@ -58,3 +58,14 @@ def test_report_observed_while_writing(spark, tmp_path):
     assert sorted(map(tuple, cleaned.collect()), key=key) == sorted(map(tuple, C.clean_table(source).collect()), key=key)
     none, report = C.clean_to(source.limit(0), str(tmp_path / "none"))
     assert none.columns == ["s", "n", "empty"] and report["original_rows"] == report["result_rows"] == 0
+
+
+def test_cells_of_many_pages_leave_together():
+    import pyarrow as pa
+    from quiremill.sources import readers
+    page = "<table><tr><th>a</th></tr><tr><td> {} </td></tr></table><table><tr><td>z</td></tr></table>"
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array([page.format(i) for i in range(1000)])], ["k", "html"])
+    for first, n in ((False, 3), (True, 2)):
+        out = list(readers._cells_of("k", first)(iter([batch])))
+        assert len(out) == 1 and out[0].num_rows == 1000 * n
+        assert [tuple(r.values()) for r in out[0].slice(n * 7, 2).to_pylist()] == [(7, 0, 0, 0, "a"), (7, 0, 1, 0, "7")]
