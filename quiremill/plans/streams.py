@@ -11,10 +11,14 @@ from quiremill.plans.relations import PINGS, with_
 from quiremill.plans.searching import CHUNKS
 from quiremill.plans.text import CONTACTS, contact_lines
 from quiremill.session import scratch_path
+from quiremill.sources import folders
 from quiremill.streaming import jobs
 
 
 def _stream(t: Tables, name: str):
+    """The files of a table as a stream: those of its folder, or the one file of its name among other tables."""
+    if folders.is_folder(t.spark, t.path(name)):
+        return jobs.stream_folder(t.spark, t.path(name), getattr(t, name).schema)
     return jobs.stream_folder(t.spark, t.folder, getattr(t, name).schema, f"{name}.parquet")
 
 

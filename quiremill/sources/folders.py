@@ -15,6 +15,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, target = _at(spark, path)
+    return fs.getFileStatus(target).isDirectory()
+
+
 def names(spark: SparkSession, path: str) -> list[str]:
     """Names below a folder; none if there is no such folder."""
     fs, target = _at(spark, path)

@@ -69,3 +69,16 @@ def test_cells_of_many_pages_leave_together():
         out = list(readers._cells_of("k", first)(iter([batch])))
         assert len(out) == 1 and out[0].num_rows == 1000 * n
         assert [tuple(r.values()) for r in out[0].slice(n * 7, 2).to_pylist()] == [(7, 0, 0, 0, "a"), (7, 0, 1, 0, "7")]
+
+
+def test_streams_read_tables_in_folders(spark, folder, tmp_path):
+    """A table may be a folder of files; its stream then reads all of them."""
+    import shutil
+    from quiremill.plans import registry, load
+    load()
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(60)
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    shutil.copy(f"{folder}/labels.parquet", tmp_path)
+    found = registry.QUERIES["stream_index"](spark, str(tmp_path))
+    cut = registry.QUERIES["chunk_documents"](spark, str(tmp_path))
+    assert found.count() == cut.count() > 60 and found.exceptAll(cut.select(found.columns)).isEmpty()
