@@ -152,3 +152,12 @@ def test_analyses_entities_and_chunks_together_or_not(spark, tmp_path):
     after = look()
     assert len(after["analyses"]) == 3 and len(after["chunks"]) == 1 and [("a@b.com" in r, "x@y.org" in r) for r in after["entities"]] == [(False, True)]
     assert len(VS.committed(spark, table)) == 2
+
+
+def test_documents_in_a_folder_are_analyzed(spark, folder, tmp_path):
+    from quiremill.plans import load, registry
+    load()
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(30)
+    docs.repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    found = registry.QUERIES["stream_analyze"](spark, str(tmp_path))
+    assert sorted(r.doc_id for r in found.collect()) == sorted(r.doc_id for r in docs.collect())
