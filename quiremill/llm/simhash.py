@@ -39,8 +39,12 @@ def shingle_hashes(words: list[bytes], size: int) -> Iterator[np.ndarray]:
 
 def fingerprint(text: str | None, size: int) -> int:
     """A bit is set if it is set in over half of the shingle hashes; no word gives 0."""
+    return _majority(shingle_hashes(ascii_words(text), size))
+
+
+def _majority(blocks: Iterable[np.ndarray]) -> int:
     total, ones = 0, np.zeros(64, np.int64)
-    for hashes in shingle_hashes(ascii_words(text), size):
+    for hashes in blocks:
         total += len(hashes)
         bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         ones += bits.sum(axis=0, dtype=np.int64)
@@ -197,7 +201,9 @@ DEVIATIONS = 5               # pairs whose bits differ by more deviations than t
 SMALL_SET = 64               # sets with fewer shingles are verified whatever their bits
 BROADCAST_NODES = 500_000    # more candidates meet their texts by a shuffle
 PACK = 1 << 20               # shingles that a task packs together
-BUCKET = 1 << 22             # shingles of a bucket, about: those are counted together
+BUCKET = 1 << 21             # shingles of a bucket, about: those are counted together
+ROWS_OUT = 1 << 17           # rows that leave a task together
+SIMHASH_BITS = 3             # differing bits at which the fingerprints of whole sets link
 TURNS = (1, None)            # partners that a node is held against in a round: the nearest one, then all others
 #: Odd multipliers that make the parts out of one hash of a shingle.
 _MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) | 1) & (1 << 64) - 1 for i in range(PARTS)], np.uint64)
@@ -229,6 +235,10 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
+def _blocks(grams: np.ndarray) -> Iterator[np.ndarray]:
+    return (grams[at:at + BLOCK_SHINGLES] for at in range(0, len(grams), BLOCK_SHINGLES))
+
+
 def most_bits(similarity: float, deviations: float = 1) -> int:
     """Differing bits of two long fingerprints whose shingle sets have this Jaccard similarity, and some deviations more."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -242,23 +252,24 @@ def least_shared(size, similarity: float):
 
 
 def _signatures(docs: DataFrame, size: int, key: str, column: str) -> DataFrame:
-    """(key, text_hash, node, size, twins) of every text: ``node`` is a hash of its set of shingles, ``size`` their number.
+    """(key, text_hash, node, size, twins, fp) of every text: ``node`` is a hash of its set of shingles, ``size`` their number.
 
-    ``twins`` are so many of them that others of the text might be taken for them by 32 bits.
+    ``fp`` is the 64-bit SimHash of the set. ``twins`` are so many of them that others of the text might be taken for them by 32 bits.
     """
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingle_set(text.as_py(), size) for text in batch.column(2)]
             nodes = np.array([xxhash.xxh64_intdigest(grams.tobytes()) for grams in sets], np.uint64).view(np.int64)
             twins = [len(g) - len(np.unique(g.astype(np.uint32))) for g in sets]
+            fps = [_majority(_blocks(g)) for g in sets]
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(g) for g in sets], pa.int32()), pa.array(twins, pa.int32())],
-                ["key", "text_hash", "node", "size", "twins"])
+                [batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(g) for g in sets], pa.int32()), pa.array(twins, pa.int32()),
+                 pa.array(fps, pa.int64())], ["key", "text_hash", "node", "size", "twins", "fp"])
         return work
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("key"), F.xxhash64(docs[column]).alias("text_hash"), docs[column].alias("text"))
-    return arrow_map(rows, make, f"key {kind}, text_hash long, node long, size int, twins int")
+    return arrow_map(rows, make, f"key {kind}, text_hash long, node long, size int, twins int, fp long")
 
 
 def _packed(size: int, buckets: int):
@@ -296,33 +307,42 @@ def _packed(size: int, buckets: int):
     return run
 
 
-def _shared_of(bucket: int, packs: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+def _shared_of(bucket: int, packs: list[tuple[pa.Buffer, pa.Buffer, pa.Buffer]]) -> Iterator[pa.RecordBatch]:
     """(node, gram, n): the shingles of a bucket that several nodes hold, beside each of them, with the number of holders."""
-    grams = np.concatenate([np.frombuffer(g, np.uint32) for g, _, _ in packs])
     names, owner = np.unique(np.concatenate([np.frombuffer(n, np.int64) for _, _, n in packs]), return_inverse=True)
-    owner = np.repeat(owner, np.concatenate([np.frombuffer(x, np.uint32) for _, x, _ in packs]))
-    both = np.unique(grams.astype(np.uint64) << np.uint64(32) | owner.astype(np.uint64))       # a text's copies count once
-    grams, owner = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
+    owner = np.repeat(owner.astype(np.uint32), np.concatenate([np.frombuffer(x, np.uint32) for _, x, _ in packs]))
+    both = np.concatenate([np.frombuffer(g, np.uint32) for g, _, _ in packs]).astype(np.uint64)
+    both <<= np.uint64(32)
+    both |= owner
+    del owner
+    both.sort()
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])]                # a text's copies count once
+    grams = (both >> np.uint64(32)).astype(np.uint32)
     starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-    holders = np.repeat(np.diff(np.append(starts, len(grams))), np.diff(np.append(starts, len(grams))))
-    more = holders > 1
-    grams, owner, holders = grams[more], owner[more], holders[more]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(names[owner]), pa.array((grams | np.uint64(bucket << 32)).view(np.int64)), pa.array(holders.astype(np.int32))], ["node", "gram", "n"])
+    holders = np.diff(np.append(starts, len(grams)))
+    del grams, starts
+    both = both[np.repeat(holders > 1, holders)]
+    holders = holders[holders > 1].astype(np.int32)
+    holders = np.repeat(holders, holders)
+    for at in range(0, len(both), ROWS_OUT):
+        part = both[at:at + ROWS_OUT]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names[part & np.uint64(0xFFFFFFFF)]), pa.array((part >> np.uint64(32) | np.uint64(bucket << 32)).view(np.int64)),
+             pa.array(holders[at:at + ROWS_OUT])], ["node", "gram", "n"])
 
 
 def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, grams, lengths, nodes) sorted by bucket; one bucket is held at a time."""
     now, packs = None, []
     for batch in batches:
-        for bucket, *pack in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for i, bucket in enumerate(batch.column(0).to_pylist()):
             if bucket != now and packs:
-                yield _shared_of(now, packs)
+                yield from _shared_of(now, packs)
                 packs = []
             now = bucket
-            packs.append(tuple(pack))
+            packs.append(tuple(batch.column(k)[i].as_buffer() for k in (1, 2, 3)))
     if packs:
-        yield _shared_of(now, packs)
+        yield from _shared_of(now, packs)
 
 
 def _keys(docs: DataFrame, nodes: DataFrame, size: int, similarity: float, column: str) -> DataFrame:
@@ -415,7 +435,7 @@ def _sets(keys: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, column:
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingle_set(t.as_py(), size) for t in batch.column(1)]
-        checks = [_long_bits(g[at:at + BLOCK_SHINGLES] for at in range(0, len(g), BLOCK_SHINGLES)) for g in found]
+        checks = [_long_bits(_blocks(g)) for g in found]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(g) for g in found], pa.int32()), pa.array([g.view(np.int64) for g in found], pa.list_(pa.int64())),
              pa.array(checks, pa.list_(pa.int64()))], ["node", "size", "grams", "check"])
@@ -447,18 +467,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return written(arrow_map(both, lambda: exact, "a long, b long"), "links")
 
 
-def _labelled(rows: DataFrame, labels: DataFrame | None, node: str, label: str) -> DataFrame:
+def _labelled(rows: DataFrame, labels: DataFrame, node: str, label: str) -> DataFrame:
     """The rows with the label of a node: the smallest node that links connect it to, itself without links."""
-    if labels is None:
-        return rows.withColumn(label, F.col(node))
     named = labels.select(F.col("node").alias(node), F.col("root").alias(label))
     return rows.join(named, node, "left").withColumn(label, F.coalesce(label, node))
 
 
-def _similar_links(keys: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes whose SimHashes are equal or link at ``SIMHASH_BITS`` by blocks, each group of equal ones by its first node."""
+    nodes = nodes.where("size > 0")
+    first = written(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "simhash_leads")
+    equal = nodes.join(first, "fp").where("node <> lead").select(F.col("node").alias("x"), F.col("lead").alias("y"))
+    ends = [first.select(F.col("fp").alias(e), F.col("lead").alias(f"{e}_lead")) for e in ("a", "b")]
+    near = links(first.select("fp"), SIMHASH_BITS).join(ends[0], "a").join(ends[1], "b").select("a_lead", "b_lead")
+    return equal.union(near).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def _similar_links(keys: DataFrame, sets: DataFrame, similarity: float, simhash_pairs: DataFrame) -> DataFrame:
     """(a, b): links that connect the nodes of exact Jaccard similarity ``similarity`` or more.
 
-    Such nodes share a key. First every node is held against the first nodes of its keys, those for which the key leaves most room (a text
+    Pairs that meet by their SimHash are verified first. What lies further apart than its few bits, down to the similarity, is
+    found by the keys: such nodes share one. Every node is held against the first nodes of its keys, those for which the key leaves most room (a text
     of which others are edited copies is such a node), in rounds: the one with which it
     shares most keys, then all others, each time only those to which no links connect it yet. So a
     group of near copies gives little more than a forest. All other pairs of a key that links do not connect are compared after that.
@@ -470,15 +499,16 @@ def _similar_links(keys: DataFrame, sets: DataFrame, similarity: float) -> DataF
     turn = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "lead"))       # as many as a node has keys
     partners = written(stars.groupBy("node", "lead").agg(F.count("*").alias("n")).withColumn("turn", turn), "partners")
     most = partners.agg(F.coalesce(F.max("turn"), F.lit(0))).first()[0]
-    found, labels, done = None, None, 0
+    found, done = _verified(simhash_pairs, sets, similarity), 0
+    labels = written(components(found), "labels")
     for turns in TURNS:
         if done >= most:
             break
         now = partners.where((F.col("turn") > done) & (F.col("turn") <= (done + turns if turns else most)))
         done = done + turns if turns else most
         open_ = _labelled(_labelled(now, labels, "node", "x"), labels, "lead", "y").where("x <> y")
-        links = _verified(open_.select(F.col("node").alias("a"), F.col("lead").alias("b")), sets, similarity)
-        found = links if found is None else found.union(links)
+        more = _verified(open_.select(F.col("node").alias("a"), F.col("lead").alias("b")), sets, similarity)
+        found = found.union(more)
         labels = written(components(found), "labels")
 
     members = written(_labelled(one, labels, "node", "label"), "members")
@@ -492,14 +522,15 @@ def _similar_links(keys: DataFrame, sets: DataFrame, similarity: float) -> DataF
     pairs = split.mapInArrow(_compare_parts(similarity), "a long, b long").distinct()
     tested = partners.select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b"))
     rest = _verified(pairs.join(tested, ["a", "b"], "left_anti"), sets, similarity)
-    return rest if found is None else found.union(rest)
+    return found.union(rest)
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, key: str = "doc_id", column: str = "text") -> DataFrame:
     """The documents, with all their columns, reduced to one of each group of near-duplicates.
 
     Texts are near-duplicates if their sets of shingles of ``size`` words have a Jaccard similarity of ``similarity`` or more, or
-    if such pairs connect them. Texts meet on their rarest shingles, as many as such a pair cannot miss; which are rare is
+    if such pairs connect them. Texts first meet by the SimHash of their sets, at ``SIMHASH_BITS`` differing bits by blocks; pairs of the
+    similarity that differ in more bits meet on their rarest shingles, as many as such a pair cannot miss; which are rare is
     counted over all texts. Long fingerprints spare far pairs, and every link is verified on the sets. The
     smallest key stays, NULL keys last, then the smaller hash of the text; of rows equal in both, one stays. NULL and
     empty texts are copies of each other.
@@ -507,9 +538,9 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, key: str =
     rows = written(_signatures(docs, size, key, column), "signatures")
     order = F.struct(F.col("key").isNull().alias("none"), "key", "text_hash")
     nodes = written(rows.groupBy("node").agg(
-        F.first("size").alias("size"), F.first("twins").alias("twins"), F.min("text_hash").alias("text_hash"), F.min(order).alias("first")), "nodes")
+        F.first("size").alias("size"), F.first("twins").alias("twins"), F.first("fp").alias("fp"), F.min("text_hash").alias("text_hash"), F.min(order).alias("first")), "nodes")
     keys = _keys(docs, nodes, size, similarity, column)
-    links = _similar_links(keys, _sets(keys, nodes, docs, size, column), similarity)
+    links = _similar_links(keys, _sets(keys, nodes, docs, size, column), similarity, _simhash_pairs(nodes))
     rooted = nodes.select("node", "first").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     winners = rooted.groupBy("root").agg(F.min("first").alias("w")).select(
         F.col("w.key").alias("_key"), F.col("w.text_hash").alias("_hash"))

@@ -167,3 +167,30 @@ def test_pipeline_default_is_whole_text(spark):
     a, b = "x y z " * 5000 + "tail one", "x y z " * 5000 + "other end"
     df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
     assert df.count() == 2 and simhash.near_duplicates(df).select(F.countDistinct("component")).first()[0] == 1
+
+
+def test_near_sets_meet_by_their_simhash(spark):
+    rows = [(i, 10, (i << 5 | low) - (1 << 62)) for i, low in ((1, 0), (2, 7), (3, 31))]
+    rows += [(9, 10, rows[0][2]), (8, 0, rows[0][2])]
+    got = simhash._simhash_pairs(spark.createDataFrame(rows, "node long, size int, fp long")).collect()
+    apart = {(a[0], b[0]) for a in rows for b in rows if a[0] > b[0] and a[1] and b[1] and bin((a[2] ^ b[2]) & (1 << 64) - 1).count("1") <= 3}
+    assert apart >= {(r.a, r.b) for r in got} >= {(3, 2), (9, 1)}
+
+
+def test_shared_shingles_of_a_bucket_leave_in_parts(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    monkeypatch.setattr(simhash, "ROWS_OUT", 100)
+    rng = np.random.default_rng(1)
+    sets = {int(n): np.unique(rng.integers(0, 300, 40)).astype(np.uint32) for n in range(-20, 20)}
+    packs = []
+    for b in (3, 5):
+        for half in (list(sets)[:25], list(sets)[15:]):                    # some nodes come twice
+            packs.append((b, np.concatenate([sets[n] for n in half]).tobytes(), np.array([len(sets[n]) for n in half], np.uint32).tobytes(),
+                          np.array(half, np.int64).tobytes()))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*packs), (pa.int64(), *[pa.binary()] * 3))], ["b", "g", "l", "n"])
+    out = list(simhash._count_buckets(iter([batch])))
+    assert max(o.num_rows for o in out) == 100
+    held = {g: [n for n in sets if g in sets[n]] for g in range(300)}
+    want = sorted((n, b << 32 | g, len(held[g])) for b in (3, 5) for g in held for n in held[g] if len(held[g]) > 1)
+    assert sorted(tuple(r.values()) for o in out for r in o.to_pylist()) == want
