@@ -37,6 +37,16 @@ def write_jdbc(df: DataFrame, url: str, table: str = "data", mode: str = "errori
     df.write.mode(mode).jdbc(url, table, properties=properties or {})
 
 
+FILE_BYTES = 16 * 1024 * 1024     # a part goes on in another file at about so many bytes of its rows: readers hold a file at a time
+PIECE_ROWS = 1_000               # rows written at a time
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE_ROWS):
+            yield batch.slice(at, PIECE_ROWS)
+
+
 def _feather_part(batches: Iterator[pa.RecordBatch], path: str) -> int:
     rows, writer = 0, None
     with open(path, "wb") as out:
@@ -61,11 +71,28 @@ def _yaml_part(batches: Iterator[pa.RecordBatch], path: str) -> int:
     return rows
 
 
+def _files_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[pa.RecordBatch]]:
+    """The rows of a part, file by file; each is to be read before the next."""
+    pieces = _pieces(batches)
+
+    def one(piece: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        held = 0
+        while piece is not None:
+            yield piece
+            held += piece.nbytes
+            if held >= FILE_BYTES:
+                return
+            piece = next(pieces, None)
+
+    while (first := next(pieces, None)) is not None:
+        yield one(first)
+
+
 def write_parts(df: DataFrame, path: str, ext: str, write_part) -> None:
-    """One file per partition, written batch by batch into a mounted shared folder.
+    """Files of bounded size per partition, written batch by batch into a mounted shared folder.
 
-    The name is fixed by the partition and the file appears by a rename, so a task
-    that runs again replaces its own file and never leaves half of one.
+    Names are fixed by the partition and the number of the file, and all files of a task appear by renames when the last one is written,
+    so a task that runs again replaces its own files and never leaves half of one.
     """
     path = path.removeprefix("file://").removeprefix("file:")
     if "://" in path:
@@ -74,13 +101,18 @@ def write_parts(df: DataFrame, path: str, ext: str, write_part) -> None:
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        target = f"{path}/part-{task.partitionId():05d}.{ext}"
-        draft = f"{target}.{task.taskAttemptId()}.tmp"
-        rows = write_part(batches, draft)
-        if rows:
-            os.replace(draft, target)
-        else:
-            os.unlink(draft)
+        stem = f"{path}/part-{task.partitionId():05d}"
+        rows, drafts = 0, []
+        for part in _files_of(batches):
+            drafts.append(f"{stem}.{len(drafts)}.{task.taskAttemptId()}.tmp")
+            rows += write_part(part, drafts[-1])
+        target = lambda n: f"{stem}-{n:05d}.{ext}" if n else f"{stem}.{ext}"
+        for n, draft in enumerate(drafts):
+            os.replace(draft, target(n))
+        n = len(drafts)
+        while os.path.exists(target(n)):                  # of an earlier attempt that dealt its rows otherwise
+            os.unlink(target(n))
+            n += 1
         yield pa.RecordBatch.from_pydict({"rows": pa.array([rows], pa.int64())})
 
     df.mapInArrow(save, "rows bigint").agg(F.sum("rows")).collect()

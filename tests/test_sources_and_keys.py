@@ -82,3 +82,18 @@ def test_streams_read_tables_in_folders(spark, folder, tmp_path):
     found = registry.QUERIES["stream_index"](spark, str(tmp_path))
     cut = registry.QUERIES["chunk_documents"](spark, str(tmp_path))
     assert found.count() == cut.count() > 60 and found.exceptAll(cut.select(found.columns)).isEmpty()
+
+
+def test_parts_go_on_in_other_files(spark, tmp_path, monkeypatch):
+    from quiremill.sources import sinks
+    df = spark.range(0, 7000, 1, 1).select("id", F.concat(F.lit("x"), "id").alias("s"))
+    monkeypatch.setattr(sinks, "FILE_BYTES", 40_000)
+    import pyarrow as pa
+    pieces = [pa.RecordBatch.from_pydict({"id": list(range(i, i + 3500))}) for i in (0, 3500)]
+    files = [[r for piece in f for r in piece["id"].to_pylist()] for f in sinks._files_of(iter(pieces))]
+    assert len(files) == 2 and sum(files, []) == list(range(7000))
+    monkeypatch.undo()
+    for fmt in ("yaml", "feather"):
+        sinks.write_table(df, str(tmp_path / fmt), fmt)
+        assert [p.name for p in (tmp_path / fmt).iterdir()] == [f"part-00000.{fmt}"]
+        assert readers.read_table(spark, str(tmp_path / fmt), fmt, df.schema).exceptAll(df).isEmpty()
