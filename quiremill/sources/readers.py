@@ -4,6 +4,7 @@ from __future__ import annotations
 import io
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -145,6 +146,45 @@ def _files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFr
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
 
 
+def _yaml_records(content: bytes) -> Iterator:
+    """The items of a YAML list, or its one other value, each built from the parser's events when its turn comes."""
+    import yaml
+    from yaml.composer import Composer
+    from yaml.constructor import SafeConstructor
+    from yaml.resolver import Resolver
+
+    if not hasattr(yaml, "CSafeLoader"):
+        loaded = yaml.safe_load(content)
+        yield from loaded if isinstance(loaded, list) else [loaded]
+        return
+
+    class Loader(yaml.cyaml.CParser, Composer, SafeConstructor, Resolver):
+        def __init__(self) -> None:
+            yaml.cyaml.CParser.__init__(self, content)
+            Composer.__init__(self)
+            SafeConstructor.__init__(self)
+            Resolver.__init__(self)
+
+    loader = Loader()
+    loader.get_event()                                    # the stream begins
+    if loader.check_event(yaml.StreamEndEvent):
+        yield None
+        return
+    loader.get_event()                                    # the document begins
+    items = loader.check_event(yaml.SequenceStartEvent)
+    if items:
+        loader.get_event()
+    while not (items and loader.check_event(yaml.SequenceEndEvent)):
+        yield loader.construct_document(loader.compose_node(None, None))
+        if not items:
+            break
+    if items:
+        loader.get_event()
+    loader.get_event()                                    # the document ends
+    if not loader.check_event(yaml.StreamEndEvent):
+        raise ValueError("a YAML file holds one document")
+
+
 def read_yaml(spark: SparkSession, path: str, schema: str | T.StructType | None) -> DataFrame:
     """YAML lists of maps (one map gives one row) with a declared schema; keys outside it are ignored."""
     if schema is None:
@@ -153,13 +193,10 @@ def read_yaml(spark: SparkSession, path: str, schema: str | T.StructType | None)
     names = schema.fieldNames()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import yaml
         for batch in batches:
-            for content in batch.column(0).to_pylist():
-                loaded = yaml.load(content, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
-                records = loaded if isinstance(loaded, list) else [loaded]
-                for at in range(0, len(records), 10_000):
-                    part = records[at:at + 10_000]
+            for content in batch.column(0):
+                records = _yaml_records(content.as_py())
+                while part := list(islice(records, 1_000)):
                     text = [[None if r.get(n) is None else str(r[n]) for r in part] for n in names]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in text], names)
 

@@ -97,3 +97,12 @@ def test_parts_go_on_in_other_files(spark, tmp_path, monkeypatch):
         sinks.write_table(df, str(tmp_path / fmt), fmt)
         assert [p.name for p in (tmp_path / fmt).iterdir()] == [f"part-00000.{fmt}"]
         assert readers.read_table(spark, str(tmp_path / fmt), fmt, df.schema).exceptAll(df).isEmpty()
+
+
+def test_yaml_items_one_by_one():
+    import yaml
+    for text in ("- {a: 1}\n- &k {b: [x]}\n- *k\n- {<<: *k, c: 2}\n- null\n", "a: 1\n", "", "[]", "--- \n- a: 2020-01-01\n"):
+        loaded = yaml.safe_load(text)
+        assert list(readers._yaml_records(text.encode())) == (loaded if isinstance(loaded, list) else [loaded])
+    records = readers._yaml_records(b"- 1\n- 2\n- [\n")
+    assert [next(records), next(records)] == [1, 2]            # what comes later is not read yet
