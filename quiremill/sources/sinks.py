@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+XML_ROWS = 20_000                # rows of an XML file, which is read by one task as a whole
+
+
 def write_table(df: DataFrame, path: str, fmt: str, mode: str = "errorifexists", **options) -> None:
     """Write a table in any supported format; unknown formats raise."""
     fmt = fmt.lower().lstrip(".")
@@ -21,7 +24,8 @@ def write_table(df: DataFrame, path: str, fmt: str, mode: str = "errorifexists",
     elif fmt in ("json", "ndjson"):
         writer.option("ignoreNullFields", False).json(path)
     elif fmt == "xml":
-        writer.format("xml").option("rowTag", options.get("rowTag", "row")).save(path)
+        writer.format("xml").option("rowTag", options.get("rowTag", "row")).option(
+            "maxRecordsPerFile", options.get("maxRecordsPerFile", XML_ROWS)).save(path)
     elif fmt == "feather":
         write_parts(df, path, "feather", _feather_part)
     elif fmt in ("yaml", "yml"):

@@ -106,3 +106,13 @@ def test_yaml_items_one_by_one():
         assert list(readers._yaml_records(text.encode())) == (loaded if isinstance(loaded, list) else [loaded])
     records = readers._yaml_records(b"- 1\n- 2\n- [\n")
     assert [next(records), next(records)] == [1, 2]            # what comes later is not read yet
+
+
+def test_xml_goes_on_in_other_files(spark, tmp_path, monkeypatch):
+    from quiremill.sources import sinks
+    monkeypatch.setattr(sinks, "XML_ROWS", 400)
+    df = spark.range(0, 1000, 1, 1).select("id", F.concat(F.lit("x"), "id").alias("s"))
+    sinks.write_table(df, str(tmp_path / "xml"), "xml")
+    assert len([p for p in (tmp_path / "xml").iterdir() if p.name.startswith("part")]) == 3
+    got = readers.read_table(spark, str(tmp_path / "xml"), "xml", df.schema)
+    assert got.count() == 1000 and got.exceptAll(df).isEmpty()
