@@ -5,7 +5,7 @@ so that every later pass is array arithmetic. What is known of words corpus-wide
 joins on the words' 64-bit hashes; nothing that grows with the vocabulary is broadcast or sent to the driver.
 
 1. Tokens: texts become chunks with word lists and counts.
-2. Core: bigrams of the ``CORE_WORDS`` words most frequent in chunks (a matrix of fixed size) feed the exchange algorithm, which
+2. Core: bigrams of the ``CORE_WORDS`` most frequent words, exactly counted (a matrix of fixed size), feed the exchange algorithm, which
    moves a word to the class that raises the likelihood most until none moves.
 3. Every other word is moved once, from the class of rare words to its best class, given all its
    contexts in the training texts.
@@ -29,7 +29,8 @@ from pyspark.taskcontext import TaskContext
 from quiremill.llm.common import SLICE_ROWS, ascii_words, stored
 
 CORE_WORDS = 512          # words that are clustered by full exchange; also fixes what the driver holds
-CORE_SHARE = 2e-5         # a word counts towards the choice of the core where it makes up so much of a chunk
+CORE_SHARE = 2e-5         # words that make up so much of a chunk are the first to be counted for the core
+BROADCAST_WORDS = 1 << 16  # words that may be of the core and go to every task; more are joined by a shuffle
 CLASSES = 24              # classes that words are assigned to
 CHUNK_TOKENS = 1 << 20    # a chunk ends at about so many tokens
 EXCHANGE_ROUNDS = 12
@@ -146,6 +147,39 @@ def per_chunk(table: DataFrame, work: Callable[[Chunk, int], dict[str, np.ndarra
     return table.mapInArrow(run, schema)
 
 
+def most_frequent(table: DataFrame, total: int) -> list:
+    """(word, n) of the ``CORE_WORDS`` words most frequent in the training texts, equal counts by hash: exactly.
+
+    Sums over the chunks where a word makes up at least a share are too low by less than the share of all other chunks. Their
+    ``CORE_WORDS``-th is a count to reach; words that may reach it are counted in all chunks. No word that reaches it stays below
+    its share of all tokens in every chunk, so a share that is not lower than that is lowered to it.
+    """
+    def above(share: float) -> DataFrame:
+        def pick(c: Chunk, _: int) -> dict[str, np.ndarray]:
+            size = int(c.counts.sum())
+            at = c.counts >= max(1, share * size * (1 - 1e-9))
+            at[0] = False
+            return {"word": c.words[at].view(np.int64), "n": c.counts[at].astype(np.int64), "size": np.full(at.sum(), size, np.int64)}
+
+        return per_chunk(table.select("chunk", "words", "counts"), pick, "word long, n long, size long")
+
+    def sums(share: float) -> tuple[DataFrame, int]:
+        found = stored(above(share).groupBy("word").agg(F.sum("n").alias("n"), F.sum("size").alias("size")), "frequent")
+        best = found.orderBy(F.desc("n"), "word").limit(CORE_WORDS).agg(F.count("*"), F.min("n")).first()
+        return found, best[1] if best[0] == CORE_WORDS else 0
+
+    share = CORE_SHARE
+    found, least = sums(share)
+    if share * total >= least:
+        share = least / max(total, 1)
+        found, least = sums(share)
+    if share:
+        may = found.where(F.col("n") + F.lit(share) * (F.lit(total) - F.col("size")) >= least - 1).select("word")
+        may = F.broadcast(may) if may.count() <= BROADCAST_WORDS else may
+        found = above(0).join(may, "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n"))
+    return found.orderBy(F.desc("n"), "word").limit(CORE_WORDS).select("word", "n").collect()
+
+
 def exchange(bigrams: np.ndarray, classes: int, rounds: int = EXCHANGE_ROUNDS) -> np.ndarray:
     """Classes of the core words by the exchange algorithm.
 
@@ -397,13 +431,7 @@ def score_documents(docs: DataFrame, held: Callable[[str], bool], key: str = "do
         "tokens": c.counts.sum(keepdims=True, dtype=np.int64), "ends": c.counts[:1].astype(np.int64)}, "tokens long, ends long")
     total, ends = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("ends"), F.lit(0))).first()
 
-    def frequent(c: Chunk, _: int) -> dict[str, np.ndarray]:
-        pick = c.counts >= max(1, CORE_SHARE * c.counts.sum())
-        pick[0] = False
-        return {"word": c.words[pick].view(np.int64), "n": c.counts[pick].astype(np.int64)}
-
-    counted = per_chunk(table.select("chunk", "words", "counts"), frequent, "word long, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(CORE_WORDS).collect()
+    top = most_frequent(table, total)
     by_rank = np.array([r.word for r in top], np.int64).view(np.uint64)
     order = np.argsort(by_rank)
     core = by_rank[order]

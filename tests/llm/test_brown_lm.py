@@ -99,3 +99,20 @@ def test_nothing_to_learn_from(spark):
     assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in rows} == {(1, 3, 0, 0, 0.0, 0.0), (2, 1, 0, 0, 0.0, 0.0)}
     [row] = [r for r in B.score_documents(df, lambda key: key == 1).collect() if r.doc_id == 1]
     assert math.isfinite(row.score) and row.n_known == 1
+
+
+@pytest.mark.parametrize("share", [0.3, 0.01])
+def test_core_is_counted_over_all_chunks(spark, monkeypatch, share):
+    # "thin" never makes up much of a chunk but is the most frequent word of all; the others fill one chunk each.
+    texts = [" ".join(["thin"] * 4 + [f"w{i}"] * (6 + i % 3) + [f"x{i}", "y"]) for i in range(12)]
+    seen, plain = [], B.core_bigrams
+    monkeypatch.setattr(B, "CHUNK_TOKENS", 1)
+    monkeypatch.setattr(B, "CORE_SHARE", share)
+    monkeypatch.setattr(B, "CORE_WORDS", 4)
+    monkeypatch.setattr(B, "core_bigrams", lambda table, core: seen.append(core) or plain(table, core))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert B.score_documents(docs, lambda key: False).count() == 12
+    times = Counter(w for t in texts for w in t.split())
+    hashed = {w: np.uint64(xxhash.xxh64_intdigest(w.encode())) for w in times}
+    best = sorted(times, key=lambda w: (-times[w], hashed[w].view(np.int64)))[:4]
+    assert sorted(seen[0].tolist()) == sorted(int(hashed[w]) for w in best)
