@@ -2,8 +2,12 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,30 +63,61 @@ def _bucket(term: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _counted(rows: DataFrame, tokens: str) -> DataFrame:
-    """The rows, one for every different token with its number: runs of the sorted tokens, in time that grows with their number only."""
-    rest = [c for c in rows.columns if c != tokens]
-    cut = rows.select(*rest, F.array_sort(tokens).alias("_o"))
-    begins = lambda i: (i == 0) | (F.get("_o", i) != F.get("_o", i - 1))
-    cut = cut.withColumn("_at", F.filter(F.sequence(F.lit(0), F.size("_o") - 1), begins))
-    runs = F.transform("_at", lambda at, k: F.struct(
-        F.get("_o", at).alias("term"), (F.coalesce(F.get("_at", k + 1), F.size("_o")) - at).alias("tf")))
-    return cut.select(*rest, F.inline(runs))
-
-
 def gain(tf: Column, length: Column, mean_length: float) -> Column:
     """What a term of weight one adds to a score."""
     k1, b = V.BM25_K1, V.BM25_B
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean_length))
 
 
+def _blocks(held: DataFrame, keys: tuple[str, ...], mean_length: float) -> DataFrame:
+    """(term, block, n, best, entries): the postings of each term in a block of neighbouring rows, without a shuffle.
+
+    ``held`` holds the keys, ``_row`` in ascending order and the tokens. Tokens of a block are numbered and counted as arrays. A block that is
+    cut by the splits of a file comes in two parts, which are searched as two.
+    """
+    shift = BLOCK_ROWS.bit_length() - 1
+
+    def one(rows: pa.Table, block: int) -> pa.RecordBatch:
+        length = pc.list_value_length(rows[TERMS]).to_numpy()
+        coded = pc.list_flatten(rows[TERMS]).combine_chunks().dictionary_encode()
+        pairs = coded.indices.to_numpy().astype(np.int64) * len(length) + np.repeat(np.arange(len(length)), length)
+        pairs, tf = np.unique(pairs, return_counts=True)
+        term, row = np.divmod(pairs, len(length))
+        begin = np.flatnonzero(np.diff(term, prepend=-1))
+        ends = np.append(begin, len(term))
+        best = np.maximum.reduceat(gain(tf, length[row], mean_length), begin)
+        named = {k: rows[k].combine_chunks().take(pa.array(row)) for k in keys}
+        named |= {"tf": pa.array(tf, pa.int32()), "length": pa.array(length[row], pa.int32())}
+        entries = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(named.values()), list(named)))
+        return pa.RecordBatch.from_arrays([
+            coded.dictionary, pa.array(np.full(len(begin), block), pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(best), entries],
+            ["term", "block", "n", "best", "entries"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None                                        # rows of a block that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
+            blocks = rows["_row"].to_numpy() >> shift
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for at, end in zip(cuts[:-2], cuts[1:-1]):
+                yield one(rows.slice(at, end - at), blocks[at])
+            rest = rows.slice(cuts[-2])
+        if rest is not None:
+            yield one(rest, rest["_row"][0].as_py() >> shift)
+
+    return held.select(*keys, "_row", TERMS).mapInArrow(run, _kinds(held, keys))
+
+
 def build(rows: DataFrame, keys: tuple[str, ...] = ("file_id", "chunk_index"), text: str = "chunk_text",
           path: str | None = None) -> PostingIndex:
     """Store an index of the rows below ``path`` (default: a new folder in the shared one).
 
-    Texts are cut into tokens once. Every row's tokens are counted in the row; the counts meet by
-    (term, block of neighbouring rows), so however many rows hold a term, a group has at most ``BLOCK_ROWS``. Each block
-    carries the best gain of its postings. Blocks are sorted by bucket and term over ranges, so a common term is split over files.
+    Texts are cut into tokens once. Counts meet by (term, block of neighbouring rows), so however many rows hold a
+    term, a list has at most ``BLOCK_ROWS``. Each block carries the best gain of its postings. Blocks are sorted by bucket and
+    term over ranges, so a common term is split over files.
     The figures of the whole index are written last and make it readable.
     """
     spark = rows.sparkSession
@@ -92,11 +127,7 @@ def build(rows: DataFrame, keys: tuple[str, ...] = ("file_id", "chunk_index"), t
     held = spark.read.parquet(f"{path}/rows").select(*keys, "_row", TERMS).where(F.size(TERMS) > 0)
     n, tokens = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(TERMS)), F.lit(0))).first()
     mean = tokens / n if n else 1.0
-    block = F.shiftright("_row", BLOCK_ROWS.bit_length() - 1).alias("block")
-    one = _counted(held.select(*keys, block, F.size(TERMS).alias("length"), TERMS), TERMS)
-    entry = F.struct(*keys, "tf", "length")
-    blocks = one.groupBy("term", "block").agg(
-        F.count(F.lit(1)).alias("n"), F.max(gain(F.col("tf"), F.col("length"), mean)).alias("best"), F.collect_list(entry).alias("entries"))
+    blocks = written(_blocks(held, keys, mean), "blocks")          # else the ranges would be sought by counting all once more
     buckets = max(8, tokens // BUCKET_POSTINGS)
     blocks = blocks.withColumn("bucket", _bucket("term", buckets))
     ordered = blocks.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
@@ -111,10 +142,13 @@ def build(rows: DataFrame, keys: tuple[str, ...] = ("file_id", "chunk_index"), t
     return open_index(spark, path)
 
 
-def _read_postings(rows: DataFrame, path: str, keys: tuple[str, ...]) -> DataFrame:
+def _kinds(rows: DataFrame, keys: tuple[str, ...]) -> str:
     kinds = ", ".join(f"{k}: {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.sparkSession.read.schema(
-        f"term string, block bigint, n bigint, best double, entries array<struct<{kinds}, tf: int, length: int>>, bucket int").parquet(f"{path}/postings")
+    return f"term string, block bigint, n bigint, best double, entries array<struct<{kinds}, tf: int, length: int>>"
+
+
+def _read_postings(rows: DataFrame, path: str, keys: tuple[str, ...]) -> DataFrame:
+    return rows.sparkSession.read.schema(f"{_kinds(rows, keys)}, bucket int").parquet(f"{path}/postings")
 
 
 def open_index(spark: SparkSession, path: str) -> PostingIndex:

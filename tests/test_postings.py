@@ -75,3 +75,24 @@ def test_an_index_is_built_anew_when_its_files_change(spark, tmp_path):
     docs([(2, "two words")]).write.mode("append").parquet(path)
     again = P.stored_index(spark.read.parquet(path), "docs", ("doc_id",), "text")
     assert again.path != first.path and again.n == 2
+
+
+def test_blocks_are_counted_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK_ROWS", 16)
+    texts = [" ".join(f"w{(i * j) % 7}" for j in range(1 + i % 9)) for i in range(100)]
+    rows = [(i, i, t.split()) for i, t in enumerate(texts)]
+    held = spark.createDataFrame(rows, f"doc_id long, _row long, {P.TERMS} array<string>").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        blocks = P._blocks(held, ("doc_id",), 3.0)
+        assert "Exchange" not in blocks._jdf.queryExecution().executedPlan().toString()
+        got = {(r.term, r.block): (r.n, r.best, sorted((e.doc_id, e.tf, e.length) for e in r.entries)) for r in blocks.collect()}
+        assert blocks.count() == len(got)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for i, _, words in rows:
+        for w in set(words):
+            want.setdefault((w, i // 16), []).append((i, words.count(w), len(words)))
+    assert {k: (len(v), sorted(v)) for k, v in want.items()} == {k: (n, e) for k, (n, _, e) in got.items()}
+    assert all(abs(best - max(P.gain(tf, n, 3.0) for _, tf, n in e)) < 1e-12 for _, best, e in got.values())
