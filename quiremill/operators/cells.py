@@ -18,6 +18,7 @@ FIT_VECTORS = 50_000         # vectors that the centers are fitted on, at most
 MOST_CELLS = 4_096
 PART_VECTORS = 8_192         # vectors of a cell that meet queries in one task
 PART_QUERIES = 1_024         # queries that they meet at a time
+STEP_QUERIES = 64            # queries of a part that are compared at once
 CELL_VECTORS = 64            # vectors of a cell, about, while there are fewer than MOST_CELLS
 TUNING_QUERIES = 256         # vectors whose exact neighbours tell how many cells to probe, at most
 TUNING_K = 10
@@ -150,11 +151,18 @@ def _nearest_of(k: int, metric: str):
         if metric == "cosine":
             v, q = unit(v), unit(q)
         order = np.argsort(np.array(ids.to_pylist()), kind="stable")
-        score = (q @ v.T)[:, order]
-        best = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :k]              # ties are told by id
-        rows = np.repeat(np.arange(len(names)), best.shape[1])
-        return pa.table({"query_id": names.take(pa.array(rows)), "vec_id": ids.take(pa.array(order[best].ravel())),
-                         "similarity": pa.array(score[rows, best.ravel()])})
+        v, out = v[order], []
+        for at in range(0, len(q), STEP_QUERIES):
+            raw = q[at:at + STEP_QUERIES] @ v.T
+            score = np.nan_to_num(np.round(raw, 9), copy=False, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+            least = np.partition(score, -k, axis=1)[:, -k, None] if k < len(v) else -np.inf
+            row, col = np.nonzero(score >= least)
+            best = np.lexsort((col, -score[row, col], row))                                # ties are told by id
+            row, col = row[best], col[best]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, col = row[first], col[first]
+            out.append(pa.table({"query_id": names.take(pa.array(at + row)), "vec_id": ids.take(pa.array(order[col])), "similarity": pa.array(raw[row, col])}))
+        return pa.concat_tables(out)
     return run
 
 

@@ -82,3 +82,24 @@ def test_null_zero_and_no_vectors(spark):
     got = found(VE.vector_topk(queries, some, 2, exact=False))
     assert got == {0: [0, 2], 1: [2, 0], 2: [0, 1]}
     assert found(VE.vector_topk(queries.where(F.col("query_id") == 5), some, 2)) == {}
+
+
+def test_parts_are_compared_in_bounded_room():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    v, q = rng.integers(-2, 3, (8192, 4)).astype(float), rng.integers(-2, 3, (1024, 4)).astype(float)       # many ties
+    v[7, 0] = np.nan
+    ids = rng.permutation(8192)
+    tables = [pa.table({name: pa.array(i), "embedding": pa.array(m.tolist(), pa.list_(pa.float64()))}) for name, i, m in (
+        ("vec_id", ids, v), ("query_id", np.arange(1024), q))]
+    tracemalloc.start()
+    got = CE._nearest_of(3, "dot")(*tables).to_pydict()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    score = np.where(np.isnan(q @ v.T), -np.inf, q @ v.T)
+    want = [(i, int(ids[j])) for i in range(1024) for j in np.lexsort((ids, -score[i]))[:3]]
+    assert list(zip(got["query_id"], got["vec_id"])) == want and most < 100 << 20
