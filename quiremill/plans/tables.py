@@ -11,7 +11,7 @@ from quiremill.operators import grid as G
 from quiremill.plans import relations as rel
 from quiremill.plans.registry import SQL, Tables, plan
 from quiremill.plans.relations import FILES, with_
-from quiremill.session import scratch_path, spread
+from quiremill.session import dealt, scratch_path, spread
 from quiremill.sources import readers, sinks
 
 # --- sources and sinks -----------------------------------------------------------------
@@ -377,14 +377,28 @@ _WORDS = r"""words AS (
   WHERE word <> '')"""
 
 
+PAGE_WORDS = 400
+
+
 def words(t: Tables):
-    """Every word of every document on pages of 40 lines with ten words each."""
-    each = t.corpus.select("doc_id", F.posexplode(F.split("text", r"[\n ]")).alias("w", "text")).where("text <> ''")
-    line = F.floor(F.col("w") / 10).cast("int")
-    top = (line % 40) * 16 + F.col("w") % 3
-    left = (F.col("w") % 10) * 45 + F.length("text") % 5
+    """Every word of every document on pages of 40 lines with ten words each.
+
+    Documents are cut into pages, and pages dealt out, before words: a text moves once and packed, and whatever
+    groups or joins words by their page finds them in one place.
+    """
+    cut = t.documents.select("doc_id", F.split("text", r"[\n ]").alias("words"))
+    starts = F.sequence(F.lit(1), F.array_size("words"), F.lit(PAGE_WORDS))
+    texts = F.transform(starts, lambda n: F.array_join(F.slice("words", n, PAGE_WORDS), " "))
+    pages = cut.select("doc_id", F.posexplode(texts).alias("number", "words")).select(
+        "doc_id", (F.col("number") + 1).alias("page"), "words")
+    each = dealt(pages, t.documents, "doc_id", "page").select(
+        "doc_id", "page", F.posexplode(F.split("words", " ")).alias("n", "text")).where("text <> ''")
+    w = (F.col("page") - 1) * PAGE_WORDS + F.col("n")
+    line = F.floor(w / 10).cast("int")
+    top = (line % 40) * 16 + w % 3
+    left = (w % 10) * 45 + F.length("text") % 5
     return each.select(
-        "doc_id", F.floor(F.col("w") / 400 + 1).cast("int").alias("page"), "text", top.alias("top"), left.alias("left"),
+        "doc_id", "page", "text", top.alias("top"), left.alias("left"),
         (left + 6 * F.length("text")).alias("right"), (top + 10 + 4 * (line % 3)).alias("bottom"))
 
 

@@ -55,6 +55,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 SPLIT_BYTES = 32 * 1024 * 1024
+DEALT_BYTES = 2 * 1024 * 1024
+
+
+def _size(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def dealt(df: DataFrame, source: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by keys, so many parts that each stems from about 2 MB of the stored ``source``.
+
+    A part whose rows are unpacked many times over, as words, then still sorts in a task's memory.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(3 * cores, -(-_size(source) // DEALT_BYTES)), *keys)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -64,5 +78,4 @@ def spread(df: DataFrame) -> DataFrame:
     enough tasks, and moving it would cost more than it gives.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+    return df.repartition(cores) if _size(df) < cores * SPLIT_BYTES else df

@@ -1,6 +1,7 @@
 """No operator stops at a prefix, a first file or a first rows: input beyond each earlier cut."""
 import json
 import math
+import re
 
 import pyarrow as pa
 import pytest
@@ -128,3 +129,20 @@ def test_many_vector_queries(spark):
 def test_math_commands_are_whole_names():
     from quiremill.functions import values as V
     assert "varepsilon" in V.LATEX_COMMANDS and all(c.isalpha() or c in ",;:!" for c in V.LATEX_COMMANDS)
+
+
+def test_words_of_a_page_move_once_and_packed(spark, tmp_path):
+    """Pages are dealt out before they are cut into words, so grouping words by page moves none of them again."""
+    from quiremill.plans import registry, tables
+    texts = [None, "", " \n ", "one", "a\tb  c\nd ", " ".join(f"w{i}" for i in range(1201)), "\n".join(["x y"] * 400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.page, r.top, r.left, r.text) for r in tables.words(registry.Tables(spark, str(tmp_path))).collect())
+    expected = []
+    for doc, text in enumerate(texts):
+        for w, word in enumerate(re.split(r"[\n ]", text) if text is not None else []):
+            if word:
+                expected.append((doc, w // 400 + 1, w // 10 % 40 * 16 + w % 3, w % 10 * 45 + len(word) % 5, word))
+    assert got == sorted(expected)
+    plan = registry.QUERIES["words_to_blocks"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("posexplode(split(words") < plan.index("Exchange")
