@@ -1,13 +1,18 @@
 """Cell grids, header rules and positioned words."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quiremill.functions import labels as L
 from quiremill.functions import values as V
 from quiremill.functions.cleaning import strip
-from quiremill.session import written
 
 # Cells: (table_id, row, col, value); headers: (table_id, col, name).
 
@@ -143,36 +148,54 @@ def union_tables(cells: DataFrame, doc: str = "doc_id", table: str = "table_no")
 
 # --- positioned words: (doc_id, page, text, top, left, right, bottom) ------------------------
 
-def _greedy_marks(values: Column, gap: int) -> Column:
-    """Sorted values reduced to marks that lie more than ``gap`` apart, first one kept."""
-    empty = F.array().cast("array<int>")
-    return F.aggregate(
-        F.array_sort(values), empty,
-        lambda marks, v: F.when((F.size(marks) == 0) | (v - F.element_at(marks, -1) > gap), F.concat(marks, F.array(v)))
-        .otherwise(marks),
-    )
-
-
-DENSE = 100_000     # widest coordinate range with a lookup array, in pixels
+DENSE = 100_000     # words of whole pages that are placed in one go; a longer page is one go
 
 
-def _lookup(marks: Column, ends: Column) -> Column:
-    """Number of the mark whose stretch holds a coordinate; ``ends`` holds the last pixel of each stretch.
+def _marks_of(page: np.ndarray, value: pa.ChunkedArray, gap: int, halfway: bool) -> np.ndarray:
+    """Number, within its page, of the mark that each word belongs to; 0 without a coordinate.
 
-    Pages have few thousand pixels, so a lookup array with one entry per pixel answers
-    at once; stray coordinates far apart fall back to counting ends.
+    A page's marks lie more than ``gap`` apart, its least value first. A mark reaches to the pixel before the next one, or ``halfway``.
     """
-    start = F.element_at(marks, 1)
-    return F.struct(
-        start.alias("start"), ends.alias("ends"),
-        F.when(F.element_at(ends, -1) - start < DENSE, F.flatten(F.transform(
-            ends, lambda e, i: F.array_repeat(i, e - F.when(i == 0, start - 1).otherwise(F.get(ends, i - 1)))))).alias("dense"),
-    )
-
-
-def _place(lookup: str, value: str) -> Column:
-    far = F.size(F.filter(F.col(f"{lookup}.ends"), lambda e: e < F.col(value)))
-    return F.coalesce(F.get(F.col(f"{lookup}.dense"), F.col(value).cast("int") - F.col(f"{lookup}.start")), far)
+    known = value.is_valid().to_numpy()
+    if not known.any():
+        return np.zeros(len(page), np.int32)
+    pixels = value.fill_null(0).to_numpy().astype(np.int64)
+    least = pixels[known].min()
+    span = pixels[known].max() - least + gap + 2          # one axis for all pages, which lie more than a gap apart
+    at = page * span + np.where(known, pixels - least, 0)
+    seen = np.unique(at[known])
+    following, chosen, i = np.searchsorted(seen, seen + gap, "right").tolist(), [], 0
+    while i < len(seen):
+        chosen.append(i)
+        i = following[i]
+    marks = seen[chosen]
+    owner = marks // span
+    ends = marks[1:] - 1
+    if halfway:
+        ends = np.where(owner[1:] == owner[:-1], (marks[1:] + marks[:-1]) // 2, ends)
+    number = np.searchsorted(ends, at) - np.searchsorted(owner, page)
+    return np.where(known, number, 0).astype(np.int32)
+
+
+def _cells(words: pa.Table, sizes: list[int], keys: list[str]) -> pa.RecordBatch:
+    """The cells of whole pages, whose words follow each other."""
+    page = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
+    row = _marks_of(page, words["top"], V.ROW_REACH, False)
+    col = _marks_of(page, words["left"], V.COLUMN_GAP, True)
+    cell = (page * (row.max() + 1) + row) * (col.max() + 1) + col
+    order = pc.sort_indices(
+        pa.table({"cell": cell, "left": words["left"], "top": words["top"], "text": words["text"]}),
+        sort_keys=[(c, "ascending") for c in ("cell", "left", "top", "text")], null_placement="at_start")
+    cell = cell[order]
+    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    text = words["text"].take(order)
+    before = np.concatenate([[0], np.cumsum(text.is_valid().to_numpy())])
+    lists = pa.ListArray.from_arrays(
+        pa.array(before[np.append(first, len(cell))], pa.int32()), text.drop_null().combine_chunks())
+    lead = order.to_numpy()[first]
+    found = [words[k].take(pa.array(lead)).combine_chunks() for k in keys]
+    return pa.RecordBatch.from_arrays(
+        [*found, pa.array(row[lead]), pa.array(col[lead]), pc.binary_join(lists, " ")], [*keys, "row", "col", "value"])
 
 
 def words_to_table(words: DataFrame, page_keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
@@ -180,25 +203,37 @@ def words_to_table(words: DataFrame, page_keys: tuple[str, ...] = ("doc_id", "pa
 
     Rows start at the first word more than 12 pixels below the row before; columns
     start where left edges are more than 20 pixels apart; a word goes to the nearest
-    column. Both rules depend only on the *distinct* coordinates of a page, which
-    its size in pixels bounds, so only those are gathered.
+    column, the earlier one if two are as near. A window brings a page's words together with their number; many
+    pages are then placed at once, and a task holds one page and a batch of words at a time.
     """
-    keys = list(page_keys)
-    words = written(words.select(*keys, "text", F.col("top").cast("int").alias("top"), F.col("left").cast("int").alias("left")), "words")
-    marks = words.groupBy(*keys).agg(
-        F.collect_set("top").alias("_t"), F.collect_set("left").alias("_l"))
-    marks = marks.select(*keys, F.array_max("_t").alias("_tmax"), F.array_max("_l").alias("_lmax"), F.inline(F.array(F.struct(
-        _greedy_marks(F.col("_t"), V.ROW_REACH).alias("_tops"), _greedy_marks(F.col("_l"), V.COLUMN_GAP).alias("_lefts")))))
-    # A row reaches to the pixel before the next mark; columns meet half-way, the earlier one wins a tie.
-    row_ends = F.transform("_tops", lambda t, i: F.coalesce(F.get("_tops", i + 1) - 1, F.col("_tmax")))
-    col_ends = F.transform("_lefts", lambda x, i: F.coalesce(F.floor((x + F.get("_lefts", i + 1)) / 2).cast("int"), F.col("_lmax")))
-    marks = marks.select(*keys, "_tops", "_lefts", row_ends.alias("_te"), col_ends.alias("_le"))
-    marks = marks.select(*keys, _lookup(F.col("_tops"), F.col("_te")).alias("_rows"),
-                         _lookup(F.col("_lefts"), F.col("_le")).alias("_cols"))
-    placed = words.join(marks, keys).select(
-        *keys, _place("_rows", "top").alias("row"), _place("_cols", "left").alias("col"), "left", "top", "text")
-    cell = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "top", "text"))), lambda w: w["text"]), " ")
-    return placed.groupBy(*keys, "row", "col").agg(cell.alias("value"))
+    keys, at_once = list(page_keys), DENSE
+    near = words.dropna(subset=keys).select(
+        *keys, "text", F.col("top").cast("int").alias("top"), F.col("left").cast("int").alias("left"),
+        F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_size"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < held[0].column(len(keys) + 3)[0].as_py():
+                continue
+            table = pa.Table.from_batches(held)
+            size, start, end, sizes = table["_size"].to_numpy(), 0, 0, []
+            while end < rows and end + size[end] <= rows:
+                sizes.append(int(size[end]))
+                end += sizes[-1]
+                if end - start >= at_once:
+                    yield _cells(table.slice(start, end - start), sizes, keys)
+                    start, sizes = end, []
+            if sizes:
+                yield _cells(table.slice(start, end - start), sizes, keys)
+            held, rows = table.slice(end).to_batches(), rows - end
+
+    fields = [words.schema[k] for k in keys]
+    return near.mapInArrow(place, T.StructType([*fields, *T.StructType.fromDDL("row int, col int, value string")]))
 
 
 def words_to_blocks(words: DataFrame, page_keys: tuple[str, ...] = ("doc_id", "page"),

@@ -386,7 +386,7 @@ def words(t: Tables):
     Documents are cut into pages, and pages dealt out, before words: a text moves once and packed, and whatever
     groups or joins words by their page finds them in one place.
     """
-    cut = t.documents.select("doc_id", F.split("text", r"[\n ]").alias("words"))
+    cut = t.documents.select("doc_id", F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ").alias("words"))
     starts = F.sequence(F.lit(1), F.array_size("words"), F.lit(PAGE_WORDS))
     texts = F.transform(starts, lambda n: F.array_join(F.slice("words", n, PAGE_WORDS), " "))
     pages = cut.select("doc_id", F.posexplode(texts).alias("number", "words")).select(

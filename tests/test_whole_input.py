@@ -1,6 +1,7 @@
 """No operator stops at a prefix, a first file or a first rows: input beyond each earlier cut."""
 import json
 import math
+import random
 import re
 
 import pyarrow as pa
@@ -146,3 +147,34 @@ def test_words_of_a_page_move_once_and_packed(spark, tmp_path):
     assert got == sorted(expected)
     plan = registry.QUERIES["words_to_blocks"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.index("posexplode(split(words") < plan.index("Exchange")
+
+
+@pytest.mark.parametrize("per_batch", [3, 10_000])
+def test_cells_of_pages_in_many_batches(spark, monkeypatch, per_batch):
+    """Pages that begin and end within batches, words without a place or a text, against a plain loop; words move at most once."""
+    rng = random.Random(7)
+    words = [(p // 3, p % 3, rng.choice(["a", "b", "cc", None]), rng.choice([-90, 0, 3, 12, 13, 26, 40, 41, 99]), rng.choice([-7, 0, 20, 21, 31, 32, 60, 61]))
+             for p in range(12) for _ in range(rng.choice([1, 2, 5, 40]))] + [(None, 1, "no page", 1, 1), (9, 9, "far", 2**31 - 1, -2**31), (9, 9, "off", -2**31, 2**31 - 1)]
+    expected = {}
+    for page in {w[:2] for w in words if w[0] is not None}:
+        held, marks = [w for w in words if w[:2] == page], ([], [])
+        for of, place, gap in ((marks[0], 3, 12), (marks[1], 4, 20)):
+            for v in sorted({w[place] for w in held}):
+                if not of or v - of[-1] > gap:
+                    of.append(v)
+        for w in held:
+            row = max(i for i, m in enumerate(marks[0]) if m <= w[3])
+            col = min(range(len(marks[1])), key=lambda i: (abs(marks[1][i] - w[4]), i))
+            expected.setdefault((*page, row, col), []).append((w[4], w[3], w[2] or ""))
+    expected = {k: " ".join(x[2] for x in sorted(v) if x[2]) for k, v in expected.items()}
+    table = spark.createDataFrame(words, "doc_id bigint, page int, text string, top int, left int").repartition(2)
+    monkeypatch.setattr(G, "DENSE", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", per_batch)
+    try:
+        df = G.words_to_table(table)
+        rows = [((r.doc_id, r.page, r.row, r.col), r.value) for r in df.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == len(expected) and dict(rows) == expected
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
