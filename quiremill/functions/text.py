@@ -89,6 +89,18 @@ def rule_signals(doc_type: Column, mask: Column) -> Column:
 
 
 _NONE = "array<string>"
+_IN_NUMBERS = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "-().+"
+_BEFORE_DIGITS = 40      # characters kept of what stands before: the letters of an IBAN, and a word with its marks
+
+
+def _from_digits(c: Column) -> Column:
+    """A text from a little before its first digit on. What has digits is found there as in the whole text.
+
+    Most texts have few digits, late, and one run over what has none is far cheaper than a pattern tried at every place of it. The
+    blanks, dashes and brackets before the first digit stay, since a phone number may begin with any of them.
+    """
+    bare = F.rtrim(F.regexp_extract(c, r"(?U)^\D*+", 0), F.lit(_IN_NUMBERS))
+    return F.substr(c, F.greatest(F.length(bare) - _BEFORE_DIGITS, F.lit(1)))
 
 
 def emails(c: str | Column) -> Column:
@@ -102,8 +114,9 @@ def phones(c: str | Column, strict_reference: bool = False) -> Column:
     Runs of fewer than seven digits (dots, dashes, brackets) are dropped unless
     ``strict_reference`` asks for every run the pattern finds.
     """
+    text = _col(c) if strict_reference else _from_digits(_col(c))
     runs = F.transform(
-        F.regexp_extract_all(_col(c), F.lit("(?U)" + V.PHONE), 1), lambda r: F.regexp_replace(r, r"(?U)\s+", "")
+        F.regexp_extract_all(text, F.lit("(?U)" + V.PHONE), 1), lambda r: F.regexp_replace(r, r"(?U)\s+", "")
     )
     least = V.PHONE_MIN_DIGITS
     if strict_reference:
@@ -112,7 +125,7 @@ def phones(c: str | Column, strict_reference: bool = False) -> Column:
 
 
 def dates(c: str | Column) -> Column:
-    return F.regexp_extract_all(_col(c), F.lit("(?iU)" + V.DATE), 0)
+    return F.regexp_extract_all(_from_digits(_col(c)), F.lit("(?iU)" + V.DATE), 0)
 
 
 def urls(c: str | Column) -> Column:
@@ -122,7 +135,7 @@ def urls(c: str | Column) -> Column:
 
 
 def ibans(c: str | Column) -> Column:
-    return F.regexp_extract_all(_col(c), F.lit("(?U)" + V.IBAN), 0)
+    return F.regexp_extract_all(_from_digits(_col(c)), F.lit("(?U)" + V.IBAN), 0)
 
 
 COMMON = {"email": emails, "phone": phones, "date": dates, "url": urls, "iban": ibans}

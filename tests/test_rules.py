@@ -1,10 +1,13 @@
 """Hand-worked inputs and results of the rules."""
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quiremill.functions import cleaning as C
 from quiremill.functions import labels as L
 from quiremill.functions import text as X
+from quiremill.functions import values as V
 from quiremill.operators import cleaning as OC
 from quiremill.operators import documents as D
 from quiremill.operators import grid as G
@@ -271,3 +274,19 @@ def test_workflow_and_filters(spark):
         run_workflow(df, [{"op": "nope"}])
     with pytest.raises(ValueError):
         R.filter_builder({"op": "nope", "col": "id", "value": 1})
+
+
+def test_numbers_found_from_the_first_digit_on(spark):
+    """What is found after cutting what has no digit is what the patterns find in the whole text, whose head they do not see."""
+    rng = random.Random(5)
+    bits = ["word ", "é", "\u0301", "\U0001f600", "+", "(", ") ", "-", ".", " \u2003", "\n", "\u00a0", "٣", "1", "55", "2024-01-05", " 5 Jan 2024", "DE4450010517", "XDE445001", "12345678", ". " * 30, "no digits here " * 5]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.choice([1, 3, 8, 20]))) for _ in range(3000)] + ["", None, "." * 90 + "1234567", "a" * 99 + "DE44500105"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    whole = {"dates": F.regexp_extract_all("text", F.lit("(?iU)" + V.DATE), 0), "ibans": F.regexp_extract_all("text", F.lit("(?U)" + V.IBAN), 0)}
+    runs = F.transform(F.regexp_extract_all("text", F.lit("(?U)" + V.PHONE), 1), lambda r: F.regexp_replace(r, r"(?U)\s+", ""))
+    whole["phones"] = F.filter(runs, lambda r: F.length(F.regexp_replace(r, r"(?U)\D", "")) >= V.PHONE_MIN_DIGITS)
+    got = df.select("text", *[f("text").alias(f.__name__) for f in (X.dates, X.ibans, X.phones)], *[c.alias("all_" + k) for k, c in whole.items()]).collect()
+    assert [r for r in got for k in whole if r[k] != r["all_" + k]] == []
+    assert all(sum(bool(r[k]) for r in got) > 100 for k in whole)
+    rest = df.where("id = 0").select(X._from_digits(F.lit("plain words " * 1000 + "call 5550100")).alias("t")).first().t
+    assert len(rest) < 100
