@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from quiremill.session import scratch_path
 
 SLICE_ROWS = 1024      # rows of an Arrow batch that a worker handles at a time
+BATCH_BYTES = 4 << 20  # bytes of a batch that goes to a worker, about; Spark's own limit is 10,000 rows of any length
 
 #: A word is a run of characters other than ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -21,8 +22,19 @@ def table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` over batches of about ``BATCH_BYTES``, so that long texts don't fill an executor and its workers.
+
+    The limit is set for the session, unless it has one.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name, None) is None:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Any]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` over slices of at most ``SLICE_ROWS`` rows.
+    """``in_batches`` over slices of at most ``SLICE_ROWS`` rows.
 
     ``make`` runs once in every task and returns the function from a slice to a table or
     batch with the columns of ``schema``.
@@ -39,7 +51,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Any]]
                 out = None
             batch = None
             pa.default_memory_pool().release_unused()      # a worker is reused; it need not hold what it has read
-    return df.mapInArrow(run, schema)
+    return in_batches(df, run, schema)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

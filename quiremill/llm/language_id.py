@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quiremill.llm.common import arrow_map
+from quiremill.llm.common import arrow_map, in_batches
 
 DIMS = 1 << 15                 # hashed n-gram features
 BLOCK_CHARS = 1 << 20          # characters whose n-grams are counted at a time
@@ -129,7 +129,7 @@ def train(docs: DataFrame, label: str = "lang", column: str = "text", rows_per_l
         where = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(found[where])], ["at", "n"])
 
-    frequent = (rows.select("text").mapInArrow(count_documents, "at int, n long")
+    frequent = (in_batches(rows.select("text"), count_documents, "at int, n long")
                 .groupBy("at").agg(F.sum("n").alias("n")).toPandas())          # at most DIMS rows
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)

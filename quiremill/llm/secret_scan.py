@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiremill.llm.common import arrow_map
+from quiremill.llm.common import arrow_map, in_batches
 from quiremill.session import written
 
 DICTIONARY_SHARE = 2e-5         # words that make up so much of the corpus are known: at most 50,000, by that share
@@ -115,7 +115,7 @@ def dictionary(docs: DataFrame, column: str = "text", share: float = DICTIONARY_
                     yield flush()
         yield flush()
 
-    counted = docs.select(docs[column].alias("text")).mapInArrow(run, "word string, n long")
+    counted = in_batches(docs.select(docs[column].alias("text")), run, "word string, n long")
     cleaned = counted.select(F.regexp_extract(F.lower("word"), r"^\P{L}*(\p{L}{3,12})\P{L}*$", 1).alias("word"), "n").where("word <> ''")
     counts = written(cleaned.groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0

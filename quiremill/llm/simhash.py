@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiremill.llm.common import arrow_map, ascii_words, stored
+from quiremill.llm.common import arrow_map, ascii_words, in_batches, stored
 from quiremill.llm.components import components
 from quiremill.session import written
 
@@ -357,7 +357,7 @@ def _keys(docs: DataFrame, nodes: DataFrame, size: int, similarity: float, colum
     """
     total = nodes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     buckets = total // BUCKET + 1
-    packed = docs.select(column).mapInArrow(_packed(size, buckets), "bucket long, grams binary, lengths binary, nodes binary")
+    packed = in_batches(docs.select(column), _packed(size, buckets), "bucket long, grams binary, lengths binary, nodes binary")
     packed = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     shared = stored(packed.mapInArrow(_count_buckets, "node long, gram long, n int"), "shared")
     least = F.ceil(F.col("size") * similarity - 1e-9).cast("int") - F.col("twins")
