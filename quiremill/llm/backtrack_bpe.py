@@ -23,7 +23,7 @@ from quiremill.llm.common import arrow_map
 
 END = "\x00"               # stands for the end of a word inside entries
 CACHE_WORDS = 120_000      # words whose ids a task keeps, and as many of the time before
-CACHE_PAIRS = 1 << 14      # pairs of entries whose fit a task keeps
+CACHE_PAIRS = 1 << 17      # pairs of entries whose fit a task keeps
 
 # White space as the vocabulary's normaliser knows it: U+001C to U+001F are none.
 _SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
