@@ -10,17 +10,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiremill.llm.common import stored
+from quiremill.llm.common import in_batches, stored
 from quiremill.session import written
 
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"      # end a piece
 NO_LANG = "und"
 MAP_BITS = 26                # bits of a filter of words or phrases, as a power of two: 8 MB
 POOL = 1 << 19               # text positions that are numbered together
+FILE_CHUNKS = 8              # chunks of a stored file, which a task may decode as a whole
+TASKS_PER_CORE = 3           # where each task passes on every word or candidate it meets, more tasks would move more rows
 CELLS = 1 << 21              # phrases that a task counts by hash before it passes them on
 HELD_WORDS = 500_000         # different words whose counts a task holds
 TRIE_PHRASES = 1 << 18       # candidates of one trie
-TRIES_AT_ONCE = 3            # tries that are broadcast for one pass over the text
+TRIES_AT_ONCE = 6            # tries that are broadcast for one pass over the text
 UNIT = 1024                  # a word's number is read by a trie as two units below this
 SPLIT = 64                   # first ranks are taken in so many parts of a language
 
@@ -83,7 +85,7 @@ class _Codes(dict):
 
 
 def _chunks(bits: np.ndarray, spark):
-    """Rows (words, codes): a chunk of whole texts as numbers into its own list of word hashes; 0 breaks phrases."""
+    """Rows (words, codes): a chunk of whole texts as packed numbers into its own list of word hashes; 0 breaks phrases."""
     shared = spark.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,9 +95,8 @@ def _chunks(bits: np.ndarray, spark):
             codes = np.concatenate(parts)
             codes = codes[codes >= 0]
             codes = codes[(codes > 0) | np.concatenate([[False], codes[:-1] > 0])]        # one break is enough
-            words = np.array(hashes, np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([words], pa.list_(pa.int64())), pa.array([codes], pa.list_(pa.int32()))], ["words", "codes"])
+            words = np.array(hashes, np.uint64)
+            return pa.RecordBatch.from_arrays([pa.array([words.tobytes()], pa.binary()), pa.array([_packed(codes)], pa.binary())], ["words", "codes"])
 
         for batch in batches:
             for lang, text in _texts(batch):
@@ -114,11 +115,20 @@ def _chunks(bits: np.ndarray, spark):
     return run
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    """Numbers with the first bytes of all before the second bytes, which are stored in less room."""
+    return np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unpacked(data) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
 def _each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
         words, codes = batch.column(0), batch.column(1)
         for i in range(batch.num_rows):
-            yield words[i].values.to_numpy().view(np.uint64), codes[i].values.to_numpy()
+            yield np.frombuffer(words[i].as_buffer(), np.uint64), _unpacked(codes[i].as_buffer())
         batch = words = codes = None
         pa.default_memory_pool().release_unused()
 
@@ -188,18 +198,30 @@ def _names(size: int) -> list[str]:
     return [f"w{i}" for i in range(1, size + 1)]
 
 
+def _safe(words: np.ndarray, codes: np.ndarray, size: int, maps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the phrases that every map holds, the last one made for this size."""
+    at, found = _windows(words, codes, size, maps)
+    keep = _held(maps[size - 2], found)
+    return at[keep], found[keep]
+
+
 def _candidates(size: int, maps):
-    """(w1, ...): the different phrases of a chunk that every map holds, the last one made for this size."""
+    """(w1, ..., h): the different phrases of a chunk that every map holds, with what deals them to blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, codes in _each_chunk(batches):
-            at, cells = _windows(words, codes, size, maps.value)
-            keep = _held(maps.value[size - 2], cells)
-            _, first = np.unique(cells[keep], return_index=True)
-            at = at[keep][first]
-            yield pa.RecordBatch.from_arrays([pa.array(words[codes[at + i]].view(np.int64)) for i in range(size)], _names(size))
+            at, found = _safe(words, codes, size, maps.value)
+            found, first = np.unique(found, return_index=True)
+            at = at[first]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(words[codes[at + i]].view(np.int64)) for i in range(size)), pa.array(_deal(found))], [*_names(size), "h"])
     return run
 
 
+def _deal(found: np.ndarray) -> np.ndarray:
+    """The bits of phrases' hashes by which they are dealt to blocks."""
+    return (found >> np.uint64(40)).astype(np.int32)
+
+
 # --- tries --------------------------------------------------------------------------------
 
 def _bases_wide(nodes: list[np.ndarray], free: np.ndarray, first: int, rng: np.random.Generator) -> list[int]:
@@ -291,18 +313,22 @@ def _tries(size: int):
     return build
 
 
-def _walk(trie: tuple[np.ndarray, np.ndarray, np.ndarray], words: np.ndarray, codes: np.ndarray, size: int) -> np.ndarray:
-    """Last states of all phrases of the text that the trie holds: every position advances at once, one unit after the other."""
+def _walk(trie: tuple[np.ndarray, np.ndarray, np.ndarray], words: np.ndarray, codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Last states of the phrases at some positions that the trie holds: every position advances at once, one unit after the other."""
     known, base, check = trie
-    number = np.searchsorted(known, words.view(np.int64))
-    number[number == len(known)] = 0
-    number[known[number] != words.view(np.int64)] = -1
-    number[0] = -1                                        # a break
-    symbol = number.astype(np.int32)[codes]
-    at = np.arange(len(symbol) - size + 1, dtype=np.int32)
+    asked = np.zeros(len(words), bool)
+    for k in range(size):
+        asked[codes[at + k]] = True
+    asked[0] = False                                      # a break
+    asked = np.flatnonzero(asked)
+    wanted = words[asked].view(np.int64)
+    place = np.searchsorted(known, wanted)
+    place[place == len(known)] = 0
+    number = np.full(len(words), -1, np.int32)
+    number[asked] = np.where(known[place] == wanted, place, -1)
     state = np.zeros(len(at), np.int32)
     for k in range(size):
-        now = symbol[at + k]
+        now = number[codes[at + k]]
         live = now >= 0
         at, state, now = at[live], state[live], now[live]
         for high in (True, False):
@@ -312,14 +338,19 @@ def _walk(trie: tuple[np.ndarray, np.ndarray, np.ndarray], words: np.ndarray, co
     return state
 
 
-def _occurrences(tries, size: int):
-    """(block, state, n): how often each accepting state is reached in the chunks that a task reads."""
+def _occurrences(tries, size: int, maps, blocks: int):
+    """(block, state, n): how often each accepting state is reached in the chunks that a task reads.
+
+    A position can only hold a candidate where the maps hold its phrase, and then one of the block its hash is dealt to, as
+    the candidates are: so it is walked in one trie, however many there are.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {block: np.zeros(len(trie[2]), np.int64) for block, trie in tries.value.items()}
         for words, codes in _each_chunk(batches):
+            at, found = _safe(words, codes, size, maps.value)
+            mine = _deal(found) % blocks
             for block, trie in tries.value.items():
-                if len(codes) >= size:
-                    sums[block] += np.bincount(_walk(trie, words, codes, size), minlength=len(trie[2]))
+                np.add.at(sums[block], _walk(trie, words, codes, at[mine == block], size), 1)
         for block, n in sums.items():
             where = np.flatnonzero(n)
             for i in range(0, len(where), POOL):
@@ -340,25 +371,24 @@ def _ends(size: int):
     return run
 
 
-def _counted(chunks: DataFrame, candidates: DataFrame, size: int, least: int) -> DataFrame:
+def _counted(chunks: DataFrame, candidates: DataFrame, size: int, least: int, maps) -> DataFrame:
     """(w1, ..., a): the candidates with ``least`` occurrences or more, counted by tries of bounded size, some at a time."""
     spark, names = chunks.sparkSession, _names(size)
     blocks = -(-candidates.count() // TRIE_PHRASES) or 1
-    block = F.pmod(F.xxhash64(*names), F.lit(blocks)).cast("int")
     kind = "block int, words binary, base binary, check binary, ends binary, rows binary"
-    tries = stored(candidates.withColumn("block", block).groupBy("block").applyInArrow(_tries(size), kind), "tries")
+    dealt = candidates.select(F.pmod("h", F.lit(blocks)).cast("int").alias("block"), *names)
+    tries = stored(dealt.groupBy("block").applyInArrow(_tries(size), kind), "tries")
     found = None
     for at in range(0, blocks, TRIES_AT_ONCE):
         some = tries.where(F.col("block").between(at, at + TRIES_AT_ONCE - 1)).select("block", "words", "base", "check").toArrow()
         arrays = {b: (np.frombuffer(w, np.int64), np.frombuffer(x, np.int32), np.frombuffer(c, np.int32))
                   for b, w, x, c in zip(*(some[n].to_pylist() for n in ("block", "words", "base", "check")))}
         shared = spark.sparkContext.broadcast(arrays)     # at most TRIES_AT_ONCE tries of TRIE_PHRASES candidates
-        part = written(chunks.mapInArrow(_occurrences(shared, size), "block int, state int, n long")
+        part = written(in_batches(chunks, _occurrences(shared, size, maps, blocks), "block int, state int, n long")
                        .groupBy("block", "state").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "occurrences")
         shared.unpersist()
         found = part if found is None else found.union(part)
-    ends = tries.select("block", "ends", "rows").mapInArrow(
-        _ends(size), "block int, state int, " + ", ".join(f"{n} long" for n in names))
+    ends = in_batches(tries.select("block", "ends", "rows"), _ends(size), "block int, state int, " + ", ".join(f"{n} long" for n in names))
     return written(found.join(ends, ["block", "state"]).select(*names, "a"), f"phrases_{size}")
 
 
@@ -372,22 +402,27 @@ def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3, text: s
     so those of size k are looked for where their parts of size k - 1 are frequent: they are first counted by hashes, where none can be
     missed; the different phrases at the hashes that reach ``least`` are the candidates, which tries count in the text. What is
     broadcast has a fixed size: bit maps of hashes, and tries of so many candidates. Words of a language travel as 64-bit hashes.
+    Texts, and chunks as packed bytes, go to workers in small batches.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(docs[lang].cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    counts = rows.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    counts = in_batches(rows.coalesce(tasks), _count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = written(counts.where((F.col("n") >= least) | (F.col("word") == "")).select("lang", "word", F.xxhash64("lang", "word").alias("h"), "n"), "words")
-    chunks = stored(rows.mapInArrow(_chunks(bit_map(words.where("word <> ''"), "h"), spark), "words array<long>, codes array<int>"), "chunks")
+    chunks = in_batches(rows, _chunks(bit_map(words.where("word <> ''"), "h"), spark), "words binary, codes binary")
+    chunks = stored(chunks, "chunks", maxRecordsPerFile=FILE_CHUNKS)
+    few = chunks.coalesce(tasks)
     total = words.where("word = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = max(MAP_BITS, min(64, int(total).bit_length() + 4))           # far more cells than phrases, at any size
     maps, phrases = [], {}
     for size in range(2, longest + 1):
         names = _names(size)
-        cells = chunks.mapInArrow(_cells(size, spark.sparkContext.broadcast(list(maps)), bits), "cell long, n long")
+        cells = in_batches(chunks, _cells(size, spark.sparkContext.broadcast(list(maps)), bits), "cell long, n long")
         cells = cells.groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         maps.append(bit_map(cells, "cell"))
-        found = chunks.mapInArrow(_candidates(size, spark.sparkContext.broadcast(list(maps))), ", ".join(f"{n} long" for n in names))
-        phrases[size] = _counted(chunks, written(found.distinct(), "candidates"), size, least)
+        shared = spark.sparkContext.broadcast(list(maps))
+        found = in_batches(few, _candidates(size, shared), ", ".join(f"{n} long" for n in names) + ", h int")
+        phrases[size] = _counted(few, written(found.distinct(), "candidates"), size, least, shared)
     return words, phrases
 
 

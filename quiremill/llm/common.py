@@ -54,10 +54,10 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Any]]
     return in_batches(df, run, schema)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options) -> DataFrame:
     """A table in the shared folder, written with strong compression and read back: for large packed columns."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

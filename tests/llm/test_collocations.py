@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -90,3 +91,48 @@ def test_trie_holds_its_rows_only():
             if state is None:
                 break
         assert state == known.get(tuple(row))
+
+
+def test_a_position_is_walked_in_one_trie(monkeypatch):
+    """However many tries are broadcast, a text position is walked in the one its phrase can be in, and counts are exact."""
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    rng = np.random.default_rng(5)
+    words = np.concatenate([[0], rng.integers(1, 2**63, 300)]).astype(np.uint64)
+    codes = (rng.zipf(1.2, 20_000) % 301).astype(np.int32)
+    every = [np.full(1 << collocations.MAP_BITS - 6, 2**64 - 1, np.uint64)]
+    at, found = collocations._safe(words, codes, 2, every)
+    phrases = list(zip(words[codes[at]].view(np.int64).tolist(), words[codes[at + 1]].view(np.int64).tolist()))
+    dealt = dict(zip(phrases, (collocations._deal(found) % 3).tolist()))
+    tries, names = {}, {}
+    for block in range(3):
+        rows = sorted(p for p, b in dealt.items() if b == block)
+        table = pa.table({"block": [block] * len(rows), "w1": [r[0] for r in rows], "w2": [r[1] for r in rows]})
+        trie = collocations._tries(2)(table).to_pylist()[0]
+        tries[block] = tuple(np.frombuffer(trie[n], t) for n, t in (("words", np.int64), ("base", np.int32), ("check", np.int32)))
+        names |= {(block, e): r for e, r in zip(np.frombuffer(trie["ends"], np.int32).tolist(), rows)}
+    walked, walk = [], collocations._walk
+    monkeypatch.setattr(collocations, "_walk", lambda trie, w, c, at, size: walked.append(len(at)) or walk(trie, w, c, at, size))
+    chunk = pa.RecordBatch.from_pydict({"words": [words.tobytes()], "codes": [collocations._packed(codes)]},
+                                       schema=pa.schema({"words": pa.binary(), "codes": pa.binary()}))
+    got = pa.Table.from_batches(collocations._occurrences(Shared(tries), 2, Shared(every), 3)(iter([chunk]))).to_pylist()
+    assert sum(walked) == len(at) and len(walked) == 3
+    assert {names[r["block"], r["state"]]: r["n"] for r in got} == Counter(phrases)
+
+
+def test_chunks_are_small_rows_in_small_files(spark, monkeypatch):
+    """A chunk is stored as packed bytes, few in a file, and goes to workers in batches of bounded size."""
+    tables, keep = {}, collocations.stored
+    monkeypatch.setattr(collocations, "stored", lambda df, name, **options: tables.setdefault(name, keep(df, name, **options)))
+    monkeypatch.setattr(collocations, "FILE_CHUNKS", 2)
+    monkeypatch.setattr(collocations, "POOL", 50)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.createDataFrame([(i, "one two three four. " * 20, "en") for i in range(40)], KINDS).coalesce(1)
+    collocations.frequent_phrases(docs)
+    chunks = tables["chunks"]
+    assert dict(chunks.dtypes) == {"words": "binary", "codes": "binary"}
+    files = [r["count"] for r in chunks.groupBy(F.input_file_name()).count().collect()]
+    assert sum(files) > 2 and max(files) <= 2
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
