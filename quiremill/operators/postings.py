@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ BLOCK_ROWS = 1024            # rows whose postings of one term stand together
 BUCKET_POSTINGS = 4_000_000  # blocks of terms are dealt into folders of about so many postings
 READ_TERMS = 2_000           # a search for more terms joins them instead of listing them in its filters
 SEED_BLOCKS = 4              # blocks of a question that are scored first, for the score to beat
+PACK_POSTINGS = 500_000      # postings that a task packs together, by bucket, before it passes them on
+SPLIT_ROWS = 1 << 24         # so many rows more, and the lists of a bucket are sorted in one task more
 
 
 @dataclass(frozen=True)
@@ -38,7 +41,7 @@ class PostingIndex:
     @property
     def rows(self) -> DataFrame:
         """The indexed rows with all their columns."""
-        return self.spark.read.parquet(f"{self.path}/rows").drop(TERMS, "_row")
+        return self.spark.read.parquet(f"{self.path}/rows").drop("_size", "_row")
 
     @property
     def terms(self) -> DataFrame:
@@ -69,10 +72,10 @@ def gain(tf: Column, length: Column, mean_length: float) -> Column:
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean_length))
 
 
-def _blocks(held: DataFrame, keys: tuple[str, ...], mean_length: float) -> DataFrame:
+def _lists(keys: tuple[str, ...], mean_length: float):
     """(term, block, n, best, entries): the postings of each term in a block of neighbouring rows, without a shuffle.
 
-    ``held`` holds the keys, ``_row`` in ascending order and the tokens. Tokens of a block are numbered and counted as arrays. A block that is
+    The input holds the keys, ``_row`` in ascending order and the tokens. Tokens of a block are numbered and counted as arrays. A block that is
     cut by the splits of a file comes in two parts, which are searched as two.
     """
     shift = BLOCK_ROWS.bit_length() - 1
@@ -108,30 +111,90 @@ def _blocks(held: DataFrame, keys: tuple[str, ...], mean_length: float) -> DataF
         if rest is not None:
             yield one(rest, rest["_row"][0].as_py() >> shift)
 
-    return held.select(*keys, "_row", TERMS).mapInArrow(run, _kinds(held, keys))
+    return run
+
+
+def _blocks(held: DataFrame, keys: tuple[str, ...], mean_length: float) -> DataFrame:
+    """The lists of ``_lists`` as rows."""
+    return held.select(*keys, "_row", TERMS).mapInArrow(_lists(keys, mean_length), _kinds(held, keys))
+
+
+def _packed(held: DataFrame, keys: tuple[str, ...], mean_length: float, buckets: int, splits: int = 1) -> DataFrame:
+    """(part, bucket, lists): the same lists, packed by bucket."""
+    lists = _lists(keys, mean_length)
+    return held.select(*keys, "_row", TERMS).mapInArrow(lambda batches: _pack(lists(batches), buckets, splits), "part int, bucket int, lists binary")
+
+
+def _pack(runs: Iterator[pa.RecordBatch], buckets: int, splits: int = 1) -> Iterator[pa.RecordBatch]:
+    """(part, bucket, lists): lists of some blocks, sorted and packed by bucket, so that few bytes move."""
+    def bucket(term: str) -> int:                          # as ``_bucket``
+        return (xxhash.xxh64_intdigest(term.encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+
+    def pack(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = pa.Table.from_batches(held).select(["term", "block", "entries"]).combine_chunks()
+        coded = lists["term"].combine_chunks().dictionary_encode()
+        at = np.array([bucket(t) % buckets for t in coded.dictionary.to_pylist()], np.int32)
+        place = np.empty(len(at), np.int64)
+        place[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(at))
+        code, block = coded.indices.to_numpy(), lists["block"].to_numpy()
+        order = np.lexsort((block, place[code], at[code]))
+        lists, at, split = lists.take(pa.array(order)), at[code][order], xxhash.xxh64_intdigest(block[:1].tobytes()) % splits
+        for begin, end in zip(starts := np.flatnonzero(np.diff(at, prepend=-1)).tolist(), [*starts[1:], len(at)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, lists.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(lists.slice(begin, end - begin))
+            one = int(at[begin])
+            yield pa.RecordBatch.from_arrays([pa.array([(one + split) % buckets], pa.int32()), pa.array([one], pa.int32()),
+                                              pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "bucket", "lists"])
+
+    held, n = [], 0
+    for run in runs:
+        held.append(run)
+        n += len(run.column("entries").values)
+        if n >= PACK_POSTINGS:
+            yield from pack(held)
+            held, n = [], 0
+            pa.default_memory_pool().release_unused()
+    if held:
+        yield from pack(held)
+
+
+def _unpack(mean_length: float):
+    """(term, block, n, best, entries, bucket) of packed lists."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, lists in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for part in pa.ipc.open_stream(lists.as_buffer()):
+                    term, block, entries = part.columns
+                    flat, n = entries.flatten(), pc.list_value_length(entries).to_numpy().astype(np.int64)
+                    found = gain(flat.field("tf").to_numpy(), flat.field("length").to_numpy(), mean_length)
+                    best = np.maximum.reduceat(found, np.cumsum(n) - n)
+                    yield pa.RecordBatch.from_arrays([term, block, pa.array(n), pa.array(best), entries, pa.array(np.full(len(n), bucket, np.int32))],
+                                                     ["term", "block", "n", "best", "entries", "bucket"])
+    return run
 
 
 def build(rows: DataFrame, keys: tuple[str, ...] = ("file_id", "chunk_index"), text: str = "chunk_text",
           path: str | None = None) -> PostingIndex:
     """Store an index of the rows below ``path`` (default: a new folder in the shared one).
 
-    Texts are cut into tokens once. Counts meet by (term, block of neighbouring rows), so however many rows hold a
-    term, a list has at most ``BLOCK_ROWS``. Each block carries the best gain of its postings. Blocks are sorted by bucket and
-    term over ranges, so a common term is split over files.
-    The figures of the whole index are written last and make it readable.
+    Texts are cut into tokens for the figures, and again for the counts, rather than stored as tokens. Counts meet by (term, block of
+    neighbouring rows), so however many rows hold a term, a list has at most ``BLOCK_ROWS``. Each block carries the best gain of its
+    postings. Lists move once, packed by bucket, and are sorted by bucket and term there; beyond ``SPLIT_ROWS`` a common term is
+    split over tasks and files. The figures of the whole index are written last and make it readable.
     """
     spark = rows.sparkSession
     path = path or scratch_path(spark, "postings")
-    cut = rows.withColumns({TERMS: X.tokens(text), "_row": F.monotonically_increasing_id()})
-    cut.write.mode("overwrite").parquet(f"{path}/rows")
-    held = spark.read.parquet(f"{path}/rows").select(*keys, "_row", TERMS).where(F.size(TERMS) > 0)
-    n, tokens = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(TERMS)), F.lit(0))).first()
+    cut = rows.withColumns({"_size": F.size(X.tokens(text)), "_row": F.monotonically_increasing_id()})
+    cut.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/rows")
+    held = spark.read.parquet(f"{path}/rows").where("_size > 0")
+    n, tokens = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
     mean = tokens / n if n else 1.0
-    blocks = written(_blocks(held, keys, mean), "blocks")          # else the ranges would be sought by counting all once more
     buckets = max(8, tokens // BUCKET_POSTINGS)
-    blocks = blocks.withColumn("bucket", _bucket("term", buckets))
-    ordered = blocks.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
-    ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    lists = _packed(held.select(*keys, "_row", X.tokens(text).alias(TERMS)), keys, mean, buckets, 1 + n // SPLIT_ROWS)
+    lists = lists.repartitionById(buckets, "part").select("bucket", "lists").mapInArrow(_unpack(mean), f"{_kinds(cut, keys)}, bucket int")
+    ordered = lists.sortWithinPartitions("bucket", "term", "block")
+    ordered.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
     terms = _read_postings(cut, path, keys).groupBy("term", "bucket").agg(F.sum("n").alias("df"))
     terms.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     terms = spark.read.schema("term string, df bigint, bucket int").parquet(f"{path}/terms")
@@ -163,7 +226,7 @@ def stored_index(rows: DataFrame, name: str, keys: tuple[str, ...] = ("file_id",
     """
     spark = rows.sparkSession
     facts = sorted(file_facts(spark, f) for f in rows.inputFiles())
-    digest = hashlib.sha256(repr((name, keys, text, facts)).encode()).hexdigest()[:32]
+    digest = hashlib.sha256(repr(("packed", name, keys, text, facts)).encode()).hexdigest()[:32]
     path = f"{shared_dir(spark)}/quiremill/index-{digest}"
     return open_index(spark, path) if exists(spark, f"{path}/figures/_SUCCESS") else build(rows, keys, text, path)
 

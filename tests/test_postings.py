@@ -96,3 +96,32 @@ def test_blocks_are_counted_without_a_shuffle(spark, monkeypatch):
             want.setdefault((w, i // 16), []).append((i, words.count(w), len(words)))
     assert {k: (len(v), sorted(v)) for k, v in want.items()} == {k: (n, e) for k, (n, _, e) in got.items()}
     assert all(abs(best - max(P.gain(tf, n, 3.0) for _, tf, n in e)) < 1e-12 for _, best, e in got.values())
+
+
+@pytest.mark.parametrize("splits", [1, 3])
+def test_lists_move_packed_by_bucket(spark, monkeypatch, splits):
+    """Lists are packed a few rows a task, each bucket in as many parts as there are splits, and come out as they were."""
+    monkeypatch.setattr(P, "BLOCK_ROWS", 16)
+    rows = [(i, i, [f"w{(i * j) % 50}" for j in range(1 + i % 9)] + ["é"]) for i in range(300)]
+    held = spark.createDataFrame(rows, f"doc_id long, _row long, {P.TERMS} array<string>").repartitionByRange(3, "_row").sortWithinPartitions("_row")
+    seen = lambda df: sorted((r.term, r.block, r.n, r.best, sorted(map(tuple, r.entries))) for r in df.collect())
+    packed = P._packed(held, ("doc_id",), 3.0, 8, splits)
+    parts = packed.select("part", "bucket").collect()
+    assert len(parts) <= 3 * 8 and all((p - b) % 8 < splits for p, b in parts)
+    kinds = f"{P._kinds(held, ('doc_id',))}, bucket int"
+    unpacked = packed.select("bucket", "lists").mapInArrow(P._unpack(3.0), kinds)
+    assert seen(unpacked) == seen(P._blocks(held, ("doc_id",), 3.0))
+    assert unpacked.where(F.col("bucket") != P._bucket("term", 8)).count() == 0
+
+
+def test_an_index_stores_texts_and_lists_once(spark, tmp_path, monkeypatch):
+    """No tokens beside the texts, no lists beside the sorted ones, and one file a bucket however many tasks read the rows."""
+    kinds = "file_id long, chunk_index int, chunk_text string"
+    rows = spark.createDataFrame([(i, 0, f"word w{i % 90} x{i}") for i in range(1000)], kinds).repartition(6)
+    stored, keep = [], P.written
+    monkeypatch.setattr(P, "written", lambda df, name: stored.append(name) or keep(df, name))
+    index = P.build(rows, path=str(tmp_path / "index"))
+    assert stored == []
+    assert P.TERMS not in spark.read.parquet(f"{index.path}/rows").columns
+    files = list(tmp_path.glob("index/postings/bucket=*/*.parquet"))
+    assert len(files) == index.buckets == 8
