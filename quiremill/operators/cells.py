@@ -1,11 +1,13 @@
 """Nearest vectors by cells: vectors stored around the centers of a clustering, of which a query probes some."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +21,9 @@ MOST_CELLS = 4_096
 PART_VECTORS = 8_192         # vectors of a cell that meet queries in one task
 PART_QUERIES = 1_024         # queries that they meet at a time
 STEP_QUERIES = 64            # queries of a part that are compared at once
+BLOCK_BYTES = 4 << 20        # bytes of a packed block of vectors or queries, about
+FILE_BLOCKS = 4              # blocks of a stored file, which a task may decode as a whole
+TASKS_PER_CORE = 3           # parts of the queries, at least
 CELL_VECTORS = 64            # vectors of a cell, about, while there are fewer than MOST_CELLS
 TUNING_QUERIES = 256         # vectors whose exact neighbours tell how many cells to probe, at most
 TUNING_K = 10
@@ -190,6 +195,135 @@ def nearest_in_parts(vectors: DataFrame, queries: DataFrame, k: int, metric: str
     return top_n_per_key(found, ["query_id"], [F.desc(F.round("similarity", 9)), F.col("vec_id")], k)
 
 
+def _blocks(rows: int):
+    """(block, packed): rows as Arrow bytes, so many at a time, and fewer where they are wide."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, size = [], 0, 0
+
+        def pack() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as out:
+                out.write_table(pa.Table.from_batches(held).combine_chunks())
+            name = uuid.uuid4().int >> 65
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "packed"])
+
+        for batch in batches:
+            step = max(1, min(rows, BLOCK_BYTES * batch.num_rows // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                if held and (n + part.num_rows > rows or size + part.nbytes > BLOCK_BYTES):
+                    yield pack()
+                    held, n, size = [], 0, 0
+                held.append(part)
+                n, size = n + part.num_rows, size + part.nbytes
+        if held:
+            yield pack()
+    return run
+
+
+class _Best:
+    """The ``k`` best vectors so far for every query of a block."""
+
+    def __init__(self, queries: pa.Table, k: int, metric: str):
+        self.names, self.k, self.metric = queries["query_id"].combine_chunks(), k, metric
+        q = _matrix(queries["embedding"].combine_chunks())
+        self.q = unit(q) if metric == "cosine" else q
+        self.least = np.full(len(q), -np.inf)              # what a vector must reach, once there are ``k``
+        self.row, self.raw, self.ids = np.zeros(0, np.int64), np.zeros(0), None
+
+    def meet(self, vectors: pa.Table) -> None:
+        ids = vectors["vec_id"].combine_chunks()
+        order = pc.sort_indices(ids, null_placement="at_start")
+        ids, v = ids.take(order), _matrix(vectors["embedding"].combine_chunks().take(order))
+        v = unit(v) if self.metric == "cosine" else v
+        rows, cols, raws = [], [], []
+        for at in range(0, len(self.q), STEP_QUERIES):
+            raw = self.q[at:at + STEP_QUERIES] @ v.T
+            least = self.least[at:at + STEP_QUERIES, None]
+            row, col = np.nonzero(~(raw < least - 2e-9))    # rounding moves a score by less; NaN is below all, and told apart next
+            if len(row) > 4 * self.k * len(raw):            # many: the first ``k`` of a query here, ties by id
+                score = _score(raw)
+                least = np.maximum(least, np.partition(score, -self.k, axis=1)[:, -self.k, None]) if self.k < len(v) else least
+                above = score > least
+                ties = (score == least) & (np.cumsum(score == least, axis=1) <= self.k)
+                row, col = np.nonzero(above | ties)
+            rows.append(at + row)
+            cols.append(col)
+            raws.append(raw[row, col])
+        self._add(np.concatenate(rows), np.concatenate(raws), ids.take(pa.array(np.concatenate(cols))))
+
+    def _add(self, row: np.ndarray, raw: np.ndarray, ids: pa.Array) -> None:
+        if not len(row):
+            return
+        if self.ids is not None:
+            row, raw, ids = np.concatenate([self.row, row]), np.concatenate([self.raw, raw]), pa.concat_arrays([self.ids, ids])
+        place = np.empty(len(row), np.int64)
+        place[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(row))
+        score = _score(raw)
+        best = np.lexsort((place, -score, row))             # ties are told by id
+        row = row[best]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < self.k
+        best = best[kept]
+        self.row, self.raw, self.ids, score = row[kept], raw[best], ids.take(pa.array(best)), score[best]
+        last = np.searchsorted(self.row, np.arange(len(self.q)), "right") - 1
+        full = np.bincount(self.row, minlength=len(self.q)) == self.k
+        self.least[full] = score[last[full]]
+
+    def found(self) -> Iterator[pa.Table]:
+        if self.ids is not None:
+            yield pa.table({"query_id": self.names.take(pa.array(self.row)), "vec_id": self.ids, "similarity": pa.array(self.raw)})
+
+
+def _score(raw: np.ndarray) -> np.ndarray:
+    return np.nan_to_num(np.round(raw, 9), copy=False, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+
+
+def _read(packed: bytes) -> pa.Table:
+    return pa.ipc.open_stream(packed).read_all()
+
+
+def nearest_of_all(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+    """(query_id, vec_id, similarity, rank): the best of all vectors for (query_id, embedding), without cells.
+
+    Vectors are stored once as packed blocks. A task holds a block of queries and their best so far, and reads the stored vectors block by
+    block; so neither side is copied for the other, however many there are, and nothing but queries and ``k`` rows for each is moved.
+    """
+    spark = vectors.sparkSession
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, similarity double"
+    path = scratch_path(spark, "vectors")
+    packed = vectors.select("vec_id", "embedding").mapInArrow(_blocks(PART_VECTORS), "block long, packed binary")
+    packed.write.options(compression="zstd", maxRecordsPerFile=FILE_BLOCKS).parquet(path)
+    theirs = spark.read.schema(packed.schema).parquet(path).coalesce(1)                     # a task reads all, one file after the other
+    most = max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, -(-queries.count() // PART_VECTORS))
+    mine = queries.select("query_id", "embedding").repartition(most).mapInArrow(_blocks(PART_VECTORS), "block long, packed binary")
+
+    def run(pairs: Iterator) -> Iterator[tuple[bytes]]:
+        name, best = None, None
+
+        def done() -> Iterator[tuple[bytes]]:
+            for found in best.found() if best else ():
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, found.schema) as out:
+                    out.write_table(found)
+                yield (sink.getvalue().to_pybytes(),)
+
+        for ours, others in pairs:
+            if ours.block != name:
+                yield from done()
+                name, best = ours.block, _Best(_read(ours.packed), k, metric)
+            best.meet(_read(others.packed))
+        yield from done()
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for found in batch.column(0):
+                yield from pa.ipc.open_stream(found.as_buffer())
+
+    found = spark.createDataFrame(mine.rdd.cartesian(theirs.rdd).mapPartitions(run), "found binary", verifySchema=False)
+    found = written(found.mapInArrow(unpack, kinds), "neighbours")
+    return top_n_per_key(found, ["query_id"], [F.desc(F.round("similarity", 9)), F.col("vec_id")], k)
+
+
 def _part(key: str, parts: str) -> Column:
     """A part by row, so that rows with equal keys are dealt out too."""
     return F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.col(parts)).cast("int")

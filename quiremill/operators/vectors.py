@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiremill.operators.cells import CellIndex, build_cells, nearest_in_parts, recall, search_cells, unit
+from quiremill.operators.cells import CellIndex, build_cells, nearest_of_all, recall, search_cells, unit
 from quiremill.operators.relational import top_n_per_key
 
 QUERY_BLOCK = 2048   # query vectors that go to every task; more meet the vectors in parts
@@ -21,7 +21,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, metric: str
 
     ``queries`` holds (query_id, embedding), ``vectors`` (vec_id, embedding). Queries up to a ``block``
     go to every task, which multiplies its vectors with them and keeps ``k`` rows per query and batch, so pairs are never
-    materialized. More queries meet the vectors in parts of bounded size on both sides, in one job and without the driver.
+    materialized. More queries are dealt out in blocks, which meet the stored vectors block by block, without the driver.
 
     Without ``exact`` only the ``probes`` nearest cells of ``index`` (built here if there is none) are searched, by default as many as
     reach a recall of 0.95.
@@ -36,8 +36,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, metric: str
     id_type = queries.schema["query_id"].dataType.simpleString()
     rows = queries.limit(block + 1).toPandas()            # one block
     if len(rows) > block:
-        whole = vectors.select("vec_id", "embedding", F.lit(0).alias("cell")).where("embedding IS NOT NULL")
-        return nearest_in_parts(whole, queries.withColumn("cell", F.lit(0)), k, metric)
+        return nearest_of_all(vectors.where("embedding IS NOT NULL"), queries, k, metric)
     if not len(rows):
         return vectors.select(F.lit(None).cast(id_type).alias("query_id"), "vec_id",
                               F.lit(0.0).alias("similarity"), F.lit(0).cast("bigint").alias("rank")).where("false")

@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +220,39 @@ def test_nearest_vectors_in_blocks(spark, folder):
         sims = np.round(m[:30] @ m.T, 9)
         for q in range(30):
             assert got[q] == sorted(ids.tolist(), key=lambda i: (-sims[q][i], i))[:4]
+
+
+def test_blocks_keep_the_best_of_all(monkeypatch):
+    """The best of vectors that come in blocks, with many ties, NaN and repeated ids, are those of one sort."""
+    from quiremill.operators import cells
+    rng = np.random.default_rng(11)
+    for k, shape in ((3, 700), (5, 2), (40, 90)):
+        v = rng.integers(-2, 3, (shape, 4)).astype(float)
+        v[::9, 0] = np.nan
+        q = rng.integers(-2, 3, (150, 4)).astype(float)
+        ids = rng.integers(0, shape, shape)
+        table = lambda name, key, m: pa.table({name: pa.array(key), "embedding": pa.array(m.tolist(), pa.list_(pa.float64()))})
+        for metric in ("cosine", "dot"):
+            best = cells._Best(table("query_id", np.arange(150), q), k, metric)
+            for at in range(0, shape, 130):
+                best.meet(table("vec_id", ids[at:at + 130], v[at:at + 130]))
+            got = {}
+            for r in pa.concat_tables(best.found()).to_pylist():
+                got.setdefault(r["query_id"], []).append((r["vec_id"], r["similarity"]))
+            raw = (cells.unit(q) @ cells.unit(v).T) if metric == "cosine" else q @ v.T
+            for i in range(150):
+                want = sorted(zip(cells._score(raw[i]).tolist(), ids.tolist()), key=lambda x: (-x[0], x[1]))[:k]
+                assert [(-np.inf if np.isnan(x) else round(x, 9), n) for n, x in got[i]] == [(round(x, 9), n) for x, n in want]
+
+
+def test_neighbours_of_many_move_queries_and_results_only(spark):
+    """Vectors are not copied for parts of queries: what a job shuffles grows with queries and results, not with their pairs."""
+    from quiremill.operators import cells
+    rows = [(i, [float(i % 13), 1.0, float(i % 7)]) for i in range(4000)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    got = cells.nearest_of_all(vectors, queries, 2)
+    assert "FlatMapCoGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    old = cells.nearest_in_parts(vectors.withColumn("cell", F.lit(0)), queries.withColumn("cell", F.lit(0)), 2)
+    seen = lambda df: sorted((r.query_id, r.rank, r.vec_id, round(r.similarity, 9)) for r in df.collect())
+    assert seen(got) == seen(old) and got.count() == 8000
