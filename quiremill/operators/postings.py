@@ -24,7 +24,8 @@ BUCKET_POSTINGS = 4_000_000  # blocks of terms are dealt into folders of about s
 READ_TERMS = 2_000           # a search for more terms joins them instead of listing them in its filters
 SEED_BLOCKS = 4              # blocks of a question that are scored first, for the score to beat
 PACK_POSTINGS = 500_000      # postings that a task packs together, by bucket, before it passes them on
-SPLIT_ROWS = 1 << 24         # so many rows more, and the lists of a bucket are sorted in one task more
+SPLIT_ROWS = 1 << 22         # so many rows more, and the lists of a bucket with common terms are sorted in one task more
+HOT_BUCKET = 1.5             # a bucket with so many times the mean postings has common terms
 
 
 @dataclass(frozen=True)
@@ -139,12 +140,15 @@ def _pack(runs: Iterator[pa.RecordBatch], buckets: int, splits: int = 1) -> Iter
         code, block = coded.indices.to_numpy(), lists["block"].to_numpy()
         order = np.lexsort((block, place[code], at[code]))
         lists, at, split = lists.take(pa.array(order)), at[code][order], xxhash.xxh64_intdigest(block[:1].tobytes()) % splits
-        for begin, end in zip(starts := np.flatnonzero(np.diff(at, prepend=-1)).tolist(), [*starts[1:], len(at)]):
+        starts = np.flatnonzero(np.diff(at, prepend=-1))
+        sizes = np.add.reduceat(pc.list_value_length(lists["entries"]).to_numpy(), starts)
+        hot = (sizes > HOT_BUCKET * sizes.sum() / buckets).tolist()
+        for begin, end, often in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], hot):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, lists.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(lists.slice(begin, end - begin))
             one = int(at[begin])
-            yield pa.RecordBatch.from_arrays([pa.array([(one + split) % buckets], pa.int32()), pa.array([one], pa.int32()),
+            yield pa.RecordBatch.from_arrays([pa.array([(one + often * split) % buckets], pa.int32()), pa.array([one], pa.int32()),
                                               pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "bucket", "lists"])
 
     held, n = [], 0

@@ -100,7 +100,7 @@ def test_blocks_are_counted_without_a_shuffle(spark, monkeypatch):
 
 @pytest.mark.parametrize("splits", [1, 3])
 def test_lists_move_packed_by_bucket(spark, monkeypatch, splits):
-    """Lists are packed a few rows a task, each bucket in as many parts as there are splits, and come out as they were."""
+    """Lists are packed a few rows a task, a bucket of common terms in as many parts as there are splits, and come out as they were."""
     monkeypatch.setattr(P, "BLOCK_ROWS", 16)
     rows = [(i, i, [f"w{(i * j) % 50}" for j in range(1 + i % 9)] + ["é"]) for i in range(300)]
     held = spark.createDataFrame(rows, f"doc_id long, _row long, {P.TERMS} array<string>").repartitionByRange(3, "_row").sortWithinPartitions("_row")
@@ -108,6 +108,8 @@ def test_lists_move_packed_by_bucket(spark, monkeypatch, splits):
     packed = P._packed(held, ("doc_id",), 3.0, 8, splits)
     parts = packed.select("part", "bucket").collect()
     assert len(parts) <= 3 * 8 and all((p - b) % 8 < splits for p, b in parts)
+    assert {b for p, b in parts if p != b} <= {r[0] for r in spark.createDataFrame([("é",), *((f"w{i}",) for i in range(50))], "term string").select(
+        P._bucket("term", 8)).collect()} and (splits > 1 or all(p == b for p, b in parts))
     kinds = f"{P._kinds(held, ('doc_id',))}, bucket int"
     unpacked = packed.select("bucket", "lists").mapInArrow(P._unpack(3.0), kinds)
     assert seen(unpacked) == seen(P._blocks(held, ("doc_id",), 3.0))
